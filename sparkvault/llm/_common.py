@@ -55,7 +55,9 @@ def fold_bucket(column: Column, modulus: int) -> Column:
 def text_bytes(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     column = batch.column(batch.schema.get_field_index(name))
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_binary())
+    return column.to_pylist()
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -2,8 +2,8 @@
 
 Words are split off in Spark, each distinct word is encoded once, and its ids
 go back to the places where the word stands. The word table is dealt out by
-word, never gathered: documents fall into blocks by a hash of their key, a
-block sends every distinct word once to the shard of that word, a shard
+word, never gathered: documents fall into blocks by a hash of their key
+(compressed on the way, block by block), a block sends every distinct word once to the shard of that word, a shard
 encodes each of its words once, and the ids return to the blocks that asked.
 What moves is the text once and the distinct words of each block, instead of
 a row for every word.
@@ -19,18 +19,27 @@ import hashlib
 import json
 import os
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvault.llm._common import n_blocks, text_bytes
 
 #: Bytes of text in a block; one task holds one block at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+
+
+def zstd(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unzstd(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 @lru_cache(maxsize=2)
@@ -58,21 +67,43 @@ def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(sorted(id_pieces(tokenizer_path).items()), "id int, piece string")
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (key, text) rows of each batch as one compressed Arrow stream per block."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows = pa.table({"key": batch.column("key"), "text": batch.column("text").cast(pa.large_binary())}).take(pa.array(order))
+        blocks, firsts = np.unique(block[order], return_index=True)
+        streams = []
+        for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows.slice(first, last - first).combine_chunks())
+            streams.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch({"block": pa.array(blocks, pa.int64()), "rows": pa.array(streams, pa.binary())})
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    """What _deal has packed for one block."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
+
+
 def _words_of_block(shards: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         seen: set[bytes] = set()
-        for text in text_bytes(table, "text"):
+        for text in text_bytes(_rows(table), "text"):
             if text:
                 seen.update(text.split())
         dealt: dict[int, list[bytes]] = {}
-        for word in seen:
+        for word in sorted(seen):
             dealt.setdefault(zlib.crc32(word) % shards, []).append(word)
         block = table.column("block")[0].as_py()
         return pa.table(
             {
                 "block": pa.array([block] * len(dealt), pa.int64()),
                 "shard": pa.array(list(dealt), pa.int64()),
-                "words": pa.array([b"\n".join(x) for x in dealt.values()], pa.binary()),
+                "words": pa.array([zstd(b"\n".join(x)) for x in dealt.values()], pa.binary()),
             }
         )
 
@@ -81,20 +112,19 @@ def _words_of_block(shards: int) -> Callable[[pa.Table], pa.Table]:
 
 def _encode_shard(tokenizer_path: str) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        asked = [x.split(b"\n") for x in table.column("words").to_pylist()]
+        asked = [unzstd(x).split(b"\n") for x in table.column("words").to_pylist()]
         distinct = list(set().union(*asked))
-        tokenizer, packed = load_tokenizer(tokenizer_path), {}
+        tokenizer, ids = load_tokenizer(tokenizer_path), {}
         for first in range(0, len(distinct), 20_000):
             some = distinct[first : first + 20_000]
             coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for word, code in zip(some, coded, strict=True):
-                packed[word] = np.array(code.ids, "<u4")
+            ids.update(zip(some, (np.array(code.ids, "<u4") for code in coded), strict=True))
         return pa.table(
             {
                 "block": table.column("block"),
                 "words": table.column("words"),
-                "n_ids": pa.array([np.array([len(packed[w]) for w in x], "<u4").tobytes() for x in asked], pa.binary()),
-                "ids": pa.array([np.concatenate([packed[w] for w in x]).astype("<u4").tobytes() for x in asked], pa.binary()),
+                "n_ids": pa.array([zstd(np.array([len(ids[w]) for w in x], "<u4").tobytes()) for x in asked], pa.binary()),
+                "ids": pa.array([zstd(np.concatenate([ids[w] for w in x]).tobytes()) for x in asked], pa.binary()),
             }
         )
 
@@ -109,7 +139,8 @@ class WordTable:
         columns = (table.column(c).to_pylist() for c in ("words", "n_ids", "ids"))
         for words, n_ids, ids in zip(*columns, strict=True):
             end = 0
-            for word, n in zip(words.split(b"\n"), np.frombuffer(n_ids, "<u4").tolist(), strict=True):
+            ids = unzstd(ids)
+            for word, n in zip(unzstd(words).split(b"\n"), np.frombuffer(unzstd(n_ids), "<u4").tolist(), strict=True):
                 start, end = end, end + 4 * n
                 self.ids[word] = ids[start:end]
 
@@ -134,14 +165,15 @@ def encoded_blocks(
     are dealt out by their text, null texts are empty.
     """
     blocks = n_blocks(docs, text, block_bytes)
-    dealt = docs.select(
+    rows = docs.select(
         F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(blocks)).alias("block")
-    ).groupBy("block")
+    )
+    dealt = rows.mapInArrow(_deal, "block long, rows binary").groupBy("block")
     words = dealt.applyInArrow(_words_of_block(blocks), "block long, shard long, words binary")
     ids = words.groupBy("shard").applyInArrow(_encode_shard(tokenizer_path), "block long, words binary, n_ids binary, ids binary")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return assemble(left, WordTable(right))
+        return assemble(_rows(left), WordTable(right))
 
     return dealt.cogroup(ids.groupBy("block")).applyInArrow(join, schema)
 
