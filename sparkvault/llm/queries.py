@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm import bpe, neardup, packing, topk
+from sparkvault.llm import bpe, langid, neardup, packing, topk, warc
+from sparkvault.llm._common import fold_bucket
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,11 +39,24 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.codec_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_bucket(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    trees = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_language_id": op5_language_id,
+    "op6_warc_round_trip": op6_warc_round_trip,
 }
 
 ORACLE: dict[str, str] = {
