@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm import bpe, langid, neardup, packing, topk, warc
+from sparkvault.llm import bpe, langid, licenses, neardup, packing, quality_rules, topk, warc
 from sparkvault.llm._common import fold_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,17 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return scored.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")}
+    return found.select("doc_id", "n_sentences", *joined.values())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -57,9 +68,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_language_id": op5_language_id,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
+def _license_sql() -> str:
+    """The licence scan in DuckDB SQL, its tables written out from the operator's."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(s)}, {quote(i)})" for i, group in licenses.SENTENCES.items() for s in group)
+    rules = ", ".join(f"({quote(name)}, {quote(' ' + ' '.join(seq) + ' ')})" for name, seq in licenses.RULES)
+    return f"""
+        WITH known(sentence, sentence_id) AS (VALUES {known}), rules(name, sequence) AS (VALUES {rules}),
+        parts AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\n|[.!?]+(?:[ \t\r\x0B\f]|$)|[;:][ \t\r\x0B\f]') AS p FROM documents),
+        lines AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
+        found AS (
+            SELECT doc_id, i, sentence_id FROM lines JOIN known
+              ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence
+        ),
+        ids AS (SELECT doc_id, string_agg(sentence_id, ' ' ORDER BY i) AS ids FROM found GROUP BY doc_id),
+        named AS (
+            SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses
+            FROM ids JOIN rules ON contains(' ' || ids || ' ', sequence) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(list_filter(p, lambda s: regexp_matches(s, '[A-Za-z0-9]'))) AS BIGINT) AS n_sentences,
+               coalesce(replace(ids, ' ', ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
+        FROM parts LEFT JOIN ids USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 ORACLE: dict[str, str] = {
+    "op7_quality_rules": """
+        WITH d AS (
+            SELECT doc_id, source, coalesce(text, '') AS t FROM documents
+        ), w AS (
+            SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+            FROM d
+        ), x AS (
+            SELECT doc_id, w, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g
+            FROM w
+        ), u AS (
+            SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM x
+        ), r AS (
+            SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM u) WHERE n > 1
+        ), p AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id
+        ), c AS (
+            SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+                   CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+            FROM w LEFT JOIN p ON w.doc_id = p.doc_id
+        ), b AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+        ), h AS (
+            SELECT source, count(*) AS n, count_if(base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source
+        ), m AS (
+            SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h
+        ), z AS (
+            SELECT m, greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 0 END, 1) AS s FROM m
+        ), j AS (
+            SELECT source FROM h, z WHERE (f + m * s) / (n + s) > 0.5
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND j_source IS NULL AS kept
+        FROM (SELECT b.*, j.source AS j_source FROM b LEFT JOIN j ON b.source = j.source)""",
+    "op10_license_scan": _license_sql(),
     "op1_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
