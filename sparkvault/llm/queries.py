@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm import bpe, langid, licenses, neardup, packing, quality_rules, topk, warc
+from sparkvault.llm import bpe, langid, licenses, neardup, packing, quality_classifier, quality_rules, topk, warc
 from sparkvault.llm._common import fold_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: fold_bucket(doc_id, 5) != 0
+    )
+    return scored.select("doc_id", (fold_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")}
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_quality_rules": op7_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
 
