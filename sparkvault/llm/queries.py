@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm import bpe, langid, licenses, neardup, packing, quality_classifier, quality_rules, topk, warc
+from sparkvault.llm import bpe, langid, licenses, neardup, packing, pii, quality_classifier, quality_rules, topk, warc
 from sparkvault.llm._common import fold_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+#: The surrogates' key in the queries; a user passes their own.
+PII_KEY = b"sparkvault registered queries"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.classify(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: fold_bucket(doc_id, 5) != 0
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
