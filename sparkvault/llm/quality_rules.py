@@ -8,6 +8,8 @@ the limit is rejected with all its documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,55 +26,57 @@ def _without(column: Column, characters: str) -> Column:
     return F.translate(column, characters, "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it.
+
+    A column of its own would not do: the optimiser may put its expression
+    back inside the lambdas, and then every element computes it again.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeat_words(words: Column) -> Column:
+    """How many words stand in three-word windows that occur twice or more.
+
+    The windows' hashes are sorted with their places: equal neighbours are
+    repeated windows, and the places that they cover count once. Only where
+    there is a repeated window is anything sorted.
+    """
+    no = F.lit(0).cast("long")
+    window = lambda w: lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
+    same = lambda s, x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+    repeated = lambda s: F.transform(F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)), lambda x: x["i"])
+    covered = lambda places: F.aggregate(
+        F.sort_array(places),
+        F.struct(no.alias("n"), F.lit(-3).alias("last")),
+        lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
+        lambda acc: acc["n"],
+    )
+    placed = lambda g: F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    of_windows = lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _let(placed(g), lambda s: covered(repeated(s)))).otherwise(no)
+    return _let(F.slice(F.transform(words, window(words)), 1, F.greatest(F.size(words) - 2, F.lit(0))), of_windows)
+
+
 def counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the five counts and base_failed, each named ``prefix`` + name.
 
-    Null texts have no words and fail. Words in repeated three-word windows
-    are found by sorting the windows' hashes with their places: equal
-    neighbours are repeated windows, and the places they cover are counted
-    once. Only documents that have a repeated window are sorted.
+    Null texts have no words and fail.
     """
-    p = lambda name: F.col(f"{prefix}{name}")
     t = F.coalesce(F.col(text), F.lit(""))
-    has_word = lambda line: F.length(F.translate(line, BLANKS, "")) > 0
-    out = docs.withColumns(
-        {
-            f"{prefix}words": F.filter(F.split(t, f"[{BLANK}]+"), lambda w: w != ""),
-            f"{prefix}lines": F.filter(F.split(t, "\n"), has_word),
-            f"{prefix}word_chars": F.length(_without(t, BLANKS)).cast("long"),
-            f"{prefix}n_symbols": (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long"),
-        }
-    )
-    words, lines = p("words"), p("lines")
-    window = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
-    out = out.withColumns(
-        {
-            f"{prefix}n_words": F.size(words).cast("long"),
-            f"{prefix}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            f"{prefix}windows": F.slice(F.transform(words, window), 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        }
-    )
-    windows = p("windows")
-    placed = F.when(
-        F.size(F.array_distinct(windows)) < F.size(windows),
-        F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-    )
-    out = out.withColumn(f"{prefix}placed", placed)
-    placed = p("placed")
-    same = lambda x, j: F.coalesce(F.get(placed, j)["h"] == x["h"], F.lit(False))
-    repeated = F.sort_array(F.transform(F.filter(placed, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
-    out = out.withColumn(f"{prefix}repeated", repeated)
-    repeated = p("repeated")
-    covered = F.aggregate(
-        repeated,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
-        lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
-        lambda acc: acc["n"],
+    words = F.filter(F.split(t, f"[{BLANK}]+"), lambda w: w != "")
+    lines = F.filter(F.split(t, "\n"), lambda line: F.length(_without(line, BLANKS)) > 0)
+    pair = lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("repeat"))
+    failed = lambda c: (c["n"] < 50) | (c["repeat"] * 100 > c["n"] * 50)
+    of_words = _let(_let(words, pair), lambda c: F.struct(c["n"].alias("n"), c["repeat"].alias("repeat"), failed(c).alias("failed")))
+    return docs.withColumn(f"{prefix}w", of_words).select(
+        *docs.columns,
+        F.col(f"{prefix}w.n").alias(f"{prefix}n_words"),
+        F.length(_without(t, BLANKS)).cast("long").alias(f"{prefix}word_chars"),
+        (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias(f"{prefix}n_symbols"),
+        _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias(f"{prefix}n_dup_lines"),
+        F.col(f"{prefix}w.repeat").alias(f"{prefix}n_repeat_words"),
+        F.col(f"{prefix}w.failed").alias(f"{prefix}base_failed"),
     )
-    out = out.withColumn(f"{prefix}n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    out = out.drop(*(f"{prefix}{c}" for c in ("words", "lines", "windows", "placed", "repeated")))
-    failed = (p("n_words") < 50) | (p("n_repeat_words") * 100 > p("n_words") * 50)
-    return out.withColumn(f"{prefix}base_failed", failed)
 
 
 def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
