@@ -198,7 +198,7 @@ def delete_vs_edit_text(fmt: Column, header: Column, text: Column) -> Column:
 
 def parse_embed_label(label: Column) -> Column:
     """struct(width, height, variant, alt) of a ``|``-separated label; the first of each kind wins."""
-    parts = F.transform(F.split(label, r"\|"), F.trim)
+    parts = F.transform(F.split(label, r"\|"), lambda p: F.trim(p))
     size = F.get(F.filter(parts, lambda p: p.rlike(r"^[0-9]{1,5}(?:x[0-9]{1,5})?$")), 0)
     variant = F.get(F.filter(parts, lambda p: p.isin("light", "dark")), 0)
     alt = F.get(F.filter(parts, lambda p: (p != "") & ~p.rlike(r"^[0-9]{1,5}(?:x[0-9]{1,5})?$") & ~p.isin("light", "dark")), 0)

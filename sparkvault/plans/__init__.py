@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from sparkvault.plans import changes
+from sparkvault.plans import changes, scalars, text
 
-QUERIES = dict(changes.QUERIES)
-ORACLE = dict(changes.ORACLE)
+QUERIES = changes.QUERIES | scalars.QUERIES | text.QUERIES
+ORACLE = changes.ORACLE | scalars.ORACLE | text.ORACLE
