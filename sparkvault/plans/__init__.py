@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from sparkvault.plans import changes, scalars, text
+from sparkvault.plans import changes, rest, scalars, text
 
-QUERIES = changes.QUERIES | scalars.QUERIES | text.QUERIES
-ORACLE = changes.ORACLE | scalars.ORACLE | text.ORACLE
+QUERIES = changes.QUERIES | scalars.QUERIES | text.QUERIES | rest.QUERIES
+ORACLE = changes.ORACLE | scalars.ORACLE | text.ORACLE | rest.ORACLE
