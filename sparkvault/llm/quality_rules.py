@@ -19,6 +19,8 @@ from sparkvault.llm._common import BLANK, BLANKS, materialize
 SYMBOLS = "#*$%&|<>"
 #: Shrunk failure rate above which a host is rejected.
 HOST_LIMIT = 0.5
+#: Most rejected hosts that are broadcast; beyond it they are joined by key.
+BROADCAST_HOSTS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -96,11 +98,16 @@ def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def judge(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT, prefix: str = "") -> DataFrame:
-    """``scored`` (from :func:`counts`) with kept: the base verdict and the host's. A null host rejects nothing."""
+    """``scored`` (from :func:`counts`) with kept: the base verdict and the host's. A null host rejects nothing.
+
+    The rejected hosts are written and counted; up to ``BROADCAST_HOSTS`` are
+    broadcast, so that a host with many documents moves none of them.
+    """
     failed = F.col(f"{prefix}base_failed")
     hosts = scored.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
-    bad = host_verdicts(hosts, limit).filter("rejected").select(F.col("host").alias("__bad_host"))
-    joined = scored.join(bad, scored[host] == bad["__bad_host"], "left")
+    bad = materialize(host_verdicts(hosts, limit).filter("rejected").select(F.col("host").alias("__bad_host")), "hosts")
+    known = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+    joined = scored.join(known, scored[host] == bad["__bad_host"], "left")
     return joined.withColumn(f"{prefix}kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host")
 
 
