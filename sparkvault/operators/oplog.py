@@ -255,3 +255,23 @@ def vault_usage(state: DataFrame, sizes: str = "size") -> DataFrame:
 def would_exceed(usage: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     """``usage`` with reason file_count, total_bytes or null."""
     return usage.withColumn("reason", F.when(F.col("files") > max_files, "file_count").when(F.col("bytes") > max_bytes, "total_bytes"))
+
+
+def sort_by_seq(ops: DataFrame, by: str = "client_id") -> DataFrame:
+    """Ops in the order of their client and number."""
+    return ops.orderBy(by, "seq")
+
+
+def pending_conflicts(log: DataFrame, since: Column | None = None, resolved: DataFrame | None = None) -> DataFrame:
+    """The latest entry of every (vault_id, path) from ``since`` on, with resolved; newest first is the caller's sort.
+
+    ``resolved`` has the (vault_id, path) whose text holds no marker any more.
+    """
+    rows = log if since is None else log.filter(F.col("ts") >= since)
+    rest = [c for c in log.columns if c not in ("vault_id", "path")]
+    latest = rows.groupBy("vault_id", "path").agg(F.max_by(F.struct(*rest), F.struct("ts", *(c for c in rest if c != "ts"))).alias("e"))
+    latest = latest.select("vault_id", "path", "e.*")
+    if resolved is None:
+        return latest.withColumn("resolved", F.lit(False))
+    marked = resolved.select("vault_id", "path", F.lit(True).alias("resolved")).distinct()
+    return latest.join(marked, ["vault_id", "path"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))

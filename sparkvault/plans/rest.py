@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvault.operators import merge as M
+from sparkvault.operators import oplog as O
 from sparkvault.plans import views as V
 from sparkvault.plans.views import with_views
 from sparkvault.sources import files as S
@@ -194,3 +195,69 @@ register(
     "t11_hold_frozen", lambda s, d: drained(T.split_frozen(stream(s, d, "events").withColumn("frozen", F.col("event_type") == "error"))[0].select("event_id")),
     "SELECT event_id FROM events WHERE event_type <> 'error'",
 )
+
+
+def stateful(s, d):
+    """Events as a stream of ops with what the stateful operators ask for."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return stream(s, d, "events").select(
+        F.expr("concat('c', user_id)").alias("client_id"), F.expr("concat('n', event_id % 4)").alias("path"), F.col("event_id").alias("seq"),
+        F.expr("concat('h', event_id % 3)").alias("hash"), micros.alias("micros"), (micros / 1000).cast("long").alias("ms"), F.length("props").cast("long").alias("bytes"),
+    )
+
+
+# Sequential by nature: no SQL; tested against plain loops.
+register("t3_staged_commits", lambda s, d: drained(T.staged_commits(stateful(s, d), max_bytes=100, max_ops=5, max_delay_s=86_400, quiet_s=21_600, by_clock=False)))
+register("t8_rate_limit", lambda s, d: drained(T.rate_limit(stateful(s, d), 3, 86_400)).select("client_id", "seq", "refused"))
+register("t9_stuck_writes", lambda s, d: drained(T.stuck_writes(stateful(s, d))).select("client_id", "path", "seq", "stuck"))
+
+
+def latest_staged(s, d):
+    """The last op of each path of a vault that is no rename, as the one staged."""
+    o = V.ops(s, d).filter("type <> 'rename'")
+    last = o.groupBy("vault_id", "path").agg(F.max_by(F.struct("type", "binary", "event_id"), "event_id").alias("o"))
+    none = F.lit(None).cast("string")
+    return last.select("vault_id", F.col("o.event_id").alias("seq"), "o.type", "path", none.alias("from"), none.alias("to"), "o.binary")
+
+
+register(
+    "j5_classify_changes",
+    lambda s, d: O.classify(V.ops(s, d).withColumn("id", F.col("event_id")), latest_staged(s, d)).filter(~F.col("action").isin("apply_rename")).select("id", "staged_seq", "action", "kind", "format"),
+    """WITH st AS (SELECT vault_id, path, arg_max({'t': type, 'b': "binary", 'e': event_id}, event_id) AS o FROM ops WHERE type <> 'rename' GROUP BY ALL),
+    j AS (SELECT a.event_id AS id, o.e AS staged_seq, a.type AS t, o.t AS st, a."binary" OR o.b AS b FROM ops a JOIN st ON a.vault_id = st.vault_id AND a.path = st.path WHERE a.type <> 'rename')
+    SELECT id, staged_seq, CASE WHEN t = 'write' AND st = 'write' THEN CASE WHEN b THEN 'apply' ELSE 'merge' END WHEN t = 'write' THEN 'write_sidecar' WHEN st = 'write' THEN CASE WHEN b THEN 'write_sidecar' ELSE 'write_conflict' END ELSE 'noop' END AS action,
+        CASE WHEN t = 'write' AND st = 'write' THEN CASE WHEN b THEN 'binary' END WHEN t = 'write' THEN 'edit_vs_delete' WHEN st = 'write' THEN 'delete_vs_edit' END AS kind,
+        CASE WHEN t = 'write' AND st = 'write' THEN CASE WHEN b THEN 'sidecar' END WHEN t = 'write' THEN 'sidecar' WHEN st = 'write' THEN CASE WHEN b THEN 'sidecar' ELSE 'callout' END END AS format FROM j""", "ops",
+)
+register(
+    "j8_resolve_collisions",
+    lambda s, d: O.resolve_collisions(
+        V.manifest(s, d).select("vault_id", "path", "hash", F.lit("k").alias("client_id")), V.disk(s, d).select("vault_id", "path", "hash"),
+        V.manifest(s, d).select("vault_id", "path").union(V.manifest(s, d).filter("doc_id % 14 = 0").select("vault_id", F.replace("path", F.lit(".md"), F.lit(".k.md"))))),
+    """SELECT vault_id, path, 'k' AS client_id, left(path, length(path) - 3) || CASE WHEN doc_id % 14 = 0 THEN '.k.1.md' ELSE '.k.md' END AS new_path FROM manifest WHERE doc_id % 7 = 0 AND doc_id % 10 <> 0""", "manifest",
+)
+register(
+    "a2_pending_conflicts",
+    lambda s, d: O.pending_conflicts(V.ops(s, d).filter("type = 'delete'").select("vault_id", "path", "ts", "event_id"), F.lit("2024-01-10").cast("timestamp_ntz"), V.ops(s, d).filter("path = 'notes/1.md'")),
+    """SELECT vault_id, path, max(ts) AS ts, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, path = 'notes/1.md' AS resolved FROM ops WHERE type = 'delete' AND ts >= TIMESTAMP '2024-01-10' GROUP BY vault_id, path""", "ops",
+)
+register("l3_sort_by_seq", lambda s, d: O.sort_by_seq(V.ops(s, d)).select("client_id", "seq", "event_id"), "SELECT client_id, seq, event_id FROM ops ORDER BY client_id, seq", "ops")
+register(
+    "m2_line_hunks",
+    lambda s, d: M.line_hunks(V.manifest(s, d).select("vault_id", "path", "text").join(ours(s, d).select("vault_id", "path", F.col("text").alias("our_text")), ["vault_id", "path"]).filter("text <> our_text"), "text", "our_text", "ours")
+    .select("vault_id", "path", "start", "end", F.array_join("lines", "|").alias("lines")),
+    """SELECT vault_id, path, len(string_split(text, chr(10)))::INT AS start, len(string_split(text, chr(10)))::INT AS "end", 'our last line' AS lines FROM manifest WHERE doc_id % 7 = 0""", "manifest",
+)
+
+
+def renames_stream(s, d, action):
+    e = stream(s, d, "events").filter(F.col("event_type") == action)
+    return e.select((F.col("user_id") * 7 + F.col("event_id") % 7).cast("string").alias("hash"), F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+register(
+    "t4_pair_renames",
+    lambda s, d: drained(T.pair_renames(renames_stream(s, d, "error"), renames_stream(s, d, "signup"), "6 hours", "60 days")).filter("`to` is not null").select("from", "to"),
+    """SELECT CAST(a.event_id AS VARCHAR) AS "from", CAST(b.event_id AS VARCHAR) AS "to" FROM events a JOIN events b ON a.user_id * 7 + a.event_id % 7 = b.user_id * 7 + b.event_id % 7 AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS
+    WHERE a.event_type = 'error' AND b.event_type = 'signup'""",
+)

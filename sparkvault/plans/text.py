@@ -64,7 +64,8 @@ register("x7_search", lambda s, d: S.search(S.build_index(docs(s, d), T.tokenize
 register("l1_top_k", lambda s, d: S.search(S.build_index(docs(s, d), T.tokenize_ascii), asked(s, d), docs(s, d), 3, T.tokenize_ascii).select("qid", "rank", "path", "truncated"),
          f"WITH {SEARCH} SELECT qid, rank, path, count(*) OVER (PARTITION BY qid) > 3 AS truncated FROM ranked QUALIFY rank <= 3", "manifest")
 register("x8_snippets",
-         lambda s, d: S.snippets(docs(s, d).select("vault_id", "path").crossJoin(asked(s, d).filter("qid = 0").select("qid")), asked(s, d), docs(s, d)).select("path", "snippet", F.size("highlights").alias("marks")))
+         lambda s, d: S.snippets(S.search(S.build_index(docs(s, d), T.tokenize_ascii), asked(s, d), docs(s, d), analyzer=T.tokenize_ascii).select("qid", "rank", "vault_id", "path"), asked(s, d), docs(s, d))
+         .select("qid", "rank", "path", "snippet", F.size("highlights").alias("marks")))
 register("p18_footprint_guard", lambda s, d: S.footprint_guard(docs(s, d).withColumn("size", F.length("body")), "size", 320_000).select("doc_id"),
          "SELECT doc_id FROM manifest WHERE vault_id IN (SELECT vault_id FROM manifest GROUP BY vault_id HAVING sum(length(text)) <= 320000)", "manifest")
 MD = "concat('# H', doc_id, '\n[[Note ', doc_id % 5, '#Part|lbl]] and ![[img', doc_id % 3, '.png]] see [t](http://e.x/', doc_id, '#f) [[@v1/a/b]]\n> [!NOTE]- Deep\n> [!tip]\n', text)"

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkvault.functions import predicates
 from sparkvault.operators.changes import fold_latest
@@ -58,35 +57,22 @@ def split_frozen(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ops.filter(~frozen), ops.filter(frozen)
 
 
-class _Windowed(StatefulProcessor):
-    """Keeps the latest accepted values of a key and lets each row see them."""
-
-    def __init__(self, verdict: Callable[[list, Any], bool], keep: Callable[[list, Any], list], value: str, out: str):
-        self.verdict, self.keep, self.value, self.out = verdict, keep, value, out
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "items array<string>")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        recent = list(self.state.get()[0]) if self.state.exists() else []
-        for frame in rows:
-            frame = frame.sort_values("seq")
-            flags = []
-            for v in frame[self.value]:
-                flag = self.verdict(recent, v)
-                flags.append(flag)
-                if not flag:
-                    recent = self.keep(recent, v)
-            yield frame.assign(**{self.out: flags})
-        self.state.update((recent,))
-
-    def close(self) -> None:
-        pass
+def _with_recent(ops: DataFrame, keys: list[str], value: str, out: str, verdict: Callable[[list, str], bool], keep: Callable[[list, str], list]) -> DataFrame:
+    """``ops`` with a flag per row, in order of seq, that sees the key's latest values; only rows without it are remembered."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ops.schema)
 
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values("seq")
+        flags = []
+        for v in rows[value].astype(str):
+            flags.append(verdict(recent, v))
+            if not flags[-1]:
+                recent = keep(recent, v)
+        state.update((recent,))
+        yield rows.assign(**{out: flags})
 
-def _stateful(ops: DataFrame, keys: list[str], processor: StatefulProcessor, out: str) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ops.schema)
-    return ops.groupBy(*keys).transformWithStateInPandas(processor, f"{schema}, {out} boolean", "append", "none")
+    return ops.groupBy(*keys).applyInPandasWithState(run, f"{schema}, {out} boolean", "items array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(ops: DataFrame, limit: int, seconds: int, keys: list[str] | None = None) -> DataFrame:
@@ -95,61 +81,49 @@ def rate_limit(ops: DataFrame, limit: int, seconds: int, keys: list[str] | None
     ``ops`` has seq and micros (the time in microseconds).
     """
     recent = lambda items, v: [x for x in items if int(x) > int(v) - seconds * 1_000_000]
-    processor = _Windowed(lambda items, v: len(recent(items, v)) >= limit, lambda items, v: [*recent(items, v), str(int(v))], "micros", "refused")
-    return _stateful(ops, keys or ["client_id"], processor, "refused")
+    return _with_recent(ops, keys or ["client_id"], "micros", "refused", lambda items, v: len(recent(items, v)) >= limit, lambda items, v: [*recent(items, v), v])
 
 
 def stuck_writes(ops: DataFrame, depth: int = 3) -> DataFrame:
     """``ops`` with stuck: the hash is among the last ``depth`` accepted of the client and path."""
-    processor = _Windowed(lambda items, v: v in items, lambda items, v: [*items, v][-depth:], "hash", "stuck")
-    return _stateful(ops, ["client_id", "path"], processor, "stuck")
-
-
-class _Stages(StatefulProcessor):
-    """Collects a client's ops and emits a commit when a limit is reached."""
+    return _with_recent(ops, ["client_id", "path"], "hash", "stuck", lambda items, v: v in items, lambda items, v: [*items, v][-depth:])
 
-    def __init__(self, max_bytes: int, max_ops: int, max_delay_ms: int, quiet_ms: int):
-        self.limits = max_bytes, max_ops, max_delay_ms, quiet_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("stage", "ops long, bytes long, first long, last long")
+def staged_commits(
+    ops: DataFrame, max_bytes: int = 50 << 20, max_ops: int = 200, max_delay_s: float = 60, quiet_s: float = 3, by_clock: bool = True
+) -> DataFrame:
+    """(client_id, ops, bytes, reason): commits of a client's stage. ``ops`` has client_id, bytes long, ms long.
 
-    def _emit(self, key: Any, stage: tuple, reason: str) -> pd.DataFrame:
-        self.state.clear()
-        return pd.DataFrame({"client_id": [key[0]], "ops": [stage[0]], "bytes": [stage[1]], "reason": [reason]})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        max_bytes, max_ops, max_delay, quiet = self.limits
-        stage = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, 0)
-        for frame in rows:
-            for size, at in frame.sort_values("ms")[["bytes", "ms"]].itertuples(index=False):
-                if stage[0] and at - stage[3] >= quiet:
-                    yield self._emit(key, stage, "quiet")
-                    stage = (0, 0, 0, 0)
-                elif stage[0] and at - stage[2] >= max_delay:
-                    yield self._emit(key, stage, "max_delay")
+    A stage is committed when it reaches a cap, when an op comes after the
+    quiet time or the longest delay, or, ``by_clock``, when nothing came for
+    the quiet time. A run that ends with its input wants ``by_clock`` off.
+    """
+    max_delay, quiet = int(max_delay_s * 1000), int(quiet_s * 1000)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if by_clock else GroupStateTimeout.NoTimeout
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done = []
+        stage = tuple(state.get) if state.exists else (0, 0, 0, 0)
+        if state.hasTimedOut:
+            done.append((key[0], stage[0], stage[1], "quiet"))
+            stage = (0, 0, 0, 0)
+            state.remove()
+        else:
+            for size, at in pd.concat(list(frames)).sort_values("ms")[["bytes", "ms"]].itertuples(index=False):
+                if stage[0] and (at - stage[3] >= quiet or at - stage[2] >= max_delay):
+                    done.append((key[0], stage[0], stage[1], "quiet" if at - stage[3] >= quiet else "max_delay"))
                     stage = (0, 0, 0, 0)
                 stage = (stage[0] + 1, stage[1] + int(size), stage[2] if stage[0] else int(at), int(at))
                 if stage[1] >= max_bytes or stage[0] >= max_ops:
-                    yield self._emit(key, stage, "byte_cap" if stage[1] >= max_bytes else "file_cap")
+                    done.append((key[0], stage[0], stage[1], "byte_cap" if stage[1] >= max_bytes else "file_cap"))
                     stage = (0, 0, 0, 0)
-        if stage[0]:
-            self.state.update(stage)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + min(quiet, max_delay))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._emit(key, tuple(self.state.get()), "quiet")
-
-    def close(self) -> None:
-        pass
-
+            state.update(stage)
+            if stage[0] and by_clock:
+                state.setTimeoutDuration(min(quiet, max_delay))
+        yield pd.DataFrame(done, columns=["client_id", "ops", "bytes", "reason"])
 
-def staged_commits(ops: DataFrame, max_bytes: int = 50 << 20, max_ops: int = 200, max_delay_s: float = 60, quiet_s: float = 3) -> DataFrame:
-    """(client_id, ops, bytes, reason): commits of a client's stage. ``ops`` has client_id, bytes long, ms long."""
-    processor = _Stages(max_bytes, max_ops, int(max_delay_s * 1000), int(quiet_s * 1000))
-    return ops.groupBy("client_id").transformWithStateInPandas(processor, "client_id string, ops long, bytes long, reason string", "append", "processingTime")
+    out, kept = "client_id string, ops long, bytes long, reason string", "ops long, bytes long, first long, last long"
+    return ops.groupBy("client_id").applyInPandasWithState(run, out, kept, "append", timeout)
 
 
 def latest_state(ops: DataFrame) -> DataFrame:
