@@ -86,15 +86,15 @@ def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
     The prior's mean is the hosts' mean rate, its strength what their
     variance leaves beside the binomial one; with one host, or no spread, the
-    prior has the weight of one document. The moments are two sums over the
-    hosts, joined back as one row.
+    prior has the weight of one document. The two moments are all that
+    reaches the driver.
     """
     rate = F.col("failed") / F.col("n")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    strength = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(0.0)
-    prior = moments.select("m", F.greatest(strength, F.lit(1.0)).alias("s"))
-    shrunk = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate"), (shrunk > limit).alias("rejected"))
+    moments = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var")).first()
+    mean, var = moments["mean"] or 0.0, moments["var"] or 0.0
+    strength = max(1.0, mean * (1 - mean) / var - 1 if var > 0 else 0.0)
+    shrunk = (F.col("failed") + F.lit(mean) * strength) / (F.col("n") + F.lit(strength))
+    return hosts.select("host", "n", "failed", shrunk.alias("rate"), (shrunk > limit).alias("rejected"))
 
 
 def judge(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT, prefix: str = "") -> DataFrame:
@@ -105,7 +105,8 @@ def judge(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT, pr
     """
     failed = F.col(f"{prefix}base_failed")
     hosts = scored.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
-    bad = materialize(host_verdicts(hosts, limit).filter("rejected").select(F.col("host").alias("__bad_host")), "hosts")
+    hosts = materialize(hosts, "hosts")
+    bad = materialize(host_verdicts(hosts, limit).filter("rejected").select(F.col("host").alias("__bad_host")), "bad_hosts")
     known = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
     joined = scored.join(known, scored[host] == bad["__bad_host"], "left")
     return joined.withColumn(f"{prefix}kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host")
