@@ -11,9 +11,11 @@ square; every candidate is confirmed on the full sets.
 A star can miss a link between two members that are both unlike their centre.
 So there are further turns: in each bucket a member of a component that had no
 centre there yet becomes the next centre and meets the members of the other
-components, until no bucket has such a member, or two turns in a row find no
-link. Every turn is linear in the members. Components come from minimum labels
-with pointer jumping; no edge list reaches the driver.
+components. Every turn is linear in the members. What the turns leave, members
+of one bucket and of different components that were no centre there, goes
+through an exact join on rare shingles, so that the number of turns costs time
+only and no link. Components come from minimum labels with pointer jumping; no
+edge list reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvault.llm._common import materialize, mix64, slices, text_bytes
@@ -34,8 +36,10 @@ WIDTH = 5
 BINS, ROWS = 128, 4
 #: Most candidate documents whose ids are broadcast; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
-#: Most turns of stars; the data at hand need four.
+#: Most turns of stars before the exact join; the data at hand need four.
 MOST_TURNS = 12
+#: Rows of one shingle that meet in one group of the exact join.
+SALT_ROWS = 512
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -197,6 +201,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def shingled(sets: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, label, n, hashes array<long>) of ``sets`` (id, label, text): the shingles of every row."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            found = [s.view(np.int64) for s in shingler.sets(text_bytes(batch, "text"))]
+            sizes = {"n": pa.array(map(len, found), pa.int64()), "hashes": pa.array(found, pa.list_(pa.int64()))}
+            yield pa.record_batch({c: batch.column(c) for c in ("id", "label")} | sizes)
+
+    return sets.select("id", "label", "text").mapInArrow(run, f"id {kind}, label {kind}, n long, hashes array<long>")
+
+
+def rare_pairs(sets: DataFrame, percent: int, width: int = WIDTH, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(a, b) of ``sets`` (id, label, text): all pairs of two labels that can have the similarity.
+
+    A join on prefixes: with the shingles of all sets in one order, rare ones
+    first, two similar sets share one of the first few of each. Shingles of one
+    label only come first of all, and make no pair. The smaller set of a pair
+    has the shorter prefix. Shingles of many sets are dealt out by salt.
+    """
+    tokens = materialize(shingled(sets, width).withColumn("row", F.monotonically_increasing_id()), "hashes")
+    flat = tokens.select("row", "id", "label", "n", F.explode("hashes").alias("hash"))
+    shared = flat.groupBy("hash").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    shared = shared.filter(F.col("lo") != F.col("hi")).select("hash", "df")
+    of_row = Window.partitionBy("row")
+    at = F.col("n") - F.count("*").over(of_row) + F.row_number().over(of_row.orderBy("df", "hash"))
+    ranked = flat.join(shared, "hash").withColumn("at", at)
+    # Overlaps needed: against any set at least percent of its own size, against a larger one 2p/(100+p) of it.
+    ranked = ranked.filter(F.col("at") <= F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
+    ranked = materialize(ranked.withColumn("salts", F.expr(f"(df + {salt_rows} - 1) div {salt_rows}")), "prefixes")
+    small = ranked.filter(F.col("at") <= F.expr(f"n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1"))
+    small = small.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("row", "id", "label", "n", "at")))
+    large = ranked.withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
+    fits = (F.col("n_a") * 100 >= F.col("n") * percent) & (F.struct("n_a", "row_a") < F.struct("n", "row")) & (F.col("label_a") != F.col("label"))
+    reach = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+    both = small.join(large, ["hash", "salt"]).filter(fits & (reach * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent))
+    return both.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, width: int = WIDTH, bins: int = BINS, rows: int = ROWS
 ) -> DataFrame:
@@ -229,13 +274,13 @@ def near_duplicates(
     ratio = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent  # no link otherwise
     labels = materialize(members.select("id", F.col("id").alias("label")).limit(0), "labels")
     links = tried = None
-    used = None  # (bucket, id) of the centres so far
+    used = None  # (bucket, id, n) of the centres so far
     idle = 0
     for turn in range(MOST_TURNS):
         placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
         fresh = placed
         if used is not None:
-            done = placed.join(used, ["bucket", "id"]).select("bucket", "label").distinct()
+            done = placed.join(used.select("bucket", "id"), ["bucket", "id"]).select("bucket", "label").distinct()
             fresh = placed.join(done, ["bucket", "label"], "left_anti")
         centres = materialize(fresh.groupBy("bucket").agg(F.min(F.struct("id", "n", "label")).alias("c")).select(
             "bucket", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"), F.col("c.label").alias("label_a")
@@ -247,6 +292,8 @@ def near_duplicates(
         pairs = materialize(pairs, "pairs")
         if not centres.limit(1).count():
             break
+        ids = centres.select("bucket", F.col("a").alias("id"), F.col("n_a").alias("n"))
+        tried, used = (pairs, ids) if tried is None else (tried.union(pairs), used.union(ids))
         found = materialize(linked(compared(pairs, sets, width)), "links")
         if found.limit(1).count():
             links, idle = found if links is None else links.union(found), 0
@@ -255,8 +302,17 @@ def near_duplicates(
             idle += 1
         if idle >= 2 and turn >= 3:
             break
-        ids = centres.select("bucket", F.col("a").alias("id"))
-        tried, used = (pairs, ids) if tried is None else (tried.union(pairs), used.union(ids))
+    if used is not None:
+        placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+        rest = materialize(placed.join(used, ["bucket", "id", "n"], "left_anti"), "rest")
+        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
+        unmet = materialize(rest.join(several, "bucket", "left_semi").select("id", "label").distinct(), "unmet")
+        if unmet.limit(1).count():
+            pairs = rare_pairs(sets.join(unmet, "id"), percent, width).join(tried, ["a", "b"], "left_anti")
+            found = materialize(linked(compared(materialize(pairs, "pairs"), sets, width)), "links")
+            if found.limit(1).count():
+                links = found if links is None else links.union(found)
+                labels = components(links)
     if links is None:
         links = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 

@@ -149,6 +149,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _, c, k in brute_components(rows) if k)
 
 
+def test_near_duplicates_in_buckets_of_many_texts(spark, monkeypatch):
+    """Pages that share nine tenths, unlike each other, with a few real pairs among them."""
+    r = random.Random(11)
+    shared = prose(77, 180).split()
+    rows = []
+    for i in range(120):
+        own = [f"o{i}x{r.randrange(10**6)}" for _ in range(26)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 10 == 9:
+            rows.append((1000 + i, " ".join(shared + own[:-2] + ["p", "q"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(brute_components(rows))
+    assert sum(not k for *_, k in want.elements()) == 12
+    # One turn leaves nearly all pairs of the buckets to the exact join.
+    monkeypatch.setattr(neardup, "MOST_TURNS", 1)
+    assert Counter(rows_of(neardup.near_duplicates(docs))) == want
+
+
+def test_rare_pairs_miss_no_similar_pair(spark):
+    r = random.Random(5)
+    base = prose(3, 100).split()
+    rows = []
+    for i in range(60):
+        copy = base[: r.randrange(80, 101)]
+        for _ in range(r.randrange(0, 4)):
+            copy[r.randrange(len(copy))] = f"e{r.randrange(9)}"
+        rows.append((i, i, " ".join(copy)))
+    sets = spark.createDataFrame(rows, "id long, label long, text string")
+    shingles = {i: set(next(neardup.Shingler().sets([t.encode()])).tolist()) for i, _, t in rows}
+    similar = {(a, b) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b])}
+    for salt_rows in (7, 512):
+        got = rows_of(neardup.rare_pairs(sets, 85, salt_rows=salt_rows))
+        assert similar and similar <= set(got) and len(got) == len(set(got))
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     out = {r.doc_id: r for r in neardup.near_duplicates(odd).collect() if r.doc_id is not None}
     assert out[0].n_shingles == out[1].n_shingles == out[2].n_shingles == 0 and out[0].kept and out[1].component_id == 1
