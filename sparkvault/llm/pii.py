@@ -50,20 +50,20 @@ FAMILY = {
 
 _ALL_TITLES = sorted((t for group in TITLES.values() for t in group), key=lambda t: (-len(t), t))
 _GENDER = {t: g for g, group in TITLES.items() for t in group}
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: What is looked for, in order of precedence. Group 1, where there is one, is the part that is replaced.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([^\s\"',;]{6,256})",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?![*•●xX.#_-]*[\"',;]*(?:\s|$))(\S{5,}[^\s\"',;])",
     "aws_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?:\d{3})?(?![\d-])|(?<![\d-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-    r"|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "hex": r"\b(?=[0-9a-f]{0,63}\d)(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "card": r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{3})?(?![0-9-])|(?<![0-9-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9-])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+    r"|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])",
+    "hex": r"\b(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}\b",
     "name": r"\b(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0](\p{Lu}[\p{Ll}\p{M}'-]{1,30}(?:[ \u00a0]\p{Lu}[\p{Ll}\p{M}'-]{1,30}){0,2})",
 }
 #: A text without any of these has no entity.
@@ -82,11 +82,55 @@ def _script(name: str) -> str:
     return first if first in FAMILY else "LATIN"
 
 
+def _part(words: list[str], name: list[str]) -> int:
+    """Where ``words`` stand in ``name``, one after the other; -1 if nowhere."""
+    return next((i for i in range(len(name) - len(words) + 1) if name[i : i + len(words)] == words), -1)
+
+
+def _persons(text: str, found: list[dict]) -> list[dict]:
+    """``found`` with the names of one text tied together.
+
+    A name has one gender, that of its first title that tells one. A shorter
+    mention goes with the only longer name it is a part of. Full names without
+    a title, outside the other entities, are added.
+    """
+    named = [e for e in found if e["kind"].startswith("name_")]
+    if not named:
+        return found
+    names = {e["norm"]: e["norm"].split(" ") for e in named}
+    whole = {}
+    for n, words in names.items():
+        longer = [m for m, other in names.items() if len(other) > len(words) and _part(words, other) >= 0]
+        longest = [m for m in longer if all(_part(names[o], names[m]) >= 0 for o in longer)]
+        whole[n] = longest[0] if longest else n
+    kinds = {}
+    for e in named:
+        e["norm"] = whole[e["norm"]]
+        if kinds.get(e["norm"], "name_n") == "name_n":
+            kinds[e["norm"]] = e["kind"]
+    for e in named:
+        e["kind"] = kinds[e["norm"]]
+    full = sorted((n for n in kinds if " " in n), key=lambda n: (-len(n), n))
+    if not full:
+        return found
+    untitled = regex.compile(r"(?<![\w'-])(?:" + "|".join(r"[ \u00a0]".join(map(regex.escape, n.split(" "))) for n in full) + r")(?!\w)")
+    out, end = [], 0
+    for e in [*found, None]:
+        for m in untitled.finditer(text, end, e["start"] if e else len(text)):
+            norm = m.group().replace("\u00a0", " ")
+            out.append({"start": m.start(), "end": m.end(), "kind": kinds[norm], "norm": norm})
+        if e:
+            out.append(e)
+            end = e["end"]
+    return out
+
+
 def find(text: str | None) -> list[dict]:
     """The entities of a text, in order and apart: start, end (characters), kind, norm.
 
     The norm is what the mentions of one entity share: digits of numbers,
-    lower case of addresses, script and name of persons.
+    lower case of addresses, the full name of persons. Secrets that are masked
+    already are none.
     """
     found = []
     for m in _scanner().finditer(text or ""):
@@ -106,7 +150,13 @@ def find(text: str | None) -> list[dict]:
         else:
             norm = surface
         found.append({"start": start, "end": end, "kind": kind, "norm": norm})
-    return found
+    return _persons(text, found) if found else found
+
+
+#: What letters beyond ASCII are drawn from, by script; others by Latin letters.
+LETTERS = {"CYRILLIC": "абвгдежзиклмнопрстуфхцчшэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: What other characters of secrets are drawn from; none ends a secret.
+MARKS = "!#$%&*+-./:=?@^_~"
 
 
 class _Draw:
@@ -162,24 +212,36 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
             letters = string.ascii_uppercase if c.isupper() else string.ascii_lowercase
             out.append(letters[draw.below(26)])
         elif c.isalpha():
-            out.append("x")
+            letters = LETTERS.get(unicodedata.name(c, "").split(" ")[0], string.ascii_lowercase)
+            drawn = letters[draw.below(len(letters))]
+            out.append(drawn.upper() if c.isupper() else drawn)
+        elif kind == "secret":
+            out.append(MARKS[draw.below(len(MARKS))])
         else:
             out.append(c)
     if kind == "card":
         # The last digit counts once, so it alone sets the check sum: the original's, valid or not.
         out[-1] = str((int(out[-1]) - _luhn("".join(out)) + _luhn(norm)) % 10)
+    if kind in ("secret", "email"):
+        # Short forms run out: later attempts are longer.
+        out[:0] = [string.ascii_lowercase[draw.below(26)] for _ in range(attempt // 4)]
     return "".join(out)
 
 
-def render(surface: str, kind: str, drawn: str) -> str:
-    """The surrogate in the form of a mention: its separators and its capitals."""
-    if kind == "ipv4" or kind.startswith("name_"):
+def render(surface: str, kind: str, drawn: str, norm: str = "") -> str:
+    """The surrogate in the form of a mention: its separators and its capitals, and of a part of a name that part."""
+    if kind.startswith("name_"):
+        words, name = surface.replace("\u00a0", " ").split(" "), norm.split(" ")
+        at = _part(words, name) if len(words) < len(name) else -1
+        return drawn if at < 0 else " ".join(drawn.split(" ")[at : at + len(words)])
+    if kind == "ipv4":
         return drawn
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(drawn)
         return "".join(next(rest, "") if c.isalnum() else c for c in surface)
     if kind == "email":
-        return "".join(d.upper() if s.isupper() else d for s, d in zip(surface, drawn, strict=True))
+        more = len(drawn) - len(surface)
+        return drawn[:more] + "".join(d.upper() if s.isupper() else d for s, d in zip(surface, drawn[more:], strict=True))
     return drawn
 
 
@@ -251,7 +313,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 of = {(d["kind"], d["norm"]): d["surrogate"] for d in drawn}
                 parts, end = [], 0
                 for e in found:
-                    parts += [t[end : e["start"]], render(t[e["start"] : e["end"]], e["kind"], of[e["kind"], e["norm"]])]
+                    parts += [t[end : e["start"]], render(t[e["start"] : e["end"]], e["kind"], of[e["kind"], e["norm"]], e["norm"])]
                     end = e["end"]
                 texts.append("".join(parts) + t[end:])
                 counts.append(len(found))

@@ -338,6 +338,27 @@ def test_surrogates(spark, odd, none):
     assert rows_of(pii.pseudonymise(none, key)) == []
 
 
+def test_surrogates_of_masked_foreign_and_long_secrets(spark):
+    long = "k9" + "q" * 300 + "Z7"
+    texts = ["password: ********", "password: пароль", "password: секрет", "password: xxxxxx", "ip ۱.۲.۳.۴ end", "password: a1b2c3\"d4,e5;f6 end", f"token={long}", "secret: !@%!@%!@%"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, b"k").collect()}
+    assert [out[i] == t for i, t in enumerate(texts)] == [True, False, False, True, True, False, False, False]
+    assert "пароль" not in out[1] and "секрет" not in out[2] and out[1] != out[2]
+    assert out[5].endswith(" end") and not any(x in out[5] for x in ("a1b2c3", "d4", "e5", "f6"))
+    assert "Z7" not in out[6] and "qqq" not in out[6] and out[7] != texts[7]
+
+
+def test_surrogates_of_one_person(spark):
+    text = "Dr John Smith came. Mr John Smith sat. John Smith spoke; Mr Smith left. Mrs Jane Hill stayed."
+    found = pii.find(text)
+    assert [e["norm"] for e in found] == ["John Smith"] * 4 + ["Jane Hill"] and {e["kind"] for e in found[:4]} == {"name_m"}
+    out = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").collect()[0]
+    name = out.text.split("Dr ")[1].split(" came")[0]
+    assert out.n_entities == 5 and "John" not in out.text and "Smith" not in out.text
+    assert out.text.startswith(f"Dr {name} came. Mr {name} sat. {name} spoke; Mr {name.split(' ')[-1]} left.")
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     pairs = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(400)] + [("name_n", n) for n in ("Robin Berg", "Alex Hill", "Toni Moll")], "kind string, norm string")
     out = pii.surrogates(pairs, b"k").collect()
