@@ -73,8 +73,10 @@ RULES = [
     ("all-rights-reserved", ["rights"]),
 ]
 
-#: A sentence ends at a line end, or at ., ! or ? before white space or the end of the text, or at ; and :.
-SENTENCE_END = r"\n|[.!?]+(?:[ \t\r\x0B\f]|$)|[;:][ \t\r\x0B\f]"
+#: A sentence ends at ., ! or ? before white space or the end of the text.
+SENTENCE_END = r"[.!?]+(?:[ \t\r\x0B\f\n]|$)"
+#: It can also end at a line end, or at ; or :, but wrapped sentences go on there, over empty lines too.
+PIECE_END = r"\n|[;:][ \t\r\x0B\f]"
 
 
 def sentence_table(spark: SparkSession) -> DataFrame:
@@ -90,14 +92,19 @@ def normalised(sentence: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """(key, n_sentences, sentence_ids array<string>, licenses array<string>) of every row.
 
+    n_sentences counts the pieces between sentence and line ends, ; and :. A
+    known sentence is one piece or several that follow each other without a
+    sentence's end between them; of those that begin at a piece the longest
+    counts, and the search goes on behind it.
+
     sentence_ids are the known sentences in the order of the text, unknown
     sentences between them left out; licenses the distinct names of the rules
     whose sequence they contain, sorted. Null and empty texts have no
     sentence; repeated rows stay; an empty table gives an empty table.
 
-    Everything happens within the row, so no text is shuffled. Only sentences
-    of a length that a known one can have, and that begin with a known first
-    word, are normalised and looked up.
+    Everything happens within the row, so no text is shuffled. Only pieces
+    of a length that a known sentence can have, and that begin with a known
+    first word, begin a search.
     """
     known = [s for group in SENTENCES.values() for s in group]
     longest = 4 * max(map(len, known))
@@ -105,10 +112,34 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
     may_be = lambda s: (F.length(s) <= longest) & s.rlike(rf"(?i)^[^a-z0-9]*(?:{first})(?![a-z0-9])")
     of = F.create_map(*(F.lit(x) for i, group in SENTENCES.items() for s in group for x in (s, i)))
 
-    rows = docs.select(F.col(key).alias("key"), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END), lambda s: s.rlike("[A-Za-z0-9]")).alias("s"))
-    rows = rows.select("key", F.size("s").cast("long").alias("n_sentences"), F.filter("s", may_be).alias("s"))
-    ids = F.filter(F.transform("s", lambda s: F.try_element_at(of, normalised(s))), lambda i: i.isNotNull())
-    rows = rows.select("key", "n_sentences", ids.alias("sentence_ids"))
+    most = max(len(s.split()) for s in known)  # every piece has a word
+    pieces = lambda unit: F.filter(F.split(unit, PIECE_END), lambda s: s.rlike("[A-Za-z0-9]"))
+    rows = docs.select(F.col(key).alias("key"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END), pieces).alias("u"))
+    count = F.aggregate("u", F.lit(0).cast("long"), lambda n, u: n + F.size(u))
+    rows = rows.select("key", count.alias("n_sentences"), F.filter("u", lambda u: F.exists(u, may_be)).alias("u"))
+
+    def longest_from(unit: Column, i: Column) -> Column:
+        """(i, stop, id) of the longest known sentence that begins at piece i of the unit."""
+
+        def grow(state: Column, piece: Column) -> Column:
+            words = F.when(F.length(state["words"]) <= longest, F.concat_ws(" ", F.nullif(state["words"], F.lit("")), normalised(piece)))
+            found, at = F.try_element_at(of, words), state["at"] + 1
+            stop = F.when(found.isNotNull(), at).otherwise(state["stop"])
+            return F.struct(words.alias("words"), at.alias("at"), stop.alias("stop"), F.coalesce(found, state["id"]).alias("id"))
+
+        none = F.lit(None).cast("string")
+        start = F.struct(F.lit("").alias("words"), i.alias("at"), i.alias("stop"), none.alias("id"))
+        best = F.aggregate(F.slice(unit, i, F.lit(most)), start, grow)
+        return F.struct(i.alias("i"), best["stop"].alias("stop"), best["id"].alias("id"))
+
+    def of_unit(unit: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(unit)), lambda i: may_be(F.get(unit, i - 1)))
+        hits = F.filter(F.transform(begins, lambda i: longest_from(unit, i)), lambda h: h["id"].isNotNull())
+        start = F.struct(F.lit(0).alias("stop"), F.array().cast("array<string>").alias("ids"))
+        step = lambda state, h: F.when(h["i"] >= state["stop"], F.struct(h["stop"].alias("stop"), F.concat(state["ids"], F.array(h["id"])).alias("ids"))).otherwise(state)
+        return F.aggregate(hits, start, step)["ids"]
+
+    rows = rows.select("key", "n_sentences", F.flatten(F.transform("u", of_unit)).alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     matched = [F.when(F.contains(line, F.lit(" " + " ".join(sequence) + " ")), F.lit(name)) for name, sequence in rules]
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*matched))))

@@ -412,5 +412,47 @@ def test_licenses(spark, none):
     assert rows_of(licenses.scan(none)) == []
 
 
+def test_wrapped_license_texts(spark):
+    mit = """MIT License
+
+Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
+    apart = "Licensed under the. MIT license"
+    docs = spark.createDataFrame(list(enumerate([mit, apache, gpl, apart])), "doc_id long, text string")
+    out = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(docs).collect()}
+    assert out[0] == (["mit-title", "mit-grant", "mit-notice", "mit-warranty"], ["MIT"])
+    assert out[1] == (["apache-2-ref", "apache-2-file", "apache-2-copy"], ["Apache-2.0"])
+    assert out[2] == (["gpl-free", "gpl-hope"], ["GPL-3.0-or-later"])
+    assert out[3] == (["mit-title"], [])
+
+
 def test_registered_names():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
