@@ -18,6 +18,8 @@ from sparkvault.llm.queries import PII_KEY, table, tokenizer_path
 
 #: A language's share of a text's probability below which the text is rejected.
 LEAST_SCORE = 0.5
+#: Percent of common shingles from which texts are near-duplicates.
+LEAST_SIMILARITY = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, percent=LEAST_SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

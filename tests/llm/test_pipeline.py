@@ -39,6 +39,13 @@ def test_stages(spark, docs):
     assert current.count() == len(clean) + 1
 
 
+def test_near_copies_from_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    edited = [f"e{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]  # 176 of 216 shingles are common
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
 def test_personal_data_goes_and_clean_text_stays(spark, docs):
     out = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, docs, "").collect()}
     for r in docs.collect():
