@@ -9,18 +9,17 @@ only, a star, so that candidates grow with the members and not with their
 square; every candidate is confirmed on the full sets.
 
 A star can miss a link between two members that are both unlike their centre.
-So there are further turns: in each bucket a member of a component that had no
-centre there yet becomes the next centre and meets the members of the other
-components. Every turn is linear in the members. What the turns leave, members
-of one bucket and of different components that were no centre there, goes
-through an exact join on rare shingles, so that the number of turns costs time
-only and no link. Components come from minimum labels with pointer jumping; no
-edge list reaches the driver.
+Buckets where such members of different components are left have further
+stars, each with another centre, while these still tie many; what is left then
+goes through an exact join on rare shingles. So the number of stars costs time
+only and no link. Components come from minimum labels with pointer jumping
+over the labels of the turn before; no edge list reaches the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import materialize, mix64, slices, text_bytes
+from sparkvault.llm._common import BLANKS, materialize, mix64, text_bytes
 
 #: Words of a shingle.
 WIDTH = 5
 #: 128 bins in 32 bands of 4: two sets of similarity 0.85 share no band once in 10^10 pairs.
 BINS, ROWS = 128, 4
-#: Most candidate documents whose ids are broadcast; beyond it they are joined.
+#: Most ids of documents that are broadcast; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
-#: Most turns of stars before the exact join; the data at hand need four.
-MOST_TURNS = 12
+#: Stars go on while one more takes at least this share off the members that are left.
+STAR_SHARE = 0.25
 #: Rows of one shingle that meet in one group of the exact join.
 SALT_ROWS = 512
 #: Bytes of text hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -57,47 +56,73 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """A mask of the first of every run of equal elements."""
+    out = np.ones(len(ordered), bool)
+    out[1:] = ordered[1:] != ordered[:-1]
+    return out
+
+
 class Shingler:
     """Distinct 64-bit hashes of the shingles of texts."""
 
     def __init__(self, width: int = WIDTH):
         self.width = width
+        self.blank = np.zeros(256, bool)
+        self.blank[list(BLANKS.encode())] = True
         self.table = mix64(np.arange(1, 257, dtype=np.uint64))
+        self.table[self.blank] = self.table[ord(" ")]
+        self.next_blank = re.compile(b"[" + BLANKS.encode() + b"]")
         self.up, self.down = _powers(CHUNK + 64)
 
-    def sets(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """The sorted shingle hashes of each text.
+    def hashes(self, text: bytes | None) -> np.ndarray:
+        """The sorted shingle hashes of a text.
 
         A-Z count as a-z, words stand between ASCII white space. Fewer words
-        than the width make one shingle; no words make none.
+        than the width make one shingle; no words make none. Long texts are
+        hashed piece by piece, each piece from the first word that begins no
+        shingle of the piece before.
         """
-        words = [t.lower().split() if t else [] for t in texts]
-        for first, last in slices([sum(map(len, w)) + len(w) for w in words], CHUNK):
-            yield from self._chunk(words[first:last])
-
-    def _chunk(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        flat = [w for doc in docs for w in doc]
-        if not flat:
-            return [np.empty(0, np.uint64)] * len(docs)
-        joined = np.frombuffer(b" ".join(flat), np.uint8)
+        text, found, at, size = (text or b"").lower(), [], 0, CHUNK
+        while at < len(text):
+            end = self.next_blank.search(text, min(len(text), at + size))
+            stop = end.start() if end else len(text)
+            spans, on = self._spans(text[at:stop], whole=not found and stop == len(text))
+            if stop < len(text) and not len(spans):  # fewer words than a shingle has
+                size *= 2
+                continue
+            found.append(spans)
+            if stop == len(text):
+                break
+            at, size = at + on, CHUNK
+        if not found:
+            return np.empty(0, np.uint64)
+        out = np.sort(found[0] if len(found) == 1 else np.concatenate(found))
+        return out[_firsts(out)]
+
+    def _spans(self, piece: bytes, whole: bool) -> tuple[np.ndarray, int]:
+        """The hashes of a piece's shingles, and where the first word after their first words begins."""
+        raw = np.frombuffer(piece, np.uint8)
+        blank = self.blank[raw]
+        again = np.concatenate([[True], blank[:-1]])
+        first = np.flatnonzero(~blank & again)
+        kept = ~(blank & again)  # one blank between words, none before the first
+        joined, apart = raw[kept], blank[kept]
+        n = len(first)
+        k = min(self.width, n) if whole else self.width
+        if not k or n < k:
+            return np.empty(0, np.uint64), 0
+        ends = np.flatnonzero(apart)
+        if len(ends) < n:
+            ends = np.append(ends, len(joined))
+        starts = np.concatenate([[0], ends[: n - 1] + 1])
         if len(joined) + 1 > len(self.up):
             self.up, self.down = _powers(len(joined) + 1)
-        ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
         prefix = np.zeros(len(joined) + 1, np.uint64)
         np.cumsum(self.table[joined] * self.up[: len(joined)], out=prefix[1:])
-        counts = np.fromiter(map(len, docs), np.int64, len(docs))
-        stops = np.cumsum(counts)
-        out = []
-        for n, stop in zip(counts.tolist(), stops.tolist(), strict=True):
-            if not n:
-                out.append(np.empty(0, np.uint64))
-                continue
-            k = min(self.width, n)
-            a, b = starts[stop - n : stop - k + 1], ends[stop - n + k - 1 : stop]
-            spans = (prefix[b] - prefix[a]) * self.down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(np.unique(mix64(spans)))
-        return out
+        a, b = starts[: n - k + 1], ends[k - 1 : n]
+        spans = (prefix[b] - prefix[a]) * self.down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix64(spans), int(first[n - k + 1]) if n - k + 1 < n else len(piece)
 
 
 class Signer:
@@ -109,10 +134,11 @@ class Signer:
         draws = mix64(np.arange(64 * bins, dtype=np.uint64) + np.uint64(1 << 40))
         self.draws = (draws % np.uint64(bins)).astype(np.int64).reshape(64, bins)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """Band keys of a sorted, non-empty set of hashes."""
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
+        """The bins' minima of a sorted, non-empty set of hashes."""
         bins = (hashes >> self.shift).astype(np.int64)
-        filled, first = np.unique(bins, return_index=True)
+        first = _firsts(bins)
+        filled = bins[first]
         minima, there = np.zeros(self.bins, np.uint64), np.zeros(self.bins, bool)
         minima[filled], there[filled] = hashes[first], True
         empty = np.flatnonzero(~there)
@@ -125,12 +151,21 @@ class Signer:
             empty = empty[~got]
         if len(empty):  # sets of very few shingles: go by the order of the filled bins
             minima[empty] = source[filled[mix64(empty.astype(np.uint64)) % np.uint64(len(filled))]]
+        return minima
+
+    def keys(self, minima: np.ndarray) -> np.ndarray:
+        """Band keys of rows of minima."""
         key = np.arange(self.bins // self.rows, dtype=np.uint64)
-        for column in minima.reshape(-1, self.rows).T:
+        for column in np.moveaxis(minima.reshape(len(minima), -1, self.rows), 2, 0):
             key = mix64(key ^ column) + column
         return mix64(key).view(np.int64)
 
 
+def set_name(hashes: np.ndarray) -> bytes | None:
+    """A digest that stands for a set of shingles; None for the empty set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int = WIDTH, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, set_id binary, keys array<long>) of every row; no keys without shingles."""
     kind = docs.schema[key].dataType.simpleString()
@@ -138,16 +173,20 @@ def signatures(docs: DataFrame, key: str, text: str, width: int = WIDTH, bins: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(width), Signer(bins, rows)
         for batch in batches:
-            n, ids, keys = [], [], []
-            for s in shingler.sets(text_bytes(batch, "text")):
-                n.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(signer.keys(s) if len(s) else None)
+            n, names, minima = [], [], []
+            for t in text_bytes(batch, "text"):
+                found = shingler.hashes(t)
+                n.append(len(found))
+                names.append(set_name(found))
+                if len(found):
+                    minima.append(signer.minima(found))
+            of = iter(signer.keys(np.array(minima, np.uint64).reshape(-1, bins)))
+            keys = [next(of) if k else None for k in n]
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
                     "n_shingles": pa.array(n, pa.int64()),
-                    "set_id": pa.array(ids, pa.binary()),
+                    "set_id": pa.array(names, pa.binary()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
@@ -156,30 +195,32 @@ def signatures(docs: DataFrame, key: str, text: str, width: int = WIDTH, bins: i
     return rows_in.mapInArrow(run, f"id {kind}, n_shingles long, set_id binary, keys array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b, common, total): the sizes of both sets' intersection and union; ``sets`` has (id, text).
-
-    Where an id has several texts, every combination makes a row.
-    """
-    kind = pairs.schema["a"].dataType.simpleString()
+def shingled(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(sid, rep, n, hashes array<long>) of ``rows`` (sid, rep, set_id, text) whose text has the set ``set_id``."""
+    kind = rows.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, of_a = Shingler(width), None, None
+        shingler = Shingler(width)
         for batch in batches:
-            common, total = [], []
-            a_texts, b_texts = text_bytes(batch, "text_a"), text_bytes(batch, "text_b")
-            for at, b in enumerate(shingler.sets(b_texts)):
-                if of_a is None or a_texts[at] != last:
-                    last = a_texts[at]
-                    of_a = next(shingler.sets([last]))
-                common.append(len(np.intersect1d(of_a, b, assume_unique=True)))
-                total.append(len(of_a) + len(b) - common[-1])
-            sizes = {"common": pa.array(common, pa.int64()), "total": pa.array(total, pa.int64())}
-            yield pa.record_batch({c: batch.column(c) for c in ("a", "b")} | sizes)
-
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(sets.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, common long, total long")
+            at, found = [], []
+            for i, (t, name) in enumerate(zip(text_bytes(batch, "text"), batch.column("set_id").to_pylist(), strict=True)):
+                hashes = shingler.hashes(t)
+                if set_name(hashes) == name:
+                    at.append(i)
+                    found.append(hashes.view(np.int64))
+            those = {c: batch.column(c).take(pa.array(at, pa.int64())) for c in ("sid", "rep")}
+            sizes = {"n": pa.array(map(len, found), pa.int64()), "hashes": pa.array(found, pa.list_(pa.int64()))}
+            yield pa.record_batch(those | sizes)
+
+    return rows.select("sid", "rep", "set_id", "text").mapInArrow(run, f"sid long, rep {kind}, n long, hashes array<long>")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the representatives of the pairs (sid_a, sid_b) whose full sets have the similarity."""
+    of = lambda x: sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("sid", "rep", "n", "hashes")))
+    both = pairs.join(of("b"), "sid_b").join(of("a"), "sid_a")
+    common = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
+    return both.filter(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,45 +242,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def shingled(sets: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, label, n, hashes array<long>) of ``sets`` (id, label, text): the shingles of every row."""
-    kind = sets.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
-            found = [s.view(np.int64) for s in shingler.sets(text_bytes(batch, "text"))]
-            sizes = {"n": pa.array(map(len, found), pa.int64()), "hashes": pa.array(found, pa.list_(pa.int64()))}
-            yield pa.record_batch({c: batch.column(c) for c in ("id", "label")} | sizes)
-
-    return sets.select("id", "label", "text").mapInArrow(run, f"id {kind}, label {kind}, n long, hashes array<long>")
+def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after further ``edges`` (a, b) of ids; only the labels that these tie are walked through."""
+    if labels is None:
+        return components(edges)
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    tied = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b")
+    now = components(tied)
+    moved = labels.join(now.select(F.col("id").alias("label"), F.col("label").alias("now")), "label", "left")
+    moved = moved.select("id", F.coalesce("now", "label").alias("label"))
+    return materialize(moved.union(now.join(labels.select("id"), "id", "left_anti").select("id", "label")), "labels")
 
 
-def rare_pairs(sets: DataFrame, percent: int, width: int = WIDTH, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """(a, b) of ``sets`` (id, label, text): all pairs of two labels that can have the similarity.
+def rare_pairs(sets: DataFrame, percent: int, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(sid_a, sid_b) of ``sets`` (sid, label, n, hashes): all pairs of two labels that can have the similarity.
 
     A join on prefixes: with the shingles of all sets in one order, rare ones
     first, two similar sets share one of the first few of each. Shingles of one
     label only come first of all, and make no pair. The smaller set of a pair
     has the shorter prefix. Shingles of many sets are dealt out by salt.
     """
-    tokens = materialize(shingled(sets, width).withColumn("row", F.monotonically_increasing_id()), "hashes")
-    flat = tokens.select("row", "id", "label", "n", F.explode("hashes").alias("hash"))
+    flat = sets.select("sid", "label", "n", F.explode("hashes").alias("hash"))
     shared = flat.groupBy("hash").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     shared = shared.filter(F.col("lo") != F.col("hi")).select("hash", "df")
-    of_row = Window.partitionBy("row")
+    of_row = Window.partitionBy("sid")
     at = F.col("n") - F.count("*").over(of_row) + F.row_number().over(of_row.orderBy("df", "hash"))
     ranked = flat.join(shared, "hash").withColumn("at", at)
     # Overlaps needed: against any set at least percent of its own size, against a larger one 2p/(100+p) of it.
     ranked = ranked.filter(F.col("at") <= F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
     ranked = materialize(ranked.withColumn("salts", F.expr(f"(df + {salt_rows} - 1) div {salt_rows}")), "prefixes")
     small = ranked.filter(F.col("at") <= F.expr(f"n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1"))
-    small = small.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("row", "id", "label", "n", "at")))
-    large = ranked.withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
-    fits = (F.col("n_a") * 100 >= F.col("n") * percent) & (F.struct("n_a", "row_a") < F.struct("n", "row")) & (F.col("label_a") != F.col("label"))
+    small = small.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("sid", "label", "n", "at")))
+    large = ranked.withColumn("salt", F.pmod(F.xxhash64("sid"), "salts"))
+    fits = (F.col("n_a") * 100 >= F.col("n") * percent) & (F.struct("n_a", "sid_a") < F.struct("n", "sid")) & (F.col("label_a") != F.col("label"))
     reach = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
     both = small.join(large, ["hash", "salt"]).filter(fits & (reach * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent))
-    return both.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
+    return both.select(F.least("sid_a", "sid").alias("sid_a"), F.greatest("sid_a", "sid").alias("sid_b")).distinct()
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast where they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def class_labels(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int, width: int = WIDTH) -> DataFrame | None:
+    """(id, label) of the representatives in ``classes`` (sid, rep, set_id, n, keys) that have a link; None without any."""
+    keyed = classes.select("sid", "rep", "n", F.explode("keys").alias("bucket"))
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "sid", "n")).alias("c"), F.max("rep").alias("hi"))
+    heads = heads.filter(F.col("c.rep") != F.col("hi")).select("bucket", *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("rep", "sid", "n")))
+    members = materialize(keyed.join(heads, "bucket"), "members")
+    wanted = materialize(classes.select("sid", "rep", "set_id").join(members.select("sid").distinct(), "sid", "left_semi"), "wanted")
+    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(_few(wanted), "rep")
+    sets = materialize(shingled(texts, width), "sets")
+
+    def star(rows: DataFrame) -> DataFrame:
+        fits = (F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent) & (F.col("label") != F.col("label_c"))
+        return rows.filter(fits).select(F.least("sid", "sid_c").alias("sid_a"), F.greatest("sid", "sid_c").alias("sid_b")).distinct()
+
+    labels, left = None, None
+    rows, tried = members.withColumns({"label": F.col("rep"), "label_c": F.col("rep_c")}), None
+    while True:
+        pairs = star(rows) if tried is None else star(rows).join(tried, ["sid_a", "sid_b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = materialize(linked(pairs, sets, percent).distinct(), "links")
+        if found.limit(1).count():
+            labels = relabelled(labels, found)
+        # The members that were no centre, of buckets where these have several labels.
+        rest = rows.filter(F.col("sid") != F.col("sid_c")).select("bucket", "sid", "rep", "n")
+        if labels is not None:
+            rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        else:
+            rest = rest.withColumn("label", F.col("rep"))
+        rest = materialize(rest, "rest")
+        heads = rest.groupBy("bucket").agg(F.min(F.struct("label", "sid", "n")).alias("c"), F.max("label").alias("hi"))
+        heads = heads.filter(F.col("c.label") != F.col("hi")).select("bucket", *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("label", "sid", "n")))
+        rows = materialize(rest.join(heads, "bucket"), "rows")
+        before, left = left, rows.count()
+        if not left:
+            return labels
+        if before is not None and left > (1 - STAR_SHARE) * before:
+            break
+    unmet = rows.select("sid", "label").distinct()
+    pairs = rare_pairs(materialize(sets.join(unmet, "sid"), "unmet"), percent).join(tried, ["sid_a", "sid_b"], "left_anti")
+    found = materialize(linked(materialize(pairs, "pairs"), sets, percent).distinct(), "links")
+    return relabelled(labels, found) if found.limit(1).count() else labels
 
 
 def near_duplicates(
@@ -254,78 +342,21 @@ def near_duplicates(
     """
     signed = materialize(signatures(docs, key, text, width, bins, rows), "signed")
     usable = signed.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(usable.groupBy("set_id").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")), "classes")
-    reps = usable.join(classes.select("set_id", F.col("rep").alias("id")), ["set_id", "id"], "left_semi").dropDuplicates(["set_id"])
-    # A rep is named by its id, or, where one key has several texts, still by its id: links are between ids.
-    keyed = reps.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
-    members = materialize(keyed.join(buckets, "bucket").distinct(), "members")
-
-    ids = members.select("id").distinct()
-    wanted = materialize(ids, "ids")
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = F.broadcast(wanted) if few else wanted
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(chosen, "id", "left_semi")
-    sets = materialize(texts, "sets")
-
-    def linked(rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
-
-    ratio = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent  # no link otherwise
-    labels = materialize(members.select("id", F.col("id").alias("label")).limit(0), "labels")
-    links = tried = None
-    used = None  # (bucket, id, n) of the centres so far
-    idle = 0
-    for turn in range(MOST_TURNS):
-        placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-        fresh = placed
-        if used is not None:
-            done = placed.join(used.select("bucket", "id"), ["bucket", "id"]).select("bucket", "label").distinct()
-            fresh = placed.join(done, ["bucket", "label"], "left_anti")
-        centres = materialize(fresh.groupBy("bucket").agg(F.min(F.struct("id", "n", "label")).alias("c")).select(
-            "bucket", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"), F.col("c.label").alias("label_a")
-        ), "centres")
-        star = placed.join(centres, "bucket").filter((F.col("label") != F.col("label_a")) & ratio)
-        pairs = star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not centres.limit(1).count():
-            break
-        ids = centres.select("bucket", F.col("a").alias("id"), F.col("n_a").alias("n"))
-        tried, used = (pairs, ids) if tried is None else (tried.union(pairs), used.union(ids))
-        found = materialize(linked(compared(pairs, sets, width)), "links")
-        if found.limit(1).count():
-            links, idle = found if links is None else links.union(found), 0
-            labels = components(links)
-        else:
-            idle += 1
-        if idle >= 2 and turn >= 3:
-            break
-    if used is not None:
-        placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-        rest = materialize(placed.join(used, ["bucket", "id", "n"], "left_anti"), "rest")
-        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
-        unmet = materialize(rest.join(several, "bucket", "left_semi").select("id", "label").distinct(), "unmet")
-        if unmet.limit(1).count():
-            pairs = rare_pairs(sets.join(unmet, "id"), percent, width).join(tried, ["a", "b"], "left_anti")
-            found = materialize(linked(compared(materialize(pairs, "pairs"), sets, width)), "links")
-            if found.limit(1).count():
-                links = found if links is None else links.union(found)
-                labels = components(links)
-    if links is None:
-        links = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-
-    # Copies follow their representative, and an id with several texts joins their components.
-    tied = usable.join(classes.filter("copies > 1").select("set_id", "rep"), "set_id").filter(F.col("rep") != F.col("id"))
-    copies = materialize(tied.select("id", F.col("rep")).distinct(), "copies")
-    twice = copies.groupBy("id").agg(F.count("*").alias("times")).filter("times > 1").limit(1).count()
-    if twice or copies.select("id").join(members.select("id"), "id", "left_semi").limit(1).count():
-        labels = components(links.union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
-    else:
-        of_copies = copies.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-        labels = labels.union(of_copies.select("id", F.coalesce("label", "rep")))
-    out = signed.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
+    # Equal sets have equal keys, so any row's do. A class goes by the smallest id, which several classes of one id share.
+    classes = usable.groupBy("set_id").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
+    classes = materialize(classes.withColumn("sid", F.monotonically_increasing_id()), "classes")
+    labels = class_labels(docs, classes, key, text, percent, width)
+
+    placed = materialize(usable.select("id", "n_shingles", "set_id").join(classes.select("set_id", "rep"), "set_id").drop("set_id"), "placed")
+    several = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter(F.col("a") != F.col("hi")).select("id", "a")
+    ties = materialize(placed.join(several, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct(), "ties")
+    if ties.limit(1).count():
+        labels = relabelled(labels, ties)
+    component = F.col("rep")
+    if labels is not None:
+        placed, component = placed.join(labels.withColumnRenamed("id", "rep"), "rep", "left"), F.coalesce("label", "rep")
+    alone = signed.filter(F.col("id").isNull() | (F.col("n_shingles") == 0)).select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = placed.select("id", "n_shingles", component.alias("component_id")).union(alone)
     return out.select(
         F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")
     )
@@ -336,6 +367,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
     Of rows with the same key one stays. Rows without a key all stay.
     """
-    kept = near_duplicates(docs, key, text, percent).filter(F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
+    kept = near_duplicates(docs, key, text, percent).filter(F.col("kept") & F.col(key).isNotNull())
+    kept = materialize(kept.groupBy(key).agg(F.count("*").alias("__times")), "kept")
+    out = docs.filter(F.col(key).isNull()).unionByName(docs.join(_few(kept.filter("__times = 1").select(key)), key, "left_semi").select(*docs.columns))
+    again = kept.filter("__times > 1").select(key)
+    if again.limit(1).count():
+        out = out.unionByName(docs.join(again, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
+    return out

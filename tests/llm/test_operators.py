@@ -162,11 +162,50 @@ def test_near_duplicates_in_buckets_of_many_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = Counter(brute_components(rows))
     assert sum(not k for *_, k in want.elements()) == 12
-    # One turn leaves nearly all pairs of the buckets to the exact join.
-    monkeypatch.setattr(neardup, "MOST_TURNS", 1)
+    # Two stars leave nearly all pairs of the buckets to the exact join.
+    monkeypatch.setattr(neardup, "STAR_SHARE", 2)
     assert Counter(rows_of(neardup.near_duplicates(docs))) == want
 
 
+def test_near_duplicates_of_pages_from_one_template(spark):
+    """512 pages of 9 sections in two variants each, pairwise below 0.85; near copies of some with the largest ids."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    sections = [[[word() for _ in range(40)] for _ in range(2)] for _ in range(9)]
+    pages = [[w for k, own in enumerate(sections) for w in own[i >> k & 1]] for i in range(512)]
+    rows = [(i, " ".join(p)) for i, p in enumerate(pages)]
+    for n, i in enumerate(r.sample(range(512), 40)):
+        copy = list(pages[i])
+        copy[r.randrange(len(copy))] = f"edit{n}"
+        rows[i] = (100_000 + 2 * n, rows[i][1])
+        rows.append((100_001 + 2 * n, " ".join(copy)))
+    code, sets = {}, []
+    for _, t in rows:
+        w = t.split()
+        sets.append([code.setdefault(tuple(w[i : i + 5]), len(code)) for i in range(len(w) - 4)])
+    m = np.zeros((len(rows), len(code)), np.float32)
+    for i, own in enumerate(sets):
+        m[i, own] = 1
+    common, size = m @ m.T, m.sum(axis=1)
+    links = np.argwhere(np.triu(100 * common >= 85 * (size[:, None] + size[None, :] - common), 1))
+    pairs = {tuple(sorted((rows[a][0], rows[b][0]))) for a, b in links}
+    assert pairs == {(100_000 + 2 * n, 100_001 + 2 * n) for n in range(40)}
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("not kept").collect()
+    assert {(x.component_id, x.doc_id) for x in out} == pairs
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = (prose(4, 4000) + " " + "w" * 5000 + " \n\t " + prose(5, 50)).encode()
+    whole = neardup.Shingler().hashes(text)
+    words = text.lower().split()
+    assert len(whole) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    monkeypatch.setattr(neardup, "CHUNK", 700)
+    assert (neardup.Shingler().hashes(text) == whole).all()
+    for few in (b"", b" \t", b"one", b" one  two ", b"a b c d", b"a b c d e ", b"a b c d e f"):
+        n = len(few.split())
+        assert len(neardup.Shingler().hashes(few)) == (0 if not n else max(1, n - 4))
+
+
 def test_rare_pairs_miss_no_similar_pair(spark):
     r = random.Random(5)
     base = prose(3, 100).split()
@@ -176,8 +215,9 @@ def test_rare_pairs_miss_no_similar_pair(spark):
         for _ in range(r.randrange(0, 4)):
             copy[r.randrange(len(copy))] = f"e{r.randrange(9)}"
         rows.append((i, i, " ".join(copy)))
-    sets = spark.createDataFrame(rows, "id long, label long, text string")
-    shingles = {i: set(next(neardup.Shingler().sets([t.encode()])).tolist()) for i, _, t in rows}
+    hashes = {i: neardup.Shingler().hashes(t.encode()).view(np.int64).tolist() for i, _, t in rows}
+    sets = spark.createDataFrame([(i, i, len(h), h) for i, h in hashes.items()], "sid long, label long, n long, hashes array<long>")
+    shingles = {i: set(h) for i, h in hashes.items()}
     similar = {(a, b) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b])}
     for salt_rows in (7, 512):
         got = rows_of(neardup.rare_pairs(sets, 85, salt_rows=salt_rows))
@@ -199,7 +239,8 @@ def test_signature_agrees_with_similarity():
     for _ in range(60):
         a = np.unique(np.array([r.getrandbits(64) for _ in range(400)], np.uint64))
         b = np.unique(np.concatenate([a[32:], np.array([r.getrandbits(64) for _ in range(30)], np.uint64)]))
-        hits += bool(set(signer.keys(a).tolist()) & set(signer.keys(b).tolist()))
+        x, y = signer.keys(np.array([signer.minima(a), signer.minima(b)]))
+        hits += bool(set(x.tolist()) & set(y.tolist()))
     assert hits == 60
 
 
