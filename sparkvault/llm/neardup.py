@@ -156,7 +156,7 @@ class Signer:
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """Band keys of rows of minima."""
         key = np.arange(self.bins // self.rows, dtype=np.uint64)
-        for column in np.moveaxis(minima.reshape(len(minima), -1, self.rows), 2, 0):
+        for column in np.moveaxis(minima.reshape(-1, self.bins // self.rows, self.rows), 2, 0):
             key = mix64(key ^ column) + column
         return mix64(key).view(np.int64)
 
