@@ -140,18 +140,25 @@ def classify(incoming: DataFrame, staged: DataFrame, diff_mode: str = "inline")
     return rows.select("vault_id", "id", F.col("s_seq").alias("staged_seq"), decision.alias("d")).select("vault_id", "id", "staged_seq", "d.*")
 
 
-def resolve_collisions(local: DataFrame, incoming: DataFrame, taken: DataFrame, tries: int = 64) -> DataFrame:
-    """(vault_id, path, new_path): local files at an incoming path with other content, and the first free name.
+def resolve_collisions(local: DataFrame, incoming: DataFrame, taken: DataFrame) -> DataFrame:
+    """(vault_id, path, client_id, new_path): local files at an incoming path with other content, and the first free name.
 
-    Names are ``stem.key.ext`` and then ``stem.key.1.ext`` and on.
+    Names are ``stem.key.ext`` and then ``stem.key.1.ext`` and on. Every taken
+    path says which number of which name it is; the first number missing is free.
     """
-    clash = local.alias("l").join(incoming.alias("i"), ["vault_id", "path"]).filter(F.col("l.hash") != F.col("i.hash")).select("vault_id", "path", "l.client_id")
+    clash = local.alias("l").join(incoming.alias("i"), ["vault_id", "path"]).filter(F.col("l.hash") != F.col("i.hash")).select("vault_id", "path", "l.client_id").distinct()
     ext = F.regexp_extract("path", r"[^/](\.[^./]*)$", 1)
     stem = F.substring("path", F.lit(1), F.length("path") - F.length(ext))
+    asked = clash.withColumns({"ext": ext, "head": F.concat(stem, F.lit("."), "client_id")})
+    number = F.struct(F.expr("try_cast(regexp_extract(path, r, 2) as bigint)").alias("n"), F.expr("regexp_extract(path, r, 1)").alias("head"), F.expr("regexp_extract(path, r, 3)").alias("ext"))
+    forms = F.explode(F.array(F.lit(r"^(.*)()(\.[^./]*)$"), F.lit(r"^(.*)()()$"), F.lit(r"^(.*)\.([1-9][0-9]*)(\.[^./]*)$"), F.lit(r"^(.*)\.([1-9][0-9]*)()$")))
+    read = taken.select("vault_id", "path", forms.alias("r")).filter(F.regexp_like("path", F.col("r"))).select("vault_id", number.alias("t"), F.contains("r", F.lit("[1-9]")).alias("numbered"))
+    used = read.filter(~F.col("numbered") | F.col("t.n").isNotNull()).select("vault_id", "t.head", "t.ext", F.coalesce("t.n", F.lit(0).cast("long")).alias("n")).distinct()
+    found = asked.join(used, ["vault_id", "head", "ext"], "left")
+    place = F.row_number().over(Window.partitionBy("vault_id", "path", "client_id").orderBy("n")) - 1
+    free = found.withColumn("place", place).groupBy("vault_id", "path", "client_id", "head", "ext").agg(F.count_if(F.col("n") == F.col("place")).alias("n"))
     suffix = F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("."), F.col("n").cast("string")))
-    named = clash.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("new_path", F.concat(stem, F.lit("."), "client_id", suffix, ext))
-    free = named.join(taken.select("vault_id", F.col("path").alias("new_path")), ["vault_id", "new_path"], "left_anti")
-    return free.groupBy("vault_id", "path", "client_id").agg(F.min_by("new_path", "n").alias("new_path"))
+    return free.select("vault_id", "path", "client_id", F.concat("head", suffix, "ext").alias("new_path"))
 
 
 def idempotency_highwater(ops: DataFrame, by: str = "client_id", since: Column | None = None, most: int | None = None) -> DataFrame:

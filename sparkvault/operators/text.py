@@ -18,13 +18,17 @@ def tokenize_ascii(text: Column) -> Column:
 
 
 def trigrams(words: Column) -> Column:
-    """Distinct grams of words: windows of three over the padded word; a shorter word is one gram, padded in front."""
-    def grams(w: Column) -> Column:
-        padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.when(F.length(w) < 3, F.array(F.concat(F.lit(" "), w))).otherwise(
-            F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(padded, i, F.lit(3)))
-        )
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), grams)))
+    """Distinct grams of words: windows of three over the padded word; a shorter word is one gram, padded in front.
+
+    One scan over the words joined by single spaces: a window with no space in
+    its middle lies within one padded word. A window begins at no half of a
+    surrogate pair.
+    """
+    distinct = F.array_distinct(words)
+    joined = F.concat(F.lit(" "), F.array_join(F.filter(distinct, lambda w: F.length(w) > 2), " "), F.lit(" "))
+    windows = F.regexp_extract_all(joined, F.lit(r"(?=(?![\uDC00-\uDFFF])(.[^ ].))"), F.lit(1))
+    short = F.transform(F.filter(distinct, lambda w: F.length(w) < 3), lambda w: F.concat(F.lit(" "), w))
+    return F.array_distinct(F.concat(windows, short))
 
 
 def split_frontmatter(text: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkvault.operators import merge as M
 from sparkvault.operators import oplog as O
+from sparkvault.operators.text import table_cells, tokenize_ascii
 from sparkvault.plans import views as V
+from sparkvault.plans.text import GRAMS
 from sparkvault.plans.views import with_views
 from sparkvault.sources import files as S
 from sparkvault.streaming import streams as T
@@ -146,8 +148,8 @@ register(
 )
 register(
     "s10_write_conflict_log",
-    lambda s, d: (lambda p: (S.write_conflict_log(V.ops(s, d).filter("type = 'delete'").select("vault_id", F.col("ts").cast("timestamp").alias("ts"), "path", F.lit("overlap").alias("kind")), p), S.read_conflict_log(s, p).select("vault_id", "path", "kind"))[1])(scratch(s, "conflicts")),
-    "SELECT vault_id, path, 'overlap' AS kind FROM ops WHERE type = 'delete'", "ops",
+    lambda s, d: (lambda p: (S.write_conflict_log(V.ops(s, d).select("vault_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("path", "from").alias("path"), F.lit("overlap").alias("kind")), p), S.read_conflict_log(s, p).select("vault_id", "path", "kind"))[1])(scratch(s, "conflicts")),
+    "SELECT vault_id, coalesce(path, \"from\") AS path, 'overlap' AS kind FROM ops", "ops",
 )
 register(
     "s11_save_index",
@@ -187,14 +189,18 @@ register(
 )
 register(
     "t6_fanout",
-    lambda s, d: drained(T.fanout(stream(s, d, "events").filter("event_type = 'error'").select(F.expr("concat('v', user_id % 8)").alias("vault_id"), F.expr("concat('c', user_id)").alias("client_id"), F.expr("concat('n', event_id % 4)").alias("path"), "event_id"),
+    lambda s, d: drained(T.fanout(stream(s, d, "events").select(F.expr("concat('v', user_id % 8)").alias("vault_id"), F.expr("concat('c', user_id)").alias("client_id"), F.expr("concat('n', event_id % 4)").alias("path"), "event_id"),
         V.keys(s, d).select("vault_id", F.col("name").alias("client_id"), (F.col("role") == "admin").alias("admin")))).groupBy("recipient").agg(F.count("*").alias("n")),
-    "SELECT name AS recipient, count(*) AS n FROM keys JOIN events ON vault_id = 'v' || user_id % 8 WHERE event_type = 'error' GROUP BY name", "keys",
-)
-register(
-    "t11_hold_frozen", lambda s, d: drained(T.split_frozen(stream(s, d, "events").withColumn("frozen", F.col("event_type") == "error"))[0].select("event_id")),
-    "SELECT event_id FROM events WHERE event_type <> 'error'",
+    "SELECT name AS recipient, count(*) AS n FROM keys JOIN events ON vault_id = 'v' || user_id % 8 GROUP BY name", "keys",
 )
+def split_by_error(s, d):
+    """Both halves of the frozen split, each a stream of its own."""
+    halves = T.split_frozen(stream(s, d, "events").withColumn("frozen", F.col("event_type") == "error"))
+    sendable, held = (drained(half.select("event_id", F.lit(kept).alias("held"))) for half, kept in zip(halves, (False, True), strict=True))
+    return sendable.union(held)
+
+
+register("t11_hold_frozen", split_by_error, "SELECT event_id, event_type = 'error' AS held FROM events")
 
 
 def stateful(s, d):
@@ -213,21 +219,32 @@ register("t9_stuck_writes", lambda s, d: drained(T.stuck_writes(stateful(s, d)))
 
 
 def latest_staged(s, d):
-    """The last op of each path of a vault that is no rename, as the one staged."""
-    o = V.ops(s, d).filter("type <> 'rename'")
-    last = o.groupBy("vault_id", "path").agg(F.max_by(F.struct("type", "binary", "event_id"), "event_id").alias("o"))
-    none = F.lit(None).cast("string")
-    return last.select("vault_id", F.col("o.event_id").alias("seq"), "o.type", "path", none.alias("from"), none.alias("to"), "o.binary")
+    """The last op at each path of a vault, or at the source of a rename, as the one staged."""
+    o = V.ops(s, d).withColumn("at", F.coalesce("path", "from"))
+    last = o.groupBy("vault_id", "at").agg(F.max_by(F.struct("type", "path", "from", "to", "binary", F.col("event_id").alias("seq")), "event_id").alias("o"))
+    return last.select("vault_id", "o.*")
 
 
 register(
     "j5_classify_changes",
-    lambda s, d: O.classify(V.ops(s, d).withColumn("id", F.col("event_id")), latest_staged(s, d)).filter(~F.col("action").isin("apply_rename")).select("id", "staged_seq", "action", "kind", "format"),
-    """WITH st AS (SELECT vault_id, path, arg_max({'t': type, 'b': "binary", 'e': event_id}, event_id) AS o FROM ops WHERE type <> 'rename' GROUP BY ALL),
-    j AS (SELECT a.event_id AS id, o.e AS staged_seq, a.type AS t, o.t AS st, a."binary" OR o.b AS b FROM ops a JOIN st ON a.vault_id = st.vault_id AND a.path = st.path WHERE a.type <> 'rename')
-    SELECT id, staged_seq, CASE WHEN t = 'write' AND st = 'write' THEN CASE WHEN b THEN 'apply' ELSE 'merge' END WHEN t = 'write' THEN 'write_sidecar' WHEN st = 'write' THEN CASE WHEN b THEN 'write_sidecar' ELSE 'write_conflict' END ELSE 'noop' END AS action,
-        CASE WHEN t = 'write' AND st = 'write' THEN CASE WHEN b THEN 'binary' END WHEN t = 'write' THEN 'edit_vs_delete' WHEN st = 'write' THEN 'delete_vs_edit' END AS kind,
-        CASE WHEN t = 'write' AND st = 'write' THEN CASE WHEN b THEN 'sidecar' END WHEN t = 'write' THEN 'sidecar' WHEN st = 'write' THEN CASE WHEN b THEN 'sidecar' ELSE 'callout' END END AS format FROM j""", "ops",
+    lambda s, d: O.classify(V.ops(s, d).withColumn("id", F.col("event_id")), latest_staged(s, d)).select("id", "staged_seq", "action", "kind", "format"),
+    """WITH st AS (SELECT vault_id, coalesce(path, "from") AS k, arg_max({'t': type, 'b': "binary", 'e': event_id, 'f': "from", 'o': "to"}, event_id) AS o FROM ops GROUP BY ALL),
+    r AS (SELECT vault_id, unnest(CASE WHEN o.t = 'rename' THEN [o.f, o.o] ELSE [k] END) AS at, k, o FROM st),
+    l AS (SELECT vault_id, event_id, coalesce(path, "from") AS main, unnest(list_distinct(list_filter([path, "from", "to"], lambda x: x IS NOT NULL))) AS at FROM ops),
+    h AS (SELECT l.vault_id, l.event_id, arg_min({'k': r.k, 'o': r.o}, {'far': (l.at <> l.main)::INT, 'e': r.o.e}) AS s FROM l JOIN r ON l.vault_id = r.vault_id AND l.at = r.at GROUP BY ALL),
+    j AS (SELECT i.event_id AS id, i.type AS t, i."from" AS f, i."to" AS o, s.o.e AS staged_seq, s.o.t AS st, s.k = i."to" AND s.k <> i."from" AS dest, i."from" = s.o.f AS same, i."to" <> s.o.o AS apart,
+        i."binary" OR coalesce(s.o.b, false) AS b FROM ops i LEFT JOIN h ON i.vault_id = h.vault_id AND i.event_id = h.event_id)
+    SELECT id, staged_seq,
+        CASE WHEN st IS NULL THEN CASE t WHEN 'write' THEN 'apply' WHEN 'delete' THEN 'apply_delete' ELSE 'apply_rename' END
+            WHEN t = 'write' THEN CASE st WHEN 'write' THEN CASE WHEN b THEN 'apply' ELSE 'merge' END WHEN 'delete' THEN 'write_sidecar' ELSE 'apply' END
+            WHEN t = 'delete' THEN CASE WHEN st <> 'write' THEN 'noop' WHEN b THEN 'write_sidecar' ELSE 'write_conflict' END
+            WHEN st = 'rename' AND NOT same THEN 'noop' ELSE 'apply_rename' END AS action,
+        CASE WHEN t = 'write' THEN CASE st WHEN 'write' THEN CASE WHEN b THEN 'binary' END WHEN 'delete' THEN 'edit_vs_delete' WHEN 'rename' THEN 'rename_collision' END
+            WHEN t = 'delete' THEN CASE st WHEN 'write' THEN 'delete_vs_edit' WHEN 'rename' THEN 'rename_collision' END
+            WHEN st = 'write' AND dest OR st = 'rename' AND same AND apart THEN 'rename_collision' END AS kind,
+        CASE WHEN t = 'write' THEN CASE WHEN st = 'write' AND NOT b THEN NULL WHEN st IS NOT NULL THEN 'sidecar' END
+            WHEN t = 'delete' THEN CASE WHEN st = 'write' THEN CASE WHEN b THEN 'sidecar' ELSE 'callout' END END
+            WHEN st = 'write' AND dest THEN 'sidecar' END AS format FROM j""", "ops",
 )
 register(
     "j8_resolve_collisions",
@@ -257,7 +274,80 @@ def renames_stream(s, d, action):
 
 register(
     "t4_pair_renames",
-    lambda s, d: drained(T.pair_renames(renames_stream(s, d, "error"), renames_stream(s, d, "signup"), "6 hours", "60 days")).filter("`to` is not null").select("from", "to"),
-    """SELECT CAST(a.event_id AS VARCHAR) AS "from", CAST(b.event_id AS VARCHAR) AS "to" FROM events a JOIN events b ON a.user_id * 7 + a.event_id % 7 = b.user_id * 7 + b.event_id % 7 AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS
-    WHERE a.event_type = 'error' AND b.event_type = 'signup'""",
+    lambda s, d: drained(T.pair_renames(renames_stream(s, d, "error"), renames_stream(s, d, "signup"), "6 hours", "1 minute")).select("from", "to"),
+    """WITH a AS (SELECT *, user_id * 7 + event_id % 7 AS h FROM events WHERE event_type = 'error'), b AS (SELECT *, user_id * 7 + event_id % 7 AS h FROM events WHERE event_type = 'signup'),
+    w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 1 MINUTE AS mark)
+    SELECT CAST(a.event_id AS VARCHAR) AS "from", CAST(b.event_id AS VARCHAR) AS "to" FROM a LEFT JOIN b ON a.h = b.h AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS, w
+    WHERE b.event_id IS NOT NULL OR a.ts + INTERVAL 6 HOURS < mark""",
+)
+
+
+def tree_of_suppliers(s, d):
+    """A file of every supplier, in a folder for each nation; some folders are hidden."""
+    root = scratch(s, "tree")
+    rows = V.table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.concat_ws(" ", F.col("s_suppkey").cast("string"), "s_name").alias("value"))
+    rows.write.partitionBy("nation").option("maxRecordsPerFile", 1).text(root)
+    found = S.scan_tree(s, root)
+    return found.select(F.regexp_extract("path", "^nation=([0-9]+)/", 1).alias("nation"), "hash", "size", "is_text", F.decode("content", "UTF-8").alias("text"))
+
+
+register(
+    "s1_scan_tree", tree_of_suppliers,
+    """WITH t AS (SELECT CAST(s_nationkey AS VARCHAR) AS nation, s_suppkey || ' ' || s_name || chr(10) AS text FROM supplier)
+    SELECT nation, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size, true AS is_text, text FROM t""",
+)
+
+
+def part_files(s, d):
+    """The cells of the parts, written as delimited files with quotes and delimiters in the cells."""
+    out = scratch(s, "cells")
+    p = V.table(s, d, "part").select(F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"; x')), "p_type", F.col("p_size").cast("string"))
+    p.write.option("escape", '"').csv(out)
+    return S.read_delimited(s, [out])
+
+
+PART_CELLS = """[CAST(p_partkey AS VARCHAR), p_name || ', "' || p_brand || '"; x', p_type, CAST(p_size AS VARCHAR)]"""
+register("s8_read_delimited", lambda s, d: part_files(s, d).select(F.array_join("cells", "|").alias("cells")), f"SELECT array_to_string({PART_CELLS}, '|') AS cells FROM part")
+register(
+    "x14_extract_table_files", lambda s, d: table_cells(part_files(s, d).withColumn("key", F.lit(1)), "key", "cells").select("col", "value"),
+    f"SELECT unnest([0, 1, 2, 3]) AS col, unnest({PART_CELLS}) AS value FROM part",
+)
+
+
+def in_batches(s, frame, name, put):
+    """Write a frame as files, stream these in batches of one file, and hand each batch to ``put``."""
+    source = scratch(s, name)
+    frame.repartition(4, "path").write.parquet(source)
+    batches = s.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    batches.writeStream.foreachBatch(put).option("checkpointLocation", scratch(s, "state")).trigger(availableNow=True).start().awaitTermination()
+
+
+def indexed_live(s, d):
+    root = scratch(s, "live")
+    m = V.manifest(s, d)
+    rows = m.select("vault_id", "path", "hash", F.lit("").alias("title"), F.array().cast("array<string>").alias("tags"), F.col("text").alias("body"), "doc_id")
+    in_batches(s, rows.drop("doc_id"), "docs", T.live_index(root, tokenize_ascii))
+    # Every seventh path comes again with another text.
+    again = rows.filter("doc_id % 7 = 0").withColumns({"hash": F.lit("changed"), "body": F.lit("changed text")})
+    in_batches(s, again.drop("doc_id"), "docs", T.live_index(root, tokenize_ascii, 1000))
+    return T.read_live_index(s, root).groupBy("vault_id", "path").agg(F.count("*").alias("grams"), F.max("gram").alias("last"))
+
+
+def manifest_live(s, d):
+    root = scratch(s, "live")
+    rows = V.ops(s, d).select("vault_id", F.coalesce("path", "from").alias("path"), "type", F.coalesce("hash", "pre_hash").alias("hash"), F.col("event_id").alias("seq"))
+    in_batches(s, rows, "ops", T.upsert_manifest(root))
+    return T.read_manifest(s, root).select("vault_id", "path", "row_no", "hash")
+
+
+register(
+    "t5_live_index", indexed_live,
+    f"""WITH t AS (SELECT vault_id, path, CASE WHEN doc_id % 7 = 0 THEN 'changed text' ELSE text END AS text FROM manifest),
+    g AS (SELECT vault_id, path, unnest({GRAMS.format('text')}) AS gram FROM t) SELECT vault_id, path, count(*) AS grams, max(gram) AS last FROM g GROUP BY vault_id, path""", "manifest",
+)
+register(
+    "t5_upsert_manifest", manifest_live,
+    """WITH t AS (SELECT vault_id, coalesce(path, "from") AS path, type, coalesce(hash, pre_hash) AS hash, event_id FROM ops WHERE type <> 'rename'),
+    f AS (SELECT vault_id, path, max(event_id) AS row_no, arg_max(hash, event_id) AS hash, arg_max(type, event_id) AS type FROM t GROUP BY vault_id, path)
+    SELECT vault_id, path, row_no, hash FROM f WHERE type <> 'delete'""", "ops",
 )

@@ -12,7 +12,6 @@ from sparkvault.plans import views as V
 from sparkvault.plans.views import with_views
 
 QUERIES, ORACLE = {}, {}
-ASKED = ["therhean ndesha", "leaux quement", "released under the license"]
 
 
 def register(name: str, query, sql: str | None = None, *views: str) -> None:
@@ -28,7 +27,9 @@ def docs(s, d):
 
 
 def asked(s, d):
-    return s.createDataFrame(list(enumerate(ASKED)), "qid int, q string")
+    """A query for every document whose number 50 divides: the first two words of its text."""
+    m = V.manifest(s, d).filter("doc_id % 50 = 0")
+    return m.select(F.col("doc_id").alias("qid"), F.array_join(F.slice(T.tokenize_ascii(F.col("text")), 1, 2), " ").alias("q"))
 
 
 DOCS = "docs AS (SELECT vault_id, path, hash, split_part(text, chr(10), 1) AS title, split_part(path, '/', 1) || ' ' || split_part(path, '/', 2) AS tags, text AS body, doc_id FROM manifest)"
@@ -36,7 +37,7 @@ GRAMS = """list_distinct(flatten(list_transform(list_distinct(list_filter(string
     lambda w: CASE WHEN length(w) < 3 THEN [' ' || w] ELSE list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)) END)))"""
 POSTINGS = f"""{DOCS}, postings AS (SELECT vault_id, path, 'body' AS field, unnest({GRAMS.format('body')}) AS gram FROM docs UNION ALL
     SELECT vault_id, path, 'title', unnest({GRAMS.format('title')}) FROM docs UNION ALL SELECT vault_id, path, 'tags', unnest({GRAMS.format('tags')}) FROM docs)"""
-QUERY_ROWS = "asked(qid, q) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED)) + ")"
+QUERY_ROWS = "asked AS (SELECT doc_id AS qid, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')[1:2], ' ') AS q FROM manifest WHERE doc_id % 50 = 0)"
 SEARCH = f"""{POSTINGS}, {QUERY_ROWS}, k AS (SELECT qid, gram FROM (SELECT qid, unnest({GRAMS.format('q')}) AS gram FROM asked) WHERE gram IN (SELECT gram FROM postings)),
     n AS (SELECT qid, count(*) AS n FROM k GROUP BY ALL),
     h AS (SELECT qid, vault_id, path, gram, max(field = 'title')::INT AS t, max(field = 'tags')::INT AS g FROM postings JOIN k USING (gram) GROUP BY ALL),
@@ -52,6 +53,34 @@ register("x2_trigrams", lambda s, d: V.table(s, d, "documents").select("doc_id",
 register("x4_extract_text", lambda s, d: V.table(s, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("t")),
          r"""WITH r AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
          SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS t FROM r""")
+MD = "concat('# H', doc_id, '\n[[Note ', doc_id % 5, '#Part|lbl]] and ![[img', doc_id % 3, '.png]] see [t](http://e.x/', doc_id, '#f) [[@v1/a/b]]\n> [!NOTE]- Deep\n> [!tip]\n', text)"
+# The first two words of every line as links, in Spark's and in DuckDB's regular expressions.
+LINKED = r"regexp_replace(text, '(^|\n)([A-Za-z]+) ([A-Za-z]+)', '$1[[$2#$3|$3]] ![$2]($3.png)')"
+LINKED_SQL = LINKED.replace("$", "\\")[:-1] + ", 'g')"
+CALLED = r"regexp_replace(text, '(^|\n)([A-Za-z]+) ', '$1> [!$2]- ')"
+CALLED_SQL = CALLED.replace("$", "\\")[:-1] + ", 'g')"
+
+
+def spark_text(expression: str) -> str:
+    """The expression with its backslashes doubled, as Spark's SQL strings want them."""
+    return expression.replace("\\", "\\\\")
+
+
+def marked(s, d, text: str):
+    """Documents with four lines of links and callouts before ``text``, an expression over the whole text."""
+    head = F.expr(MD.removesuffix(", text)") + ")")
+    return V.table(s, d, "documents").select("doc_id", F.concat(head, F.expr(text)).alias("t"))
+
+
+MODES = """CASE doc_id % 3 WHEN 0 THEN concat('---\nkind: a\n---\n', {0}) WHEN 1 THEN {0} ELSE concat('<p>', {0}, '</p>') END"""
+register("x4_extract_text_modes",
+         lambda s, d: V.table(s, d, "documents").select("doc_id", F.concat("source", F.element_at(F.array(F.lit(".md"), F.lit(".txt"), F.lit(".html")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("path"), F.expr(MODES.format(spark_text(LINKED))).alias("t"))
+         .select("doc_id", T.extract_text(F.col("path"), F.col("t")).alias("t")),
+         rf"""WITH t AS (SELECT doc_id, {LINKED_SQL} AS t FROM documents),
+         m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^```[^\n]*$', '', 'g'), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '!?\[\[[^\]|]*\|([^\]]*)\]\]', '\1', 'g'),
+            '!?\[\[([^\]]*)\]\]', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{{1,6}}[ \t]+', '', 'g'), '[*_~`]+', '', 'g') AS md,
+            trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace('<p>' || t || '</p>', '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS html, t FROM t)
+         SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN md WHEN 1 THEN t ELSE html END AS t FROM m""")
 register("x5_build_index", lambda s, d: S.build_index(docs(s, d), T.tokenize_ascii).groupBy("vault_id", "field", "gram").agg(F.count("*").alias("n")),
          f"WITH {POSTINGS} SELECT vault_id, field, gram, count(*) AS n FROM postings GROUP BY ALL", "manifest")
 register("x6_update_index",
@@ -65,19 +94,30 @@ register("l1_top_k", lambda s, d: S.search(S.build_index(docs(s, d), T.tokenize_
          f"WITH {SEARCH} SELECT qid, rank, path, count(*) OVER (PARTITION BY qid) > 3 AS truncated FROM ranked QUALIFY rank <= 3", "manifest")
 register("x8_snippets",
          lambda s, d: S.snippets(S.search(S.build_index(docs(s, d), T.tokenize_ascii), asked(s, d), docs(s, d), analyzer=T.tokenize_ascii).select("qid", "rank", "vault_id", "path"), asked(s, d), docs(s, d))
-         .select("qid", "rank", "path", "snippet", F.size("highlights").alias("marks")))
+         .select("qid", "rank", "path", "snippet", F.size("highlights").cast("long").alias("marks")),
+         f"""WITH {SEARCH}, line AS (SELECT qid, rank, vault_id, path, q, list_distinct(string_split(q, ' ')) AS words, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS no
+            FROM ranked JOIN docs USING (vault_id, path) JOIN asked USING (qid) WHERE rank <= 20),
+         best AS (SELECT qid, rank, path, q, words, arg_max(line, {{'n': len(list_filter(words, lambda w: contains(lower(line), w))), 'p': -no}}) AS line FROM line GROUP BY ALL),
+         found AS (SELECT *, coalesce(list_min(list_filter(list_transform(words, lambda w: instr(lower(line), w)), lambda p: p > 0)), 1) AS first FROM best),
+         shown AS (SELECT *, substr(line, greatest(1, least(first - 53, length(line) - 159)), 160) AS snippet FROM found)
+         SELECT qid, rank, path, snippet, CAST(list_sum(list_transform(list_distinct(list_append(words, q)), lambda w: len(string_split(lower(snippet), w)) - 1)) AS BIGINT) AS marks FROM shown""", "manifest")
 register("p18_footprint_guard", lambda s, d: S.footprint_guard(docs(s, d).withColumn("size", F.length("body")), "size", 320_000).select("doc_id"),
          "SELECT doc_id FROM manifest WHERE vault_id IN (SELECT vault_id FROM manifest GROUP BY vault_id HAVING sum(length(text)) <= 320000)", "manifest")
-MD = "concat('# H', doc_id, '\n[[Note ', doc_id % 5, '#Part|lbl]] and ![[img', doc_id % 3, '.png]] see [t](http://e.x/', doc_id, '#f) [[@v1/a/b]]\n> [!NOTE]- Deep\n> [!tip]\n', text)"
-register("x9_extract_links", lambda s, d: T.extract_links(V.table(s, d, "documents").select("doc_id", F.expr(MD).alias("t")), "doc_id", "t").filter(F.col("pos") < 4),
-         """SELECT doc_id, unnest([0, 1, 2, 3]) AS pos, unnest(['wiki', 'embed', 'link', 'cross']) AS kind, unnest(['Note ' || doc_id % 5, 'img' || doc_id % 3 || '.png', 'http://e.x/' || doc_id, '@v1/a/b']) AS target,
-         unnest(['Part', NULL, 'f', NULL]) AS fragment, unnest(['lbl', NULL, 't', NULL]) AS label FROM documents""")
+register("x9_extract_links", lambda s, d: T.extract_links(marked(s, d, spark_text(LINKED)), "doc_id", "t"),
+         rf"""WITH t AS (SELECT doc_id, {MD.removesuffix(', text)')}, {LINKED_SQL}) AS t FROM documents),
+         m AS (SELECT doc_id, regexp_extract_all(t, '!?\[\[[^\]\n]+\]\]|!?\[[^\]\n]*\]\([^)\s]+\)') AS l FROM t), u AS (SELECT doc_id, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM m),
+         v AS (SELECT *, regexp_matches(x, '^!?\[\[') AS wiki, starts_with(x, '!') AS embed FROM u),
+         w AS (SELECT *, CASE WHEN wiki THEN regexp_extract(x, '\[\[([^\]|]+)', 1) ELSE regexp_extract(x, '\]\(([^)\s]+)\)', 1) END AS dest, CASE WHEN wiki THEN regexp_extract(x, '\|([^\]]*)\]\]', 1) ELSE regexp_extract(x, '^!?\[([^\]]*)\]', 1) END AS label FROM v)
+         SELECT doc_id, pos, CASE WHEN wiki AND embed THEN 'embed' WHEN wiki AND starts_with(dest, '@') THEN 'cross' WHEN wiki THEN 'wiki' WHEN embed THEN 'image' ELSE 'link' END AS kind,
+         regexp_replace(dest, '#.*$', '') AS target, nullif(regexp_extract(dest, '#(.*)$', 1), '') AS fragment, nullif(label, '') AS label FROM w""")
 register("x9_extract_hrefs", lambda s, d: T.extract_hrefs(V.table(s, d, "pages"), "page_id", "html"),
          "WITH h AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages) SELECT page_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS href FROM h")
 register("x10_extract_headings", lambda s, d: T.extract_headings(V.table(s, d, "pages").select("page_id", F.expr("replace(replace(html, '<h1>', concat('<h2 id=\"a', page_id, '\">')), '</h1>', '</h2>')").alias("html")), "page_id", "html"),
          """SELECT page_id, 0 AS pos, 2 AS level, 'a' || page_id AS id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS text FROM pages""")
-register("x11_extract_callouts", lambda s, d: T.extract_callouts(V.table(s, d, "documents").select("doc_id", F.expr(MD).alias("t")), "doc_id", "t").filter(F.col("line") < 4),
-         "SELECT doc_id, unnest([2, 3]) AS line, unnest(['note', 'tip']) AS type, unnest([true, false]) AS foldable, unnest([false, true]) AS open, unnest(['Deep', 'Tip']) AS title FROM documents")
+register("x11_extract_callouts", lambda s, d: T.extract_callouts(marked(s, d, spark_text(CALLED)), "doc_id", "t"),
+         rf"""WITH t AS (SELECT doc_id, {MD.removesuffix(', text)')}, {CALLED_SQL}) AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, CAST(generate_subscripts(string_split(t, chr(10)), 1) - 1 AS INTEGER) AS line FROM t),
+         p AS (SELECT *, regexp_extract(x, '^> ?\[!([A-Za-z]+)\]([+-]?)[ \t]*(.*)$', ['kind', 'sign', 'title']) AS m FROM l WHERE regexp_matches(x, '^> ?\[!([A-Za-z]+)\]([+-]?)[ \t]*(.*)$'))
+         SELECT doc_id, line, lower(m.kind) AS type, m.sign <> '' AS foldable, m.sign <> '-' AS open, CASE WHEN trim(m.title) = '' THEN upper(left(m.kind, 1)) || lower(substr(m.kind, 2)) ELSE trim(m.title) END AS title FROM p""")
 register("x12_strip_comments", lambda s, d: V.table(s, d, "documents").select("doc_id", T.strip_comments(F.expr("concat('%%\nblock\n%%\n', 'a %%x%% b', '\n', replace(text, '%', ''))")).alias("t")),
          "SELECT doc_id, 'a  b' || chr(10) || replace(text, '%', '') AS t FROM documents")
 register("x13_parse_nav_file", lambda s, d: T.parse_nav_file(V.table(s, d, "part").select("p_partkey", F.expr("concat('\"', p_name, '\": \"/a\"\n- \"', p_brand, '\": \"/b\"\nbad')").alias("t")), "p_partkey", "t"),
@@ -136,8 +176,8 @@ register("a13_last_admin_check", lambda s, d: A.last_admin_check(resolved(s, d).
          f"WITH {CAPS}, g AS (SELECT vault_id || '-' || right(name, 2) AS v, name FROM c WHERE caps LIKE 'admin%') SELECT name FROM g QUALIFY count(*) OVER (PARTITION BY v) = 1", "keys")
 RULES = {"config": [0, 1], "system": [1, 2], "runtime": [3]}
 register("u3_effective_rules",
-         lambda s, d: A.effective_rules(*(V.table(s, d, "part").filter(F.col("p_size") % 4 == i).select(F.col("p_brand").alias("section"), F.concat("p_name", (F.col("p_size") % 3).cast("string")).alias("pattern"), F.col("p_partkey").alias("ordinal")) for i in (0, 1, 2))),
-         """WITH r AS (SELECT p_brand AS section, p_name || p_size % 3 AS pattern, p_partkey AS ordinal, p_size % 4 AS o FROM part WHERE p_size % 4 < 3),
+         lambda s, d: A.effective_rules(*(V.table(s, d, "part").filter(F.col("p_size") % 3 == i).select(F.col("p_brand").alias("section"), F.concat("p_name", (F.col("p_size") % 4).cast("string")).alias("pattern"), F.col("p_partkey").alias("ordinal")) for i in (0, 1, 2))),
+         """WITH r AS (SELECT p_brand AS section, p_name || p_size % 4 AS pattern, p_partkey AS ordinal, p_size % 3 AS o FROM part),
          k AS (SELECT * FROM r a WHERE o <> 1 OR NOT EXISTS (SELECT 1 FROM r b WHERE b.o = 0 AND b.section = a.section AND b.pattern = a.pattern))
          SELECT section, pattern, ['config', 'system', 'runtime'][o + 1] AS source, CAST(row_number() OVER (PARTITION BY section ORDER BY o, ordinal, pattern) AS INTEGER) AS place FROM k""")
 register("u5_overlay_maps", lambda s, d: V.table(s, d, "part").select("p_partkey", F.array_join(F.array_sort(F.transform(F.map_entries(A.overlay_maps(F.create_map(F.lit("a"), "p_name", F.lit("b"), "p_brand"), F.create_map(F.lit("b"), "p_type", F.lit("c"), "p_name"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("m")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,18 +86,23 @@ def sniff_delimiter(path: Column, head: Column) -> Column:
     return F.when(path.endswith(".tsv"), "\t").when(path.endswith(".psv"), "|").when(count(";") > count(","), ";").otherwise(",")
 
 
-def read_delimited(spark: SparkSession, paths: list[str], limit: int = 1 << 20) -> DataFrame:
-    """(path, row, cells array<string>) of csv, tsv and psv files up to ``limit`` bytes; rows may be ragged.
+def read_delimited(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
+    """(path, row, cells array<string>) of csv, tsv and psv files; rows may be ragged.
 
-    The byte-order mark is dropped. Cells are split outside quotes.
+    The byte-order mark is dropped. Cells are split outside quotes. A file
+    above ``limit`` bytes, where that is given, is one row without row and cells.
     """
-    files = spark.read.format("binaryFile").load(paths).filter(F.col("length") <= limit)
-    text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
-    rows = files.select("path", text.alias("t")).withColumn("d", sniff_delimiter(F.col("path"), F.col("t")))
+    files = spark.read.format("binaryFile").load(paths).select("path", "content", (F.col("length") <= limit if limit is not None else F.lit(True)).alias("fits"))
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    rows = files.filter("fits").select("path", text.alias("t")).withColumn("d", sniff_delimiter(F.col("path"), F.col("t")))
     lines = rows.select("path", "d", F.posexplode(F.split(F.regexp_replace("t", "\r?\n$", ""), "\r?\n")).alias("row", "line"))
     outside = F.concat(F.lit(r"\Q"), F.col("d"), F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     clean = lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-    return lines.select("path", "row", F.transform(F.split("line", outside, -1), clean).alias("cells"))
+    out = lines.select("path", "row", F.transform(F.split("line", outside, -1), clean).alias("cells"))
+    if limit is None:
+        return out
+    refused = files.filter("not fits").select("path", F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<string>").alias("cells"))
+    return out.unionByName(refused)
 
 
 def needs_compaction(log: DataFrame) -> bool:
@@ -114,16 +120,26 @@ def write_conflict_log(entries: DataFrame, path: str) -> None:
     dated.write.mode("append").partitionBy("date").json(path)
 
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
+#: Folders of a saved index; a gram's folder follows from the gram.
+GRAM_PARTS = 64
+
+
+def gram_part(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_PARTS)).cast("int")
 
 
 def save_index(postings: DataFrame, root: str) -> None:
-    postings.write.mode("overwrite").partitionBy("vault_id").parquet(f"{root}/v{INDEX_VERSION}")
+    """Postings by folders of their grams and sorted by gram, so that a search reads the folders of its grams alone."""
+    parted = postings.withColumn("gram_part", gram_part(F.col("gram")))
+    parted.repartition("gram_part").sortWithinPartitions("gram_part", "gram").write.mode("overwrite").partitionBy("gram_part").parquet(f"{root}/v{INDEX_VERSION}")
 
 
 def load_index(spark: SparkSession, root: str, rebuild: DataFrame | None = None) -> DataFrame | None:
-    """The postings saved in this version's format, else what ``rebuild`` gives."""
+    """The postings saved in this version's format, else what ``rebuild`` gives; only a missing folder counts as absent."""
     try:
         return spark.read.parquet(f"{root}/v{INDEX_VERSION}")
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return rebuild

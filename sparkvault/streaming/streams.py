@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkvault.functions import predicates
 from sparkvault.operators.changes import fold_latest
 from sparkvault.operators.oplog import fanout_ops
-from sparkvault.operators.search import update_index
+from sparkvault.operators.search import build_index
+from sparkvault.operators.text import tokenize
 
 
 def ingest_ops(ops: DataFrame, prune: str = "1 hour") -> tuple[DataFrame, DataFrame]:
@@ -132,32 +133,41 @@ def latest_state(ops: DataFrame) -> DataFrame:
 
 
 def upsert_manifest(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that folds each batch into the manifest at ``path`` under a new version."""
+    """A foreachBatch function that adds each batch, folded, to the manifest at ``path``.
+
+    A batch writes only its own rows, in a folder of its number, so that a
+    batch that runs again replaces itself; ``read_manifest`` folds over all.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.filter("type <> 'rename'").select("vault_id", "path", F.col("seq").alias("row_no"), "hash", (F.col("type") == "delete").alias("deleted"))
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{batch_id - 1}"))
-        fold_latest(rows, keep_deleted=True).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        fold_latest(rows, keep_deleted=True).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return run
 
 
-def live_index(postings_path: str, indexed_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps postings up to date with batches of whole documents."""
+def read_manifest(spark: SparkSession, path: str, keep_deleted: bool = False) -> DataFrame:
+    """The manifest that ``upsert_manifest`` has at ``path``."""
+    return fold_latest(spark.read.parquet(path).drop("batch"), keep_deleted=keep_deleted)
+
+
+def live_index(path: str, analyzer: Callable[[Column], Column] = tokenize, first: int = 0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps postings up to date with batches of whole documents.
+
+    A batch writes the postings of its documents and the list of these, in
+    folders of its number counted from ``first``; nothing that is there is
+    written again. ``read_live_index`` takes a document's latest postings.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if not batch_id:
-            none = batch.limit(0)
-            postings, known = update_index(spark.createDataFrame([], "vault_id string, path string, field string, gram string"), none, none), none
-        else:
-            postings, known = spark.read.parquet(f"{postings_path}/v{batch_id - 1}"), spark.read.parquet(f"{indexed_path}/v{batch_id - 1}")
-        kept = known.join(batch.select("vault_id", "path"), ["vault_id", "path"], "left_anti")
-        now = kept.unionByName(batch.select(*known.columns))
-        update_index(postings, known, now).write.mode("overwrite").parquet(f"{postings_path}/v{batch_id}")
-        now.write.mode("overwrite").parquet(f"{indexed_path}/v{batch_id}")
+        build_index(batch, analyzer).write.mode("overwrite").parquet(f"{path}/postings/batch={first + batch_id}")
+        batch.select("vault_id", "path", "hash").write.mode("overwrite").parquet(f"{path}/documents/batch={first + batch_id}")
     return run
 
 
+def read_live_index(spark: SparkSession, path: str) -> DataFrame:
+    """Postings (vault_id, path, field, gram) of the latest state of every document."""
+    latest = spark.read.parquet(f"{path}/documents").groupBy("vault_id", "path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/postings").join(latest, ["vault_id", "path", "batch"], "left_semi").drop("batch")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there and return the rows: for tests and one-off runs."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)

@@ -163,7 +163,8 @@ def test_stream_upserts(spark, tmp_path):
     put = streams.upsert_manifest(str(tmp_path / "m"))
     put(spark.createDataFrame([("v", "a", "write", "1", 1), ("v", "b", "write", "1", 2)], schema), 0)
     put(spark.createDataFrame([("v", "a", "delete", None, 3), ("v", "b", "write", "2", 4)], schema), 1)
-    live = spark.read.parquet(str(tmp_path / "m" / "v1")).filter("not deleted").collect()
+    put(spark.createDataFrame([("v", "a", "delete", None, 3), ("v", "b", "write", "2", 4)], schema), 1)  # a batch that runs again
+    live = streams.read_manifest(spark, str(tmp_path / "m")).collect()
     assert [(r.path, r.hash) for r in live] == [("b", "2")]
 
 
@@ -219,8 +220,33 @@ def test_stream_staged_commits(spark, sf, duck):
 
 def test_stream_live_index(spark, tmp_path):
     schema = "vault_id string, path string, hash string, title string, tags array<string>, body string"
-    put = streams.live_index(str(tmp_path / "p"), str(tmp_path / "i"))
+    put = streams.live_index(str(tmp_path / "p"))
     put(spark.createDataFrame([("v", "a", "1", "", [], "alpha"), ("v", "b", "1", "", [], "beta")], schema), 0)
-    put(spark.createDataFrame([("v", "a", "2", "", [], "gamma")], schema), 1)
-    grams = {(r.path, r.gram) for r in spark.read.parquet(str(tmp_path / "p" / "v1")).collect()}
+    put(spark.createDataFrame([("v", "a", "2", "", [], "gamma")], schema), 3)
+    grams = {(r.path, r.gram) for r in streams.read_live_index(spark, str(tmp_path / "p")).collect()}
     assert ("a", "gam") in grams and ("b", "bet") in grams and ("a", "alp") not in grams
+
+
+def test_collision_names_have_no_cap(spark):
+    local = spark.createDataFrame([("v", "d/a.md", "1", "k"), ("v", "b", "1", "k"), ("v", "c.md", "1", "k"), ("v", "same.md", "2", "k")], "vault_id string, path string, hash string, client_id string")
+    incoming = spark.createDataFrame([("v", p, "2") for p in ("d/a.md", "b", "c.md", "same.md")], "vault_id string, path string, hash string")
+    names = ["d/a.k.md"] + [f"d/a.k.{i}.md" for i in range(1, 200)] + ["d/a.k.300.md", "b.k", "b.k.2", "c.k.1.md", "b.k.99999999999999999999"]
+    out = oplog.resolve_collisions(local, incoming, spark.createDataFrame([("v", n) for n in names], "vault_id string, path string")).collect()
+    assert {r.path: r.new_path for r in out} == {"d/a.md": "d/a.k.200.md", "b": "b.k.1", "c.md": "c.k.md"}
+
+
+def test_trigrams_equal_windows_over_padded_words(spark):
+    text = "a ab abc 𝒳𝒴𝒵 été ab abcdef x1"
+    words = text.split()
+    want = {g for w in words for g in ([" " + w] if len(w) < 3 else [f" {w} "[i : i + 3] for i in range(len(w))])}
+    row = spark.createDataFrame([(text,)], "t string").select(texts.trigrams(F.split("t", " ")).alias("g")).first()
+    assert set(row.g) == want and len(row.g) == len(want)
+
+
+def test_refused_files_are_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" * 10)
+    (tmp_path / "b.csv").write_text("x,y\n")
+    out = files.read_delimited(spark, [str(tmp_path)], limit=10).collect()
+    assert sorted((r.path[-5:], r.row) for r in out) == [("a.csv", None), ("b.csv", 0)]
+    assert files.read_delimited(spark, [str(tmp_path)]).count() == 11
+    assert files.load_index(spark, str(tmp_path / "none")) is None
