@@ -13,9 +13,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -66,15 +67,38 @@ PATTERNS = {
     "hex": r"\b(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}\b",
     "name": r"\b(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0](\p{Lu}[\p{Ll}\p{M}'-]{1,30}(?:[ \u00a0]\p{Lu}[\p{Ll}\p{M}'-]{1,30}){0,2})",
 }
-#: A text without any of these has no entity.
-CANDIDATE = r"[0-9@]|(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0]|(?i:password|passwd|pwd|secret|token|key)"
+#: A text without any of these has no entity; class by class, so that few positions try the longer parts.
+CANDIDATE = (
+    r"[0-9@]|(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + r"])(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0]"
+    r"|[pP](?:[aA][sS][sS][wW]|[wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[kK][eE][yY]"
+)
 
 ENTITY = "array<struct<start:int,end:int,kind:string,norm:string>>"
 
 
 @lru_cache(maxsize=1)
-def _scanner() -> regex.Pattern:
-    return regex.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+def _scanners() -> list[tuple[str, Callable[[str], bool], regex.Pattern | re.Pattern]]:
+    """For every kind: its name, a quick test of the texts that can have one, its pattern."""
+    number, title = re.compile("[0-9]").search, regex.compile("(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0]").search
+    word = re.compile("passw|pwd|secret|token|key").search
+    tests = {"email": lambda t: "@" in t, "secret": lambda t: word(t.lower()), "name": lambda t: any(x in t for x in _ALL_TITLES) and title(t)}
+    return [(kind, tests.get(kind, number), (regex if kind == "name" else re).compile(pattern)) for kind, pattern in PATTERNS.items()]
+
+
+def _matches(text: str) -> Iterator[tuple[str, regex.Match | re.Match]]:
+    """(kind, match) in order and apart: always the next one by its start, and of equal starts the first by kind."""
+    ahead = []
+    for place, (kind, may, pattern) in enumerate(_scanners()):
+        if may(text) and (m := pattern.search(text)):
+            ahead.append((m.start(), place, kind, pattern, m))
+    while ahead:
+        _, _, kind, _, m = first = min(ahead, key=lambda x: x[:2])
+        yield kind, m
+        left = [x for x in ahead if x is not first and x[0] >= m.end()]
+        for _, place, kind, pattern, _ in (x for x in ahead if x is first or x[0] < m.end()):
+            if later := pattern.search(text, m.end()):
+                left.append((later.start(), place, kind, pattern, later))
+        ahead = left
 
 
 def _script(name: str) -> str:
@@ -133,10 +157,8 @@ def find(text: str | None) -> list[dict]:
     already are none.
     """
     found = []
-    for m in _scanner().finditer(text or ""):
-        kind = m.lastgroup
-        inner = next((i for i in range(1, m.re.groups + 1) if m.span(i) != (-1, -1) and m.group(i) != m.group(kind)), None)
-        start, end = m.span(inner) if inner and kind in ("secret", "name") else m.span()
+    for kind, m in _matches(text or ""):
+        start, end = m.span(1) if kind in ("secret", "name") else m.span()
         surface = text[start:end]
         if kind in ("phone", "card", "ssn"):
             norm = "".join(c for c in surface if c.isdigit())
@@ -260,7 +282,7 @@ def entities(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def surrogates(distinct: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm, surrogate) of every (kind, norm): distinct within a kind, and none an entity itself.
+    """(kind, norm, surrogate) of every (kind, norm): distinct within a kind, names of any gender together, and none an entity itself.
 
     Of entities that draw the same surrogate the first by name keeps it; the
     others, and those that drew an occurring entity, draw again.
@@ -272,13 +294,14 @@ def surrogates(distinct: DataFrame, key: bytes) -> DataFrame:
             drawn = [surrogate(key, *row) for row in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], ["kind", "norm", "attempt", "surrogate"])
 
-    real = distinct.select("kind", F.col("norm").alias("surrogate"))
+    space = F.when(F.startswith("kind", F.lit("name_")), "name").otherwise(F.col("kind")).alias("space")
+    real = distinct.select(space, F.col("norm").alias("surrogate"))
     todo, done = distinct.select("kind", "norm", F.lit(0).alias("attempt")), None
     while True:
-        drawn = materialize(todo.mapInArrow(run, "kind string, norm string, attempt int, surrogate string"), "drawn")
-        taken = real if done is None else real.union(done.select("kind", "surrogate"))
-        clash = drawn.join(taken.withColumn("taken", F.lit(True)).dropDuplicates(["kind", "surrogate"]), ["kind", "surrogate"], "left")
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("norm")) == 1
+        drawn = materialize(todo.mapInArrow(run, "kind string, norm string, attempt int, surrogate string").withColumn("space", space), "drawn")
+        taken = real if done is None else real.union(done.select(space, "surrogate"))
+        clash = drawn.join(taken.withColumn("taken", F.lit(True)).dropDuplicates(["space", "surrogate"]), ["space", "surrogate"], "left")
+        first = F.row_number().over(Window.partitionBy("space", "surrogate").orderBy("norm", "kind")) == 1
         judged = materialize(clash.withColumn("free", F.col("taken").isNull() & first), "judged")
         accepted = judged.filter("free").select("kind", "norm", "surrogate")
         done = accepted if done is None else done.union(accepted)
