@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvault.llm._common import mix64, slices
 
 ORDER = 3
-#: Documents of a language that the trees are meant to learn from: a sample by a hash of the text,
-#: of this expected size, so that the model stays bounded.
+#: Most documents of a language that the trees learn from, those of the smallest hashes of id and text,
+#: so that the model stays bounded. Every language with a text has a document among them.
 SAMPLE_DOCS = 1_500
 #: Bytes of text scored at once.
 CHUNK = 1 << 20
@@ -144,21 +144,38 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> Trees | None:
-    """Trees of the languages of ``docs``; None if no row has both a text and a language.
+def sampled(docs: DataFrame, text: str, label: str, key: str | None, sample_docs: int) -> DataFrame:
+    """(label, text) of at most ``sample_docs`` documents of each label, one at least; repeated rows count once.
 
-    Learns from about ``sample_docs`` documents of each language, chosen by a
-    hash of the text. The counts that reach the driver are those of that sample.
+    The documents of the smallest hashes. A rough cut by the labels' sizes
+    comes first, so that few hashes are sorted.
     """
-    usable = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy(F.col(label).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.lit(0.0)
+    parts = [text] if key is None or key not in docs.columns else [key, text]
+    rows = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"), F.xxhash64(*parts).alias("h"))
+    share = (F.col("h") / F.lit(2.0**64)) + 0.5
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    rough = F.lit(1.0)
     for lang, n in sizes.items():
-        share = F.when(F.col(label) == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20))
-    rows = counted(chosen, text, label, order).toPandas()
+        if n > 4 * sample_docs:
+            rough = F.when(F.col("lang") == lang, F.lit(2 * sample_docs / n)).otherwise(rough)
+    near = rows.filter(share <= rough)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = near.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= sample_docs).groupBy("lang").agg(F.max("h").alias("h"))
+    cut = F.lit(None).cast("long")
+    for r in cuts.collect():  # a row for each language
+        cut = F.when(F.col("lang") == r["lang"], F.lit(r["h"])).otherwise(cut)
+    return near.filter(F.col("h") <= cut).dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def fit(
+    docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER, key: str | None = "doc_id"
+) -> Trees | None:
+    """Trees of the languages of ``docs``; None if no row has both a text and a language.
+
+    Learns from at most ``sample_docs`` documents of each language (see
+    ``sampled``). The counts that reach the driver are those of that sample.
+    """
+    rows = counted(sampled(docs, text, label, key, sample_docs), "text", "lang", order).toPandas()
     if not len(rows):
         return None
     langs = sorted(rows["lang"].unique())
