@@ -1,12 +1,13 @@
 """WARC writing and sequential reading (operator 6).
 
-Every record is one gzip member. The archives are plain concatenations of
-members, written by Spark's text sink and so through any file system that
-Spark reaches, with its commit protocol. The sink ends each row with a
-separator; the last byte of a member (the high byte of its length field) is
-zero for any record under 16 MiB, so the row holds the member without it and
-the separator is that byte. Longer records are split into a member chain: the
-gzip format lets one stream be several members, and the last one is short.
+Every record is one gzip member, whatever its size. The archives are plain
+concatenations of members, written by Spark's text sink and so through any
+file system that Spark reaches, with its commit protocol: a row is a whole
+archive and has a file of its own. The sink ends a row with a separator. The
+last byte of a member, the high byte of its length field, is zero for any
+record under 16 MiB, so a row holds the archive without its last byte and the
+separator is that byte. An archive that ends with a longer record gets an
+empty metadata record behind it.
 
 The reader takes the bytes of an archive in order, inflates them piece by
 piece, frames each record by its Content-Length and checks its digests.
@@ -28,10 +29,8 @@ from sparkvault.llm._common import checkpoint_dir
 
 #: Bytes inflated at a time.
 PIECE = 1 << 16
-#: Most records of one archive file.
-RECORDS = 2_000
-#: A member's length field counts modulo 2^32; below this its high byte is zero.
-MEMBER = (1 << 24) - 1
+#: An archive ends with the record that brings it to so many bytes.
+ARCHIVE_BYTES = 32 << 20
 
 RECORD_SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to_id string, payload binary, "
@@ -59,29 +58,38 @@ def record_bytes(record_id: str, record_type: str, uri: str | None, refers_to: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def gzip_members(record: bytes, level: int = 4) -> Iterator[bytes]:
-    """The record as a gzip member, or as a chain of members under 16 MiB each."""
-    for first in range(0, len(record), MEMBER):
-        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-        yield packer.compress(record[first : first + MEMBER]) + packer.flush()
+def gzip_member(record: bytes, level: int = 4) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write (record_id, record_type, target_uri, refers_to_id, payload) rows as archives under ``path``."""
+def archive_bytes(members: list[bytes]) -> bytes:
+    """One archive of the members; its last byte is zero."""
+    last = [] if members[-1].endswith(b"\0") else [gzip_member(record_bytes("urn:archive:end", "metadata", None, None, b"", base32_sha1(b"")))]
+    return b"".join(members + last)
+
+
+def write_archives(records: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None:
+    """Write (record_id, record_type, target_uri, refers_to_id, payload) rows as archives of about ``most`` bytes under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [], 0
         for batch in batches:
-            members = []
-            for r in batch.to_pylist():
-                payload = r["payload"] or b""
-                record = record_bytes(r["record_id"], r["record_type"], r["target_uri"], r["refers_to_id"], payload, base32_sha1(payload))
-                members += (m[:-1] for m in gzip_members(record))
-            yield pa.record_batch({"member": pa.array(members, pa.binary())})
-
-    rows = records.select("record_id", "record_type", "target_uri", "refers_to_id", "payload").mapInArrow(run, "member binary")
+            heads = zip(*(batch.column(c).to_pylist() for c in ("record_id", "record_type", "target_uri", "refers_to_id")), strict=True)
+            for head, body in zip(heads, batch.column("payload"), strict=True):
+                payload = body.as_py() or b""
+                members.append(gzip_member(record_bytes(*head, payload, base32_sha1(payload))))
+                size += len(members[-1])
+                if size >= most:
+                    yield pa.record_batch({"archive": pa.array([archive_bytes(members)[:-1]], pa.binary())})
+                    members, size = [], 0
+        if members:
+            yield pa.record_batch({"archive": pa.array([archive_bytes(members)[:-1]], pa.binary())})
+
+    rows = records.select("record_id", "record_type", "target_uri", "refers_to_id", "payload").mapInArrow(run, "archive binary")
     (
-        rows.select(F.col("member").cast("string").alias("value"))
-        .write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS).text(path)
+        rows.select(F.col("archive").cast("string").alias("value"))
+        .write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
     )
 
 
@@ -182,7 +190,8 @@ def with_revisits(pages: DataFrame, key: str, url: str, html: str, least_bytes:
     """Records of ``pages``: of equal payloads, the smallest key's is response and the others revisit it.
 
     Payloads under ``least_bytes`` are all response. Null html is an empty
-    payload. Rows of equal key and payload are the response each.
+    payload. Rows of equal key and payload are the response each, and so are
+    rows without a key.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("target_uri"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     digests = rows.select("key", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("n"))
@@ -190,7 +199,7 @@ def with_revisits(pages: DataFrame, key: str, url: str, html: str, least_bytes:
     named = rows.withColumn("digest", F.sha2("payload", 256)).join(firsts, "digest", "left")
     again = F.col("first").isNotNull() & (F.col("key") > F.col("first"))
     return named.select(
-        F.concat(F.lit("urn:page:"), F.col("key").cast("string")).alias("record_id"),
+        F.coalesce(F.concat(F.lit("urn:page:"), F.col("key").cast("string")), F.lit("urn:page")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         F.when(again, F.concat(F.lit("urn:page:"), F.col("first").cast("string"))).alias("refers_to_id"),
@@ -202,13 +211,15 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """Write the pages as archives in the shared folder and read them back.
 
     Returns key, payload_bytes, payload_digest, record_type, refers_to and
-    digest_ok. Repeated rows stay; an empty table gives an empty table.
+    digest_ok. A digest that does not hold fails the query. Repeated rows
+    stay, null keys come back null; an empty table gives an empty table.
     """
     spark = pages.sparkSession
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(with_revisits(pages, key, url, html, least_bytes), path)
     kind = pages.schema[key].dataType
-    of = lambda c: F.regexp_replace(c, "^urn:page:", "").cast(kind)
-    return read_archives(spark, path, payload=False).select(
-        of("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", of("refers_to_id").alias("refers_to"), "digest_ok"
+    of = lambda c: F.when(F.col(c).startswith("urn:page:"), F.regexp_replace(c, "^urn:page:", "").cast(kind))
+    digest = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a digest does not hold: "), "record_id")))
+    return read_archives(spark, path, payload=False).filter("record_type <> 'metadata'").select(
+        of("record_id").alias(key), "payload_bytes", digest.alias("payload_digest"), "record_type", of("refers_to_id").alias("refers_to"), "digest_ok"
     )

@@ -279,6 +279,14 @@ def test_language_code_lengths_are_exact(spark):
         assert np.allclose(bits, want, rtol=1e-5)
 
 
+def test_language_sample_is_bounded_and_whole(spark):
+    rows = [(i, "same text again", "x") for i in range(300)] + [(1000, "hot", "y")] * 500 + [(2000 + i, f"text {i}", "z") for i in range(40)] + [(1, None, "w"), (2, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for most in (1, 10, 50):
+        n = {r.lang: r["count"] for r in langid.sampled(docs, "text", "lang", "doc_id", most).groupBy("lang").count().collect()}
+        assert n == {"x": most, "y": 1, "z": min(40, most)}
+
+
 def test_language_of_odd_rows(spark, odd, none, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -309,21 +317,34 @@ def test_warc_round_trip(spark, odd, none):
 def test_warc_reader_frames_and_checks():
     payload = bytes(range(256)) * 300 + b"\r\n\r\nWARC/1.1\r\n"
     record = warc.record_bytes("urn:page:1", "response", "u", None, payload, warc.base32_sha1(payload))
-    data = b"".join(warc.gzip_members(record)) * 2
-    assert all(m.endswith(b"\0") for m in warc.gzip_members(record))
+    data = warc.gzip_member(record) * 2
+    assert warc.gzip_member(record).endswith(b"\0") and warc.archive_bytes([data]) == data
     assert [(r["payload"], r["digest_ok"]) for r in warc.read_records(data)] == [(payload, True)] * 2
     bad = warc.record_bytes("urn:page:1", "response", "u", None, payload, warc.base32_sha1(b"other"))
-    assert [r["digest_ok"] for r in warc.read_records(b"".join(warc.gzip_members(bad)))] == [False]
+    assert [r["digest_ok"] for r in warc.read_records(warc.gzip_member(bad))] == [False]
     with pytest.raises(ValueError):
         list(warc.read_records(data[:-30]))
 
 
-def test_warc_record_over_a_member(monkeypatch):
-    monkeypatch.setattr(warc, "MEMBER", 1000)
-    payload = random.Random(1).randbytes(5000)
-    record = warc.record_bytes("urn:page:1", "response", None, None, payload, warc.base32_sha1(payload))
-    assert len(list(warc.gzip_members(record))) == 6
-    assert [r["payload"] for r in warc.read_records(b"".join(warc.gzip_members(record)))] == [payload]
+def test_warc_records_of_any_size_are_one_member(spark, tmp_path):
+    long = "x" * (20 << 20) + "end"
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", "short"), (3, None, None), (None, "u", "no key")], "page_id long, url string, html string")
+    warc.write_archives(warc.with_revisits(pages.coalesce(1), "page_id", "url", "html"), str(tmp_path / "a"), most=1000)
+    members = 0
+    for path in (tmp_path / "a").glob("part-*"):
+        data, own = path.read_bytes(), []
+        while data:
+            unpacker = zlib.decompressobj(31)
+            own.append(unpacker.decompress(data))
+            assert unpacker.eof
+            data = unpacker.unused_data
+        assert all(x.count(b"WARC/1.1\r\n") == 1 for x in own)
+        members += sum(b"WARC-Type: metadata" not in x for x in own)
+    assert members == 4
+    out = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert out[1].payload_bytes == len(long) and out[1].payload_digest == warc.base32_sha1(long.encode()) and out[None].payload_bytes == 6 and len(out) == 4
+    back = {r.record_id: r.payload for r in warc.read_archives(spark, str(tmp_path / "a")).filter("record_type <> 'metadata'").collect()}
+    assert back["urn:page:1"] == long.encode() and back["urn:page"] == b"no key"
 
 
 def brute_counts(text):
