@@ -41,10 +41,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(df: DataFrame, text: str, target_bytes: int) -> int:
-    """How many blocks of about ``target_bytes`` of text ``df`` fills."""
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, math.ceil(total / target_bytes))
+def n_blocks(df: DataFrame, text: str, target_bytes: int, target_rows: int) -> int:
+    """How many blocks of about ``target_bytes`` of text and ``target_rows`` rows ``df`` fills."""
+    size, rows = df.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    return max(1, math.ceil((size or 0) / target_bytes), math.ceil(rows / target_rows))
 
 
 def fold_bucket(column: Column, modulus: int) -> Column:

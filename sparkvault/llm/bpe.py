@@ -1,16 +1,22 @@
 """BPE encoding and decoding over a distinct-word table (operator 4).
 
 Words are split off in Spark, each distinct word is encoded once, and its ids
-go back to the places where the word stands. The word table is dealt out by
-word, never gathered: documents fall into blocks by a hash of their key
-(compressed on the way, block by block), a block sends every distinct word once to the shard of that word, a shard
-encodes each of its words once, and the ids return to the blocks that asked.
-What moves is the text once and the distinct words of each block, instead of
-a row for every word.
+go back to the places where the word stands. Documents fall into blocks of a
+bounded size where they lie; their texts never move. A block keeps a code for
+every word and sends its distinct words to word groups: the blocks of a super
+block share a fixed number of groups, so that the messages grow with the
+blocks and no group grows with the table. A group encodes each of its words
+once; for decoding, the ids of these words are joined with the pieces of the
+vocabulary, row by row. Ids and pieces return to the blocks that asked, and a
+document is its codes' ids and pieces in order.
 
 A word is what ASCII white space separates. The tokenizer's normaliser and
 pre-tokenizer drop white space and never look across it, so the ids of a text
 are the ids of its words, one after the other.
+
+The blocks are formed twice, for the words and for the codes, and so have to
+come out alike: the table's files or partitions must give the same rows in the
+same order, as written tables do. A check sum of the words tells if not.
 """
 
 from __future__ import annotations
@@ -24,14 +30,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import n_blocks, text_bytes
+from sparkvault.llm._common import mix64, n_blocks, slices
 
-#: Bytes of text in a block; one task holds one block at a time.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text and rows of a block; one task holds one block at a time.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 200_000
+#: Blocks that share word groups, and how many groups these share.
+SUPER_BLOCKS, GROUPS = 64, 64
 
 
 def zstd(data: bytes) -> bytes:
@@ -42,6 +52,20 @@ def unzstd(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    used = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([used]) + zstd(planes[:used].tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unzstd(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u4").ravel()
+
+
 @lru_cache(maxsize=2)
 def load_tokenizer(path: str):
     """The tokenizer at ``path``, read once per worker, without truncation and padding."""
@@ -67,115 +91,199 @@ def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(sorted(id_pieces(tokenizer_path).items()), "id int, piece string")
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The (key, text) rows of each batch as one compressed Arrow stream per block."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of the blocks of one partition; null texts are empty."""
+    part, n, held, size, rows = TaskContext.get().partitionId() << 24, 0, [], 0, 0
     for batch in batches:
-        block = batch.column("block").to_numpy()
-        order = np.argsort(block, kind="stable")
-        rows = pa.table({"key": batch.column("key"), "text": batch.column("text").cast(pa.large_binary())}).take(pa.array(order))
-        blocks, firsts = np.unique(block[order], return_index=True)
-        streams = []
-        for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                out.write_table(rows.slice(first, last - first).combine_chunks())
-            streams.append(sink.getvalue().to_pybytes())
-        yield pa.record_batch({"block": pa.array(blocks, pa.int64()), "rows": pa.array(streams, pa.binary())})
-
-
-def _rows(table: pa.Table) -> pa.Table:
-    """What _deal has packed for one block."""
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
-
-
-def _words_of_block(shards: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for text in text_bytes(_rows(table), "text"):
-            if text:
-                seen.update(text.split())
-        dealt: dict[int, list[bytes]] = {}
-        for word in sorted(seen):
-            dealt.setdefault(zlib.crc32(word) % shards, []).append(word)
-        block = table.column("block")[0].as_py()
-        return pa.table(
-            {
-                "block": pa.array([block] * len(dealt), pa.int64()),
-                "shard": pa.array(list(dealt), pa.int64()),
-                "words": pa.array([zstd(b"\n".join(x)) for x in dealt.values()], pa.binary()),
-            }
-        )
-
-    return run
-
-
-def _encode_shard(tokenizer_path: str) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        asked = [unzstd(x).split(b"\n") for x in table.column("words").to_pylist()]
-        distinct = list(set().union(*asked))
-        tokenizer, ids = load_tokenizer(tokenizer_path), {}
-        for first in range(0, len(distinct), 20_000):
-            some = distinct[first : first + 20_000]
-            coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            ids.update(zip(some, (np.array(code.ids, "<u4") for code in coded), strict=True))
-        return pa.table(
-            {
-                "block": table.column("block"),
-                "words": table.column("words"),
-                "n_ids": pa.array([zstd(np.array([len(ids[w]) for w in x], "<u4").tobytes()) for x in asked], pa.binary()),
-                "ids": pa.array([zstd(np.concatenate([ids[w] for w in x]).tobytes()) for x in asked], pa.binary()),
-            }
-        )
+        texts = batch.column("text").cast(pa.large_string()).fill_null("")
+        table = pa.table({"key": batch.column("key"), "text": texts})
+        for first, last in slices(pc.binary_length(texts).to_pylist(), BLOCK_BYTES):
+            held.append(table.slice(first, last - first))
+            size += held[-1].nbytes
+            rows += last - first
+            if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
+                yield part + n, pa.concat_tables(held).combine_chunks()
+                n, held, size, rows = n + 1, [], 0, 0
+    if held:
+        yield part + n, pa.concat_tables(held).combine_chunks()
+
+
+def _coded(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Words of each text, the code of every word, the distinct words by code, and the group of each of them."""
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    group = np.fromiter((zlib.crc32(w) % GROUPS for w in words), np.int64, len(words))
+    return pc.list_value_length(split).to_numpy(), coded.indices.to_numpy(), words, group
+
+
+def _by_group(words: list[bytes], group: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(group, codes, message) of the groups that the words go to; a message is its words by code."""
+    order = np.argsort(group, kind="stable")
+    groups, firsts = np.unique(group[order], return_index=True)
+    for g, codes in zip(groups.tolist(), np.split(order, firsts[1:]), strict=True):
+        yield g, codes, b"\n".join([words[i] for i in codes.tolist()])
+
+
+def _words(super_blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks' messages to the word groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks(batches):
+            _, _, words, group = _coded(rows.column("text").chunk(0))
+            own = int(mix64(np.array([block]))[0] % np.uint64(super_blocks)) * GROUPS
+            sent = [(own + g, block, g, zlib.crc32(message), zstd(message)) for g, _, message in _by_group(words, group)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*sent, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "block", "part", "sum", "words"])
 
     return run
 
 
-class WordTable:
-    """The ids of one block's distinct words, as the shards returned them."""
-
-    def __init__(self, table: pa.Table):
-        self.ids: dict[bytes, bytes] = {}
-        columns = (table.column(c).to_pylist() for c in ("words", "n_ids", "ids"))
-        for words, n_ids, ids in zip(*columns, strict=True):
-            end = 0
-            ids = unzstd(ids)
-            for word, n in zip(unzstd(words).split(b"\n"), np.frombuffer(unzstd(n_ids), "<u4").tolist(), strict=True):
-                start, end = end, end + 4 * n
-                self.ids[word] = ids[start:end]
-
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.ids.__getitem__, text.split())) if text else b""
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a block keeps of its documents: keys, numbers of words, codes, and the codes' groups."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for block, rows in _blocks(batches):
+        n_words, codes, _, group = _coded(rows.column("text").chunk(0))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.select(["key"]).schema, options=options) as out:
+            out.write_table(rows.select(["key"]))
+        kept = {"keys": sink.getvalue().to_pybytes(), "n_words": squeezed(n_words), "codes": squeezed(codes), "parts": squeezed(group)}
+        yield pa.record_batch({"block": pa.array([block], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in kept.items()})
+
+
+def _asked(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
+    """A group's distinct words in order, and for each message the places of its words among them."""
+    messages = [unzstd(x).split(b"\n") for x in table.column("words").to_pylist()]
+    distinct = sorted(set().union(*messages))
+    place = {w: i for i, w in enumerate(distinct)}
+    return distinct, [np.fromiter(map(place.__getitem__, m), np.int64, len(m)) for m in messages]
+
+
+def _ids(distinct: list[bytes], tokenizer_path: str) -> pa.ListArray:
+    """The ids of the words."""
+    tokenizer, ids, ends = load_tokenizer(tokenizer_path), [], [0]
+    for first in range(0, len(distinct), 20_000):
+        for code in tokenizer.encode_batch_fast([w.decode() for w in distinct[first : first + 20_000]], add_special_tokens=False):
+            ids += code.ids
+            ends.append(len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _replies(table: pa.Table, places: list[np.ndarray], ids: pa.ListArray, pieces: pa.LargeBinaryArray | None) -> pa.Table:
+    """The answer to every message: the words' numbers of ids, their ids, and the lengths and bytes of their pieces."""
+    out: dict[str, list[bytes | None]] = {"n_ids": [], "ids": [], "n_bytes": [], "bytes": []}
+    for at in places:
+        own = ids.take(pa.array(at))
+        out["n_ids"].append(squeezed(np.diff(own.offsets.to_numpy())))
+        out["ids"].append(squeezed(own.flatten().to_numpy()))
+        shown = None if pieces is None else pieces.take(pa.array(at))
+        out["n_bytes"].append(None if shown is None else squeezed(pc.binary_length(shown).to_numpy()))
+        out["bytes"].append(None if shown is None else zstd(b"".join(shown.to_pylist())))
+    return pa.table({c: table.column(c) for c in ("block", "part", "sum")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+
+REPLY = "block long, part int, sum long, n_ids binary, ids binary, n_bytes binary, bytes binary"
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+class Block:
+    """The documents of a block: keys, ids and, where these were asked for, pieces."""
+
+    def __init__(self, kept: pa.Table, replies: pa.Table):
+        one = {c: kept.column(c)[0].as_py() for c in ("keys", "n_words", "codes", "parts")}
+        self.keys = pa.ipc.open_stream(one["keys"]).read_all().column("key")
+        group, codes, words = unsqueezed(one["parts"]), unsqueezed(one["codes"]), _starts(unsqueezed(one["n_words"]))
+        row, base = np.full(len(group), -1, np.int64), 0
+        n_ids, ids, n_bytes, shown = [], [], [], []
+        for part, *answer in zip(*(replies.column(c).to_pylist() for c in ("part", "n_ids", "ids", "n_bytes", "bytes")), strict=True):
+            n_ids.append(unsqueezed(answer[0]))
+            ids.append(unsqueezed(answer[1]))
+            if answer[2] is not None:
+                n_bytes.append(unsqueezed(answer[2]))
+                shown.append(unzstd(answer[3]))
+            own = np.flatnonzero(group == part)
+            if len(own) != len(n_ids[-1]):
+                raise ValueError("a block came out otherwise for its words than for its codes")
+            row[own] = base + np.arange(len(own))
+            base += len(own)
+        at = pa.array(row[codes])
+        every = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        taken = pa.LargeListArray.from_arrays(pa.array(_starts(np.concatenate(n_ids) if n_ids else []), pa.int64()), pa.array(every, pa.uint32())).take(at)
+        self.ids, self.id_at = taken.flatten().to_numpy(), taken.offsets.to_numpy()[words]
+        self.shown, self.shown_at = None, None
+        if shown:
+            offsets = pa.py_buffer(_starts(np.concatenate(n_bytes)))
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), base, [None, offsets, pa.py_buffer(b"".join(shown))]).take(at)
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            self.shown, self.shown_at = memoryview(texts.buffers()[2]), ends[words]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def ids_of(self, i: int) -> np.ndarray:
+        """The ids of document i as little-endian unsigned 32-bit integers."""
+        return self.ids[self.id_at[i] : self.id_at[i + 1]]
+
+    def text_of(self, i: int) -> memoryview:
+        """The decoded text of document i in UTF-8; every word's pieces are followed by a space."""
+        first, last = self.shown_at[i : i + 2].tolist()
+        return self.shown[first : max(first, last - 1)]
+
+
+def joined_pieces(coded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(group, at, pos, id, piece) of ``coded`` (group, at, ids): the ids' pieces through a join with the vocabulary, which its file bounds."""
+    exploded = coded.select("group", "at", F.posexplode("ids").alias("pos", "id"))
+    return exploded.join(F.broadcast(vocab), "id").select("group", "at", "pos", "id", "piece")
 
 
 def encoded_blocks(
     docs: DataFrame,
     tokenizer_path: str,
-    assemble: Callable[[pa.Table, WordTable], pa.Table],
+    assemble: Callable[[Block], pa.Table],
     schema: str,
     key: str = "doc_id",
     text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    vocab: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``assemble(block of (key, text), its word table)`` over every block of ``docs``.
+    """Run ``assemble`` over every block of ``docs``; with ``vocab`` (id, piece) the blocks have decoded texts too.
 
-    The blocks' exchange serves both the collection of the words and the
-    assembly. Rows are kept as they are: repeated keys stay apart, null keys
-    are dealt out by their text, null texts are empty.
+    Rows are kept as they are: repeated and null keys stay apart, null texts
+    are empty.
     """
-    blocks = n_blocks(docs, text, block_bytes)
-    rows = docs.select(
-        F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(blocks)).alias("block")
-    )
-    dealt = rows.mapInArrow(_deal, "block long, rows binary").groupBy("block")
-    words = dealt.applyInArrow(_words_of_block(blocks), "block long, shard long, words binary")
-    ids = words.groupBy("shard").applyInArrow(_encode_shard(tokenizer_path), "block long, words binary, n_ids binary, ids binary")
-
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return assemble(_rows(left), WordTable(right))
-
-    return dealt.cogroup(ids.groupBy("block")).applyInArrow(join, schema)
+    blocks = n_blocks(docs, text, BLOCK_BYTES, BLOCK_ROWS)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).coalesce(blocks)
+    messages = rows.mapInArrow(_words(-(-blocks // SUPER_BLOCKS)), "group long, block long, part int, sum long, words binary").groupBy("group")
+
+    def answer(table: pa.Table) -> pa.Table:
+        distinct, places = _asked(table)
+        return _replies(table, places, _ids(distinct, tokenizer_path), None)
+
+    def code(table: pa.Table) -> pa.Table:
+        distinct, _ = _asked(table)
+        group = pa.array([table.column("group")[0].as_py()] * len(distinct), pa.int64())
+        return pa.table({"group": group, "at": pa.array(np.arange(len(distinct), dtype=np.int32)), "ids": _ids(distinct, tokenizer_path)})
+
+    def answer_joined(table: pa.Table, coded: pa.Table) -> pa.Table:
+        distinct, places = _asked(table)
+        coded = coded.sort_by([("at", "ascending"), ("pos", "ascending")])
+        n_ids = np.bincount(coded.column("at").to_numpy(), minlength=len(distinct))
+        ends = pa.array(_starts(n_ids), pa.int32())
+        of_word = lambda c: pa.ListArray.from_arrays(ends, coded.column(c).combine_chunks())
+        shown = pc.binary_join(of_word("piece"), " ")
+        shown = pc.if_else(pc.greater(pa.array(n_ids), 0), pc.binary_join_element_wise(shown, "", " "), "")
+        return _replies(table, places, of_word("id"), shown.cast(pa.large_binary()))
+
+    if vocab is None:
+        replies = messages.applyInArrow(answer, REPLY)
+    else:
+        coded = messages.applyInArrow(code, "group long, at int, ids array<int>")
+        replies = messages.cogroup(joined_pieces(coded, vocab).groupBy("group")).applyInArrow(answer_joined, REPLY)
+    kept = rows.mapInArrow(_codes, "block long, keys binary, n_words binary, codes binary, parts binary")
+    return kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: assemble(Block(left, right)), schema)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,9 +294,9 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     """
     kind = docs.schema[key].dataType.simpleString()
 
-    def assemble(table: pa.Table, words: WordTable) -> pa.Table:
-        ids = [np.frombuffer(words.encode(t), "<u4").astype(np.int32) for t in text_bytes(table, "text")]
-        return pa.table({"key": table.column("key"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+    def assemble(block: Block) -> pa.Table:
+        ids = pa.ListArray.from_arrays(pa.array(block.id_at, pa.int32()), pa.array(block.ids.view(np.int32)))
+        return pa.table({"key": block.keys, "ids": ids})
 
     return encoded_blocks(docs, tokenizer_path, assemble, f"key {kind}, ids array<int>", key, text).withColumnRenamed("key", key)
 
@@ -213,25 +321,18 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", ids: str =
 def codec_digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every document's encoding and decoding.
 
-    Decoding joins ids with pieces once for every distinct word, in the word
-    table of the block; the decoded text is the words' pieces in order.
-    Null texts count as empty.
+    The decoded text is the document's words' pieces, each word's from a join
+    of its ids with the vocabulary. Null texts count as empty.
     """
     kind = docs.schema[key].dataType.simpleString()
 
-    def assemble(table: pa.Table, words: WordTable) -> pa.Table:
-        piece = id_pieces(tokenizer_path)
-        shown = {w: " ".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()]).encode() for w, ids in words.ids.items()}
-        n, ids_sha, text_sha = [], [], []
-        for t in text_bytes(table, "text"):
-            split = t.split() if t else []
-            ids = b"".join(map(words.ids.__getitem__, split))
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(b" ".join(filter(None, map(shown.__getitem__, split)))).hexdigest())
-        return pa.table({"key": table.column("key"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+    def assemble(block: Block) -> pa.Table:
+        n, ids_sha, text_sha = np.diff(block.id_at), [], []
+        for i in range(len(block)):
+            ids_sha.append(hashlib.sha256(block.ids_of(i)).hexdigest())
+            text_sha.append(hashlib.sha256(block.text_of(i)).hexdigest())
+        return pa.table({"key": block.keys, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded_blocks(docs, tokenizer_path, assemble, schema, key, text).withColumnRenamed("key", key)
-
-
+    vocab = vocabulary(docs.sparkSession, tokenizer_path)
+    return encoded_blocks(docs, tokenizer_path, assemble, schema, key, text, vocab).withColumnRenamed("key", key)

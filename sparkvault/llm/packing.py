@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkvault.llm import bpe
-from sparkvault.llm._common import materialize, text_bytes
+from sparkvault.llm._common import materialize
 
 #: Most pieces a packing group is meant to hold.
 GROUP_PIECES = 50_000
@@ -39,22 +39,22 @@ def pieces(
     keys are documents of their own.
     """
     kind = docs.schema[key].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
-    def assemble(table: pa.Table, words: bpe.WordTable) -> pa.Table:
+    def assemble(block: bpe.Block) -> pa.Table:
         rows, piece, start, length, crc = [], [], [], [], []
-        for row, t in enumerate(text_bytes(table, "text")):
-            ids = words.encode(t) + end
-            for i, first in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[first : first + 4 * capacity]
+        for row in range(len(block)):
+            ids = np.concatenate([block.ids_of(row), end])
+            for i, first in enumerate(range(0, len(ids), capacity)):
+                part = ids[first : first + capacity]
                 rows.append(row)
                 piece.append(i)
-                start.append(first // 4)
-                length.append(len(part) // 4)
+                start.append(first)
+                length.append(len(part))
                 crc.append(zlib.crc32(part))
         return pa.table(
             {
-                "key": table.column("key").take(pa.array(rows, pa.int64())),
+                "key": block.keys.take(pa.array(rows, pa.int64())),
                 "piece": pa.array(piece, pa.int32()),
                 "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()),
