@@ -10,9 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Licences by SPDX identifier, each with the names that references use for it, normalised.
+NAMES = {
+    "MIT": ["mit license", "mit licence", "mit", "mit license mit", "expat license"],
+    "Apache-2.0": [
+        "apache license version 2 0", "apache 2 0 license", "apache license 2 0", "apache 2 0", "apache license v2 0", "apache license v 2 0", "apache software license version 2 0",
+    ],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu gpl version 2", "gpl version 2", "gnu gpl v2", "gpl v2", "gplv2", "gpl 2 0"],
+    "GPL-2.0-or-later": ["gnu general public license version 2 or later", "gnu general public license version 2 or any later version", "gpl version 2 or later", "gpl v2 or later", "gplv2 or later"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu gpl version 3", "gpl version 3", "gnu gpl v3", "gpl v3", "gplv3", "gpl 3 0"],
+    "GPL-3.0-or-later": ["gnu general public license version 3 or later", "gnu general public license version 3 or any later version", "gpl version 3 or later", "gpl v3 or later", "gplv3 or later"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "lgpl version 2 1", "lgpl v2 1", "lgpl 2 1"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "lgpl version 3", "lgpl v3", "lgplv3", "lgpl 3 0"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "agpl version 3", "agpl v3", "agplv3", "agpl 3 0"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0", "mpl version 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "epl 2 0"],
+    "ISC": ["isc license", "isc licence"],
+    "Zlib": ["zlib license"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "Unlicense": ["unlicense"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "bsd 2 clause simplified license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause"],
+    "BSD": ["bsd license", "bsd licence", "bsd style license"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "cc0 1 0 universal license", "creative commons cc0 1 0 universal license"],
+    "CC-BY-4.0": ["cc by 4 0", "cc by 4 0 license", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license cc by 4 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "cc by sa 4 0 license", "creative commons attribution sharealike 4 0 international license"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "cc by nc 4 0 license", "creative commons attribution noncommercial 4 0 international license"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "cc by nd 4 0 license", "creative commons attribution noderivatives 4 0 international license"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "cc by nc sa 4 0 license", "creative commons attribution noncommercial sharealike 4 0 international license"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0", "cc by nc nd 4 0 license", "creative commons attribution noncommercial noderivatives 4 0 international license"],
+}
 # Sentence identifiers and the normalised sentences they stand for.
 SENTENCES = {
-    "mit-ref": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
     "mit-title": ["the mit license", "mit license", "the mit license mit"],
     "mit-grant": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
@@ -25,60 +54,136 @@ SENTENCES = {
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
         "merchantability fitness for a particular purpose and noninfringement",
     ],
-    "apache-2-ref": [
-        "licensed under the apache license version 2 0", "released under the apache license version 2 0", "released under the apache 2 0 license",
-        "licensed under the apache license version 2 0 the license",
+    "mit-liability": [
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of "
+        "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ],
+    "apache-2-title": ["apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"],
     "apache-2-file": ["you may not use this file except in compliance with the license"],
-    "apache-2-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
-    "gpl-3-ref": [
-        "this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3",
-        "released under the gnu general public license version 3",
+    "apache-2-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
+    "apache-2-basis": [
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied",
+    ],
+    "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "bsd-binary": [
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+    ],
+    "bsd-names": [
+        f"neither the name of the {holder} nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission" for holder in ("copyright holder", "author", "university", "organization")
     ],
-    "gpl-2-ref": [
-        "this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2",
+    "bsd-warranty": [
+        f"this software is provided by the {by} as is and any express or implied warranties including but not limited to the implied "
+        "warranties of merchantability and fitness for a particular purpose are disclaimed"
+        for by in ("copyright holders and contributors", "author and contributors", "author", "regents and contributors")
     ],
-    "gpl-free": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
-        "published by the free software foundation either version 3 of the license or at your option any later version",
+    "isc-grant": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+        "above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the "
+        "above copyright notice and this permission notice appear in all copies",
     ],
+    "0bsd-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-warranty": [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness",
+    ],
+    "mpl-2-form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl-2-copy": [f"if a copy of the mpl was not distributed with this file you can obtain one at {site} mozilla org mpl 2 0" for site in ("http", "https")],
+    "mpl-2-title": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "gpl-2-title": ["gnu general public license version 2 june 1991"],
+    "gpl-3-title": ["gnu general public license version 3 29 june 2007"],
+    "lgpl-21-title": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl-3-title": ["gnu lesser general public license version 3 29 june 2007"],
+    "agpl-3-title": ["gnu affero general public license version 3 19 november 2007"],
+    **{
+        name: [
+            f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as "
+            f"published by the free software foundation either version {version} of the license or at your option any later version"
+            for what in ("program", "library", "software", "file")
+        ]
+        for name, kind, version in (
+            ("gpl-free", "", "3"), ("gpl-2-free", "", "2"), ("lgpl-21-free", "lesser ", "2 1"), ("lgpl-3-free", "lesser ", "3"), ("agpl-free", "affero ", "3"),
+        )
+    },
     "gpl-hope": [
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
-        "merchantability or fitness for a particular purpose",
+        f"this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose" for what in ("program", "library", "software", "file")
+    ],
+    "unlicense-free": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": [
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
     ],
-    "cc-by-nc-4-ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
-    "cc-by-4-ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
-    "cc-by-sa-4-ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
-    "cc0-ref": ["licensed under cc0 1 0", "this work is dedicated to the public domain"],
-    "bsd-ref": ["released under the bsd license", "licensed under the bsd license"],
-    "bsd-3-ref": ["licensed under the bsd 3 clause license", "released under the bsd 3 clause license"],
+    "cc0-ref": ["this work is dedicated to the public domain"],
     "rights": ["all rights reserved"],
-}
+}
 # Licence rules, each an ordered sequence of sentence identifiers.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-title", "mit-grant", "mit-notice"]),
-    ("MIT", ["mit-ref"]),
+    ("Apache-2.0", ["apache-2-title"]),
     ("Apache-2.0", ["apache-2-ref", "apache-2-file", "apache-2-copy"]),
-    ("Apache-2.0", ["apache-2-ref"]),
+    ("Apache-2.0", ["apache-2-file", "apache-2-copy", "apache-2-basis"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
+    ("0BSD", ["0bsd-grant", "isc-warranty"]),
+    ("MPL-2.0", ["mpl-2-title"]),
+    ("MPL-2.0", ["mpl-2-form", "mpl-2-copy"]),
+    ("GPL-2.0", ["gpl-2-title"]),
+    ("GPL-3.0", ["gpl-3-title"]),
+    ("LGPL-2.1", ["lgpl-21-title"]),
+    ("LGPL-3.0", ["lgpl-3-title"]),
+    ("AGPL-3.0", ["agpl-3-title"]),
+    ("GPL-2.0-or-later", ["gpl-2-free", "gpl-hope"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    ("GPL-3.0-only", ["gpl-3-ref"]),
-    ("GPL-2.0-only", ["gpl-2-ref"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4-ref"]),
-    ("CC-BY-4.0", ["cc-by-4-ref"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4-ref"]),
+    ("LGPL-2.1-or-later", ["lgpl-21-free", "gpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-free", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
     ("CC0-1.0", ["cc0-ref"]),
-    ("BSD-3-Clause", ["bsd-3-ref"]),
-    ("BSD", ["bsd-ref"]),
     ("all-rights-reserved", ["rights"]),
 ]
 
+#: How a reference begins, normalised: "this library is released under the", "licensed under the terms of the".
+REFERENCE = (
+    r"^(?:(?:this|the|our|all) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:dual |re)?(?:licensed|released|distributed|published|provided|available|made available|offered) "
+    r"under (?:the )?(?:terms of )?(?:the )?"
+)
+
+
+def _reference_id(spdx: str) -> str:
+    """The identifier of a licence's references: its SPDX identifier in lower case, without -only and .0."""
+    return spdx.lower().removesuffix("-only").removesuffix(".0") + "-ref"
+
+
+def _with_references() -> None:
+    """Add each licence's references, its SPDX tag, and the rules of both."""
+    for spdx, names in NAMES.items():
+        tag = "spdx license identifier " + " ".join(spdx.lower().replace(".", " ").replace("-", " ").split())
+        known = SENTENCES.setdefault(_reference_id(spdx), [])
+        known += [f"under {n}{end}" for n in names for end in ("", " the license")]
+        SENTENCES[_reference_id(spdx).removesuffix("-ref") + "-spdx"] = [tag]
+        RULES.extend((spdx, [_reference_id(spdx).removesuffix("-ref") + end]) for end in ("-ref", "-spdx"))
+
+
+_with_references()
+
 #: A sentence ends at ., ! or ? before white space or the end of the text.
 SENTENCE_END = r"[.!?]+(?:[ \t\r\x0B\f\n]|$)"
 #: It can also end at a line end, or at ; or :, but wrapped sentences go on there, over empty lines too.
 PIECE_END = r"\n|[;:][ \t\r\x0B\f]"
 
 
+def keyed(sentence: Column) -> Column:
+    """A normalised sentence as it is looked up: the beginnings of references are all ``under``."""
+    return F.regexp_replace(sentence, REFERENCE, "under ")
+
+
 def sentence_table(spark: SparkSession) -> DataFrame:
     """(sentence, sentence_id): the known sentences; a fixed list bounds it."""
     return spark.createDataFrame([(s, i) for i, known in SENTENCES.items() for s in known], "sentence string, sentence_id string")
@@ -103,16 +208,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
     sentence; repeated rows stay; an empty table gives an empty table.
 
     Everything happens within the row, so no text is shuffled. Only pieces
-    of a length that a known sentence can have, and that begin with a known
-    first word, begin a search.
+    that begin with a known first word begin a search; it ends once there are
+    more letters than a known sentence has. Pieces of any length are read.
     """
     known = [s for group in SENTENCES.values() for s in group]
-    longest = 4 * max(map(len, known))
-    first = "|".join(sorted({s.split()[0] for s in known}))
-    may_be = lambda s: (F.length(s) <= longest) & s.rlike(rf"(?i)^[^a-z0-9]*(?:{first})(?![a-z0-9])")
+    longest = max(map(len, known)) + 200  # and the beginning of a reference
+    starts = {"this", "the", "our", "all", "dual", "licensed", "relicensed", "released", "distributed", "published", "provided", "available", "made", "offered"}
+    first = "|".join(sorted({s.split()[0] for s in known} - {"under"} | starts))
+    may_be = lambda s: s.rlike(rf"(?i)^[^a-z0-9]*(?:{first})(?![a-z0-9])")
     of = F.create_map(*(F.lit(x) for i, group in SENTENCES.items() for s in group for x in (s, i)))
 
-    most = max(len(s.split()) for s in known)  # every piece has a word
+    most = max(len(s.split()) for s in known) + 10  # every piece has a word
     pieces = lambda unit: F.filter(F.split(unit, PIECE_END), lambda s: s.rlike("[A-Za-z0-9]"))
     rows = docs.select(F.col(key).alias("key"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END), pieces).alias("u"))
     count = F.aggregate("u", F.lit(0).cast("long"), lambda n, u: n + F.size(u))
@@ -123,7 +229,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
 
         def grow(state: Column, piece: Column) -> Column:
             words = F.when(F.length(state["words"]) <= longest, F.concat_ws(" ", F.nullif(state["words"], F.lit("")), normalised(piece)))
-            found, at = F.try_element_at(of, words), state["at"] + 1
+            found, at = F.try_element_at(of, keyed(words)), state["at"] + 1
             stop = F.when(found.isNotNull(), at).otherwise(state["stop"])
             return F.struct(words.alias("words"), at.alias("at"), stop.alias("stop"), F.coalesce(found, state["id"]).alias("id"))
 

@@ -100,7 +100,7 @@ def _license_sql() -> str:
         lines AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
         found AS (
             SELECT doc_id, i, sentence_id FROM lines JOIN known
-              ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence
+              ON regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licenses.REFERENCE}', 'under ') = sentence
         ),
         ids AS (SELECT doc_id, string_agg(sentence_id, ' ' ORDER BY i) AS ids FROM found GROUP BY doc_id),
         named AS (

@@ -516,5 +516,55 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
     assert out[3] == (["mit-title"], [])
 
 
+def test_license_references_and_texts(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    names = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    end = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    agpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT
+ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See"""
+    cases = [
+        ("// SPDX-License-Identifier: MIT", ["MIT"]), ("# SPDX-License-Identifier: GPL-3.0-or-later\n", ["GPL-3.0-or-later"]),
+        ("This library is released under the MIT License.", ["MIT"]), ("All of the code here is\nlicensed under the terms of the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("Mozilla Public License Version 2.0", ["MPL-2.0"]), ("*" * 2000 + " Released under the MIT license.", ["MIT"]), ("Released under the " + "-" * 9000 + " MIT license", ["MIT"]),
+        (bsd + end, ["BSD-2-Clause"]), (bsd + names + end, ["BSD-3-Clause"]), (isc, ["ISC"]), (mpl, ["MPL-2.0"]), (agpl, ["AGPL-3.0-or-later"]),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]), ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["Unlicense"]),
+        ("He was released under the condition that he left. The licence of the shop is old.", []), ("x " * 200_000 + ". Licensed under the ISC license.", ["ISC"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "c", "l") for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_sentences string, licenses string")
+    out = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    assert [out[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_registered_names():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
