@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["vault_id", "path"]
-_HUNK = "array<struct<start:int,end:int,lines:array<string>>>"
 
 
 def merge_three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -26,27 +21,74 @@ def merge_three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> Data
     return rows.withColumn("outcome", outcome)
 
 
-def _line_edits(base: list[str], other: list[str]) -> list[dict]:
-    """What turns the base lines into the other ones: [start, end) replaced by lines."""
-    codes = difflib.SequenceMatcher(None, base, other, autojunk=False).get_opcodes()
-    return [{"start": i, "end": j, "lines": other[k:m]} for tag, i, j, k, m in codes if tag != "equal"]
+def _same(x: Column, y: Column) -> Column:
+    """How many lines two arrays share from the first on."""
+    at = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
+    return F.when(at == 0, F.size(x)).otherwise(at - 1)
 
 
-def _keep_ends(text: str) -> list[str]:
-    return text.split("\n")
+def _best_chain(runs: Column) -> Column:
+    """Of runs struct(i, k, n) in order of i, those of the heaviest chain that is in order of k too."""
+    none = F.array().cast("array<struct<w:int,prev:int>>")
 
+    def add(best: Column, run: Column) -> Column:
+        before = lambda j: F.element_at(runs, j)
+        fits = F.filter(F.sequence(F.lit(0), F.size(best)), lambda j: (j > 0) & (before(F.greatest(j, F.lit(1)))["k"] + before(F.greatest(j, F.lit(1)))["n"] <= run["k"]))
+        top = F.array_max(F.transform(fits, lambda j: F.struct(F.element_at(best, j)["w"].alias("w"), (-j).alias("j"))))
+        return F.concat(best, F.array(F.struct((F.coalesce(top["w"], F.lit(0)) + run["n"]).alias("w"), F.coalesce(-top["j"], F.lit(0)).alias("prev"))))
 
-def line_hunks(rows: DataFrame, base: str, other: str, side: str) -> DataFrame:
-    """``rows`` with hunks exploded: (..., side, start, end, lines). Only rows that both sides changed should come here."""
-    keep = [c for c in rows.columns if c not in (base, other)]
+    best = F.aggregate(runs, none, add)
+    last = -F.array_max(F.transform(best, lambda x, j: F.struct(x["w"].alias("w"), (-(j + 1)).alias("j"))))["j"]
+    start = F.struct(last.alias("at"), F.array().cast("array<struct<i:int,k:int,n:int>>").alias("out"), best.alias("best"))
+    back = lambda s, _: F.when(s["at"] == 0, s).otherwise(
+        F.struct(F.element_at(s["best"], s["at"])["prev"].alias("at"), F.concat(F.array(F.element_at(runs, s["at"])), s["out"]).alias("out"), s["best"].alias("best"))
+    )
+    return F.aggregate(runs, start, back, lambda s: s["out"])
 
-    @F.pandas_udf(_HUNK)
-    def edits(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in a:
-            yield pd.Series([_line_edits(_keep_ends(p or ""), _keep_ends(q or "")) for p, q in zip(x, y, strict=True)])
 
-    found = rows.select(*keep, F.explode(edits(F.col(base), F.col(other))).alias("h"))
-    return found.select(*keep, F.lit(side).alias("side"), "h.start", "h.end", "h.lines")
+def line_hunks(rows: DataFrame, base: str, other: str, side: str) -> DataFrame:
+    """``rows`` (vault_id, path, ...) with hunks: (..., side, start, end, lines): base lines [start, end) become ``lines``.
+
+    Equal lines at both ends of a text go first. Of the middle, lines that
+    occur once on either side are matched by a join, matches that follow each
+    other are one run, and the heaviest chain of runs in order on both sides
+    stays. What lies between is a hunk, less its equal ends. Null texts are
+    empty. Only rows that a side changed should come here.
+    """
+    keep = [c for c in rows.columns if c not in (base, other)]
+    lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")
+    cut = rows.select(*keep, lines(base).alias("a"), lines(other).alias("b")).withColumn("head", _same(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
+    cut = cut.withColumns({"a": rest("a"), "b": rest("b")}).withColumn("tail", _same(F.reverse("a"), F.reverse("b")))
+    front = lambda c: F.slice(c, F.lit(1), F.size(c) - F.col("tail"))
+    cut = cut.withColumns({"a": front("a"), "b": front("b")}).filter((F.size("a") > 0) | (F.size("b") > 0)).drop("tail")
+
+    inner = cut.filter((F.size("a") > 0) & (F.size("b") > 0))
+    none = F.lit(None).cast("int")
+    of_a = inner.select(*KEY, F.posexplode("a").alias("i", "line")).withColumn("k", none)
+    of_b = inner.select(*KEY, F.posexplode("b").alias("k", "line")).withColumn("i", none)
+    once = of_a.unionByName(of_b).groupBy(*KEY, "line").agg(F.count("i").alias("n_a"), F.count("k").alias("n_b"), F.max("i").alias("i"), F.max("k").alias("k"))
+    once = once.filter("n_a = 1 and n_b = 1")
+    w = Window.partitionBy(*KEY).orderBy("i")
+    goes_on = (F.col("i") == F.lag("i").over(w) + 1) & (F.col("k") == F.lag("k").over(w) + 1)
+    runs = once.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
+    runs = runs.groupBy(*KEY, "run").agg(F.min("i").alias("i"), F.min("k").alias("k"), F.count("*").cast("int").alias("n"))
+    chains = runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "k", "n"))).alias("runs")).select(*KEY, _best_chain(F.col("runs")).alias("m"))
+
+    joined = cut.join(chains, KEY, "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<i:int,k:int,n:int>>")))
+    point = lambda i, k: F.struct(i.alias("i"), k.alias("k"))
+    begins = F.concat(F.array(point(F.lit(0), F.lit(0))), F.transform("m", lambda r: point(r["i"] + r["n"], r["k"] + r["n"])))
+    ends = F.concat(F.transform("m", lambda r: point(r["i"], r["k"])), F.array(point(F.size("a"), F.size("b"))))
+    gaps = joined.select(*keep, "head", "a", "b", F.explode(F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))).alias("g"))
+    part = lambda c, at: F.slice(c, F.col(f"g.s.{at}") + 1, F.col(f"g.e.{at}") - F.col(f"g.s.{at}"))
+    gaps = gaps.select(*keep, (F.col("head") + F.col("g.s.i")).alias("start"), part("a", "i").alias("x"), part("b", "k").alias("y")).withColumn("p", _same(F.col("x"), F.col("y")))
+    after = lambda c: F.slice(c, F.col("p") + 1, F.size(c) - F.col("p"))
+    gaps = gaps.withColumn("q", _same(F.reverse(after("x")), F.reverse(after("y"))))
+    found = gaps.select(
+        *keep, F.lit(side).alias("side"), (F.col("start") + F.col("p")).alias("start"), (F.col("start") + F.size("x") - F.col("q")).alias("end"),
+        F.slice("y", F.col("p") + 1, F.size("y") - F.col("p") - F.col("q")).alias("lines"),
+    )
+    return found.filter((F.col("start") < F.col("end")) | (F.size("lines") > 0))
 
 
 def hunk_overlaps(hunks: DataFrame) -> DataFrame:

@@ -113,6 +113,31 @@ def test_three_way_merge(spark):
     assert out == {n: (m, c) for n, _, _, _, m, c in cases}
 
 
+def test_line_hunks_rebuild_the_other_text(spark):
+    r = np.random.default_rng(3)
+    cases = [("", ""), ("a", ""), ("", "a\nb"), ("a\nb\na\nb", "b\na\nb\na"), ("1\n2\n3\n4", "3\n4\n1\n2"), (None, "x")]
+    for _ in range(150):
+        base = [str(x) for x in r.integers(0, 25, r.integers(0, 20))]
+        other = [x for x in base if r.random() > 0.2]
+        for _ in range(r.integers(0, 4)):
+            other.insert(r.integers(0, len(other) + 1), str(r.integers(0, 30)))
+        if r.random() < 0.3:
+            other = other[len(other) // 2 :] + other[: len(other) // 2]
+        cases.append(("\n".join(base), "\n".join(other)))
+    rows = spark.createDataFrame([("v", str(i), a, b) for i, (a, b) in enumerate(cases)], "vault_id string, path string, base string, other string")
+    hunks = {}
+    for h in merge.line_hunks(rows, "base", "other", "ours").collect():
+        hunks.setdefault(int(h.path), []).append((h.start, h.end, list(h.lines)))
+    for i, (a, b) in enumerate(cases):
+        lines, out, at = (a or "").split("\n"), [], 0
+        for start, end, new in sorted(hunks.get(i, [])):
+            assert start >= at
+            out += lines[at:start] + new
+            at = end
+        assert "\n".join(out + lines[at:]) == (b or "")
+        assert (i in hunks) == ((a or "") != (b or ""))
+
+
 def test_scalars(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).collect()[0].x
