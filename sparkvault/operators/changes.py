@@ -5,6 +5,10 @@ Comparisons join hash columns only; contents are joined for what has changed.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,11 +136,25 @@ def dirty_paths(head: DataFrame, disk: DataFrame, tracked: Column) -> DataFrame:
 def manifest_digest(entries: DataFrame) -> DataFrame:
     """(vault_id, digest): SHA-256 over the sorted ``path TAB hash NL`` lines of a vault.
 
-    All lines of a vault meet in one row, as the digest is of their sequence.
+    The digest is of the lines' sequence, so a vault is one task's; Spark
+    sorts its lines and they are read batch by batch, never all at once.
     """
-    line = F.concat("path", F.lit("\t"), "hash", F.lit("\n"))
-    joined = F.array_join(F.array_sort(F.collect_list(line)), "")
-    return entries.groupBy("vault_id").agg(F.sha2(joined, 256).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vault, digest, done = None, None, []
+        for batch in batches:
+            for v, line in zip(batch.column("vault_id").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if digest is None or v != vault:
+                    if digest is not None:
+                        done.append((vault, digest.hexdigest()))
+                    vault, digest = v, hashlib.sha256()
+                digest.update(line.encode())
+        if digest is not None:
+            done.append((vault, digest.hexdigest()))
+        yield pa.record_batch({"vault_id": pa.array([v for v, _ in done], pa.string()), "digest": pa.array([d for _, d in done], pa.string())})
+
+    lines = entries.select(F.col("vault_id").cast("string").alias("vault_id"), F.concat("path", F.lit("\t"), "hash", F.lit("\n")).alias("line")).filter("line is not null")
+    return lines.repartition("vault_id").sortWithinPartitions("vault_id", "line").mapInArrow(run, "vault_id string, digest string")
 
 
 def check_pre_hash(ops: DataFrame, state: DataFrame) -> DataFrame:

@@ -37,19 +37,27 @@ def resolve_ref(refs: DataFrame, tags: DataFrame, commits: DataFrame) -> DataFra
     return named.join(commits.select("vault_id", F.col("commit_id").cast("string").alias("commit_id"), "ordinal"), ["vault_id", "commit_id"], "left").select("vault_id", "ref", "ordinal")
 
 
+def ranked_tags(tags: DataFrame) -> DataFrame:
+    """(vault_id, tags): the tags of a vault in one array of struct(ordinal, name, rank), by ordinal; rank 1 is the newest."""
+    each = tags.groupBy("vault_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ordinal", "name")))).alias("t"))
+    ranked = F.transform("t", lambda x, i: F.struct(x["ordinal"].alias("ordinal"), x["name"].alias("name"), (i + 1).alias("rank")))
+    return each.select("vault_id", ranked.alias("tags"))
+
+
 def tag_trees(history: DataFrame, tags: DataFrame) -> DataFrame:
     """(vault_id, rank, name, path, hash): the tree of every tag; rank 1 is the newest.
 
     One row for each path and tag at which it is there: the states of a path
-    become intervals of ordinals, which meet the tags of their vault.
+    become intervals of ordinals. Each interval meets its vault's tags as one
+    array and keeps those inside, so that a row is made only where a path is
+    in a tag; an array grows with the tags of a vault, not with its history.
     """
     last = history.groupBy(*KEY, "ordinal").agg(F.max(F.struct("action", "hash")).alias("t"))
     until = F.lead("ordinal").over(Window.partitionBy(*KEY).orderBy("ordinal"))
     spans = last.withColumn("until", until).filter(F.col("t.action") != "D").select(*KEY, "ordinal", "until", "t.hash")
-    ranked = tags.withColumn("rank", F.row_number().over(Window.partitionBy("vault_id").orderBy(F.desc("ordinal"), F.desc("name"))))
-    at = ranked.select("vault_id", "name", "rank", F.col("ordinal").alias("tag_ordinal"))
-    inside = (F.col("tag_ordinal") >= F.col("ordinal")) & (F.col("until").isNull() | (F.col("tag_ordinal") < F.col("until")))
-    return spans.join(at, "vault_id").filter(inside).select("vault_id", "rank", "name", "path", "hash")
+    inside = lambda t: (t["ordinal"] >= F.col("ordinal")) & (F.col("until").isNull() | (t["ordinal"] < F.col("until")))
+    met = spans.join(ranked_tags(tags), "vault_id").select(*KEY, "hash", F.explode(F.filter("tags", inside)).alias("t"))
+    return met.select("vault_id", "t.rank", "t.name", "path", "hash")
 
 
 def changed_between_versions(trees: DataFrame) -> DataFrame:
@@ -82,8 +90,7 @@ def file_history(trees: DataFrame, tags_per_vault: DataFrame) -> DataFrame:
 def version_markers(trees: DataFrame, tags: DataFrame) -> DataFrame:
     """(vault_id, path, name, marker): default, changed_here, not_yet or deleted, for every path and tag."""
     paths = trees.groupBy(*KEY).agg(F.max("rank").alias("first"), F.min("rank").alias("last"))
-    ranked = tags.withColumn("rank", F.row_number().over(Window.partitionBy("vault_id").orderBy(F.desc("ordinal"), F.desc("name"))))
-    grid = paths.join(ranked.select("vault_id", "name", "rank"), "vault_id")
+    grid = paths.join(ranked_tags(tags), "vault_id").select(*KEY, "first", "last", F.explode("tags").alias("t")).select(*KEY, "first", "last", "t.name", "t.rank")
     changed = changed_between_versions(trees).select(*KEY, "rank", F.lit(True).alias("changed"))
     joined = grid.join(changed, [*KEY, "rank"], "left")
     marker = (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,12 +200,38 @@ def rate_limit(events: DataFrame, limit: int, seconds: int, by: str = "client_id
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("exceeded", F.col("in_window") >= limit)
 
 
-def debounce_batches(ops: DataFrame, idle_s: float, by: str = "client_id") -> DataFrame:
-    """(client, batch, ops, first_ts, last_ts): a batch ends where the next op is more than ``idle_s`` later."""
-    w = Window.partitionBy(by).orderBy("ts", "seq")
-    new = F.coalesce((_micros("ts") - _micros(F.lag("ts").over(w)) > int(idle_s * 1_000_000)).cast("int"), F.lit(0))
-    runs = ops.withColumn("__new", new).withColumn("batch", F.sum("__new").over(w))
-    return runs.groupBy(by, "batch").agg(F.count("*").alias("ops"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def debounce_batches(ops: DataFrame, idle_s: float, by: str = "client_id", max_delay_s: float | None = None) -> DataFrame:
+    """(client, batch, ops, first_ts, last_ts): a batch closes at an idle gap above ``idle_s``, or ``max_delay_s`` after its first op.
+
+    Gaps alone are runs by windows. The longest delay counts from the batch's
+    own first op, so with it Spark sorts each client's ops and they are read
+    batch by batch with two times carried on.
+    """
+    agg = [F.count("*").alias("ops"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+    if max_delay_s is None:
+        w = Window.partitionBy(by).orderBy("ts", "seq")
+        new = F.coalesce((_micros("ts") - _micros(F.lag("ts").over(w)) > int(idle_s * 1_000_000)).cast("int"), F.lit(0))
+        runs = ops.withColumn("__new", new).withColumn("batch", F.sum("__new").over(w))
+        return runs.groupBy(by, "batch").agg(*agg)
+    idle, most = int(idle_s * 1_000_000), int(max_delay_s * 1_000_000)
+    of_client, of_ts = (ops.schema[c].dataType.simpleString() for c in (by, "ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, first, last, n, begun = None, 0, 0, 0, False
+        for batch in batches:
+            numbers = []
+            for c, t in zip(batch.column("by").to_pylist(), batch.column("us").to_pylist(), strict=True):
+                if not begun or c != client:
+                    client, first, n, begun = c, t, 0, True
+                elif t - last > idle or t - first >= most:
+                    first, n = t, n + 1
+                last = t
+                numbers.append(n)
+            yield pa.record_batch({"by": batch.column("by"), "batch": pa.array(numbers, pa.int64()), "ts": batch.column("ts")})
+
+    rows = ops.select(F.col(by).alias("by"), "ts", "seq", _micros("ts").alias("us")).repartition("by").sortWithinPartitions("by", "us", "seq")
+    walked = rows.mapInArrow(run, f"by {of_client}, batch long, ts {of_ts}")
+    return walked.groupBy(F.col("by").alias(by), "batch").agg(*agg)
 
 
 def pack_batches_approx(ops: DataFrame, size: Column, target: int, by: str = "client_id", order: str = "seq") -> DataFrame:
@@ -214,23 +243,28 @@ def pack_batches_approx(ops: DataFrame, size: Column, target: int, by: str = "cl
 def pack_batches(ops: DataFrame, size: Column, target: int, by: str = "client_id", order: str = "seq") -> DataFrame:
     """(client, seq, chunk, more): greedy chunks in order; an op above the target has a chunk of its own.
 
-    Sequential by nature, so an ordered fold over each client's log.
+    Sequential by nature: Spark deals the logs out by client and sorts them,
+    and a log is read batch by batch with two numbers carried on.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<seq:bigint,chunk:int>>").alias("out"))
-
-    def step(acc: Column, op: Column) -> Column:
-        new = (acc["used"] > 0) & (acc["used"] + op["size"] > target)
-        chunk = acc["chunk"] + new.cast("int")
-        return F.struct(
-            (F.when(new, op["size"]).otherwise(acc["used"] + op["size"])).cast("long").alias("used"),
-            chunk.alias("chunk"),
-            F.concat(acc["out"], F.array(F.struct(op["seq"].alias("seq"), chunk.alias("chunk")))).alias("out"),
-        )
-
-    log = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("seq"), size.cast("long").alias("size"))))
-    folded = ops.groupBy(by).agg(F.aggregate(log, start, step, lambda acc: acc["out"]).alias("o"))
-    rows = folded.select(by, F.explode("o").alias("o")).select(by, "o.seq", "o.chunk")
-    return rows.withColumn("more", F.col("chunk") < F.max("chunk").over(Window.partitionBy(by)))
+    kind = ops.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, used, chunk, first = None, 0, 0, True
+        for batch in batches:
+            chunks = []
+            for c, n in zip(batch.column("by").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if first or c != client:
+                    client, used, chunk, first = c, 0, 0, False
+                if used > 0 and used + n > target:
+                    used, chunk = 0, chunk + 1
+                used += n
+                chunks.append(chunk)
+            yield pa.record_batch({"by": batch.column("by"), "seq": batch.column("seq"), "chunk": pa.array(chunks, pa.int32())})
+
+    rows = ops.select(F.col(by).alias("by"), F.col(order).cast("long").alias("seq"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    packed = rows.repartition("by").sortWithinPartitions("by", "seq").mapInArrow(run, f"by {kind}, seq long, chunk int")
+    last = packed.groupBy(F.col("by").alias("client")).agg(F.max("chunk").alias("last"))
+    return packed.join(last, F.col("by").eqNullSafe(F.col("client"))).select(F.col("by").alias(by), "seq", "chunk", (F.col("chunk") < F.col("last")).alias("more"))
 
 
 def fanout_ops(batches: DataFrame, clients: DataFrame) -> DataFrame:
@@ -248,11 +282,47 @@ def visible_ops(ops: DataFrame, admin: Column) -> DataFrame:
 
 
 def apply_ops(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
-    """(vault_id, path, hash): the tree after writes and deletes, the latest op of a path deciding."""
-    last = ops.groupBy("vault_id", "path").agg(F.max_by(F.struct("type", "hash"), "seq").alias("o"))
-    joined = snapshot.select("vault_id", "path", F.col("hash").alias("was")).join(last, ["vault_id", "path"], "full_outer")
-    now = F.when(F.col("o.type") == "delete", None).when(F.col("o.type") == "write", F.col("o.hash")).otherwise(F.col("was"))
-    return joined.select("vault_id", "path", now.alias("hash")).filter(F.col("hash").isNotNull())
+    """(vault_id, path, hash): the tree after writes, deletes and renames in order of seq.
+
+    A rename moves what its source held before; of a source that holds nothing
+    the target is absent. ``seq`` is unique in a vault. A path's life is a list
+    of spans between the ops that touch it, and a rename's target points at the
+    span of its source that ends there. Pointers over pointers are followed
+    with a doubled step each round, so that a chain of n renames takes log2(n)
+    joins of the renames alone; without renames none is made.
+    """
+    start = snapshot.select("vault_id", "path", F.lit(None).cast("long").alias("seq"), F.lit("write").alias("does"), "hash", F.lit(None).cast("string").alias("src"))
+    seq = F.col("seq").cast("long").alias("seq")
+    has = lambda name, kind="string": F.col(name) if name in ops.columns else F.lit(None).cast(kind)
+    plain = ops.filter("type in ('write', 'delete')").select("vault_id", "path", seq, F.col("type").alias("does"), F.when(F.col("type") == "write", F.col("hash")).alias("hash"), F.lit(None).cast("string").alias("src"))
+    moves = ops.filter((F.col("type") == "rename") & (has("from") != has("to")))
+    none = F.lit(None).cast("string")
+    leave = moves.select("vault_id", has("from").alias("path"), seq, F.lit("leave").alias("does"), none.alias("hash"), none.alias("src"))
+    come = moves.select("vault_id", has("to").alias("path"), seq, F.lit("come").alias("does"), none.alias("hash"), has("from").alias("src"))
+    touches = start.unionByName(plain).unionByName(leave).unionByName(come)
+    # A span goes by its first op's seq; ``before`` is the span of the path before it.
+    w = Window.partitionBy("vault_id", "path").orderBy("at")
+    spans = touches.withColumn("at", F.coalesce("seq", F.lit(-(1 << 62))))
+    spans = spans.withColumn("before", F.lag("at").over(w)).withColumn("is_last", F.lead("at").over(w).isNull())
+    written = spans.filter("does = 'write'")
+    settled = written.filter("is_last").select("vault_id", "path", "hash")
+    if "from" not in ops.columns or not moves.limit(1).count():
+        return settled
+    left_at = spans.filter("does = 'leave' and before is not null").select("vault_id", F.col("path").alias("src"), "seq", F.col("before").alias("src_at"))
+    chain = spans.filter("does = 'come'").join(left_at, ["vault_id", "src", "seq"]).select("vault_id", "path", "at", "is_last", "src", "src_at").checkpoint()
+    while True:
+        further = chain.select("vault_id", F.col("path").alias("src"), F.col("at").alias("src_at"), F.struct("src", "src_at").alias("next"))
+        ended = spans.filter("does = 'come'").select("vault_id", F.col("path").alias("src"), F.col("at").alias("src_at"), F.lit(True).alias("come"))
+        stepped = chain.join(further, ["vault_id", "src", "src_at"], "left").join(ended, ["vault_id", "src", "src_at"], "left")
+        # A target that came from nothing has no pointer, and so has nothing to give.
+        stepped = stepped.filter("next is not null or come is null")
+        go_on = F.col("next").isNotNull()
+        chain = stepped.select("vault_id", "path", "at", "is_last", F.when(go_on, F.col("next.src")).otherwise(F.col("src")).alias("src"), F.when(go_on, F.col("next.src_at")).otherwise(F.col("src_at")).alias("src_at"), go_on.alias("moved")).checkpoint()
+        if not chain.filter("moved").limit(1).count():
+            break
+        chain = chain.drop("moved")
+    source = written.select("vault_id", F.col("path").alias("src"), F.col("at").alias("src_at"), "hash")
+    return settled.unionByName(chain.filter("is_last").join(source, ["vault_id", "src", "src_at"]).select("vault_id", "path", "hash"))
 
 
 def vault_usage(state: DataFrame, sizes: str = "size") -> DataFrame:

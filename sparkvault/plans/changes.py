@@ -199,7 +199,43 @@ register(
     "w13_pack_batches_approx", lambda s, d: O.pack_batches_approx(V.ops(s, d), F.coalesce(F.octet_length("data"), F.lit(1)), 64).select("client_id", "seq", "chunk"),
     """SELECT client_id, seq, CAST(floor((sum(coalesce(strlen(data), 1)) OVER (PARTITION BY client_id ORDER BY seq) - coalesce(strlen(data), 1)) / 64) AS BIGINT) AS chunk FROM ops""", "ops",
 )
-register("w13_pack_batches", lambda s, d: O.pack_batches(V.ops(s, d), F.coalesce(F.octet_length("data"), F.lit(1)), 64))
+register(
+    "w13_pack_batches", lambda s, d: O.pack_batches(V.ops(s, d), F.coalesce(F.octet_length("data"), F.lit(1)), 64),
+    """WITH o AS (SELECT client_id, seq, coalesce(strlen(data), 1) AS n FROM ops),
+    r AS (SELECT client_id, seq, n AS used, 0 AS chunk FROM o WHERE seq = 1 UNION ALL
+        SELECT o.client_id, o.seq, CASE WHEN used > 0 AND used + n > 64 THEN n ELSE used + n END, chunk + CASE WHEN used > 0 AND used + n > 64 THEN 1 ELSE 0 END FROM r JOIN o ON o.client_id = r.client_id AND o.seq = r.seq + 1)
+    SELECT client_id, seq, chunk, chunk < max(chunk) OVER (PARTITION BY client_id) AS more FROM r""", "ops",
+)
+ORACLE["w13_pack_batches"] = ORACLE["w13_pack_batches"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+register(
+    "w6_debounce_max_delay", lambda s, d: O.debounce_batches(V.ops(s, d), 86_400, max_delay_s=3 * 86_400).select("client_id", "batch", "ops", "first_ts", "last_ts"),
+    """WITH o AS (SELECT client_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, seq) AS n FROM ops),
+    r AS (SELECT client_id, n, ts, us, us AS f, CAST(0 AS BIGINT) AS batch FROM o WHERE n = 1 UNION ALL
+        SELECT o.client_id, o.n, o.ts, o.us, CASE WHEN o.us - r.us > 86400000000 OR o.us - r.f >= 259200000000 THEN o.us ELSE r.f END,
+            r.batch + CASE WHEN o.us - r.us > 86400000000 OR o.us - r.f >= 259200000000 THEN 1 ELSE 0 END FROM r JOIN o ON o.client_id = r.client_id AND o.n = r.n + 1)
+    SELECT client_id, batch, count(*) AS ops, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY client_id, batch""", "ops",
+)
+ORACLE["w6_debounce_max_delay"] = ORACLE["w6_debounce_max_delay"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+def notes(s, d):
+    """A snapshot of the five paths that the ops name, in every vault."""
+    return V.ops(s, d).select("vault_id").distinct().select("vault_id", F.explode(F.array(*(F.lit(f"notes/{i}.md") for i in range(5)))).alias("path")).withColumn("hash", F.lit("first"))
+
+
+register(
+    "w10_apply_renames", lambda s, d: O.apply_ops(notes(s, d), V.ops(s, d).withColumn("seq", F.col("event_id"))),
+    """WITH o AS (SELECT vault_id, row_number() OVER (PARTITION BY vault_id ORDER BY event_id) AS n, type, hash, CAST(substr(coalesce(path, "from"), 7, 1) AS INTEGER) AS p, CAST(substr("to", 7, 1) AS INTEGER) AS t FROM ops),
+    r AS (SELECT DISTINCT vault_id, CAST(0 AS BIGINT) AS n, ['first', 'first', 'first', 'first', 'first'] AS s FROM o UNION ALL
+        SELECT o.vault_id, o.n, list_transform([0, 1, 2, 3, 4], lambda i: CASE WHEN o.type = 'write' AND i = o.p THEN o.hash WHEN o.type = 'delete' AND i = o.p THEN NULL
+            WHEN o.type = 'rename' AND o.p <> o.t AND i = o.t THEN r.s[o.p + 1] WHEN o.type = 'rename' AND o.p <> o.t AND i = o.p THEN NULL ELSE r.s[i + 1] END)
+        FROM r JOIN o ON o.vault_id = r.vault_id AND o.n = r.n + 1),
+    l AS (SELECT vault_id, arg_max(s, n) AS s FROM r GROUP BY vault_id), u AS (SELECT vault_id, unnest([0, 1, 2, 3, 4]) AS i, unnest(s) AS hash FROM l)
+    SELECT vault_id, 'notes/' || i || '.md' AS path, hash FROM u WHERE hash IS NOT NULL""", "ops",
+)
+ORACLE["w10_apply_renames"] = ORACLE["w10_apply_renames"].replace("WITH", "WITH RECURSIVE", 1)
 register(
     "w10_apply_ops",
     lambda s, d: O.apply_ops(V.manifest(s, d).select("vault_id", "path", "hash"), C.reconcile(V.disk(s, d), V.manifest(s, d)).withColumn("seq", F.lit(1))),

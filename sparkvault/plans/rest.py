@@ -212,10 +212,34 @@ def stateful(s, d):
     )
 
 
-# Sequential by nature: no SQL; tested against plain loops.
-register("t3_staged_commits", lambda s, d: drained(T.staged_commits(stateful(s, d), max_bytes=100, max_ops=5, max_delay_s=86_400, quiet_s=21_600, by_clock=False)))
-register("t8_rate_limit", lambda s, d: drained(T.rate_limit(stateful(s, d), 3, 86_400)).select("client_id", "seq", "refused"))
-register("t9_stuck_writes", lambda s, d: drained(T.stuck_writes(stateful(s, d))).select("client_id", "path", "seq", "stuck"))
+# Sequential by nature: the SQL walks every key's events by recursion.
+KEYED = """e AS (SELECT 'c' || user_id AS client_id, 'n' || event_id % 4 AS path, event_id AS seq, 'h' || event_id % 3 AS hash, epoch_us(ts) AS us, epoch_ms(ts) AS ms, length(props) AS bytes,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events)"""
+register(
+    "t3_staged_commits", lambda s, d: drained(T.staged_commits(stateful(s, d), max_bytes=100, max_ops=5, max_delay_s=86_400, quiet_s=21_600, by_clock=False)),
+    f"""WITH RECURSIVE {KEYED}, z AS (SELECT client_id, k, ms, bytes FROM e),
+    r AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ops, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS l, CAST([] AS STRUCT(o BIGINT, b BIGINT, w VARCHAR)[]) AS done FROM z UNION ALL
+        SELECT client_id, k, CASE WHEN full_ THEN 0 ELSE o END, CASE WHEN full_ THEN 0 ELSE b END, f, l,
+            list_concat(CASE WHEN late THEN [{{'o': po, 'b': pb, 'w': why}}] ELSE [] END, CASE WHEN full_ THEN [{{'o': o, 'b': b, 'w': CASE WHEN b >= 100 THEN 'byte_cap' ELSE 'file_cap' END}}] ELSE [] END)
+        FROM (SELECT *, b >= 100 OR o >= 5 AS full_ FROM (SELECT *, CASE WHEN late OR po = 0 THEN 1 ELSE po + 1 END AS o, CASE WHEN late OR po = 0 THEN size ELSE pb + size END AS b, CASE WHEN late OR po = 0 THEN ms ELSE pf END AS f, ms AS l
+            FROM (SELECT z.client_id, z.k, z.ms, CAST(z.bytes AS BIGINT) AS size, r.ops AS po, r.bytes AS pb, r.f AS pf, r.ops > 0 AND (z.ms - r.l >= 21600000 OR z.ms - r.f >= 86400000) AS late, CASE WHEN z.ms - r.l >= 21600000 THEN 'quiet' ELSE 'max_delay' END AS why
+                FROM r JOIN z ON z.client_id = r.client_id AND z.k = r.k + 1))))
+    SELECT client_id, d.o AS ops, d.b AS bytes, d.w AS reason FROM (SELECT client_id, unnest(done) AS d FROM r)""",
+)
+register(
+    "t8_rate_limit", lambda s, d: drained(T.rate_limit(stateful(s, d), 3, 86_400)).select("client_id", "seq", "refused"),
+    f"""WITH RECURSIVE {KEYED}, r AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS kept, false AS refused FROM e UNION ALL
+        SELECT client_id, n, seq, CASE WHEN len(now) >= 3 THEN now ELSE list_append(now, us) END, len(now) >= 3
+        FROM (SELECT e.client_id, e.n, e.seq, e.us, list_filter(r.kept, lambda x: x > e.us - 86400000000) AS now FROM r JOIN e ON e.client_id = r.client_id AND e.n = r.n + 1))
+    SELECT client_id, seq, refused FROM r WHERE n > 0""",
+)
+register(
+    "t9_stuck_writes", lambda s, d: drained(T.stuck_writes(stateful(s, d))).select("client_id", "path", "seq", "stuck"),
+    f"""WITH RECURSIVE {KEYED}, r AS (SELECT DISTINCT client_id, path, CAST(0 AS BIGINT) AS m, CAST(NULL AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS kept, false AS stuck FROM e UNION ALL
+        SELECT e.client_id, e.path, e.m, e.seq, CASE WHEN list_contains(r.kept, e.hash) THEN r.kept ELSE list_append(r.kept, e.hash)[-3:] END, list_contains(r.kept, e.hash)
+        FROM r JOIN e ON e.client_id = r.client_id AND e.path = r.path AND e.m = r.m + 1)
+    SELECT client_id, path, seq, stuck FROM r WHERE m > 0""",
+)
 
 
 def latest_staged(s, d):
