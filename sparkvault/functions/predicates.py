@@ -54,22 +54,17 @@ def basename(path: Column) -> Column:
 
 def invalid_op(kind: Column, seq: Column, ts: Column, path: Column, source: Column, to: Column, data: Column, binary: Column, pre_hash: Column) -> Column:
     """Why an op breaks the rules of its type, or null."""
-    none = lambda c: F.coalesce(c, F.lit("")) == ""
-    carries = data.isNotNull() | F.coalesce(binary, F.lit(False))
-    write = F.when(none(path), "write requires path").when(data.isNull(), "write requires data").when(~none(source) | ~none(to), "write must not carry from/to")
-    delete = (
-        F.when(none(path), "delete requires path").when(pre_hash.isNull(), "delete requires pre_hash")
-        .when(carries, "delete must not carry data/binary").when(~none(source) | ~none(to), "delete must not carry from/to")
-    )
-    rename = (
-        F.when(none(source) | none(to), "rename requires from and to").when(pre_hash.isNull(), "rename requires pre_hash")
-        .when(~none(path), "rename must not carry path").when(carries, "rename must not carry data/binary")
-    )
-    return (
-        F.when(F.coalesce(seq, F.lit(0)) <= 0, "seq must be > 0").when(F.coalesce(ts, F.lit(0)) <= 0, "ts must be positive")
-        .when(kind == "write", write).when(kind == "delete", delete).when(kind == "rename", rename)
-        .otherwise("unknown op type")
-    )
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    loaded = data.isNotNull() | F.coalesce(binary, F.lit(False))
+    ends = ~blank(source) | ~blank(to)
+    rules = {
+        "write": [("no_path", blank(path)), ("no_data", data.isNull()), ("has_ends", ends)],
+        "delete": [("no_path", blank(path)), ("no_pre_hash", pre_hash.isNull()), ("has_data", loaded), ("has_ends", ends)],
+        "rename": [("no_ends", blank(source) | blank(to)), ("no_pre_hash", pre_hash.isNull()), ("has_path", ~blank(path)), ("has_data", loaded)],
+    }
+    broken = [F.when((kind == k) & test, code) for k, tests in rules.items() for code, test in tests]
+    numbered = [F.when(F.coalesce(c, F.lit(0)) <= 0, code) for code, c in (("bad_seq", seq), ("bad_ts", ts))]
+    return F.coalesce(*numbered, *broken, F.when(~F.coalesce(kind.isin(*rules), F.lit(False)), "bad_type"))
 
 
 @F.pandas_udf(BooleanType())

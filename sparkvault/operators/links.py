@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")
 
 
-def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_links(links: DataFrame, files: DataFrame, normalizer: Callable[[Column], Column] = case_fold) -> DataFrame:
     """``links`` (vault_id, target) with dst_path and how: exact, basename, folded, or null.
 
     The exact path (with or without .md) wins over the basename, that over
-    the case-folded basename; the smallest path answers for several.
+    the basename after ``normalizer``, by default case-folded; the smallest
+    path answers for several.
     """
     lookup = lambda key, name: files.groupBy("vault_id", key.alias("__key")).agg(F.min("path").alias(name))
     exact = files.select("vault_id", F.regexp_replace("path", r"\.md$", "").alias("__key"), F.col("path").alias("exact"))
@@ -25,7 +28,7 @@ def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     target = F.regexp_replace(F.regexp_replace("target", "^/+", ""), r"\.md$", "")
     rows = links.withColumn("__key", target).join(exact, ["vault_id", "__key"], "left")
     rows = rows.withColumn("__key", F.regexp_extract("__key", "[^/]*$", 0)).join(lookup(_stem(F.col("path")), "by_name"), ["vault_id", "__key"], "left")
-    rows = rows.withColumn("__key", case_fold(F.col("__key"))).join(lookup(case_fold(_stem(F.col("path"))), "by_fold"), ["vault_id", "__key"], "left")
+    rows = rows.withColumn("__key", normalizer(F.col("__key"))).join(lookup(normalizer(_stem(F.col("path"))), "by_fold"), ["vault_id", "__key"], "left")
     bare = ~F.contains(target, F.lit("/"))
     name, fold = F.when(bare, F.col("by_name")), F.when(bare, F.col("by_fold"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(name.isNotNull(), "basename").when(fold.isNotNull(), "folded")

@@ -99,7 +99,7 @@ register("h22_excerpt", lambda s, d: V.table(s, d, "documents").select("doc_id",
 register("h23_op_paths", lambda s, d: V.ops(s, d).select("event_id", E.primary_path(F.col("type"), F.col("path"), F.col("from")).alias("p"), E.target_path(F.col("type"), F.col("path"), F.col("to")).alias("t")),
          'SELECT event_id, coalesce("from", path) AS p, coalesce("to", path) AS t FROM ops', "ops")
 register("p1_validate_ops", lambda s, d: V.ops(s, d).select("event_id", P.invalid_op(F.col("type"), F.col("seq") - 1, F.lit(1), F.col("path"), F.col("from"), F.col("to"), F.col("data"), F.col("binary"), F.when(F.col("event_id") % 7 > 0, F.col("pre_hash"))).alias("r")),
-         """SELECT event_id, CASE WHEN seq = 1 THEN 'seq must be > 0' WHEN type = 'write' THEN NULL WHEN event_id % 7 = 0 THEN type || ' requires pre_hash' WHEN "binary" THEN type || ' must not carry data/binary' END AS r FROM ops""", "ops")
+         """SELECT event_id, CASE WHEN seq = 1 THEN 'bad_seq' WHEN type = 'write' THEN NULL WHEN event_id % 7 = 0 THEN 'no_pre_hash' WHEN "binary" THEN 'has_data' END AS r FROM ops""", "ops")
 register("p2_validate_path", lambda s, d: paths(s, d).select("doc_id", P.invalid_path(F.col("path")).alias("r")),
          f"""WITH {PATHS} SELECT doc_id, CASE WHEN path = '' THEN 'empty path' WHEN contains(path, '\\') THEN 'backslash' WHEN path LIKE '/%' THEN 'not relative' WHEN contains(path, '//') OR contains(path, '/../') THEN 'not clean'
          WHEN path LIKE '%.' THEN 'trailing dot' WHEN contains(path, ' /') THEN 'trailing space' WHEN contains(path, '/.') THEN 'hidden component' WHEN path IN ('con.txt', 'dir/LPT1') THEN 'reserved name' END AS r FROM p""", "manifest")
