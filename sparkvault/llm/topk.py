@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a candidate block and of a query block.
-CANDIDATES, QUERIES = 16_384, 1_024
+CANDIDATES, QUERIES = 16_384, 8_192
 #: Dimensions taken at once.
 DIM_BLOCK = 8
 
@@ -75,8 +75,10 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
                 compact = compact[last - first :]
             if len(alive) > k:
                 slack = queries_rest[b + 1, i] * rows_rest[b + 1, alive]
-                floor = np.partition(partial - slack, len(alive) - k)[len(alive) - k]
-                keep = partial + slack >= floor - 1
+                near = partial.astype(np.float64)
+                floor = np.partition(near - slack, len(alive) - k)[len(alive) - k]
+                # Sums above 2^53 are rounded here; what the rounding can hide stays in.
+                keep = near + slack >= floor - 1 - 1e-12 * (np.abs(near) + slack + abs(floor))
                 if keep.mean() < 0.75:
                     compact = (columns[last:, alive[keep]] if compact is None else compact[:, keep])
                     alive, partial = alive[keep], partial[keep]
@@ -103,7 +105,8 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if float(np.abs(queries).max()) * float(np.abs(rows).max()) * queries.shape[1] >= 2.0**62:
             queries, rows = queries.astype(object), rows.astype(object)
         at, found, scores = search_block(queries, query_ids, rows, ids, k)
-        return pa.table({"query_id": query_ids[at], "vec_id": found, "score": pa.array(scores.tolist(), pa.int64())})
+        scores = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores.tolist()]
+        return pa.table({"query_id": query_ids[at], "vec_id": found, "score": pa.array(scores, pa.int64())})
 
     return run
 
@@ -115,8 +118,9 @@ def top_k(
 
     Candidates are all other rows of the query's dimension; ties go to the
     smaller id, fewer than k candidates give fewer rows. Rows that repeat an
-    id are candidates each and no candidates of their own id. Scores must fit
-    in 64 bits.
+    id are candidates each and no candidates of their own id. Components are
+    64-bit integers, the nearest where 1024 times them is beyond; scores
+    beyond 64 bits are returned as the nearest 64-bit number.
     """
     rows = quantized(vectors, key, embedding, scale)
     asked = quantized(vectors.filter(is_query), key, embedding, scale).dropDuplicates(["id"])

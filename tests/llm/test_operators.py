@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -257,6 +258,20 @@ def test_top_k_equals_brute_force(spark):
     assert not any(i >= 900 for i, _ in got)
 
 
+def test_top_k_of_huge_components(spark):
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) * 2.0 ** r.randrange(0, 50) for _ in range(24)]) for i in range(80)] + [(100, [1e300] * 24), (101, [-1e300] * 24), (102, [1e300] * 24)]
+    got = defaultdict(list)
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 7).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    q = {i: [clip(math.floor(1024 * x)) for x in v] for i, v in rows}
+    for i in [i for i in q if i % 10 == 0]:
+        exact = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)
+        clipped = sorted((-clip(-s), j) for s, j in exact)
+        assert [s for _, s in got[i]] == [-s for s, _ in clipped[:7]]
+
+
 def test_top_k_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in topk.top_k(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
