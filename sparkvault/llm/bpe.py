@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sparkvault.llm._common import mix64, n_blocks, slices
 
 #: Bytes of text and rows of a block; one task holds one block at a time.
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 200_000
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 400_000
 #: Blocks that share word groups, and how many groups these share.
 SUPER_BLOCKS, GROUPS = 64, 64
 
@@ -91,24 +91,29 @@ def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(sorted(id_pieces(tokenizer_path).items()), "id int, piece string")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(number, rows) of the blocks of one partition; null texts are empty."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.ChunkedArray, pa.Array]]:
+    """(number, keys, texts) of the blocks of one partition; null texts are empty."""
     part, n, held, size, rows = TaskContext.get().partitionId() << 24, 0, [], 0, 0
+
+    def closed() -> tuple[int, pa.ChunkedArray, pa.Array]:
+        table = pa.Table.from_batches(held)
+        texts = table.column("text").cast(pa.large_string()) if size >= 1 << 30 else table.column("text")
+        return part + n, table.column("key"), texts.combine_chunks().fill_null("")
+
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_string()).fill_null("")
-        table = pa.table({"key": batch.column("key"), "text": texts})
-        for first, last in slices(pc.binary_length(texts).to_pylist(), BLOCK_BYTES):
-            held.append(table.slice(first, last - first))
-            size += held[-1].nbytes
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        for first, last in slices(lengths, BLOCK_BYTES):
+            held.append(batch.slice(first, last - first))
+            size += sum(lengths[first:last])
             rows += last - first
             if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
-                yield part + n, pa.concat_tables(held).combine_chunks()
+                yield closed()
                 n, held, size, rows = n + 1, [], 0, 0
     if held:
-        yield part + n, pa.concat_tables(held).combine_chunks()
+        yield closed()
 
 
-def _coded(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Words of each text, the code of every word, the distinct words by code, and the group of each of them."""
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
@@ -129,8 +134,8 @@ def _words(super_blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """The blocks' messages to the word groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _blocks(batches):
-            _, _, words, group = _coded(rows.column("text").chunk(0))
+        for block, _, texts in _blocks(batches):
+            _, _, words, group = _coded(texts)
             own = int(mix64(np.array([block]))[0] % np.uint64(super_blocks)) * GROUPS
             sent = [(own + g, block, g, zlib.crc32(message), zstd(message)) for g, _, message in _by_group(words, group)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -141,14 +146,18 @@ def _words(super_blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a block keeps of its documents: keys, numbers of words, codes, and the codes' groups."""
+    """What a block keeps of its documents: keys, numbers of words, codes, the codes' groups, and the check sums of its messages."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-    for block, rows in _blocks(batches):
-        n_words, codes, _, group = _coded(rows.column("text").chunk(0))
+    for block, keys, texts in _blocks(batches):
+        n_words, codes, words, group = _coded(texts)
+        sums = np.zeros(GROUPS, np.uint32)
+        for g, _, message in _by_group(words, group):
+            sums[g] = zlib.crc32(message)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.select(["key"]).schema, options=options) as out:
-            out.write_table(rows.select(["key"]))
-        kept = {"keys": sink.getvalue().to_pybytes(), "n_words": squeezed(n_words), "codes": squeezed(codes), "parts": squeezed(group)}
+        table = pa.table({"key": keys})
+        with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+            out.write_table(table)
+        kept = {"keys": sink.getvalue().to_pybytes(), "n_words": squeezed(n_words), "codes": squeezed(codes), "parts": squeezed(group), "sums": squeezed(sums)}
         yield pa.record_batch({"block": pa.array([block], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in kept.items()})
 
 
@@ -194,26 +203,29 @@ class Block:
     """The documents of a block: keys, ids and, where these were asked for, pieces."""
 
     def __init__(self, kept: pa.Table, replies: pa.Table):
-        one = {c: kept.column(c)[0].as_py() for c in ("keys", "n_words", "codes", "parts")}
+        one = {c: kept.column(c)[0].as_py() for c in ("keys", "n_words", "codes", "parts", "sums")}
         self.keys = pa.ipc.open_stream(one["keys"]).read_all().column("key")
-        group, codes, words = unsqueezed(one["parts"]), unsqueezed(one["codes"]), _starts(unsqueezed(one["n_words"]))
-        row, base = np.full(len(group), -1, np.int64), 0
+        group, words, sums = unsqueezed(one["parts"]), _starts(unsqueezed(one["n_words"])), unsqueezed(one["sums"])
+        row, base = np.full(len(group), -1, np.int32), 0
         n_ids, ids, n_bytes, shown = [], [], [], []
-        for part, *answer in zip(*(replies.column(c).to_pylist() for c in ("part", "n_ids", "ids", "n_bytes", "bytes")), strict=True):
+        for part, told, *answer in zip(*(replies.column(c).to_pylist() for c in ("part", "sum", "n_ids", "ids", "n_bytes", "bytes")), strict=True):
             n_ids.append(unsqueezed(answer[0]))
             ids.append(unsqueezed(answer[1]))
             if answer[2] is not None:
                 n_bytes.append(unsqueezed(answer[2]))
                 shown.append(unzstd(answer[3]))
             own = np.flatnonzero(group == part)
-            if len(own) != len(n_ids[-1]):
+            if told != sums[part] or len(own) != len(n_ids[-1]):
                 raise ValueError("a block came out otherwise for its words than for its codes")
             row[own] = base + np.arange(len(own))
             base += len(own)
-        at = pa.array(row[codes])
+        if (row < 0).any():
+            raise ValueError("a block has words that no group answered for")
+        at = pa.array(row[unsqueezed(one.pop("codes"))])
         every = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        taken = pa.LargeListArray.from_arrays(pa.array(_starts(np.concatenate(n_ids) if n_ids else []), pa.int64()), pa.array(every, pa.uint32())).take(at)
+        taken = pa.ListArray.from_arrays(pa.array(_starts(np.concatenate(n_ids) if n_ids else []), pa.int32()), pa.array(every, pa.uint32())).take(at)
         self.ids, self.id_at = taken.flatten().to_numpy(), taken.offsets.to_numpy()[words]
+        del taken, ids, n_ids, every
         self.shown, self.shown_at = None, None
         if shown:
             offsets = pa.py_buffer(_starts(np.concatenate(n_bytes)))
@@ -255,7 +267,7 @@ def encoded_blocks(
     are empty.
     """
     blocks = n_blocks(docs, text, BLOCK_BYTES, BLOCK_ROWS)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).coalesce(blocks)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).coalesce(2 * blocks)
     messages = rows.mapInArrow(_words(-(-blocks // SUPER_BLOCKS)), "group long, block long, part int, sum long, words binary").groupBy("group")
 
     def answer(table: pa.Table) -> pa.Table:
@@ -282,7 +294,7 @@ def encoded_blocks(
     else:
         coded = messages.applyInArrow(code, "group long, at int, ids array<int>")
         replies = messages.cogroup(joined_pieces(coded, vocab).groupBy("group")).applyInArrow(answer_joined, REPLY)
-    kept = rows.mapInArrow(_codes, "block long, keys binary, n_words binary, codes binary, parts binary")
+    kept = rows.mapInArrow(_codes, "block long, keys binary, n_words binary, codes binary, parts binary, sums binary")
     return kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: assemble(Block(left, right)), schema)
 
 
