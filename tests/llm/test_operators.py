@@ -294,6 +294,50 @@ def test_language_code_lengths_are_exact(spark):
         assert np.allclose(bits, want, rtol=1e-5)
 
 
+def brute_ppm(train, texts, order=3):
+    """Prediction by partial matching with dictionaries of byte strings, escape C, statistics frozen: bits by language."""
+    import re
+
+    clean = lambda t: re.sub(r"[\W\d_]+", " ", (t or "").lower()).strip().encode()
+    seen = defaultdict(lambda: defaultdict(Counter))
+    for lang, t in train:
+        if kept := clean(t):
+            padded = b" " * order + kept + b" "
+            for i in range(order, len(padded)):
+                for k in range(order + 1):
+                    seen[lang][padded[i - k : i]][padded[i]] += 1
+
+    def bits(lang, context, byte):
+        followers = seen[lang].get(context)
+        if not followers:
+            return bits(lang, context[1:], byte) if context else 8.0
+        total, kinds = sum(followers.values()), len(followers)
+        if followers[byte]:
+            return -math.log2(followers[byte] / (total + kinds))
+        return -math.log2(kinds / (total + kinds)) + (bits(lang, context[1:], byte) if context else 8.0)
+
+    out = []
+    for t in texts:
+        padded = b" " * order + clean(t) + b" "
+        out.append({lang: sum(bits(lang, padded[i - order : i], padded[i]) for i in range(order, len(padded))) for lang in seen})
+    return out
+
+
+def test_language_equals_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid.fit(docs.filter("doc_id % 3 <> 0"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, trees).collect()}
+    bits = brute_ppm([(r.lang, r.text) for r in rows if r.doc_id % 3 and r.lang and r.text], [r.text for r in rows])
+    for r, b in zip(rows, bits, strict=True):
+        if r.text and any(map(str.isalpha, r.text)):
+            best = min(b, key=lambda x: (b[x], x))
+            share = 1 / sum(2.0 ** max(-1000, b[best] - x) for x in b.values())
+            assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - share) < 1e-3
+        else:
+            assert got[r.doc_id] == ("und", 0.0)
+
+
 def test_language_sample_is_bounded_and_whole(spark):
     rows = [(i, "same text again", "x") for i in range(300)] + [(1000, "hot", "y")] * 500 + [(2000 + i, f"text {i}", "z") for i in range(40)] + [(1, None, "w"), (2, "t", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
@@ -445,6 +489,37 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert sorted(int(r.surrogate) for r in pii.surrogates(tight, b"k").collect()) == sorted({int(r.surrogate) for r in pii.surrogates(tight, b"k").collect()})
 
 
+def test_surrogates_of_many_names_and_short_addresses(spark):
+    names = [(f"name_{g}", f"Person{g}{chr(97 + i % 26)}{chr(97 + i // 26)} Name{chr(97 + i % 7)}") for g in "fmn" for i in range(340)]
+    short = [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = pii.surrogates(spark.createDataFrame(names + short, "kind string, norm string"), b"k").collect()
+    assert len(out) == 1020 + 676
+    for kind in ("name", "email"):
+        own = [r.surrogate for r in out if r.kind.startswith(kind)]
+        assert len(set(own)) == len(own) and not set(own) & {r.norm for r in out if r.kind.startswith(kind)}
+
+
+def test_surrogates_change_nothing_but_the_entities(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
+    drawn = {}
+    for r in docs.collect():
+        found, new, at = pii.find(r.text), out[r.doc_id].text, 0
+        assert out[r.doc_id].n_entities == len(found)
+        end = 0
+        for e in found:
+            kept = r.text[end : e["start"]]
+            assert new[at : at + len(kept)] == kept
+            at, end = at + len(kept), e["end"]
+            following = r.text[end : end + 12]
+            stop = new.index(following, at) if following else len(new)
+            surface, shown = r.text[e["start"] : end], new[at:stop]
+            assert shown != surface and drawn.setdefault((e["kind"], e["norm"], surface), shown) == shown
+            at = stop
+        assert new[at:] == (r.text or "")[end:] if r.text is not None else new is None
+    assert drawn and len({(k, v) for (k, _, _), v in drawn.items()}) == len({(k, s) for k, _, s in drawn})
+
+
 def test_quality_classifier(spark, sf, odd, none):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 != 0
@@ -470,6 +545,41 @@ def test_discriminant_equals_the_formula():
     assert np.allclose(model.scores(at), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def brute_features(text):
+    t = text or b""
+    n, words = max(1, len(t)), t.split()
+    lines = [x for x in t.split(b"\n") if x.split()]
+    w = max(1, len(words))
+    share = lambda chars: math.sqrt(sum(b in chars for b in t) / n)
+    return [
+        math.log(1 + len(words)), math.log(1 + sum(map(len, words)) / w), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#*$%&<>@^~={}[]_\\"),
+        share(b"!?"), share(b"|"), share(b".,;:"), math.sqrt(sum(b > 127 for b in t) / n), share(b" \t\n\x0b\f\r"), math.log(1 + 50 * len(lines) / w),
+        math.sqrt(1 - len(set(lines)) / max(1, len(lines))) if lines else 0.0, len(set(words)) / w, sum(len(x) <= 2 for x in words) / w if words else 0.0,
+        math.sqrt(sum(x[-1] < 128 and not x[-1:].isalpha() for x in words) / w),
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.doc_id % 5}
+    x = {i: np.array(brute_features(t)) for i, t in rows.items()}
+    assert np.allclose(np.array(list(x.values())), quality_classifier.features(list(rows.values())))
+    of = {c: np.array([x[i] for i, q in quality.items() if q == c and i in x]) for c in (0, 1)}
+    scatter = {c: (v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) for c, v in of.items()}
+    pooled = (scatter[0] + scatter[1]) / (len(of[0]) + len(of[1]) - 2)
+    logs = {}
+    for c, v in of.items():
+        weight = 0.2 + 0.8 * 15 / (15 + len(v))
+        cov = (1 - weight) * scatter[c] / (len(v) - 1) + weight * pooled
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 1e-4 * np.eye(15)
+        d = np.array(list(x.values())) - v.mean(axis=0)
+        logs[c] = -0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(v))
+    want = dict(zip(x, 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -30, 30))), strict=True))
+    got = quality_classifier.classify(docs, labels, lambda i: i % 5 != 0).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
 def test_features_of_edges():
     x = quality_classifier.features([None, b"", b" \n", b"A b\nA b\n", "é é".encode(), b"w" * 5_000_000])
     assert np.isfinite(x).all() and (x[0] == x[1]).all()

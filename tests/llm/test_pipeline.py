@@ -61,6 +61,38 @@ def test_run(spark, sf):
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
 
 
+def test_run_equals_the_stages_by_brute_force(spark, sf):
+    """Quality rules, near-duplicates and pieces by plain loops; languages and surrogates by their operators."""
+    from test_operators import brute_components, brute_counts
+
+    from sparkvault.llm import bpe, langid
+    from sparkvault.llm.queries import tokenizer_path
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = table.collect()
+    counts = {r.doc_id: brute_counts(r.text) for r in rows}
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(r.source, []).append(counts[r.doc_id][-1])
+    rates = [sum(x) / len(x) for h, x in hosts.items() if h is not None]
+    mean = sum(rates) / len(rates)
+    var = sum((x - mean) ** 2 for x in rates) / len(rates)
+    prior = max(mean * (1 - mean) / var - 1 if var else 0, 1)
+    bad = {h for h, x in hosts.items() if h is not None and (sum(x) + mean * prior) / (len(x) + prior) > 0.5}
+    passed = [r for r in rows if not counts[r.doc_id][-1] and r.source not in bad]
+    kept = spark.createDataFrame(passed, table.schema)
+    known = {r.doc_id for r in langid.predict(kept, langid.fit(kept)).filter("lang_pred <> 'und' and score >= 0.5").collect()}
+    texts = sorted((r.doc_id, r.text) for r in passed if r.doc_id in known)
+    ids = {i for i, _, _, k in brute_components(texts, 80) if k}
+    private = {r.doc_id: r.text for r in pii.pseudonymise(table.filter(table.doc_id.isin(list(ids))), corpus_pipeline.PII_KEY).collect()}
+    coder = bpe.load_tokenizer(tokenizer_path())
+    want = {i: len(coder.encode(private[i], add_special_tokens=False).ids) + 1 for i in ids}
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == want
+
+
 def test_empty(spark, docs):
     current = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
