@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkvault.functions.predicates import is_hidden
 from sparkvault.operators.changes import fold_latest
+from sparkvault.operators.search import gram_part
 
 OP_SCHEMA = "vault_id string, client_id string, seq long, type string, path string, `from` string, `to` string, data string, binary boolean, pre_hash string, ts timestamp, author string"
 MANIFEST_SCHEMA = "vault_id string, row_no long, path string, hash string, binary boolean, deleted boolean"
@@ -121,12 +122,6 @@ def write_conflict_log(entries: DataFrame, path: str) -> None:
 
 
 INDEX_VERSION = 2
-#: Folders of a saved index; a gram's folder follows from the gram.
-GRAM_PARTS = 64
-
-
-def gram_part(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(GRAM_PARTS)).cast("int")
 
 
 def save_index(postings: DataFrame, root: str) -> None:

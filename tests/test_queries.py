@@ -164,6 +164,17 @@ def test_search_ranks(spark):
     assert s.snippet == "alpha text" and [tuple(h) for h in s.highlights] == [(0, 5)]
 
 
+def test_search_in_a_saved_index_and_with_many_grams(spark, tmp_path):
+    long = " ".join(f"word{i}x{i * 7}" for i in range(60))
+    docs = spark.createDataFrame([("v", f"{i}.md", f"T{i}", ["t"], long if i % 2 else long[: 20 * i]) for i in range(12)], "vault_id string, path string, title string, tags array<string>, body string")
+    queries = spark.createDataFrame([(1, long), (2, "word1x7 word2x14")], "qid int, q string")
+    index = search.build_index(docs)
+    files.save_index(index, str(tmp_path / "i"))
+    want = search.search(index, queries, docs).collect()
+    assert len([r for r in want if r.qid == 1 and r.score == 1]) == 6
+    assert sorted(map(tuple, want)) == sorted(map(tuple, search.search(files.load_index(spark, str(tmp_path / "i")), queries, docs).collect()))
+
+
 def test_delimited_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿x;y\n"a;b";2,5\nlone\n')
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
