@@ -246,10 +246,58 @@ class Block:
         return self.shown[first : max(first, last - 1)]
 
 
+def _strings(lengths: np.ndarray, data: bytes) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(_starts(lengths).astype(np.int32)), pa.py_buffer(data))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, at, pos, id, piece) rows, those of a group compressed together, some 200,000 at a time."""
+    kinds = {"group": pa.int64()} | {c: pa.binary() for c in ("at", "pos", "ids", "n_bytes", "bytes")}
+    held, n = [], 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).sort_by("group")
+        groups, firsts = np.unique(table.column("group").to_numpy(), return_index=True)
+        for group, first, last in zip(groups.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(table)], strict=True):
+            own = table.slice(first, last - first).combine_chunks()
+            at, pos, ids = (own.column(c).to_numpy().astype(np.uint32) for c in ("at", "pos", "id"))
+            pieces = own.column("piece").cast(pa.binary())
+            row = {
+                "group": group, "at": squeezed(np.diff(at, prepend=np.uint32(0))), "pos": squeezed(pos), "ids": squeezed(ids),
+                "n_bytes": squeezed(pc.binary_length(pieces).to_numpy()), "bytes": zstd(b"".join(pieces.to_pylist())),
+            }
+            yield pa.record_batch({c: pa.array([row[c]], kind) for c, kind in kinds.items()})
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= 200_000:
+            yield from sent()
+            held, n = [], 0
+    if n:
+        yield from sent()
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, pa.Array, pa.StringArray]:
+    """(at, ids, pieces) of one group by at and pos; the rows may have come in any order."""
+    parts = [table.column(c).to_pylist() for c in ("at", "pos", "ids", "n_bytes", "bytes")]
+    if not parts[0]:
+        return np.empty(0, np.int64), pa.array([], pa.int32()), pa.array([], pa.string())
+    at = np.concatenate([np.cumsum(unsqueezed(x), dtype=np.uint32) for x in parts[0]])
+    pos, ids, lengths = (np.concatenate(list(map(unsqueezed, x))) for x in parts[1:4])
+    order = pa.array(np.lexsort((pos, at)))
+    pieces = _strings(lengths, b"".join(map(unzstd, parts[4])))
+    return np.sort(at).astype(np.int64), pa.array(ids.astype(np.int32)).take(order), pieces.take(order)
+
+
 def joined_pieces(coded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(group, at, pos, id, piece) of ``coded`` (group, at, ids): the ids' pieces through a join with the vocabulary, which its file bounds."""
+    """The ids of ``coded`` (group, at, ids) with their pieces, packed by group.
+
+    A join of every id with the vocabulary, which its file bounds.
+    """
     exploded = coded.select("group", "at", F.posexplode("ids").alias("pos", "id"))
-    return exploded.join(F.broadcast(vocab), "id").select("group", "at", "pos", "id", "piece")
+    joined = exploded.join(F.broadcast(vocab), "id").select("group", "at", "pos", "id", "piece")
+    return joined.mapInArrow(_packed, "group long, at binary, pos binary, ids binary, n_bytes binary, bytes binary")
 
 
 def encoded_blocks(
@@ -281,13 +329,12 @@ def encoded_blocks(
 
     def answer_joined(table: pa.Table, coded: pa.Table) -> pa.Table:
         distinct, places = _asked(table)
-        coded = coded.sort_by([("at", "ascending"), ("pos", "ascending")])
-        n_ids = np.bincount(coded.column("at").to_numpy(), minlength=len(distinct))
+        at, ids, pieces = _unpacked(coded)
+        n_ids = np.bincount(at, minlength=len(distinct))
         ends = pa.array(_starts(n_ids), pa.int32())
-        of_word = lambda c: pa.ListArray.from_arrays(ends, coded.column(c).combine_chunks())
-        shown = pc.binary_join(of_word("piece"), " ")
+        shown = pc.binary_join(pa.ListArray.from_arrays(ends, pieces), " ")
         shown = pc.if_else(pc.greater(pa.array(n_ids), 0), pc.binary_join_element_wise(shown, "", " "), "")
-        return _replies(table, places, of_word("id"), shown.cast(pa.large_binary()))
+        return _replies(table, places, pa.ListArray.from_arrays(ends, ids), shown.cast(pa.large_binary()))
 
     if vocab is None:
         replies = messages.applyInArrow(answer, REPLY)
