@@ -26,6 +26,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +41,8 @@ from sparkvault.llm._common import mix64, n_blocks, slices
 
 #: Bytes of text and rows of a block; one task holds one block at a time.
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 400_000
+#: Words of a block that are put together at once.
+TURN_WORDS = 500_000
 #: Blocks that share word groups, and how many groups these share.
 SUPER_BLOCKS, GROUPS = 64, 64
 
@@ -199,39 +202,15 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
+@dataclass
 class Block:
-    """The documents of a block: keys, ids and, where these were asked for, pieces."""
-
-    def __init__(self, kept: pa.Table, replies: pa.Table):
-        one = {c: kept.column(c)[0].as_py() for c in ("keys", "n_words", "codes", "parts", "sums")}
-        self.keys = pa.ipc.open_stream(one["keys"]).read_all().column("key")
-        group, words, sums = unsqueezed(one["parts"]), _starts(unsqueezed(one["n_words"])), unsqueezed(one["sums"])
-        row, base = np.full(len(group), -1, np.int32), 0
-        n_ids, ids, n_bytes, shown = [], [], [], []
-        for part, told, *answer in zip(*(replies.column(c).to_pylist() for c in ("part", "sum", "n_ids", "ids", "n_bytes", "bytes")), strict=True):
-            n_ids.append(unsqueezed(answer[0]))
-            ids.append(unsqueezed(answer[1]))
-            if answer[2] is not None:
-                n_bytes.append(unsqueezed(answer[2]))
-                shown.append(unzstd(answer[3]))
-            own = np.flatnonzero(group == part)
-            if told != sums[part] or len(own) != len(n_ids[-1]):
-                raise ValueError("a block came out otherwise for its words than for its codes")
-            row[own] = base + np.arange(len(own))
-            base += len(own)
-        if (row < 0).any():
-            raise ValueError("a block has words that no group answered for")
-        at = pa.array(row[unsqueezed(one.pop("codes"))])
-        every = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        taken = pa.ListArray.from_arrays(pa.array(_starts(np.concatenate(n_ids) if n_ids else []), pa.int32()), pa.array(every, pa.uint32())).take(at)
-        self.ids, self.id_at = taken.flatten().to_numpy(), taken.offsets.to_numpy()[words]
-        del taken, ids, n_ids, every
-        self.shown, self.shown_at = None, None
-        if shown:
-            offsets = pa.py_buffer(_starts(np.concatenate(n_bytes)))
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), base, [None, offsets, pa.py_buffer(b"".join(shown))]).take(at)
-            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            self.shown, self.shown_at = memoryview(texts.buffers()[2]), ends[words]
+    """Documents of a block, some at a time: keys, ids and, where these were asked for, pieces."""
+
+    keys: pa.ChunkedArray
+    ids: np.ndarray
+    id_at: np.ndarray
+    shown: memoryview | None = None
+    shown_at: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -246,6 +225,44 @@ class Block:
         return self.shown[first : max(first, last - 1)]
 
 
+def _documents(kept: pa.Table, replies: pa.Table) -> Iterator[Block]:
+    """The documents of a block, in turns of some ``TURN_WORDS`` words."""
+    one = {c: kept.column(c)[0].as_py() for c in ("keys", "n_words", "codes", "parts", "sums")}
+    keys = pa.ipc.open_stream(one["keys"]).read_all().column("key")
+    group, n_words, sums = unsqueezed(one["parts"]), unsqueezed(one["n_words"]), unsqueezed(one["sums"])
+    row, base = np.full(len(group), -1, np.int32), 0
+    n_ids, ids, n_bytes, shown = [], [], [], []
+    for part, told, *answer in zip(*(replies.column(c).to_pylist() for c in ("part", "sum", "n_ids", "ids", "n_bytes", "bytes")), strict=True):
+        n_ids.append(unsqueezed(answer[0]))
+        ids.append(unsqueezed(answer[1]))
+        if answer[2] is not None:
+            n_bytes.append(unsqueezed(answer[2]))
+            shown.append(unzstd(answer[3]))
+        own = np.flatnonzero(group == part)
+        if told != sums[part] or len(own) != len(n_ids[-1]):
+            raise ValueError("a block came out otherwise for its words than for its codes")
+        row[own] = base + np.arange(len(own))
+        base += len(own)
+    if (row < 0).any():
+        raise ValueError("a block has words that no group answered for")
+    at, words = row[unsqueezed(one["codes"])], _starts(n_words)
+    every = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+    of_word = pa.ListArray.from_arrays(pa.array(_starts(np.concatenate(n_ids) if n_ids else []), pa.int32()), pa.array(every, pa.uint32()))
+    texts = None
+    if shown:
+        offsets = pa.py_buffer(_starts(np.concatenate(n_bytes)))
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), base, [None, offsets, pa.py_buffer(b"".join(shown))])
+    for first, last in slices(n_words.tolist(), TURN_WORDS):
+        place, ends = pa.array(at[words[first] : words[last]]), words[first : last + 1] - words[first]
+        taken = of_word.take(place)
+        block = Block(keys.slice(first, last - first), taken.flatten().to_numpy(), taken.offsets.to_numpy()[ends])
+        if texts is not None:
+            some = texts.take(place)
+            block.shown_at = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1][ends]
+            block.shown = memoryview(some.buffers()[2] or b"")
+        yield block
+
+
 def _strings(lengths: np.ndarray, data: bytes) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(_starts(lengths).astype(np.int32)), pa.py_buffer(data))
 
@@ -309,7 +326,7 @@ def encoded_blocks(
     text: str = "text",
     vocab: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``assemble`` over every block of ``docs``; with ``vocab`` (id, piece) the blocks have decoded texts too.
+    """Run ``assemble`` over the documents of every block of ``docs``, some at a time; with ``vocab`` (id, piece) the blocks have decoded texts too.
 
     Rows are kept as they are: repeated and null keys stay apart, null texts
     are empty.
@@ -342,7 +359,11 @@ def encoded_blocks(
         coded = messages.applyInArrow(code, "group long, at int, ids array<int>")
         replies = messages.cogroup(joined_pieces(coded, vocab).groupBy("group")).applyInArrow(answer_joined, REPLY)
     kept = rows.mapInArrow(_codes, "block long, keys binary, n_words binary, codes binary, parts binary, sums binary")
-    return kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: assemble(Block(left, right)), schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.concat_tables(list(map(assemble, _documents(left, right))))
+
+    return kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
