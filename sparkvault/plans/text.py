@@ -125,6 +125,11 @@ register("x13_parse_nav_file", lambda s, d: T.parse_nav_file(V.table(s, d, "part
 register("x3_extract_frontmatter", lambda s, d: V.table(s, d, "documents").select("doc_id", T.extract_frontmatter(F.expr("concat('---\ntitle: \"T', doc_id, '\"\ntags: [', lang, ', ', source, ']\naliases:\n  - a', doc_id, '\n  - b\n---\n', text)")).alias("f"))
          .select("doc_id", "f.title", F.array_join("f.tags", ",").alias("tags"), F.array_join("f.aliases", ",").alias("aliases")),
          "SELECT doc_id, 'T' || doc_id AS title, lang || ',' || source AS tags, 'a' || doc_id || ',b' AS aliases FROM documents")
+NESTED = "'---\nmeta:\n  author:\n    name: A', doc_id, '\n    speaks:\n      - ', lang, '\n      - xx\n  count: ', doc_id % 7, '\nlist:\n- one\n- two words\ntop: ', source, '\ntop: again\n---\n', text"
+register("x3_frontmatter_paths",
+         lambda s, d: V.table(s, d, "documents").select("doc_id", F.explode(T.extract_frontmatter(F.expr(f"concat({NESTED})"))["raw"]).alias("path", "value")),
+         """SELECT doc_id, unnest(['meta.author.name', 'meta.author.speaks.0', 'meta.author.speaks.1', 'meta.count', 'list.0', 'list.1', 'top']) AS path,
+         unnest(['A' || doc_id, lang, 'xx', CAST(doc_id % 7 AS VARCHAR), 'one', 'two words', 'again']) AS value FROM documents""")
 register("x14_extract_tables", lambda s, d: T.table_cells(V.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line")).withColumn("cells", F.split("line", r" \| ")), "doc_id", "cells")
          .groupBy("doc_id").agg(F.count("*").alias("cells"), F.max("col").alias("widest")),
          """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) SELECT doc_id, CAST(sum(len(string_split(l, ' | '))) AS BIGINT) AS cells, CAST(max(len(string_split(l, ' | '))) - 1 AS INTEGER) AS widest FROM l GROUP BY doc_id""")
