@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -41,6 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers stay alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def n_blocks(df: DataFrame, text: str, target_bytes: int, target_rows: int) -> int:
     """How many blocks of about ``target_bytes`` of text and ``target_rows`` rows ``df`` fills."""
     size, rows = df.agg(F.sum(F.octet_length(text)), F.count("*")).first()

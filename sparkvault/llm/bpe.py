@@ -37,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import mix64, n_blocks, slices
+from sparkvault.llm._common import give_back, mix64, n_blocks, slices
 
 #: Bytes of text and rows of a block; one task holds one block at a time.
-BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 400_000
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 200_000
 #: Words of a block that are put together at once.
 TURN_WORDS = 500_000
 #: Blocks that share word groups, and how many groups these share.
@@ -105,7 +105,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Chunked
 
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-        for first, last in slices(lengths, BLOCK_BYTES):
+        for first, last in slices(lengths, BLOCK_BYTES // 8):
             held.append(batch.slice(first, last - first))
             size += sum(lengths[first:last])
             rows += last - first
@@ -143,7 +143,10 @@ def _words(super_blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             sent = [(own + g, block, g, zlib.crc32(message), zstd(message)) for g, _, message in _by_group(words, group)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             columns = [pa.array(c, kind) for c, kind in zip(zip(*sent, strict=True), kinds, strict=True)]
+            del texts, words, group, sent
             yield pa.RecordBatch.from_arrays(columns, ["group", "block", "part", "sum", "words"])
+            del columns
+            give_back()
 
     return run
 
@@ -161,7 +164,10 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, table.schema, options=options) as out:
             out.write_table(table)
         kept = {"keys": sink.getvalue().to_pybytes(), "n_words": squeezed(n_words), "codes": squeezed(codes), "parts": squeezed(group), "sums": squeezed(sums)}
+        del keys, texts, n_words, codes, words, group, table
         yield pa.record_batch({"block": pa.array([block], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in kept.items()})
+        del kept
+        give_back()
 
 
 def _asked(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
@@ -291,8 +297,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n >= 200_000:
             yield from sent()
             held, n = [], 0
+            give_back()
     if n:
         yield from sent()
+        held = []
+        give_back()
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, pa.Array, pa.StringArray]:
@@ -361,7 +370,9 @@ def encoded_blocks(
     kept = rows.mapInArrow(_codes, "block long, keys binary, n_words binary, codes binary, parts binary, sums binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables(list(map(assemble, _documents(left, right))))
+        out = pa.concat_tables(list(map(assemble, _documents(left, right))))
+        give_back()
+        return out
 
     return kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
