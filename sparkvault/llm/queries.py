@@ -113,6 +113,15 @@ def _license_sql() -> str:
 
 
 ORACLE: dict[str, str] = {
+    # Base 32 of the SHA-1: the hexadecimal digits as bits, five bits a letter.
+    "op6_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), '') AS bits FROM p),
+        d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + list_sum(list_transform(range(0, 5), lambda k: CASE WHEN substr(bits, 5 * i + k + 1, 1) = '1' THEN 16 >> CAST(k AS INTEGER) ELSE 0 END))::INTEGER, 1)), '') AS digest FROM b),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first THEN first END AS refers_to, true AS digest_ok FROM f""",
     "op7_quality_rules": """
         WITH d AS (
             SELECT doc_id, source, coalesce(text, '') AS t FROM documents
