@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvault.llm import bpe, langid, licenses, neardup, packing, pii, quality_classifier, quality_rules, topk, warc
+from sparkvault.llm import bloomlm, bpe, langid, lexsearch, licenses, lloyd, neardup, packing, pii, quality_classifier, quality_rules, topk, warc
 from sparkvault.llm._common import fold_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", *joined.values())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = fold_bucket(F.col("doc_id"), 7)
+    scored = bloomlm.language_model_scores(table(spark, sf_dir, "documents"), fold != 2)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -87,8 +101,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_lm_scores": op13_lm_scores,
 }
 
+
+def _clusters_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """Lloyd's rounds in DuckDB SQL, one after the other; a rounded-down mean from the remainder."""
+    parts = [
+        f"""v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS INTEGER) AS cluster, v
+            FROM (SELECT * FROM v ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})
+        )"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+            SELECT r, vec_id, v, min(d) AS distance, arg_min(cluster, (d, cluster)) AS cluster FROM (
+                SELECT v.*, cluster, CAST(list_sum(list_transform(list_zip(v.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}
+            ) GROUP BY r, vec_id, v
+        )"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""s{i} AS MATERIALIZED (
+            SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY cluster, i
+        ), n{i} AS MATERIALIZED (
+            SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY cluster
+        ), c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(n{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN n{i} USING (cluster))"""
+            )
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 def _license_sql() -> str:
     """The licence scan in DuckDB SQL, its tables written out from the operator's."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
@@ -174,6 +227,20 @@ ORACLE: dict[str, str] = {
                NOT base_failed AND j_source IS NULL AS kept
         FROM (SELECT b.*, j.source AS j_source FROM b LEFT JOIN j ON b.source = j.source)""",
     "op10_license_scan": _license_sql(),
+    "op11_lexical_search": """
+        WITH t AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+        ), q AS (
+            SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> ''))) AS term FROM benchmark
+        ), s AS (SELECT count_if(len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM t),
+        f AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s WHERE term IN (SELECT term FROM q) GROUP BY term, big_n),
+        x AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+            FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id
+        ), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op12_centroid_clusters": _clusters_sql(),
     "op1_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
