@@ -5,13 +5,11 @@ Comparisons join hash columns only; contents are joined for what has changed.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkvault.operators.fold import Digest, PairRenames, ordered_fold
+
 KEY = ["vault_id", "path"]
 
 
@@ -140,21 +138,8 @@ def manifest_digest(entries: DataFrame) -> DataFrame:
     sorts its lines and they are read batch by batch, never all at once.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vault, digest, done = None, None, []
-        for batch in batches:
-            for v, line in zip(batch.column("vault_id").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                if digest is None or v != vault:
-                    if digest is not None:
-                        done.append((vault, digest.hexdigest()))
-                    vault, digest = v, hashlib.sha256()
-                digest.update(line.encode())
-        if digest is not None:
-            done.append((vault, digest.hexdigest()))
-        yield pa.record_batch({"vault_id": pa.array([v for v, _ in done], pa.string()), "digest": pa.array([d for _, d in done], pa.string())})
-
     lines = entries.select(F.col("vault_id").cast("string").alias("vault_id"), F.concat("path", F.lit("\t"), "hash", F.lit("\n")).alias("line")).filter("line is not null")
-    return lines.repartition("vault_id").sortWithinPartitions("vault_id", "line").mapInArrow(run, "vault_id string, digest string")
+    return ordered_fold(lines, ["vault_id"], ["line"], Digest())
 
 
 def check_pre_hash(ops: DataFrame, state: DataFrame) -> DataFrame:
@@ -187,20 +172,15 @@ def find_base_by_hash(wanted: DataFrame, commits: DataFrame, changes: DataFrame,
 
 
 def detect_renames(events: DataFrame, window: str = "250 milliseconds") -> DataFrame:
-    """(vault_id, hash, from, to, ts): a delete paired with the next creation of the same content within the window.
+    """(vault_id, hash, from, to, ts): each delete, and the create of the same content within the window that answers it.
 
-    ``events`` has vault_id, action (delete or create), path, hash, ts. Both
-    sides are numbered per hash within runs of events that are no more than
-    the window apart, and paired first in, first out. Unpaired deletes have a
-    null ``to``.
+    ``events`` has vault_id, action (delete or create), path, hash, ts. The
+    deletes of a content wait in a queue; a create takes the first one, and a
+    delete leaves the queue, with a null ``to``, once more than the window has
+    passed. A create that finds none waiting pairs nothing and keeps none from
+    pairing. At the same time deletes come first.
     """
-    w = Window.partitionBy("vault_id", "hash").orderBy("ts", F.col("action").desc(), "path")
-    gap = F.coalesce((F.col("ts") > F.lag("ts").over(w) + F.expr(f"INTERVAL {window}")).cast("int"), F.lit(0))
-    runs = events.withColumn("run", gap).withColumn("run", F.sum("run").over(w))
-    nth = F.row_number().over(Window.partitionBy("vault_id", "hash", "run", "action").orderBy("ts", "path"))
-    numbered = runs.withColumn("nth", nth)
-    gone = numbered.filter(F.col("action") == "delete").select("vault_id", "hash", "run", "nth", F.col("path").alias("from"), "ts")
-    made = numbered.filter(F.col("action") == "create").select("vault_id", "hash", "run", "nth", F.col("path").alias("to"), F.col("ts").alias("made_ts"))
-    pair = gone.join(made, ["vault_id", "hash", "run", "nth"], "left")
-    near = F.col("made_ts").between(F.col("ts"), F.col("ts") + F.expr(f"INTERVAL {window}"))
-    return pair.select("vault_id", "hash", "from", F.when(near, F.col("to")).alias("to"), "ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(F.col("vault_id").cast("string").alias("vault_id"), "hash", "action", "path", us.alias("us")).filter("us is not null")
+    paired = ordered_fold(rows, ["vault_id", "hash"], ["us", F.desc("action"), "path"], PairRenames(window))
+    return paired.select("vault_id", "hash", "from", "to", F.timestamp_micros("us").cast(events.schema["ts"].dataType).alias("ts"))

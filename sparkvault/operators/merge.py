@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,81 +32,158 @@ def _same(x: Column, y: Column) -> Column:
     return F.when(at == 0, F.size(x)).otherwise(at - 1)
 
 
-def _best_chain(runs: Column) -> Column:
-    """Of runs struct(i, k, n) in order of i, those of the heaviest chain that is in order of k too."""
-    none = F.array().cast("array<struct<w:int,prev:int>>")
+#: Changed lines of a gap up to which its hunks are the fewest lines possible.
+EDITS = 1_500
+
+Run = tuple[int, int, int]  # lines i .. i + n of one text are k .. k + n of the other
+
 
-    def add(best: Column, run: Column) -> Column:
-        before = lambda j: F.element_at(runs, j)
-        fits = F.filter(F.sequence(F.lit(0), F.size(best)), lambda j: (j > 0) & (before(F.greatest(j, F.lit(1)))["k"] + before(F.greatest(j, F.lit(1)))["n"] <= run["k"]))
-        top = F.array_max(F.transform(fits, lambda j: F.struct(F.element_at(best, j)["w"].alias("w"), (-j).alias("j"))))
-        return F.concat(best, F.array(F.struct((F.coalesce(top["w"], F.lit(0)) + run["n"]).alias("w"), F.coalesce(-top["j"], F.lit(0)).alias("prev"))))
+def _shortest(a: np.ndarray, b: np.ndarray, most: int) -> list[Run] | None:
+    """The runs of equal lines that leave the fewest changed, or None if more than ``most`` are.
 
-    best = F.aggregate(runs, none, add)
-    last = -F.array_max(F.transform(best, lambda x, j: F.struct(x["w"].alias("w"), (-(j + 1)).alias("j"))))["j"]
-    start = F.struct(last.alias("at"), F.array().cast("array<struct<i:int,k:int,n:int>>").alias("out"), best.alias("best"))
-    back = lambda s, _: F.when(s["at"] == 0, s).otherwise(
-        F.struct(F.element_at(s["best"], s["at"])["prev"].alias("at"), F.concat(F.array(F.element_at(runs, s["at"])), s["out"]).alias("out"), s["best"].alias("best"))
-    )
-    return F.aggregate(runs, start, back, lambda s: s["out"])
+    A round allows one more changed line and keeps the furthest place on each
+    diagonal; from the end, the rounds' places lead back along the runs.
+    """
+    n, m = len(a), len(b)
+    zero, far, rounds = m + 1, np.full(n + m + 3, -1, np.int64), []
+    for d in range(min(most, n + m) + 1):
+        low = -d if d <= m else -m + (d - m) % 2
+        diagonal = np.arange(low, (d if d <= n else n - (d - n) % 2) + 1, 2)
+        at = diagonal + zero
+        right = np.where((far[at - 1] >= 0) & (far[at - 1] < n), far[at - 1] + 1, -1)
+        down = np.where(far[at + 1] - diagonal <= m, far[at + 1], -1)
+        x = np.maximum(right, down) if d else np.zeros(1, np.int64)
+        begun, going = x.copy(), np.flatnonzero(x >= 0)
+        while len(going):
+            i, k = x[going], x[going] - diagonal[going]
+            inside = (i < n) & (k < m)
+            going, i, k = going[inside], i[inside], k[inside]
+            going = going[a[i] == b[k]]
+            x[going] += 1
+        rounds.append((low, begun, x, right >= down))
+        far[at] = x
+        if far[n - m + zero] == n and (n - m - d) % 2 == 0:
+            break
+    else:
+        return None
+    runs, k = [], n - m
+    for low, begun, x, by_right in reversed(rounds):
+        place = (k - low) // 2
+        i, end = int(begun[place]), int(x[place])
+        if end > i:
+            runs.append((i, i - k, end - i))
+        k += -1 if by_right[place] else 1
+    return runs[::-1]
+
+
+def _anchors(a: np.ndarray, b: np.ndarray) -> list[Run]:
+    """The longest chain, in order on both sides, of lines that occur once on either."""
+    once = lambda x: {v: i for v, i, n in zip(*np.unique(x, return_index=True, return_counts=True), strict=True) if n == 1}
+    in_a, in_b = once(a), once(b)
+    pairs = sorted((i, in_b[v]) for v, i in in_a.items() if v in in_b)
+    tails, ends, before = [], [], []
+    for p, (_, k) in enumerate(pairs):
+        place = bisect.bisect_left(tails, k)
+        tails[place:], ends[place:] = [k, *tails[place + 1 :]], [p, *ends[place + 1 :]]
+        before.append(ends[place - 1] if place else -1)
+    chain, p = [], ends[-1] if ends else -1
+    while p >= 0:
+        chain.append((int(pairs[p][0]), int(pairs[p][1]), 1))
+        p = before[p]
+    return chain[::-1]
+
+
+def text_hunks(a: list[str], b: list[str], most: int = EDITS) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last): lines [start, end) of ``a`` become lines [first, last) of ``b``.
+
+    As few lines as can be where at most ``most`` of a gap change; a gap with
+    more is cut at lines that occur once on either side, or else one hunk.
+    """
+    code: dict[str, int] = {}
+    x, y = (np.array([code.setdefault(line, len(code)) for line in side], np.int64) for side in (a, b))
+    gaps, out = [(0, len(a), 0, len(b))], []
+    while gaps:
+        i, j, k, l = gaps.pop()
+        if i == j or k == l:
+            out += [(i, j, k, l)] if i < j or k < l else []
+            continue
+        runs = _shortest(x[i:j], y[k:l], most)
+        final = runs is not None
+        runs = runs if final else _anchors(x[i:j], y[k:l])
+        if not runs and j > i:
+            out.append((i, j, k, l))
+            continue
+        begins = [(i, k), *((i + r + n, k + s + n) for r, s, n in runs)]
+        ends = [*((i + r, k + s) for r, s, _ in runs), (j, l)]
+        new = [(p, q, r, s) for (p, r), (q, s) in zip(begins, ends, strict=True) if p < q or r < s]
+        if final:
+            out += new
+        else:
+            gaps += new
+    return sorted(out)
+
+
+def _hunks(texts: DataFrame, base: str, other: str) -> DataFrame:
+    """``texts`` without its two texts, with start, end, lines: a row for each hunk.
+
+    Equal lines at both ends go first. A middle that one side does not have is
+    a hunk; the others are compared line by line.
+    """
+    keep = [c for c in texts.columns if c not in (base, other)]
+    lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")
+    cut = texts.filter(~F.col(base).eqNullSafe(F.col(other))).select(*keep, lines(base).alias("a"), lines(other).alias("b")).withColumn("head", _same(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
+    cut = cut.select(*keep, "head", rest("a").alias("a"), rest("b").alias("b")).withColumn("tail", _same(F.reverse("a"), F.reverse("b")))
+    front = lambda c: F.slice(c, F.lit(1), F.size(c) - F.col("tail"))
+    cut = cut.select(*keep, F.col("head").alias("start"), (F.col("head") + F.size("a") - F.col("tail")).alias("end"), front("a").alias("a"), front("b").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, starts, ends, new = [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("start", "end", "a", "b"))
+            for row, (start, end, a, b) in enumerate(zip(*columns, strict=True)):
+                found = text_hunks(a, b) if a and b else [(0, end - start, 0, len(b))] if a or b else []
+                for i, j, k, l in found:
+                    of.append(row)
+                    starts.append(start + i)
+                    ends.append(start + j)
+                    new.append(b[k:l])
+            kept = batch.select(keep).take(pa.array(of, pa.int64()))
+            hunks = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(new, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *hunks], [*keep, "start", "end", "lines"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cut.schema if f.name in keep)
+    return cut.mapInArrow(run, f"{kinds}start int, end int, lines array<string>")
 
 
 def line_hunks(rows: DataFrame, base: str, other: str, side: str) -> DataFrame:
     """``rows`` (vault_id, path, ...) with hunks: (..., side, start, end, lines): base lines [start, end) become ``lines``.
 
-    Equal lines at both ends of a text go first. Of the middle, lines that
-    occur once on either side are matched by a join, matches that follow each
-    other are one run, and the heaviest chain of runs in order on both sides
-    stays. What lies between is a hunk, less its equal ends. Null texts are
-    empty. Only rows that a side changed should come here.
+    The fewest lines change, but in gaps of more than ``EDITS`` changed ones.
+    Null texts are empty, rows with equal texts have no hunk.
     """
     keep = [c for c in rows.columns if c not in (base, other)]
-    lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")
-    cut = rows.select(*keep, lines(base).alias("a"), lines(other).alias("b")).withColumn("head", _same(F.col("a"), F.col("b")))
-    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
-    cut = cut.withColumns({"a": rest("a"), "b": rest("b")}).withColumn("tail", _same(F.reverse("a"), F.reverse("b")))
-    front = lambda c: F.slice(c, F.lit(1), F.size(c) - F.col("tail"))
-    cut = cut.withColumns({"a": front("a"), "b": front("b")}).filter((F.size("a") > 0) | (F.size("b") > 0)).drop("tail")
-
-    inner = cut.filter((F.size("a") > 0) & (F.size("b") > 0))
-    none = F.lit(None).cast("int")
-    of_a = inner.select(*KEY, F.posexplode("a").alias("i", "line")).withColumn("k", none)
-    of_b = inner.select(*KEY, F.posexplode("b").alias("k", "line")).withColumn("i", none)
-    once = of_a.unionByName(of_b).groupBy(*KEY, "line").agg(F.count("i").alias("n_a"), F.count("k").alias("n_b"), F.max("i").alias("i"), F.max("k").alias("k"))
-    once = once.filter("n_a = 1 and n_b = 1")
-    w = Window.partitionBy(*KEY).orderBy("i")
-    goes_on = (F.col("i") == F.lag("i").over(w) + 1) & (F.col("k") == F.lag("k").over(w) + 1)
-    runs = once.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = runs.groupBy(*KEY, "run").agg(F.min("i").alias("i"), F.min("k").alias("k"), F.count("*").cast("int").alias("n"))
-    chains = runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "k", "n"))).alias("runs")).select(*KEY, _best_chain(F.col("runs")).alias("m"))
-
-    joined = cut.join(chains, KEY, "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<i:int,k:int,n:int>>")))
-    point = lambda i, k: F.struct(i.alias("i"), k.alias("k"))
-    begins = F.concat(F.array(point(F.lit(0), F.lit(0))), F.transform("m", lambda r: point(r["i"] + r["n"], r["k"] + r["n"])))
-    ends = F.concat(F.transform("m", lambda r: point(r["i"], r["k"])), F.array(point(F.size("a"), F.size("b"))))
-    gaps = joined.select(*keep, "head", "a", "b", F.explode(F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))).alias("g"))
-    part = lambda c, at: F.slice(c, F.col(f"g.s.{at}") + 1, F.col(f"g.e.{at}") - F.col(f"g.s.{at}"))
-    gaps = gaps.select(*keep, (F.col("head") + F.col("g.s.i")).alias("start"), part("a", "i").alias("x"), part("b", "k").alias("y")).withColumn("p", _same(F.col("x"), F.col("y")))
-    after = lambda c: F.slice(c, F.col("p") + 1, F.size(c) - F.col("p"))
-    gaps = gaps.withColumn("q", _same(F.reverse(after("x")), F.reverse(after("y"))))
-    found = gaps.select(
-        *keep, F.lit(side).alias("side"), (F.col("start") + F.col("p")).alias("start"), (F.col("start") + F.size("x") - F.col("q")).alias("end"),
-        F.slice("y", F.col("p") + 1, F.size("y") - F.col("p") - F.col("q")).alias("lines"),
-    )
-    return found.filter((F.col("start") < F.col("end")) | (F.size("lines") > 0))
+    return _hunks(rows.select(*keep, F.lit(side).alias("side"), base, other), base, other)
+
+
+def _overlap(s: Column, e: Column, t: Column, f: Column) -> Column:
+    """Whether base lines [s, e) and [t, f) overlap.
+
+    Two insertions do at the same place; an insertion and a range do where it
+    is strictly inside, not at an edge.
+    """
+    strictly = lambda x, low, high: (x > low) & (x < high)
+    return F.when((s == e) & (t == f), s == t).when(s == e, strictly(s, t, f)).when(t == f, strictly(t, s, e)).otherwise((s < f) & (t < e))
 
 
 def hunk_overlaps(hunks: DataFrame) -> DataFrame:
     """(vault_id, path, our_start, their_start): pairs of hunks of both sides that touch the same base lines.
 
-    Equality on the path and a range condition. Two insertions overlap at the
-    same place; an insertion overlaps a replacement that it lies inside or at.
+    Equality on the path and a range condition.
     """
     a = hunks.filter("side = 'ours'").select(*KEY, F.col("start").alias("our_start"), F.col("end").alias("our_end"))
     b = hunks.filter("side = 'theirs'").select(*KEY, F.col("start").alias("their_start"), F.col("end").alias("their_end"))
-    os, oe, ts, te = (F.col(c) for c in ("our_start", "our_end", "their_start", "their_end"))
-    empty = (os == oe) | (ts == te)
-    touch = F.when(empty, (os <= te) & (ts <= oe)).otherwise((os < te) & (ts < oe))
+    touch = _overlap(*(F.col(c) for c in ("our_start", "our_end", "their_start", "their_end")))
     return a.join(b, KEY).filter(touch).select(*KEY, "our_start", "their_start")
 
 
@@ -109,45 +191,59 @@ def conflict_regions(hunks: DataFrame) -> DataFrame:
     """(vault_id, path, region, start, end, ours, theirs): hunks that overlap directly or through others, as one region.
 
     ours and theirs are the hunks of the region by side; a region of one side
-    is no conflict. Same edits on both sides are no conflict either.
+    is no conflict. Same edits on both sides are no conflict either. In order
+    of start and end, a hunk goes on with a region that reaches beyond its
+    start; an insertion also with one that stands at the same place.
     """
     w = Window.partitionBy(*KEY).orderBy("start", "end", "side")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    was_empty = F.lag(F.col("start") == F.col("end")).over(w)
-    apart = reach.isNull() | (F.col("start") > reach) | ((F.col("start") == reach) & (F.col("start") != F.col("end")) & ~F.coalesce(was_empty, F.lit(False)))
+    empty = F.col("start") == F.col("end")
+    beside = empty & (F.lag("start").over(w) == F.col("start")) & (F.lag("end").over(w) == F.col("start"))
+    apart = reach.isNull() | ((F.col("start") >= reach) & ~F.coalesce(beside, F.lit(False)))
     marked = hunks.withColumn("__new", apart.cast("int")).withColumn("region", F.sum("__new").over(w))
     of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end", "lines"))))
     return marked.groupBy(*KEY, "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), of("ours").alias("ours"), of("theirs").alias("theirs"))
 
 
 def assemble_merge(rows: DataFrame, regions: DataFrame, base: str = "base_text", ours: str = "ours", theirs: str = "theirs") -> DataFrame:
-    """(vault_id, path, merged, conflicts): base lines with the regions put in; conflicts as marker blocks."""
-    lines = F.split(F.col(base), "\n")
+    """(vault_id, path, merged, conflicts): base lines with the regions put in; conflicts as marker blocks.
+
+    Insertions at the edge of a replacement go before or behind it.
+    """
+    lines = F.col("__lines")
 
-    def side_lines(side: str):
-        """The region's base lines with one side's hunks applied."""
-        start = F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("out"))
+    def applied(hunks: Column, start: Column, end: Column) -> Column:
+        """Base lines [start, end) with hunks put in."""
+        begin = F.struct(start.alias("at"), F.array().cast("array<string>").alias("out"))
         step = lambda acc, h: F.struct(h["end"].alias("at"), F.concat(acc["out"], F.slice(lines, acc["at"] + 1, h["start"] - acc["at"]), h["lines"]).alias("out"))
-        return F.aggregate(F.col(side), start, step, lambda acc: F.concat(acc["out"], F.slice(lines, acc["at"] + 1, F.col("end") - acc["at"])))
-
-    joined = rows.select(*KEY, base).join(regions, KEY)
-    sided = joined.withColumn("o", side_lines("ours")).withColumn("t", side_lines("theirs"))
-    one = F.when(F.size("theirs") == 0, F.col("o")).when(F.size("ours") == 0, F.col("t")).when(F.col("o") == F.col("t"), F.col("o"))
-    block = F.concat(F.array(F.lit(f"<<<<<<< {ours}")), F.col("o"), F.array(F.lit("=======")), F.col("t"), F.array(F.lit(f">>>>>>> {theirs}")))
-    put = sided.select(*KEY, F.struct("start", "end", F.coalesce(one, block).alias("lines"), one.isNull().alias("conflict")).alias("r"))
-    per_path = put.groupBy(*KEY).agg(F.array_sort(F.collect_list("r")).alias("rs"), F.count_if("r.conflict").alias("conflicts"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, r: F.struct(r["end"].alias("at"), F.concat(acc["out"], F.slice(lines, acc["at"] + 1, r["start"] - acc["at"]), r["lines"]).alias("out"))
-    whole = F.aggregate("rs", start, step, lambda acc: F.concat(acc["out"], F.slice(lines, acc["at"] + 1, F.greatest(F.size(lines) - acc["at"], F.lit(0)))))
-    done = rows.select(*KEY, base).join(per_path, KEY, "left")
-    return done.select(
-        *KEY, F.when(F.col("rs").isNull(), F.col(base)).otherwise(F.array_join(whole, "\n")).alias("merged"), F.coalesce("conflicts", F.lit(0)).alias("conflicts")
-    )
+        return F.aggregate(hunks, begin, step, lambda acc: F.concat(acc["out"], F.slice(lines, acc["at"] + 1, F.greatest(end - acc["at"], F.lit(0)))))
+
+    def settled(r: Column) -> Column:
+        """A region's lines, and whether they are a conflict."""
+        sides = F.struct(applied(r["ours"], r["start"], r["end"]).alias("o"), applied(r["theirs"], r["start"], r["end"]).alias("t"))
+
+        def chosen(x: Column) -> Column:
+            conflict = (F.size(r["ours"]) > 0) & (F.size(r["theirs"]) > 0) & (x["o"] != x["t"])
+            block = F.concat(F.array(F.lit(f"<<<<<<< {ours}")), x["o"], F.array(F.lit("=======")), x["t"], F.array(F.lit(f">>>>>>> {theirs}")))
+            new = F.when(conflict, block).when(F.size(r["ours"]) == 0, x["t"]).otherwise(x["o"])
+            return F.struct(r["start"].alias("start"), r["end"].alias("end"), new.alias("lines"), conflict.alias("conflict"))
+
+        return F.get(F.transform(F.array(sides), chosen), 0)
+
+    per_path = regions.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "ours", "theirs"))).alias("__regions"))
+    done = rows.select(*KEY, base).join(per_path, KEY, "left").withColumn("__lines", F.split(base, "\n"))
+    done = done.withColumn("__put", F.transform("__regions", settled))
+    whole = applied(F.col("__put"), F.lit(0), F.size("__lines"))
+    conflicts = F.size(F.filter("__put", lambda r: r["conflict"])).cast("long")
+    return done.select(*KEY, F.when(F.col("__put").isNull(), F.col(base)).otherwise(F.array_join(whole, "\n")).alias("merged"), F.coalesce(conflicts, F.lit(0)).alias("conflicts"))
 
 
 def merge_texts(rows: DataFrame) -> DataFrame:
-    """(vault_id, path, merged, conflicts) of rows with base_text, our_text, their_text that both sides changed."""
-    hunks = line_hunks(rows.select(*KEY, "base_text", "our_text"), "base_text", "our_text", "ours").unionByName(
-        line_hunks(rows.select(*KEY, "base_text", "their_text"), "base_text", "their_text", "theirs")
-    )
-    return assemble_merge(rows, conflict_regions(hunks))
+    """(vault_id, path, merged, conflicts) of rows with base_text, our_text, their_text that both sides changed.
+
+    Both sides' hunks come from one pass over the rows.
+    """
+    rows = rows.withColumn("base_text", F.coalesce("base_text", F.lit("")))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), F.col(text).alias("text"))
+    both = rows.select(*KEY, "base_text", F.explode(F.array(side("ours", "our_text"), side("theirs", "their_text"))).alias("s"))
+    return assemble_merge(rows, conflict_regions(_hunks(both.select(*KEY, "base_text", "s.side", "s.text"), "base_text", "text")))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvault.functions import exprs, predicates
+from sparkvault.operators.fold import Debounce, PackBatches, RateLimit, StuckWrites, ordered_fold
 
 
 def _micros(ts: Column | str) -> Column:
@@ -188,18 +186,35 @@ def flush_reason(stats: DataFrame, now: Column, quiet_s: int = 3, max_delay_s: i
     return stats.withColumn("reason", reason)
 
 
-def stuck_writes(ops: DataFrame, depth: int = 3) -> DataFrame:
-    """``ops`` with stuck: the hash is one of the last ``depth`` of the same client and path."""
-    before = Window.partitionBy("client_id", "path").orderBy("seq").rowsBetween(-depth, -1)
-    return ops.withColumn("stuck", F.array_contains(F.collect_list("hash").over(before), F.col("hash")))
+def stuck_writes(ops: DataFrame, commits: DataFrame | None = None, depth: int = 3) -> DataFrame:
+    """(vault_id, client_id, path, seq, stuck) of ``ops``: the hash is among the last ``depth`` accepted of the same client and path.
+
+    ``ops`` has vault_id, client_id, path, seq, hash, ts; ``commits`` has
+    vault_id, path, ts: a commit that touches a path, by either end of a
+    rename, has the path's writes of all clients forgotten. At the same time
+    writes come before commits. A path's ops and commits are one sequence.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    writes = ops.select("vault_id", "path", "client_id", F.col("seq").cast("long").alias("seq"), "hash", us, F.lit("write").alias("kind"))
+    if commits is not None:
+        none = lambda kind: F.lit(None).cast(kind)
+        cleared = commits.select("vault_id", "path", none("string").alias("client_id"), none("long").alias("seq"), none("string").alias("hash"), us, F.lit("commit").alias("kind"))
+        writes = writes.unionByName(cleared.distinct())
+    return ordered_fold(writes, ["vault_id", "path"], ["us", F.desc("kind"), "client_id", "seq"], StuckWrites(depth))
 
 
 def rate_limit(events: DataFrame, limit: int, seconds: int, by: str = "client_id") -> DataFrame:
-    """``events`` with in_window, the earlier ones within ``seconds``, and exceeded."""
+    """``events`` with in_window, the earlier ones within ``seconds``, and exceeded. All events count, the refused ones too."""
     w = Window.partitionBy(by).orderBy(_micros("ts")).rangeBetween(-seconds * 1_000_000, -1)
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("exceeded", F.col("in_window") >= limit)
 
 
+def rate_limit_accepted(events: DataFrame, limit: int, seconds: int, by: str = "client_id") -> DataFrame:
+    """(client, seq, in_window, refused): as :func:`rate_limit`, but only events that were not refused count. At the same time by seq."""
+    rows = events.select(F.col(by).cast("string").alias(by), F.col("seq").cast("long").alias("seq"), _micros("ts").alias("us"))
+    return ordered_fold(rows, [by], ["us", "seq"], RateLimit(limit, seconds, by))
+
+
 def debounce_batches(ops: DataFrame, idle_s: float, by: str = "client_id", max_delay_s: float | None = None) -> DataFrame:
     """(client, batch, ops, first_ts, last_ts): a batch closes at an idle gap above ``idle_s``, or ``max_delay_s`` after its first op.
 
@@ -213,25 +228,10 @@ def debounce_batches(ops: DataFrame, idle_s: float, by: str = "client_id", max_d
         new = F.coalesce((_micros("ts") - _micros(F.lag("ts").over(w)) > int(idle_s * 1_000_000)).cast("int"), F.lit(0))
         runs = ops.withColumn("__new", new).withColumn("batch", F.sum("__new").over(w))
         return runs.groupBy(by, "batch").agg(*agg)
-    idle, most = int(idle_s * 1_000_000), int(max_delay_s * 1_000_000)
-    of_client, of_ts = (ops.schema[c].dataType.simpleString() for c in (by, "ts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client, first, last, n, begun = None, 0, 0, 0, False
-        for batch in batches:
-            numbers = []
-            for c, t in zip(batch.column("by").to_pylist(), batch.column("us").to_pylist(), strict=True):
-                if not begun or c != client:
-                    client, first, n, begun = c, t, 0, True
-                elif t - last > idle or t - first >= most:
-                    first, n = t, n + 1
-                last = t
-                numbers.append(n)
-            yield pa.record_batch({"by": batch.column("by"), "batch": pa.array(numbers, pa.int64()), "ts": batch.column("ts")})
-
-    rows = ops.select(F.col(by).alias("by"), "ts", "seq", _micros("ts").alias("us")).repartition("by").sortWithinPartitions("by", "us", "seq")
-    walked = rows.mapInArrow(run, f"by {of_client}, batch long, ts {of_ts}")
-    return walked.groupBy(F.col("by").alias(by), "batch").agg(*agg)
+    of_client, of_ts = (ops.schema[c].dataType for c in (by, "ts"))
+    rows = ops.select(F.col(by).alias("by"), "seq", _micros("ts").alias("us"))
+    walked = ordered_fold(rows, ["by"], ["us", "seq"], Debounce(idle_s, max_delay_s, of_client.simpleString()))
+    return walked.withColumn("ts", F.timestamp_micros("us").cast(of_ts)).groupBy(F.col("by").alias(by), "batch").agg(*agg)
 
 
 def pack_batches_approx(ops: DataFrame, size: Column, target: int, by: str = "client_id", order: str = "seq") -> DataFrame:
@@ -246,23 +246,8 @@ def pack_batches(ops: DataFrame, size: Column, target: int, by: str = "client_id
     Sequential by nature: Spark deals the logs out by client and sorts them,
     and a log is read batch by batch with two numbers carried on.
     """
-    kind = ops.schema[by].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client, used, chunk, first = None, 0, 0, True
-        for batch in batches:
-            chunks = []
-            for c, n in zip(batch.column("by").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                if first or c != client:
-                    client, used, chunk, first = c, 0, 0, False
-                if used > 0 and used + n > target:
-                    used, chunk = 0, chunk + 1
-                used += n
-                chunks.append(chunk)
-            yield pa.record_batch({"by": batch.column("by"), "seq": batch.column("seq"), "chunk": pa.array(chunks, pa.int32())})
-
     rows = ops.select(F.col(by).alias("by"), F.col(order).cast("long").alias("seq"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
-    packed = rows.repartition("by").sortWithinPartitions("by", "seq").mapInArrow(run, f"by {kind}, seq long, chunk int")
+    packed = ordered_fold(rows, ["by"], ["seq"], PackBatches(target, ops.schema[by].dataType.simpleString()))
     last = packed.groupBy(F.col("by").alias("client")).agg(F.max("chunk").alias("last"))
     return packed.join(last, F.col("by").eqNullSafe(F.col("client"))).select(F.col("by").alias(by), "seq", "chunk", (F.col("chunk") < F.col("last")).alias("more"))
 

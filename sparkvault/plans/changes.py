@@ -97,19 +97,31 @@ register(
     SELECT event_id, CASE type WHEN 'write' THEN a.hash IS NOT DISTINCT FROM o.hash WHEN 'delete' THEN a.hash IS NULL ELSE a.hash IS NULL AND b.hash IS NOT NULL END AS committed
     FROM ops o LEFT JOIN live a ON a.vault_id = o.vault_id AND a.path = coalesce(o."from", o.path) LEFT JOIN live b ON b.vault_id = o.vault_id AND b.path = o."to" """, "ops",
 )
-register(
-    "j19_detect_renames",
-    lambda s, d: C.detect_renames(
-        V.table(s, d, "events").select(
-            F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("vault_id"), F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("action"),
-            F.col("event_id").cast("string").alias("path"), (F.col("event_id") % 3).cast("string").alias("hash"), "ts"), "2 hours"),
-    """WITH e AS (SELECT 'v' || user_id AS vault_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS action, CAST(event_id AS VARCHAR) AS path, CAST(event_id % 3 AS VARCHAR) AS hash, ts FROM events),
-    r AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOURS THEN 1 ELSE 0 END AS g FROM e WINDOW w AS (PARTITION BY vault_id, hash ORDER BY ts, action DESC, path)),
-    q AS (SELECT *, sum(g) OVER (PARTITION BY vault_id, hash ORDER BY ts, action DESC, path) AS run FROM r),
-    n AS (SELECT *, row_number() OVER (PARTITION BY vault_id, hash, run, action ORDER BY ts, path) AS nth FROM q)
-    SELECT a.vault_id, a.hash, a.path AS "from", CASE WHEN b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOURS THEN b.path END AS "to", a.ts
-    FROM (FROM n WHERE action = 'delete') a LEFT JOIN (FROM n WHERE action = 'create') b ON a.vault_id = b.vault_id AND a.hash = b.hash AND a.run = b.run AND a.nth = b.nth""",
-)
+def created_and_deleted(e):
+    """Events as deletes and creates of three contents in the vault of each user."""
+    return e.select(
+        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("vault_id"), F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("action"),
+        F.col("event_id").cast("string").alias("path"), (F.col("event_id") % 3).cast("string").alias("hash"), "ts",
+    )
+
+
+def renames_sql(mark: str, over: str) -> str:
+    """The queue of each vault and content, event after event, for those before ``mark``; what still waits comes out where ``over`` holds."""
+    return f"""WITH RECURSIVE m AS (SELECT {mark} AS mark FROM events),
+    e AS (SELECT *, row_number() OVER (PARTITION BY vault_id, hash ORDER BY us, action DESC, path) AS n FROM (
+        SELECT 'v' || user_id AS vault_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS action, CAST(event_id AS VARCHAR) AS path, CAST(event_id % 3 AS VARCHAR) AS hash, epoch_us(ts) AS us FROM events), m WHERE us < mark),
+    r AS (SELECT DISTINCT vault_id, hash, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(p VARCHAR, u BIGINT)[]) AS q, CAST([] AS STRUCT(f VARCHAR, t VARCHAR, u BIGINT)[]) AS done FROM e UNION ALL
+        SELECT vault_id, hash, n, CASE WHEN action = 'delete' THEN list_append(live, {{'p': path, 'u': us}}) ELSE live[2:] END,
+            list_concat(dead, CASE WHEN action = 'create' AND len(live) > 0 THEN [{{'f': live[1].p, 't': path, 'u': live[1].u}}] ELSE [] END)
+        FROM (SELECT e.*, list_filter(r.q, lambda x: x.u + 7200000000 >= e.us) AS live,
+                list_transform(list_filter(r.q, lambda x: x.u + 7200000000 < e.us), lambda x: {{'f': x.p, 't': CAST(NULL AS VARCHAR), 'u': x.u}}) AS dead
+            FROM r JOIN e ON e.vault_id = r.vault_id AND e.hash = r.hash AND e.n = r.n + 1)),
+    w AS (SELECT vault_id, hash, unnest(q) AS x FROM (SELECT vault_id, hash, arg_max(q, n) AS q FROM r GROUP BY ALL))
+    SELECT vault_id, hash, d.f AS "from", d.t AS "to", make_timestamp(d.u) AS ts FROM (SELECT vault_id, hash, unnest(done) AS d FROM r)
+    UNION ALL SELECT vault_id, hash, x.p, NULL, make_timestamp(x.u) FROM w, m WHERE {over}"""
+
+
+register("j19_detect_renames", lambda s, d: C.detect_renames(created_and_deleted(V.table(s, d, "events")), "2 hours"), renames_sql("any_value(4611686018427387904)", "true"))
 register(
     "j20_find_base_by_hash", lambda s, d: C.find_base_by_hash(V.changes(s, d).select("vault_id", "path", "hash").distinct(), V.commits(s, d), V.changes(s, d)),
     "SELECT vault_id, path, hash, arg_max(commit_id, ordinal) AS commit_id, max(ordinal) AS ordinal FROM history WHERE action <> 'D' GROUP BY vault_id, path, hash", "history",
@@ -175,14 +187,39 @@ register(
     f"""WITH {PENDING}, n AS (SELECT vault_id, count(*) + 1 AS k FROM manifest GROUP BY ALL), f AS (SELECT vault_id, path FROM manifest ANTI JOIN pending USING (vault_id, path))
     SELECT vault_id AS client_id, path, k + row_number() OVER (PARTITION BY vault_id ORDER BY path) - 1 AS seq FROM f JOIN n USING (vault_id)""", "manifest",
 )
+
+
+def renamed_ends(s, d):
+    """Commits: the renames, with each of the two paths that they touch."""
+    r = V.ops(s, d).filter("type = 'rename'")
+    return r.select("vault_id", F.explode(F.array("from", "to")).alias("path"), "ts")
+
+
 register(
-    "w4_stuck_writes", lambda s, d: O.stuck_writes(V.ops(s, d).filter("type = 'write'")).select("client_id", "seq", "stuck"),
-    """SELECT client_id, seq, coalesce(list_contains(list(hash) OVER (PARTITION BY client_id, path ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), hash), false) AS stuck FROM ops WHERE type = 'write'""", "ops",
+    "w4_stuck_writes", lambda s, d: O.stuck_writes(V.ops(s, d).filter("type = 'write'"), renamed_ends(s, d)).select("client_id", "seq", "stuck"),
+    """WITH e AS (SELECT vault_id, path, 'write' AS kind, client_id, seq, hash, ts FROM ops WHERE type = 'write'
+        UNION SELECT vault_id, unnest(["from", "to"]), 'commit', NULL, NULL, NULL, ts FROM ops WHERE type = 'rename'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY vault_id, path ORDER BY ts, kind DESC, client_id, seq) AS n FROM e),
+    r AS (SELECT DISTINCT vault_id, path, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS client_id, CAST(NULL AS BIGINT) AS seq, false AS stuck, CAST([] AS STRUCT(c VARCHAR, h VARCHAR)[]) AS kept FROM o UNION ALL
+        SELECT vault_id, path, n, client_id, seq, again, CASE WHEN kind = 'commit' THEN [] WHEN again THEN kept ELSE list_append(kept, {'c': client_id, 'h': hash}) END
+        FROM (SELECT o.*, r.kept, coalesce(list_contains(list_transform(list_filter(r.kept, lambda x: x.c = o.client_id), lambda x: x.h)[-3:], o.hash), false) AS again
+            FROM r JOIN o ON o.vault_id = r.vault_id AND o.path = r.path AND o.n = r.n + 1))
+    SELECT client_id, seq, stuck FROM r WHERE client_id IS NOT NULL""", "ops",
 )
+ORACLE["w4_stuck_writes"] = ORACLE["w4_stuck_writes"].replace("WITH", "WITH RECURSIVE", 1)
 register(
     "w5_rate_limit", lambda s, d: O.rate_limit(V.ops(s, d), 4, 86_400).select("client_id", "event_id", "in_window", "exceeded"),
     """SELECT client_id, event_id, n AS in_window, n >= 4 AS exceeded FROM (SELECT *, count(*) OVER (PARTITION BY client_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS n FROM ops)""", "ops",
 )
+register(
+    "w5_rate_limit_accepted", lambda s, d: O.rate_limit_accepted(V.ops(s, d), 2, 5 * 86_400),
+    """WITH o AS (SELECT client_id, seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, seq) AS n FROM ops),
+    r AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS in_window, false AS refused, CAST([] AS BIGINT[]) AS kept FROM o UNION ALL
+        SELECT client_id, n, seq, len(now), len(now) >= 2, CASE WHEN len(now) >= 2 THEN now ELSE list_append(now, us) END
+        FROM (SELECT o.*, list_filter(r.kept, lambda x: x > o.us - 432000000000) AS now FROM r JOIN o ON o.client_id = r.client_id AND o.n = r.n + 1))
+    SELECT client_id, seq, in_window, refused FROM r WHERE n > 0""", "ops",
+)
+ORACLE["w5_rate_limit_accepted"] = ORACLE["w5_rate_limit_accepted"].replace("WITH", "WITH RECURSIVE", 1)
 register(
     "w6_debounce_batches", lambda s, d: O.debounce_batches(V.ops(s, d), 21_600).select("client_id", F.col("batch").cast("long").alias("batch"), "ops", "first_ts", "last_ts"),
     """WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY client_id ORDER BY ts, seq)) > 21600000000 THEN 1 ELSE 0 END AS n FROM ops),

@@ -11,6 +11,7 @@ from sparkvault.operators import merge as M
 from sparkvault.operators import oplog as O
 from sparkvault.operators.text import table_cells, tokenize_ascii
 from sparkvault.plans import views as V
+from sparkvault.plans.changes import created_and_deleted, renames_sql
 from sparkvault.plans.text import GRAMS
 from sparkvault.plans.views import with_views
 from sparkvault.sources import files as S
@@ -76,34 +77,55 @@ def both_changed(s, d):
     return rows
 
 
+def at_an_edge(s, d):
+    """Texts where we insert a line before or behind the one that they replace, or both insert or replace at one place."""
+    m = V.manifest(s, d).filter("doc_id % 5 = 1")
+    text = lambda *lines: F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+    t = F.col("text")
+    cases = {
+        "before": (text("top", "ours", "mid", "end", t), text("top", "theirs", "end", t)), "behind": (text("top", "mid", "ours", "end", t), text("top", "theirs", "end", t)),
+        "place": (text("top", "ours", "mid", "end", t), text("top", "theirs", "mid", "end", t)), "inside": (text("top", "mid", "ours", "end", t), text("theirs", t)),
+    }
+    case = F.explode(F.array(*(F.struct(F.lit(f"#{name}").alias("n"), a.alias("a"), b.alias("b")) for name, (a, b) in cases.items()))).alias("c")
+    each = m.select("vault_id", "path", text("top", "mid", "end", t).alias("base_text"), case)
+    return each.select("vault_id", F.concat("path", "c.n").alias("path"), "base_text", F.col("c.a").alias("our_text"), F.col("c.b").alias("their_text"))
+
+
 register(
-    "m5_merge_texts", lambda s, d: M.merge_texts(both_changed(s, d)),
-    """SELECT vault_id, path, CASE WHEN contains(text, chr(10)) THEN 'their first line' || chr(10) || text || chr(10) || 'our last line'
-        ELSE 'their first line' || chr(10) || text || chr(10) || 'our last line' END AS merged, 0 AS conflicts FROM manifest WHERE doc_id % 35 = 0""", "manifest",
+    "m5_merge_texts", lambda s, d: M.merge_texts(both_changed(s, d).unionByName(at_an_edge(s, d))),
+    """SELECT vault_id, path, 'their first line' || chr(10) || text || chr(10) || 'our last line' AS merged, 0 AS conflicts FROM manifest WHERE doc_id % 35 = 0
+    UNION ALL SELECT vault_id, path || n, replace(head, ' ', chr(10)) || chr(10) || text, conflicts FROM manifest, (VALUES ('#before', 'top ours theirs end', 0), ('#behind', 'top theirs ours end', 0),
+        ('#place', 'top <<<<<<<_ours ours ======= theirs >>>>>>>_theirs mid end', 1), ('#inside', '<<<<<<<_ours top mid ours end ======= theirs >>>>>>>_theirs', 1)) AS c(n, head, conflicts) WHERE doc_id % 5 = 1""", "manifest",
 )
+ORACLE["m5_merge_texts"] = ORACLE["m5_merge_texts"].replace("replace(head, ' ', chr(10))", "replace(replace(head, ' ', chr(10)), '_', ' ')")
 
 
 def intervals(s, d):
-    """Hunks made from line items: intervals of base lines in the trees of orders, by their return flag's side."""
+    """Hunks made from line items: intervals of base lines in the trees of orders, by their return flag's side; a fifth are insertions."""
     li = V.table(s, d, "lineitem")
     start = (F.col("l_partkey") % 40).cast("int")
     return li.select(
         F.lit("v").alias("vault_id"), F.col("l_orderkey").cast("string").alias("path"), F.when(F.col("l_returnflag") == "R", "ours").otherwise("theirs").alias("side"),
-        start.alias("start"), (start + 1 + F.col("l_suppkey") % 5).cast("int").alias("end"), F.array("l_linestatus").alias("lines"),
+        start.alias("start"), (start + F.col("l_suppkey") % 5).cast("int").alias("end"), F.array("l_linestatus").alias("lines"),
     ).distinct()
 
 
 HUNKS = """h AS (SELECT DISTINCT 'v' AS vault_id, CAST(l_orderkey AS VARCHAR) AS path, CASE WHEN l_returnflag = 'R' THEN 'ours' ELSE 'theirs' END AS side,
-    CAST(l_partkey % 40 AS INTEGER) AS s, CAST(l_partkey % 40 + 1 + l_suppkey % 5 AS INTEGER) AS e, l_linestatus FROM lineitem)"""
+    CAST(l_partkey % 40 AS INTEGER) AS s, CAST(l_partkey % 40 + l_suppkey % 5 AS INTEGER) AS e, l_linestatus FROM lineitem)"""
+#: Two insertions at one place, an insertion strictly inside a range, or two ranges with a common line.
+OVERLAP = "CASE WHEN {0}.s = {0}.e AND {1}.s = {1}.e THEN {0}.s = {1}.s WHEN {0}.s = {0}.e THEN {0}.s > {1}.s AND {0}.s < {1}.e WHEN {1}.s = {1}.e THEN {1}.s > {0}.s AND {1}.s < {0}.e ELSE {0}.s < {1}.e AND {1}.s < {0}.e END"
 register(
     "m3_hunk_overlaps", lambda s, d: M.hunk_overlaps(intervals(s, d)),
-    f"WITH {HUNKS} SELECT a.vault_id, a.path, a.s AS our_start, b.s AS their_start FROM h a JOIN h b ON a.path = b.path AND a.s < b.e AND b.s < a.e WHERE a.side = 'ours' AND b.side = 'theirs'",
+    f"WITH {HUNKS} SELECT a.vault_id, a.path, a.s AS our_start, b.s AS their_start FROM h a JOIN h b ON a.path = b.path WHERE a.side = 'ours' AND b.side = 'theirs' AND {OVERLAP.format('a', 'b')}",
 )
+# Regions are the components of the overlaps between any two hunks, found by walking from each hunk to all that it reaches.
 register(
     "m4_conflict_regions", lambda s, d: M.conflict_regions(intervals(s, d)).select("path", "start", "end", F.size("ours").alias("n_ours"), F.size("theirs").alias("n_theirs")),
-    f"""WITH {HUNKS}, r AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY path ORDER BY s, e, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS n FROM h),
-    g AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY s, e, side ROWS UNBOUNDED PRECEDING) AS region FROM r)
-    SELECT path, min(s) AS start, max(e) AS "end", CAST(count_if(side = 'ours') AS INTEGER) AS n_ours, CAST(count_if(side = 'theirs') AS INTEGER) AS n_theirs FROM g GROUP BY path, region""",
+    f"""WITH RECURSIVE {HUNKS}, i AS (SELECT *, row_number() OVER (ORDER BY path, s, e, side, l_linestatus) AS id FROM h),
+    l AS (SELECT a.id AS x, b.id AS y FROM i a JOIN i b ON a.path = b.path WHERE a.id <> b.id AND {OVERLAP.format('a', 'b')}),
+    r AS (SELECT id, id AS other FROM i UNION SELECT r.id, l.y FROM r JOIN l ON r.other = l.x),
+    g AS (SELECT id, min(other) AS region FROM r GROUP BY id)
+    SELECT path, min(s) AS start, max(e) AS "end", CAST(count_if(side = 'ours') AS INTEGER) AS n_ours, CAST(count_if(side = 'theirs') AS INTEGER) AS n_theirs FROM i JOIN g USING (id) GROUP BY path, region""",
 )
 register(
     "s2_read_manifest_log",
@@ -204,41 +226,48 @@ register("t11_hold_frozen", split_by_error, "SELECT event_id, event_type = 'erro
 
 
 def stateful(s, d):
-    """Events as a stream of ops with what the stateful operators ask for."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    """Events as a stream of ops with what the stateful operators ask for; purchases are commits of their path."""
     return stream(s, d, "events").select(
-        F.expr("concat('c', user_id)").alias("client_id"), F.expr("concat('n', event_id % 4)").alias("path"), F.col("event_id").alias("seq"),
-        F.expr("concat('h', event_id % 3)").alias("hash"), micros.alias("micros"), (micros / 1000).cast("long").alias("ms"), F.length("props").cast("long").alias("bytes"),
+        F.expr("concat('v', user_id % 8)").alias("vault_id"), F.expr("concat('c', user_id)").alias("client_id"), F.expr("concat('n', event_id % 4)").alias("path"), F.col("event_id").alias("seq"),
+        F.expr("concat('h', event_id % 3)").alias("hash"), F.when(F.col("event_type") == "purchase", "commit").otherwise("write").alias("kind"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.length("props").cast("long").alias("bytes"),
     )
 
 
-# Sequential by nature: the SQL walks every key's events by recursion.
-KEYED = """e AS (SELECT 'c' || user_id AS client_id, 'n' || event_id % 4 AS path, event_id AS seq, 'h' || event_id % 3 AS hash, epoch_us(ts) AS us, epoch_ms(ts) AS ms, length(props) AS bytes,
-    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events)"""
+# Sequential by nature: the SQL walks every key's events by recursion, as far as the watermark, an hour before the last event, has passed them.
+KEYED = """m AS (SELECT (max(epoch_ms(ts)) - 3600000) * 1000 AS mark FROM events),
+    e AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY us, seq) AS n, row_number() OVER (PARTITION BY vault_id, path ORDER BY us, kind DESC, client_id, seq) AS m FROM (
+        SELECT 'v' || user_id % 8 AS vault_id, 'c' || user_id AS client_id, 'n' || event_id % 4 AS path, event_id AS seq, 'h' || event_id % 3 AS hash, epoch_us(ts) AS us, CAST(length(props) AS BIGINT) AS bytes,
+            CASE WHEN event_type = 'purchase' THEN 'commit' ELSE 'write' END AS kind FROM events), m WHERE us < mark)"""
 register(
-    "t3_staged_commits", lambda s, d: drained(T.staged_commits(stateful(s, d), max_bytes=100, max_ops=5, max_delay_s=86_400, quiet_s=21_600, by_clock=False)),
-    f"""WITH RECURSIVE {KEYED}, z AS (SELECT client_id, k, ms, bytes FROM e),
-    r AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ops, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS l, CAST([] AS STRUCT(o BIGINT, b BIGINT, w VARCHAR)[]) AS done FROM z UNION ALL
-        SELECT client_id, k, CASE WHEN full_ THEN 0 ELSE o END, CASE WHEN full_ THEN 0 ELSE b END, f, l,
+    "t3_staged_commits", lambda s, d: drained(T.staged_commits(stateful(s, d), max_bytes=100, max_ops=5, max_delay_s=86_400, quiet_s=21_600, late="1 hour")),
+    f"""WITH RECURSIVE {KEYED},
+    r AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ops, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS l, CAST([] AS STRUCT(o BIGINT, b BIGINT, w VARCHAR)[]) AS done FROM e UNION ALL
+        SELECT client_id, n, CASE WHEN full_ THEN 0 ELSE o END, CASE WHEN full_ THEN 0 ELSE b END, f, l,
             list_concat(CASE WHEN late THEN [{{'o': po, 'b': pb, 'w': why}}] ELSE [] END, CASE WHEN full_ THEN [{{'o': o, 'b': b, 'w': CASE WHEN b >= 100 THEN 'byte_cap' ELSE 'file_cap' END}}] ELSE [] END)
-        FROM (SELECT *, b >= 100 OR o >= 5 AS full_ FROM (SELECT *, CASE WHEN late OR po = 0 THEN 1 ELSE po + 1 END AS o, CASE WHEN late OR po = 0 THEN size ELSE pb + size END AS b, CASE WHEN late OR po = 0 THEN ms ELSE pf END AS f, ms AS l
-            FROM (SELECT z.client_id, z.k, z.ms, CAST(z.bytes AS BIGINT) AS size, r.ops AS po, r.bytes AS pb, r.f AS pf, r.ops > 0 AND (z.ms - r.l >= 21600000 OR z.ms - r.f >= 86400000) AS late, CASE WHEN z.ms - r.l >= 21600000 THEN 'quiet' ELSE 'max_delay' END AS why
-                FROM r JOIN z ON z.client_id = r.client_id AND z.k = r.k + 1))))
-    SELECT client_id, d.o AS ops, d.b AS bytes, d.w AS reason FROM (SELECT client_id, unnest(done) AS d FROM r)""",
+        FROM (SELECT *, b >= 100 OR o >= 5 AS full_ FROM (SELECT *, CASE WHEN late OR po = 0 THEN 1 ELSE po + 1 END AS o, CASE WHEN late OR po = 0 THEN size ELSE pb + size END AS b, CASE WHEN late OR po = 0 THEN us ELSE pf END AS f, us AS l
+            FROM (SELECT e.client_id, e.n, e.us, e.bytes AS size, r.ops AS po, r.bytes AS pb, r.f AS pf, r.ops > 0 AND (e.us - r.l >= 21600000000 OR e.us - r.f >= 86400000000) AS late,
+                    CASE WHEN r.f + 86400000000 <= r.l + 21600000000 THEN 'max_delay' ELSE 'quiet' END AS why
+                FROM r JOIN e ON e.client_id = r.client_id AND e.n = r.n + 1)))),
+    z AS (SELECT client_id, max({{'n': n, 'o': ops, 'b': bytes, 'f': f, 'l': l}}) AS z FROM r GROUP BY client_id)
+    SELECT client_id, d.o AS ops, d.b AS bytes, d.w AS reason FROM (SELECT client_id, unnest(done) AS d FROM r)
+    UNION ALL SELECT client_id, z.o, z.b, CASE WHEN z.f + 86400000000 <= z.l + 21600000000 THEN 'max_delay' ELSE 'quiet' END FROM z, m WHERE z.o > 0 AND least(z.f + 86400000000, z.l + 21600000000) <= mark""",
 )
 register(
-    "t8_rate_limit", lambda s, d: drained(T.rate_limit(stateful(s, d), 3, 86_400)).select("client_id", "seq", "refused"),
+    "t8_rate_limit", lambda s, d: drained(T.rate_limit(stateful(s, d), 3, 86_400, late="1 hour")).select("client_id", "seq", "refused"),
     f"""WITH RECURSIVE {KEYED}, r AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS kept, false AS refused FROM e UNION ALL
         SELECT client_id, n, seq, CASE WHEN len(now) >= 3 THEN now ELSE list_append(now, us) END, len(now) >= 3
         FROM (SELECT e.client_id, e.n, e.seq, e.us, list_filter(r.kept, lambda x: x > e.us - 86400000000) AS now FROM r JOIN e ON e.client_id = r.client_id AND e.n = r.n + 1))
     SELECT client_id, seq, refused FROM r WHERE n > 0""",
 )
 register(
-    "t9_stuck_writes", lambda s, d: drained(T.stuck_writes(stateful(s, d))).select("client_id", "path", "seq", "stuck"),
-    f"""WITH RECURSIVE {KEYED}, r AS (SELECT DISTINCT client_id, path, CAST(0 AS BIGINT) AS m, CAST(NULL AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS kept, false AS stuck FROM e UNION ALL
-        SELECT e.client_id, e.path, e.m, e.seq, CASE WHEN list_contains(r.kept, e.hash) THEN r.kept ELSE list_append(r.kept, e.hash)[-3:] END, list_contains(r.kept, e.hash)
-        FROM r JOIN e ON e.client_id = r.client_id AND e.path = r.path AND e.m = r.m + 1)
-    SELECT client_id, path, seq, stuck FROM r WHERE m > 0""",
+    "t9_stuck_writes", lambda s, d: drained(T.stuck_writes(stateful(s, d), late="1 hour")).select("client_id", "path", "seq", "stuck"),
+    f"""WITH RECURSIVE {KEYED},
+    r AS (SELECT DISTINCT vault_id, path, CAST(0 AS BIGINT) AS m, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS client_id, CAST(NULL AS BIGINT) AS seq, CAST([] AS STRUCT(c VARCHAR, h VARCHAR)[]) AS kept, false AS stuck FROM e UNION ALL
+        SELECT vault_id, path, m, kind, client_id, seq, CASE WHEN kind = 'commit' THEN [] WHEN again THEN kept ELSE list_append(kept, {{'c': client_id, 'h': hash}}) END, again
+        FROM (SELECT e.*, r.kept, list_contains(list_transform(list_filter(r.kept, lambda x: x.c = e.client_id), lambda x: x.h)[-3:], e.hash) AS again
+            FROM r JOIN e ON e.vault_id = r.vault_id AND e.path = r.path AND e.m = r.m + 1))
+    SELECT client_id, path, seq, stuck FROM r WHERE kind = 'write'""",
 )
 
 
@@ -291,18 +320,9 @@ register(
 )
 
 
-def renames_stream(s, d, action):
-    e = stream(s, d, "events").filter(F.col("event_type") == action)
-    return e.select((F.col("user_id") * 7 + F.col("event_id") % 7).cast("string").alias("hash"), F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
-
-
 register(
-    "t4_pair_renames",
-    lambda s, d: drained(T.pair_renames(renames_stream(s, d, "error"), renames_stream(s, d, "signup"), "6 hours", "1 minute")).select("from", "to"),
-    """WITH a AS (SELECT *, user_id * 7 + event_id % 7 AS h FROM events WHERE event_type = 'error'), b AS (SELECT *, user_id * 7 + event_id % 7 AS h FROM events WHERE event_type = 'signup'),
-    w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 1 MINUTE AS mark)
-    SELECT CAST(a.event_id AS VARCHAR) AS "from", CAST(b.event_id AS VARCHAR) AS "to" FROM a LEFT JOIN b ON a.h = b.h AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS, w
-    WHERE b.event_id IS NOT NULL OR a.ts + INTERVAL 6 HOURS < mark""",
+    "t4_pair_renames", lambda s, d: drained(T.pair_renames(created_and_deleted(stream(s, d, "events")), "2 hours", "1 hour")).withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us"),
+    renames_sql("(max(epoch_ms(ts)) - 3600000) * 1000", "x.u + 7200000000 < mark"),
 )
 
 

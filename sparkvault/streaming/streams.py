@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkvault.functions import predicates
 from sparkvault.operators.changes import fold_latest
+from sparkvault.operators.fold import PairRenames, RateLimit, StagedCommits, StuckWrites
 from sparkvault.operators.oplog import fanout_ops
 from sparkvault.operators.search import build_index
 from sparkvault.operators.text import tokenize
+from sparkvault.streaming.ordered import ordered_stream
 
 
 def ingest_ops(ops: DataFrame, prune: str = "1 hour") -> tuple[DataFrame, DataFrame]:
@@ -32,12 +32,16 @@ def session_batches(ops: DataFrame, gap: str = "3 seconds", late: str = "1 minut
     return ops.withWatermark("ts", late).groupBy("client_id", F.session_window("ts", gap).alias("window")).agg(F.count("*").alias("ops"), F.sum(size).alias("bytes"))
 
 
-def pair_renames(deletes: DataFrame, creates: DataFrame, within: str = "250 milliseconds", late: str = "1 minute") -> DataFrame:
-    """Deletes with the create of the same content within the time, or alone once the time has passed."""
-    gone = deletes.select("hash", F.col("path").alias("from"), F.col("ts").alias("gone_ts")).withWatermark("gone_ts", late)
-    made = creates.select(F.col("hash").alias("made_hash"), F.col("path").alias("to"), F.col("ts").alias("made_ts")).withWatermark("made_ts", late)
-    near = (F.col("hash") == F.col("made_hash")) & F.col("made_ts").between(F.col("gone_ts"), F.col("gone_ts") + F.expr(f"INTERVAL {within}"))
-    return gone.join(made, near, "leftOuter").drop("made_hash")
+def pair_renames(events: DataFrame, within: str = "250 milliseconds", late: str = "1 minute") -> DataFrame:
+    """(vault_id, hash, from, to, us) as :func:`sparkvault.operators.changes.detect_renames`, one-to-one and by vault.
+
+    A delete that no create answers comes out alone by a timer, once the
+    watermark has passed its window. ``events`` is as there.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(F.col("vault_id").cast("string").alias("vault_id"), "hash", "action", "path", us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
+    # Of equal times the deletes come first; a null hash has a key of its own.
+    return ordered_stream(rows, ["vault_id", "hash"], [("us", True), ("action", False), ("path", True)], PairRenames(within), late)
 
 
 def counters(events: DataFrame, labels: list[str], window: str | None = None, slide: str | None = None, late: str = "1 minute") -> DataFrame:
@@ -58,73 +62,33 @@ def split_frozen(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ops.filter(~frozen), ops.filter(frozen)
 
 
-def _with_recent(ops: DataFrame, keys: list[str], value: str, out: str, verdict: Callable[[list, str], bool], keep: Callable[[list, str], list]) -> DataFrame:
-    """``ops`` with a flag per row, in order of seq, that sees the key's latest values; only rows without it are remembered."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ops.schema)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        flags = []
-        for v in rows[value].astype(str):
-            flags.append(verdict(recent, v))
-            if not flags[-1]:
-                recent = keep(recent, v)
-        state.update((recent,))
-        yield rows.assign(**{out: flags})
+def rate_limit(ops: DataFrame, limit: int, seconds: int, key: str = "client_id", late: str = "1 minute") -> DataFrame:
+    """(key, seq, in_window, refused): the key has ``limit`` accepted ops within the last ``seconds``. Refused ops do not count.
 
-    return ops.groupBy(*keys).applyInPandasWithState(run, f"{schema}, {out} boolean", "items array<string>", "append", GroupStateTimeout.NoTimeout)
+    ``ops`` has seq and us (its time in microseconds); a key without accepted
+    ops in the window has no state.
+    """
+    rows = ops.select(F.col(key).cast("string").alias(key), "seq", "us", F.timestamp_micros("us").alias("ts"))
+    return ordered_stream(rows, [key], [("us", True), ("seq", True)], RateLimit(limit, seconds, key), late)
 
 
-def rate_limit(ops: DataFrame, limit: int, seconds: int, keys: list[str] | None = None) -> DataFrame:
-    """``ops`` with refused: the key has ``limit`` accepted ops within the last ``seconds``. Refused ops do not count.
+def stuck_writes(ops: DataFrame, depth: int = 3, late: str = "1 minute") -> DataFrame:
+    """(client_id, path, seq, stuck): the hash is among the last ``depth`` accepted of the client and path since the path's last commit.
 
-    ``ops`` has seq and micros (the time in microseconds).
+    ``ops`` has vault_id, path, kind (write or commit), client_id, seq, hash, us.
     """
-    recent = lambda items, v: [x for x in items if int(x) > int(v) - seconds * 1_000_000]
-    return _with_recent(ops, keys or ["client_id"], "micros", "refused", lambda items, v: len(recent(items, v)) >= limit, lambda items, v: [*recent(items, v), v])
-
+    rows = ops.select("vault_id", "path", "kind", "client_id", "seq", "hash", "us", F.timestamp_micros("us").alias("ts"))
+    return ordered_stream(rows, ["vault_id", "path"], [("us", True), ("kind", False), ("client_id", True), ("seq", True)], StuckWrites(depth), late)
 
-def stuck_writes(ops: DataFrame, depth: int = 3) -> DataFrame:
-    """``ops`` with stuck: the hash is among the last ``depth`` accepted of the client and path."""
-    return _with_recent(ops, ["client_id", "path"], "hash", "stuck", lambda items, v: v in items, lambda items, v: [*items, v][-depth:])
 
+def staged_commits(ops: DataFrame, max_bytes: int = 50 << 20, max_ops: int = 200, max_delay_s: float = 60, quiet_s: float = 3, late: str = "1 minute") -> DataFrame:
+    """(client_id, ops, bytes, reason): commits of a client's stage. ``ops`` has client_id, seq, bytes long, us long.
 
-def staged_commits(
-    ops: DataFrame, max_bytes: int = 50 << 20, max_ops: int = 200, max_delay_s: float = 60, quiet_s: float = 3, by_clock: bool = True
-) -> DataFrame:
-    """(client_id, ops, bytes, reason): commits of a client's stage. ``ops`` has client_id, bytes long, ms long.
-
-    A stage is committed when it reaches a cap, when an op comes after the
-    quiet time or the longest delay, or, ``by_clock``, when nothing came for
-    the quiet time. A run that ends with its input wants ``by_clock`` off.
+    A stage is committed when it reaches a cap, and by a timer, without a later
+    op, when the watermark has passed its quiet time or longest delay.
     """
-    max_delay, quiet = int(max_delay_s * 1000), int(quiet_s * 1000)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if by_clock else GroupStateTimeout.NoTimeout
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = []
-        stage = tuple(state.get) if state.exists else (0, 0, 0, 0)
-        if state.hasTimedOut:
-            done.append((key[0], stage[0], stage[1], "quiet"))
-            stage = (0, 0, 0, 0)
-            state.remove()
-        else:
-            for size, at in pd.concat(list(frames)).sort_values("ms")[["bytes", "ms"]].itertuples(index=False):
-                if stage[0] and (at - stage[3] >= quiet or at - stage[2] >= max_delay):
-                    done.append((key[0], stage[0], stage[1], "quiet" if at - stage[3] >= quiet else "max_delay"))
-                    stage = (0, 0, 0, 0)
-                stage = (stage[0] + 1, stage[1] + int(size), stage[2] if stage[0] else int(at), int(at))
-                if stage[1] >= max_bytes or stage[0] >= max_ops:
-                    done.append((key[0], stage[0], stage[1], "byte_cap" if stage[1] >= max_bytes else "file_cap"))
-                    stage = (0, 0, 0, 0)
-            state.update(stage)
-            if stage[0] and by_clock:
-                state.setTimeoutDuration(min(quiet, max_delay))
-        yield pd.DataFrame(done, columns=["client_id", "ops", "bytes", "reason"])
-
-    out, kept = "client_id string, ops long, bytes long, reason string", "ops long, bytes long, first long, last long"
-    return ops.groupBy("client_id").applyInPandasWithState(run, out, kept, "append", timeout)
+    rows = ops.select("client_id", "seq", "bytes", "us", F.timestamp_micros("us").alias("ts"))
+    return ordered_stream(rows, ["client_id"], [("us", True), ("seq", True)], StagedCommits(max_bytes, max_ops, max_delay_s, quiet_s), late)
 
 
 def latest_state(ops: DataFrame) -> DataFrame:
@@ -166,14 +130,3 @@ def read_live_index(spark: SparkSession, path: str) -> DataFrame:
     """Postings (vault_id, path, field, gram) of the latest state of every document."""
     latest = spark.read.parquet(f"{path}/documents").groupBy("vault_id", "path").agg(F.max("batch").alias("batch"))
     return spark.read.parquet(f"{path}/postings").join(latest, ["vault_id", "path", "batch"], "left_semi").drop("batch")
-
-
-def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return the rows: for tests and one-off runs."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
-
-

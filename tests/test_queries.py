@@ -204,56 +204,6 @@ def test_stream_upserts(spark, tmp_path):
     assert [(r.path, r.hash) for r in live] == [("b", "2")]
 
 
-def test_stream_rename_pairs(spark, tmp_path):
-    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
-    event = "hash string, path string, ts timestamp"
-    spark.createDataFrame([("h", "a", at(1)), ("g", "c", at(2))], event).coalesce(1).write.parquet(str(tmp_path / "d"))
-    spark.createDataFrame([("h", "b", at(2)), ("g", "z", at(30))], event).coalesce(1).write.parquet(str(tmp_path / "c"))
-    read = lambda n: spark.readStream.schema(event).parquet(str(tmp_path / n))
-    out = streams.drain(streams.pair_renames(read("d"), read("c"), "5 seconds", "1 second"), "pairs")
-    assert ("a", "b") in {(r["from"], r["to"]) for r in out.collect()}
-
-
-def by_client(duck, *keys):
-    out = {}
-    for client, path, event, ms, size in duck.sql("SELECT 'c' || user_id, 'n' || event_id % 4, event_id, epoch_us(ts), length(props) FROM events ORDER BY event_id").fetchall():
-        out.setdefault((client, path) if keys else client, []).append((event, ms, size))
-    return out
-
-
-def test_stream_stuck_writes(spark, sf, duck):
-    want = set()
-    for (client, path), rows in by_client(duck, "path").items():
-        recent = []
-        for event, _, _ in rows:
-            stuck = f"h{event % 3}" in recent
-            want.add((client, path, event, stuck))
-            if not stuck:
-                recent = [*recent, f"h{event % 3}"][-3:]
-    assert set(map(tuple, plans.QUERIES["t9_stuck_writes"](spark, sf).collect())) == want
-
-
-def test_stream_rate_limit(spark, sf, duck):
-    want = set()
-    for client, rows in by_client(duck).items():
-        accepted = []
-        for event, us, _ in rows:
-            accepted = [x for x in accepted if x > us - 86_400_000_000]
-            want.add((client, event, len(accepted) >= 3))
-            if len(accepted) < 3:
-                accepted.append(us)
-    assert set(map(tuple, plans.QUERIES["t8_rate_limit"](spark, sf).collect())) == want
-
-
-def test_stream_staged_commits(spark, sf, duck):
-    out = plans.QUERIES["t3_staged_commits"](spark, sf)
-    assert {r.reason for r in out.select("reason").distinct().collect()} <= {"byte_cap", "file_cap", "quiet", "max_delay"}
-    assert out.filter("ops > 5 or ops < 1").count() == 0
-    total = {c: len(r) for c, r in by_client(duck).items()}
-    for r in out.groupBy("client_id").agg(F.sum("ops").alias("n")).collect():
-        assert total[r.client_id] - 5 <= r.n <= total[r.client_id]
-
-
 def test_stream_live_index(spark, tmp_path):
     schema = "vault_id string, path string, hash string, title string, tags array<string>, body string"
     put = streams.live_index(str(tmp_path / "p"))
