@@ -50,6 +50,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened in front until none of ``columns`` begins with it, in any case."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def n_blocks(df: DataFrame, text: str, target_bytes: int, target_rows: int) -> int:
     """How many blocks of about ``target_bytes`` of text and ``target_rows`` rows ``df`` fills."""
     size, rows = df.agg(F.sum(F.octet_length(text)), F.count("*")).first()

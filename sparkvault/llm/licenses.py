@@ -156,6 +156,10 @@ REFERENCE = (
 )
 
 
+#: The first words of a reference.
+STARTS = ["this", "the", "our", "all", "dual", "licensed", "relicensed", "released", "distributed", "published", "provided", "available", "made", "offered"]
+
+
 def _reference_id(spdx: str) -> str:
     """The identifier of a licence's references: its SPDX identifier in lower case, without -only and .0."""
     return spdx.lower().removesuffix("-only").removesuffix(".0") + "-ref"
@@ -194,13 +198,28 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+#: Where a reference may end within its piece: " - see the LICENSE file", "(see LICENSE)", ", a free licence"; not before "or later".
+ASIDE = r"(?:[ \t][-\u2013\u2014][ \t]|[(,;])(?!\s*\(?(?:or|and|either)(?![a-z0-9]))"
+
+
+def marked(piece: Column) -> Column:
+    """A normalised piece in which asides begin with a bar."""
+    bars = F.regexp_replace(F.translate(F.lower(piece), "|", " "), ASIDE, " | ")
+    return F.trim(F.regexp_replace(bars, "[^a-z0-9|]+", " "))
+
+
+def without_bars(words: Column) -> Column:
+    return F.trim(F.regexp_replace(words, "[ |]+", " "))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """(key, n_sentences, sentence_ids array<string>, licenses array<string>) of every row.
 
     n_sentences counts the pieces between sentence and line ends, ; and :. A
     known sentence is one piece or several that follow each other without a
     sentence's end between them; of those that begin at a piece the longest
-    counts, and the search goes on behind it.
+    counts, and the search goes on behind it. A reference may also be followed
+    by an aside: after a dash, a bracket, a comma or a semicolon.
 
     sentence_ids are the known sentences in the order of the text, unknown
     sentences between them left out; licenses the distinct names of the rules
@@ -213,8 +232,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
     """
     known = [s for group in SENTENCES.values() for s in group]
     longest = max(map(len, known)) + 200  # and the beginning of a reference
-    starts = {"this", "the", "our", "all", "dual", "licensed", "relicensed", "released", "distributed", "published", "provided", "available", "made", "offered"}
-    first = "|".join(sorted({s.split()[0] for s in known} - {"under"} | starts))
+    first = "|".join(sorted({s.split()[0] for s in known} - {"under"} | set(STARTS)))
     may_be = lambda s: s.rlike(rf"(?i)^[^a-z0-9]*(?:{first})(?![a-z0-9])")
     of = F.create_map(*(F.lit(x) for i, group in SENTENCES.items() for s in group for x in (s, i)))
 
@@ -228,8 +246,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
         """(i, stop, id) of the longest known sentence that begins at piece i of the unit."""
 
         def grow(state: Column, piece: Column) -> Column:
-            words = F.when(F.length(state["words"]) <= longest, F.concat_ws(" ", F.nullif(state["words"], F.lit("")), normalised(piece)))
-            found, at = F.try_element_at(of, keyed(words)), state["at"] + 1
+            words = F.when(F.length(state["words"]) <= longest, F.concat_ws(" ", F.nullif(state["words"], F.lit("")), marked(piece)))
+            parts = F.split(words, r"\|")
+            before = lambda n: keyed(without_bars(F.array_join(F.slice(parts, F.lit(1), n), " ")))
+            cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.try_element_at(of, before(n)))
+            aside = F.when(F.contains(words, F.lit("|")) & keyed(words).startswith("under "), F.try_element_at(F.array_compact(cut), F.lit(-1)))
+            found, at = F.coalesce(F.try_element_at(of, keyed(without_bars(words))), aside), state["at"] + 1
             stop = F.when(found.isNotNull(), at).otherwise(state["stop"])
             return F.struct(words.alias("words"), at.alias("at"), stop.alias("stop"), F.coalesce(found, state["id"]).alias("id"))
 

@@ -37,6 +37,8 @@ BINS, ROWS = 128, 4
 BROADCAST_IDS = 1_000_000
 #: Stars go on while one more takes at least this share off the members that are left.
 STAR_SHARE = 0.25
+#: Groups that a bucket's members are dealt to where they meet its centre.
+BUCKET_SALTS = 16
 #: Rows of one shingle that meet in one group of the exact join.
 SALT_ROWS = 512
 #: Bytes of text hashed at once.
@@ -286,12 +288,19 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _meet(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """``members`` with their bucket's row of ``heads``: the one row goes to every salt, so that no task has a whole bucket of many."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKET_SALTS - 1).cast("long"))).alias("salt")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(BUCKET_SALTS)))
+    return dealt.join(heads.select("*", salts), ["bucket", "salt"]).drop("salt")
+
+
 def class_labels(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int, width: int = WIDTH) -> DataFrame | None:
     """(id, label) of the representatives in ``classes`` (sid, rep, set_id, n, keys) that have a link; None without any."""
     keyed = classes.select("sid", "rep", "n", F.explode("keys").alias("bucket"))
     heads = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "sid", "n")).alias("c"), F.max("rep").alias("hi"))
     heads = heads.filter(F.col("c.rep") != F.col("hi")).select("bucket", *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("rep", "sid", "n")))
-    members = materialize(keyed.join(heads, "bucket"), "members")
+    members = materialize(_meet(keyed, heads), "members")
     wanted = materialize(classes.select("sid", "rep", "set_id").join(members.select("sid").distinct(), "sid", "left_semi"), "wanted")
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(_few(wanted), "rep")
     sets = materialize(shingled(texts, width), "sets")
@@ -318,7 +327,7 @@ def class_labels(docs: DataFrame, classes: DataFrame, key: str, text: str, perce
         rest = materialize(rest, "rest")
         heads = rest.groupBy("bucket").agg(F.min(F.struct("label", "sid", "n")).alias("c"), F.max("label").alias("hi"))
         heads = heads.filter(F.col("c.label") != F.col("hi")).select("bucket", *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("label", "sid", "n")))
-        rows = materialize(rest.join(heads, "bucket"), "rows")
+        rows = materialize(_meet(rest, heads), "rows")
         before, left = left, rows.count()
         if not left:
             return labels

@@ -6,7 +6,8 @@ functions give a lower bound for each group's bin count, and a group that
 meets it is certified. Bins with room left in groups that are not known to be
 best go to new, fewer groups, which are packed again; a new packing counts
 only where it needs fewer bins than it took in. The rounds end when the bound
-of the whole table is met, or when a round saves nothing.
+of the whole table is met, when a round saves nothing, or after ``ROUNDS``
+rounds, the exchanges that a caller grants at most.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from sparkvault.llm._common import materialize
 
 #: Most pieces a packing group is meant to hold.
 GROUP_PIECES = 50_000
-#: Most exchange rounds.
-ROUNDS = 6
+#: Most rounds of packing and exchange, a parameter of :func:`pack`; rounds that save nothing end it before.
+ROUNDS = 12
 
 
 def pieces(
@@ -156,7 +157,18 @@ def pack(items: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECE
 
     Sequences are gapless from 0 and hold at most ``capacity`` tokens. Ties
     are broken by the order in a group. An empty table gives an empty table.
+    Columns of ``items`` may have any name; those named sequence_id or offset
+    give way to the results. At most ``rounds`` rounds are made: each further
+    one could save sequences, but never needs more.
     """
+    named = [c for c in items.columns if c.lower() not in ("sequence_id", "offset", "length")]
+    # Inside, the other columns have names that nothing clashes with.
+    items = items.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(named)), "length")
+    packed = _packed(items, capacity, group_pieces, rounds)
+    return packed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(named)), "length", "sequence_id", "offset")
+
+
+def _packed(items: DataFrame, capacity: int, group_pieces: int, rounds: int) -> DataFrame:
     columns = items.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     schema = f"{kinds}, sequence_id long, offset long, moves boolean"

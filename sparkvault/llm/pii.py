@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import materialize
+from sparkvault.llm._common import materialize, unused
 
 # Titles by gender, and given and family names by gender and script.
 TITLES = {
@@ -43,11 +43,16 @@ NAMES = {
     ("m", "GREEK"): ["Νίκος", "Γιώργος", "Πέτρος", "Παύλος"],
     ("n", "GREEK"): ["Αλέξης", "Στάθης"],
 }
-FAMILY = {
-    "LATIN": ["Berg", "Stone", "Moreau", "Lindner", "Castro", "Weber", "Hill", "Lambert", "Navarro", "Fischer", "Brook", "Rossi"],
-    "CYRILLIC": ["Шевченко", "Коваленко", "Черных", "Бондаренко"],
-    "GREEK": ["Παπάς", "Βλάχος", "Κοντός"],
+# What family names are put together from, by script.
+STEMS = {
+    "LATIN": ["Berg", "Stein", "Lind", "Hart", "Ros", "Wald", "Feld", "Dal", "Mor", "Cast", "Nav", "Bran", "Hol", "Win", "Kel", "Fal", "Gar", "Mal", "Sand", "Thorn"],
+    "CYRILLIC": ["Шевч", "Ковал", "Бондар", "Марч", "Литвин", "Гончар", "Ткач", "Мельнич"],
+    "GREEK": ["Παπαδ", "Βλαχ", "Κοντ", "Μαυρ", "Οικονομ", "Νικολ"],
 }
+ENDS = {"LATIN": ["er", "ow", "ard", "ini", "eau", "ells", "inger", "ano", "ley", "ström", "ova", "ley", "ius"], "CYRILLIC": ["енко", "ук", "як", "ыш"], "GREEK": ["άκης", "ίδης", "όπουλος", "έας"]}
+FAMILY = {script: sorted({a + b for a in stems for b in ENDS[script]}) for script, stems in STEMS.items()}
+#: Words after which a name follows as after a title, but of no gender.
+INTRODUCTIONS = ["name is", "Name ist", "heiße", "m'appelle", "llamo", "nombre es", "зовут"]
 
 _ALL_TITLES = sorted((t for group in TITLES.values() for t in group), key=lambda t: (-len(t), t))
 _GENDER = {t: g for g, group in TITLES.items() for t in group}
@@ -56,7 +61,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What is looked for, in order of precedence. Group 1, where there is one, is the part that is replaced.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?![*•●xX.#_-]*[\"',;]*(?:\s|$))(\S{5,}[^\s\"',;])",
+    "secret": r"(?ai:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?![*•●xX.#_-]*[\"',;]*(?:\s|$))(\S{5,}[^\s\"',;])",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "aws_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -65,11 +71,11 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
     r"|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])",
     "hex": r"\b(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}\b",
-    "name": r"\b(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0](\p{Lu}[\p{Ll}\p{M}'-]{1,30}(?:[ \u00a0]\p{Lu}[\p{Ll}\p{M}'-]{1,30}){0,2})",
+    "name": r"\b(?:(?:" + "|".join(_ALL_TITLES) + r")\.?|" + "|".join(INTRODUCTIONS) + r")[ \u00a0](\p{Lu}[\p{Ll}\p{M}'-]{1,30}(?:[ \u00a0]\p{Lu}[\p{Ll}\p{M}'-]{1,30}){0,2})",
 }
 #: A text without any of these has no entity; class by class, so that few positions try the longer parts.
 CANDIDATE = (
-    r"[0-9@]|(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + r"])(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0]"
+    r"[0-9@]|(?=[" + "".join(sorted({t[0] for t in [*_ALL_TITLES, *INTRODUCTIONS]})) + r"])(?:(?:" + "|".join(_ALL_TITLES) + r")\.?|" + "|".join(INTRODUCTIONS) + r")[ \u00a0]|A[KS]IA[A-Z0-9]"
     r"|[pP](?:[aA][sS][sS][wW]|[wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[kK][eE][yY]"
 )
 
@@ -79,9 +85,10 @@ ENTITY = "array<struct<start:int,end:int,kind:string,norm:string>>"
 @lru_cache(maxsize=1)
 def _scanners() -> list[tuple[str, Callable[[str], bool], regex.Pattern | re.Pattern]]:
     """For every kind: its name, a quick test of the texts that can have one, its pattern."""
-    number, title = re.compile("[0-9]").search, regex.compile("(?:" + "|".join(_ALL_TITLES) + r")\.?[ \u00a0]").search
+    number, title = re.compile("[0-9]").search, regex.compile("(?:(?:" + "|".join(_ALL_TITLES) + r")\.?|" + "|".join(INTRODUCTIONS) + r")[ \u00a0]").search
     word = re.compile("passw|pwd|secret|token|key").search
-    tests = {"email": lambda t: "@" in t, "secret": lambda t: word(t.lower()), "name": lambda t: any(x in t for x in _ALL_TITLES) and title(t)}
+    tests = {"email": lambda t: "@" in t, "secret": lambda t: word(t.lower()), "name": lambda t: any(x in t for x in (*_ALL_TITLES, *INTRODUCTIONS)) and title(t)}
+    tests |= {"aws_key": lambda t: "AKIA" in t or "ASIA" in t, "ipv6": lambda t: "::" in t or t.count(":") > 6}
     return [(kind, tests.get(kind, number), (regex if kind == "name" else re).compile(pattern)) for kind, pattern in PATTERNS.items()]
 
 
@@ -101,6 +108,14 @@ def _matches(text: str) -> Iterator[tuple[str, regex.Match | re.Match]]:
         ahead = left
 
 
+def _address(surface: str) -> str:
+    """An IPv6 address in full; what only looks like one in lower case."""
+    try:
+        return ipaddress.ip_address(surface).exploded
+    except ValueError:
+        return surface.lower()
+
+
 def _script(name: str) -> str:
     first = unicodedata.name(name[0], "LATIN").split()[0]
     return first if first in FAMILY else "LATIN"
@@ -122,9 +137,12 @@ def _persons(text: str, found: list[dict]) -> list[dict]:
     if not named:
         return found
     names = {e["norm"]: e["norm"].split(" ") for e in named}
-    whole = {}
+    whole, having = {}, {}
     for n, words in names.items():
-        longer = [m for m, other in names.items() if len(other) > len(words) and _part(words, other) >= 0]
+        for word in set(words):
+            having.setdefault(word, []).append(n)
+    for n, words in names.items():
+        longer = [m for m in having[words[0]] if len(names[m]) > len(words) and _part(words, names[m]) >= 0]
         longest = [m for m in longer if all(_part(names[o], names[m]) >= 0 for o in longer)]
         whole[n] = longest[0] if longest else n
     kinds = {}
@@ -166,9 +184,11 @@ def find(text: str | None) -> list[dict]:
             norm = surface.lower()
         elif kind == "iban":
             norm = surface.replace(" ", "")
+        elif kind == "ipv6":
+            norm = _address(surface)
         elif kind == "name":
             title = text[m.start() : start].rstrip(" \u00a0").rstrip(".")
-            kind, norm = f"name_{_GENDER[title]}", " ".join(surface.replace("\u00a0", " ").split(" "))
+            kind, norm = f"name_{_GENDER.get(title, 'n')}", " ".join(surface.replace("\u00a0", " ").split(" "))
         else:
             norm = surface
         found.append({"start": start, "end": end, "kind": kind, "norm": norm})
@@ -201,9 +221,23 @@ def _luhn(digits: str) -> int:
     return (sum(map(int, odd)) + sum(even)) % 10
 
 
+def _mod97(iban: str) -> int:
+    """The remainder of an IBAN's check; 1 if it is valid."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """A replacement of the same kind and form; another one for every attempt."""
+    """A replacement of the same kind and form; another one for every attempt.
+
+    Check digits are right where the original's are. The first group of an IPv6
+    address stays, and so do its groups of zeros but the last.
+    """
     draw = _Draw(key, kind, norm, str(attempt))
+    if kind == "ipv6":
+        groups = norm.split(":")
+        zeros = 0 if attempt < 8 else -1  # later attempts draw all groups
+        drawn = [g if g == "" or int(g, 16) == zeros and i < len(groups) - 1 else f"{1 + draw.below(0xFFFF):04x}" for i, g in enumerate(groups) if i]
+        return ":".join([groups[0], *drawn])
     if kind.startswith("name_"):
         script, parts = _script(norm), norm.split(" ")
         given, family = NAMES[kind[5:], script], FAMILY[script]
@@ -244,6 +278,9 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     if kind == "card":
         # The last digit counts once, so it alone sets the check sum: the original's, valid or not.
         out[-1] = str((int(out[-1]) - _luhn("".join(out)) + _luhn(norm)) % 10)
+    if kind == "iban" and _mod97(norm) == 1:
+        body = "".join(out)
+        out[2:4] = f"{98 - _mod97(body[:2] + '00' + body[4:]):02d}"
     if kind in ("secret", "email"):
         # Short forms run out: later attempts are longer.
         out[:0] = [string.ascii_lowercase[draw.below(26)] for _ in range(attempt // 4)]
@@ -258,6 +295,10 @@ def render(surface: str, kind: str, drawn: str, norm: str = "") -> str:
         return drawn if at < 0 else " ".join(drawn.split(" ")[at : at + len(words)])
     if kind == "ipv4":
         return drawn
+    if kind == "ipv6":
+        full = norm == _address(surface) and norm.count(":") == 7 and "" not in norm.split(":")
+        shown = str(ipaddress.ip_address(drawn)) if full and "::" in surface else drawn
+        return shown.upper() if surface.isupper() else shown
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(drawn)
         return "".join(next(rest, "") if c.isalnum() else c for c in surface)
@@ -315,18 +356,20 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     Rows without an entity are returned as they are, null texts too; repeated
     rows get the same replacements; an n_entities column that is there
-    already is replaced; an empty table gives an empty table. Only texts that
-    have an entity are moved.
+    already is replaced; all others stay, whatever their names; an empty table
+    gives an empty table. Only texts that have an entity are moved.
     """
     docs = docs.drop("n_entities")
     columns = docs.columns
+    p = unused(columns, "__pii_")
+    row, found_, drawn_ = f"{p}row", f"{p}found", f"{p}drawn"
     may = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
-    seen = materialize(entities(docs.filter(may), text, "__found").withColumn("__row", F.monotonically_increasing_id()), "seen")
-    mentions = seen.select("__row", F.explode("__found").alias("e")).select("__row", "e.kind", "e.norm").distinct()
+    seen = materialize(entities(docs.filter(may), text, found_).withColumn(row, F.monotonically_increasing_id()), "seen")
+    mentions = seen.select(F.col(row).alias("__row"), F.explode(found_).alias("e")).select("__row", "e.kind", "e.norm").distinct()
     drawn = surrogates(materialize(mentions.select("kind", "norm").distinct(), "entities"), key)
-    of_row = mentions.join(drawn, ["kind", "norm"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "norm", "surrogate")).alias("__drawn"))
-    joined = seen.filter(F.size("__found") > 0).join(of_row, "__row").drop("__row")
-    at, order = columns.index(text), [*columns, "__found", "__drawn"]
+    of_row = mentions.join(drawn, ["kind", "norm"]).groupBy(F.col("__row").alias(row)).agg(F.collect_list(F.struct("kind", "norm", "surrogate")).alias(drawn_))
+    joined = seen.filter(F.size(found_) > 0).join(of_row, row).drop(row)
+    at, order = columns.index(text), [*columns, found_, drawn_]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,4 +389,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     replaced = joined.select(*order).mapInArrow(run, f"{kinds}, n_entities int")
     none = F.lit(0).alias("n_entities")
-    return docs.filter(~may).select(*columns, none).unionByName(seen.filter(F.size("__found") == 0).select(*columns, none)).unionByName(replaced)
+    return docs.filter(~may).select(*columns, none).unionByName(seen.filter(F.size(found_) == 0).select(*columns, none)).unionByName(replaced)

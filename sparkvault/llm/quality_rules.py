@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import BLANK, BLANKS, materialize
+from sparkvault.llm._common import BLANK, BLANKS, materialize, unused
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -62,22 +62,25 @@ def _repeat_words(words: Column) -> Column:
 def counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the five counts and base_failed, each named ``prefix`` + name.
 
-    Null texts have no words and fail.
+    Null texts have no words and fail. Columns of ``docs`` that are named as
+    one of these, in any case, give way to it; all others stay as they are.
     """
+    new = {f"{prefix}{name}".lower() for name in (*COUNTS, "base_failed")}
+    rest, w = [c for c in docs.columns if c.lower() not in new], unused(docs.columns, "__words")
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, f"[{BLANK}]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda line: F.length(_without(line, BLANKS)) > 0)
     pair = lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("repeat"))
     failed = lambda c: (c["n"] < 50) | (c["repeat"] * 100 > c["n"] * 50)
     of_words = _let(_let(words, pair), lambda c: F.struct(c["n"].alias("n"), c["repeat"].alias("repeat"), failed(c).alias("failed")))
-    return docs.withColumn(f"{prefix}w", of_words).select(
-        *docs.columns,
-        F.col(f"{prefix}w.n").alias(f"{prefix}n_words"),
+    return docs.withColumn(w, of_words).select(
+        *rest,
+        F.col(f"{w}.n").alias(f"{prefix}n_words"),
         F.length(_without(t, BLANKS)).cast("long").alias(f"{prefix}word_chars"),
         (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias(f"{prefix}n_symbols"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias(f"{prefix}n_dup_lines"),
-        F.col(f"{prefix}w.repeat").alias(f"{prefix}n_repeat_words"),
-        F.col(f"{prefix}w.failed").alias(f"{prefix}base_failed"),
+        F.col(f"{w}.repeat").alias(f"{prefix}n_repeat_words"),
+        F.col(f"{w}.failed").alias(f"{prefix}base_failed"),
     )
 
 
@@ -101,15 +104,17 @@ def judge(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT, pr
     """``scored`` (from :func:`counts`) with kept: the base verdict and the host's. A null host rejects nothing.
 
     The rejected hosts are written and counted; up to ``BROADCAST_HOSTS`` are
-    broadcast, so that a host with many documents moves none of them.
+    broadcast, so that a host with many documents moves none of them. A kept
+    column that is there already gives way.
     """
+    bad_host = unused(scored.columns, "__bad_host")
     failed = F.col(f"{prefix}base_failed")
     hosts = scored.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
     hosts = materialize(hosts, "hosts")
-    bad = materialize(host_verdicts(hosts, limit).filter("rejected").select(F.col("host").alias("__bad_host")), "bad_hosts")
+    bad = materialize(host_verdicts(hosts, limit).filter("rejected").select(F.col("host").alias(bad_host)), "bad_hosts")
     known = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
-    joined = scored.join(known, scored[host] == bad["__bad_host"], "left")
-    return joined.withColumn(f"{prefix}kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host")
+    joined = scored.join(known, F.col(host) == F.col(bad_host), "left")
+    return joined.withColumn(f"{prefix}kept", ~failed & F.col(bad_host).isNull()).drop(bad_host)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT, prefix: str = "") -> DataFrame:
@@ -117,11 +122,18 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", lim
 
     The counts are written once to the shared folder, as both the hosts and
     the documents need them. Repeated rows count each; an empty table gives
-    an empty table.
+    an empty table. Columns of ``docs`` that are named as a result give way to
+    it; ``host`` must not be one.
     """
     return judge(materialize(counts(docs, text, prefix).drop(text), "counts"), host, limit, prefix)
 
 
 def passing(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judge(counts(docs, text, "__qr_"), host, limit, "__qr_").filter("__qr_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with the columns of ``docs``, whatever their names.
+
+    The rows are written once with their base verdict, as the hosts' rates and
+    the result both need it.
+    """
+    prefix = unused(docs.columns, "__qr_")
+    flagged = counts(docs, text, prefix).select(*docs.columns, f"{prefix}base_failed")
+    return judge(materialize(flagged, "flagged"), host, limit, prefix).filter(f"{prefix}kept").select(*docs.columns)

@@ -143,26 +143,41 @@ def _clusters_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64,
 
 
 def _license_sql() -> str:
-    """The licence scan in DuckDB SQL, its tables written out from the operator's."""
+    """The licence scan in DuckDB SQL, its tables written out from the operator's.
+
+    Every run of pieces of a sentence that begins with a known first word is
+    looked up; of each beginning the longest counts, and a recursion goes from
+    each found one to the next that begins behind it.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for i, group in licenses.SENTENCES.items() for s in group)
     rules = ", ".join(f"({quote(name)}, {quote(' ' + ' '.join(seq) + ' ')})" for name, seq in licenses.RULES)
+    every = [s for group in licenses.SENTENCES.values() for s in group]
+    first = "|".join(sorted({s.split()[0] for s in every} - {"under"} | set(licenses.STARTS)))
+    most = max(len(s.split()) for s in every) + 10
+    # DuckDB's patterns cannot look ahead: what goes on with "or", "and" or "either" is hidden from the mark and shown again.
+    shown = "regexp_replace(lower(replace(w, '|', ' ')), '(?:[ \t][-\u2013\u2014][ \t]|[(,;])(\\s*\\(?(?:or|and|either)(?:[^a-z0-9]|$))', ' \\1', 'g')"
+    marked = f"trim(regexp_replace(regexp_replace({shown}, '[ \t][-\u2013\u2014][ \t]|[(,;]', ' | ', 'g'), '[^a-z0-9|]+', ' ', 'g'))"
     return f"""
-        WITH known(sentence, sentence_id) AS (VALUES {known}), rules(name, sequence) AS (VALUES {rules}),
-        parts AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\n|[.!?]+(?:[ \t\r\x0B\f]|$)|[;:][ \t\r\x0B\f]') AS p FROM documents),
-        lines AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
-        found AS (
-            SELECT doc_id, i, sentence_id FROM lines JOIN known
-              ON regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licenses.REFERENCE}', 'under ') = sentence
-        ),
-        ids AS (SELECT doc_id, string_agg(sentence_id, ' ' ORDER BY i) AS ids FROM found GROUP BY doc_id),
+        WITH RECURSIVE known(sentence, sentence_id) AS (VALUES {known}), rules(name, sequence) AS (VALUES {rules}),
+        units AS (SELECT doc_id, unnest(u) AS u, generate_subscripts(u, 1) AS n FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+(?:[ \t\r\x0B\f\n]|$)') AS u FROM documents)),
+        pieces AS (SELECT doc_id, n, list_filter(string_split_regex(u, '\n|[;:][ \t\r\x0B\f]'), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS p FROM units),
+        begins AS (SELECT * FROM (SELECT doc_id, n, p, unnest(range(1, len(p) + 1)) AS i FROM pieces) WHERE regexp_matches(lower(p[i]), '^[^a-z0-9]*(?:{first})(?:[^a-z0-9]|$)')),
+        spans AS (SELECT doc_id, n, i, j, array_to_string(p[i:j], chr(10)) AS w FROM (SELECT *, unnest(range(i, least(len(p), i + {most} - 1) + 1)) AS j FROM begins)),
+        marks AS (SELECT doc_id, n, i, j, {marked} AS w FROM spans),
+        cuts AS (SELECT *, unnest(range(1, len(x) + 1)) AS c FROM (SELECT *, string_split(w, '|') AS x FROM marks)),
+        keyed AS (SELECT doc_id, n, i, j, c, c = len(x) AS whole, regexp_replace(trim(regexp_replace(array_to_string(x[1:c], ' '), '[ ]+', ' ', 'g')), '{licenses.REFERENCE}', 'under ') AS k FROM cuts),
+        hits AS (SELECT doc_id, n, i, max(j) + 1 AS stop, arg_max(sentence_id, (j, c)) AS id FROM keyed JOIN known ON k = sentence AND (whole OR starts_with(k, 'under ')) GROUP BY doc_id, n, i),
+        nexts AS (SELECT h.doc_id, h.n, h.i, any_value(h.id) AS id, min(o.i) AS next FROM hits h LEFT JOIN hits o ON o.doc_id = h.doc_id AND o.n = h.n AND o.i >= h.stop GROUP BY h.doc_id, h.n, h.i),
+        found AS (SELECT * FROM nexts QUALIFY i = min(i) OVER (PARTITION BY doc_id, n) UNION SELECT x.* FROM found f JOIN nexts x ON x.doc_id = f.doc_id AND x.n = f.n AND x.i = f.next),
+        ids AS (SELECT doc_id, string_agg(id, ' ' ORDER BY n, i) AS ids FROM found GROUP BY doc_id),
         named AS (
             SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses
             FROM ids JOIN rules ON contains(' ' || ids || ' ', sequence) GROUP BY doc_id
-        )
-        SELECT doc_id, CAST(len(list_filter(p, lambda s: regexp_matches(s, '[A-Za-z0-9]'))) AS BIGINT) AS n_sentences,
-               coalesce(replace(ids, ' ', ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
-        FROM parts LEFT JOIN ids USING (doc_id) LEFT JOIN named USING (doc_id)"""
+        ),
+        counted AS (SELECT doc_id, CAST(sum(len(p)) AS BIGINT) AS n_sentences FROM pieces GROUP BY doc_id)
+        SELECT doc_id, n_sentences, coalesce(replace(ids, ' ', ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
+        FROM counted LEFT JOIN ids USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 ORACLE: dict[str, str] = {
