@@ -343,14 +343,14 @@ register(
 
 
 def part_files(s, d):
-    """The cells of the parts, written as delimited files with quotes and delimiters in the cells."""
+    """The cells of the parts, written as delimited files with quotes, delimiters and line ends in the cells."""
     out = scratch(s, "cells")
-    p = V.table(s, d, "part").select(F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"; x')), "p_type", F.col("p_size").cast("string"))
+    p = V.table(s, d, "part").select(F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"\n; x\n\n'), "p_type"), "p_type", F.col("p_size").cast("string"))
     p.write.option("escape", '"').csv(out)
     return S.read_delimited(s, [out])
 
 
-PART_CELLS = """[CAST(p_partkey AS VARCHAR), p_name || ', "' || p_brand || '"; x', p_type, CAST(p_size AS VARCHAR)]"""
+PART_CELLS = """[CAST(p_partkey AS VARCHAR), p_name || ', "' || p_brand || '"' || chr(10) || '; x' || chr(10) || chr(10) || p_type, p_type, CAST(p_size AS VARCHAR)]"""
 register("s8_read_delimited", lambda s, d: part_files(s, d).select(F.array_join("cells", "|").alias("cells")), f"SELECT array_to_string({PART_CELLS}, '|') AS cells FROM part")
 register(
     "x14_extract_table_files", lambda s, d: table_cells(part_files(s, d).withColumn("key", F.lit(1)), "key", "cells").select("col", "value"),

@@ -1,4 +1,4 @@
-"""Readers and writers: trees, logs, access files, rules, delimited files, indexes."""
+"""Readers and writers: trees, logs, access files, rules, indexes; delimited files are read by ``delimited``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkvault.functions.predicates import is_hidden
 from sparkvault.operators.changes import fold_latest
 from sparkvault.operators.search import gram_part
+from sparkvault.sources.delimited import read_delimited, sniff_delimiter
 
 OP_SCHEMA = "vault_id string, client_id string, seq long, type string, path string, `from` string, `to` string, data string, binary boolean, pre_hash string, ts timestamp, author string"
 MANIFEST_SCHEMA = "vault_id string, row_no long, path string, hash string, binary boolean, deleted boolean"
@@ -80,32 +81,6 @@ def parse_rule_sections(lines: DataFrame, sections: list[str], default: str = "v
     return body.select("file", "section", F.row_number().over(Window.partitionBy("file", "section").orderBy("line")).alias("ordinal"), F.trim("value").alias("pattern"))
 
 
-def sniff_delimiter(path: Column, head: Column) -> Column:
-    """By extension; for csv a semicolon where there are more of them than commas outside quotes in the first 1024 characters."""
-    bare = F.regexp_replace(F.substring(head, 1, 1024), '"[^"]*"', "")
-    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c)))
-    return F.when(path.endswith(".tsv"), "\t").when(path.endswith(".psv"), "|").when(count(";") > count(","), ";").otherwise(",")
-
-
-def read_delimited(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
-    """(path, row, cells array<string>) of csv, tsv and psv files; rows may be ragged.
-
-    The byte-order mark is dropped. Cells are split outside quotes. A file
-    above ``limit`` bytes, where that is given, is one row without row and cells.
-    """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content", (F.col("length") <= limit if limit is not None else F.lit(True)).alias("fits"))
-    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
-    rows = files.filter("fits").select("path", text.alias("t")).withColumn("d", sniff_delimiter(F.col("path"), F.col("t")))
-    lines = rows.select("path", "d", F.posexplode(F.split(F.regexp_replace("t", "\r?\n$", ""), "\r?\n")).alias("row", "line"))
-    outside = F.concat(F.lit(r"\Q"), F.col("d"), F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    clean = lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-    out = lines.select("path", "row", F.transform(F.split("line", outside, -1), clean).alias("cells"))
-    if limit is None:
-        return out
-    refused = files.filter("not fits").select("path", F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<string>").alias("cells"))
-    return out.unionByName(refused)
-
-
 def needs_compaction(log: DataFrame) -> bool:
     """Whether the log has more than twice as many rows as live paths."""
     return log.count() > 2 * fold_latest(log).count()

@@ -184,6 +184,34 @@ def test_delimited_files(spark, tmp_path):
     assert got == [("a.csv", 0, ("x", "y")), ("a.csv", 1, ("a;b", "2,5")), ("a.csv", 2, ("lone",)), ("b.csv", 0, ("x", "y")), ("b.csv", 1, ("1", "2")), ("c.tsv", 0, ("x", "y"))]
 
 
+def test_quoted_cells_over_lines_and_blocks(spark, tmp_path):
+    r = np.random.default_rng(5)
+    pool = ["", "a", "b,c", 'say "hi"', "two\nlines", "x;y", '"', "\n\n", "été", " lead"]
+    table = [[pool[i] for i in r.integers(0, len(pool), r.integers(1, 5))] for _ in range(400)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if c == "" or set(c) & set(',"\n;') or r.random() < 0.2 else c
+    text = "".join(",".join(map(quoted, row)) + ["\n", "\r\n", "\n\n"][r.integers(0, 3)] for row in table)
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    (tmp_path / "b.csv").write_bytes(('1,"open' + "x" * 50 + "\n" * 40 + "y").encode())
+    want = [("a.csv", i, tuple(row)) for i, row in enumerate(table)] + [("b.csv", 0, ("1", "open" + "x" * 50 + "\n" * 40 + "y"))]
+    for size in (7, 64, 1 << 20):
+        out = files.read_delimited(spark, [str(tmp_path)], block_bytes=size)
+        assert sorted((r.path[-5:], r.row, tuple(r.cells)) for r in out.collect()) == want, size
+    wide = [[*row, *[""] * (5 - len(row))] for row in table]
+    (tmp_path / "c.csv").write_text("".join(",".join('"' + c.replace('"', '""') + '"' for c in row) + "\n" for row in wide))
+    duck = duckdb.sql(f"SELECT * FROM read_csv('{tmp_path / 'c.csv'}', header=false, all_varchar=true, quote='\"', escape='\"', delim=',', nullstr='none')").fetchall()
+    assert [tuple(r.cells) for r in files.read_delimited(spark, [str(tmp_path / "c.csv")], block_bytes=100).orderBy("row").collect()] == duck
+
+
+def test_stray_quotes_and_sniffing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a"b,"c"d,"e""f"\nx;1,"\n')
+    (tmp_path / "b.csv").write_text('"a,,,,\n";b;c\n1;2,3;4\n')
+    (tmp_path / "c.csv").write_text("\ufeff\n\na\n")
+    got = sorted((r.path[-5:], r.row, tuple(r.cells)) for r in files.read_delimited(spark, [str(tmp_path)]).collect())
+    assert got == [
+        ("a.csv", 0, ('a"b', 'c"d,"e"f')), ("a.csv", 1, ("x;1", "\n")), ("b.csv", 0, ("a,,,,\n", "b", "c")), ("b.csv", 1, ("1", "2,3", "4")), ("c.csv", 0, ("a",)),
+    ]
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.md").write_text("hi")
