@@ -44,6 +44,13 @@ def ranked_tags(tags: DataFrame) -> DataFrame:
     return each.select("vault_id", ranked.alias("tags"))
 
 
+def path_spans(history: DataFrame) -> DataFrame:
+    """(vault_id, path, start, until, hash): the ordinals from which and before which a path is there with a content; until is null at the head."""
+    last = history.groupBy(*KEY, "ordinal").agg(F.max(F.struct("action", "hash")).alias("t"))
+    until = F.lead("ordinal").over(Window.partitionBy(*KEY).orderBy("ordinal"))
+    return last.withColumn("until", until).filter(F.col("t.action") != "D").select(*KEY, F.col("ordinal").alias("start"), "until", "t.hash")
+
+
 def tag_trees(history: DataFrame, tags: DataFrame) -> DataFrame:
     """(vault_id, rank, name, path, hash): the tree of every tag; rank 1 is the newest.
 
@@ -52,11 +59,8 @@ def tag_trees(history: DataFrame, tags: DataFrame) -> DataFrame:
     array and keeps those inside, so that a row is made only where a path is
     in a tag; an array grows with the tags of a vault, not with its history.
     """
-    last = history.groupBy(*KEY, "ordinal").agg(F.max(F.struct("action", "hash")).alias("t"))
-    until = F.lead("ordinal").over(Window.partitionBy(*KEY).orderBy("ordinal"))
-    spans = last.withColumn("until", until).filter(F.col("t.action") != "D").select(*KEY, "ordinal", "until", "t.hash")
-    inside = lambda t: (t["ordinal"] >= F.col("ordinal")) & (F.col("until").isNull() | (t["ordinal"] < F.col("until")))
-    met = spans.join(ranked_tags(tags), "vault_id").select(*KEY, "hash", F.explode(F.filter("tags", inside)).alias("t"))
+    inside = lambda t: (t["ordinal"] >= F.col("start")) & (F.col("until").isNull() | (t["ordinal"] < F.col("until")))
+    met = path_spans(history).join(ranked_tags(tags), "vault_id").select(*KEY, "hash", F.explode(F.filter("tags", inside)).alias("t"))
     return met.select("vault_id", "t.rank", "t.name", "path", "hash")
 
 
@@ -74,30 +78,33 @@ def file_history(trees: DataFrame, tags_per_vault: DataFrame) -> DataFrame:
     the oldest tag counts as a change there.
     """
     w = Window.partitionBy(*KEY).orderBy("rank")
-    newer = F.col("rank") - F.coalesce(F.lag("rank").over(w), F.lit(0))
-    marked = trees.join(tags_per_vault.select("vault_id", "tags"), "vault_id").withColumn("gone", (newer > 1))
+    newer, older, old_hash = F.coalesce(F.lag("rank").over(w), F.lit(0)), F.lead("rank").over(w), F.lead("hash").over(w)
+    # All that a row has to do with its neighbours comes from one window, whose rows the aggregation then takes as they lie.
+    marked = trees.select(*KEY, "rank", "name", (F.col("rank") - newer > 1).alias("gone"), F.coalesce((older == F.col("rank") + 1) & (old_hash != F.col("hash")), F.lit(False)).alias("changed"))
     ends = marked.groupBy(*KEY).agg(
-        F.max_by("name", "rank").alias("first_tag"), F.min_by(F.when(F.col("gone"), F.col("name")), F.when(F.col("gone"), F.col("rank"))).alias("last_tag"),
-        F.max(F.when(F.col("rank") == F.col("tags"), F.struct("rank", "name"))).alias("oldest"),
+        F.max_by(F.struct("name", "rank"), "rank").alias("first"), F.min_by(F.when(F.col("gone"), F.col("name")), F.when(F.col("gone"), F.col("rank"))).alias("last_tag"),
+        F.array_sort(F.collect_list(F.when(F.col("changed"), F.struct("rank", "name")))).alias("c"),
     )
-    changed = changed_between_versions(trees).groupBy(*KEY).agg(F.collect_list(F.struct("rank", "name")).alias("c"))
-    both = ends.join(changed, KEY, "left")
-    points = F.concat(F.coalesce("c", F.array().cast("array<struct<rank:int,name:string>>")), F.array_compact(F.array(F.struct(F.col("oldest.rank").alias("rank"), F.col("oldest.name").alias("name")))))
-    names = F.transform(F.filter(F.array_sort(points), lambda p: p["name"].isNotNull()), lambda p: p["name"])
-    return both.select(*KEY, "first_tag", "last_tag", names.alias("changed_at"))
+    oldest = F.when(F.col("first.rank") == F.col("tags"), F.array(F.col("first.name"))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(F.transform("c", lambda p: p["name"]), oldest)
+    return ends.join(tags_per_vault.select("vault_id", "tags"), "vault_id").select(*KEY, F.col("first.name").alias("first_tag"), "last_tag", names.alias("changed_at"))
 
 
 def version_markers(trees: DataFrame, tags: DataFrame) -> DataFrame:
-    """(vault_id, path, name, marker): default, changed_here, not_yet or deleted, for every path and tag."""
-    paths = trees.groupBy(*KEY).agg(F.max("rank").alias("first"), F.min("rank").alias("last"))
-    grid = paths.join(ranked_tags(tags), "vault_id").select(*KEY, "first", "last", F.explode("tags").alias("t")).select(*KEY, "first", "last", "t.name", "t.rank")
-    changed = changed_between_versions(trees).select(*KEY, "rank", F.lit(True).alias("changed"))
-    joined = grid.join(changed, [*KEY, "rank"], "left")
+    """(vault_id, path, name, marker): default, changed_here, not_yet or deleted, for every path and tag.
+
+    A path's first and last tag and those where it changed come from one pass
+    over the trees; they then meet the vault's tags as one array.
+    """
+    w = Window.partitionBy(*KEY).orderBy("rank")
+    changed = F.when((F.lead("rank").over(w) == F.col("rank") + 1) & (F.lead("hash").over(w) != F.col("hash")), F.col("rank"))
+    paths = trees.select(*KEY, "rank", changed.alias("c")).groupBy(*KEY).agg(F.max("rank").alias("first"), F.min("rank").alias("last"), F.collect_set("c").alias("changed"))
+    grid = paths.join(ranked_tags(tags), "vault_id").select(*KEY, "first", "last", "changed", F.explode("tags").alias("t")).select(*KEY, "first", "last", "changed", "t.name", "t.rank")
     marker = (
         F.when(F.col("rank") > F.col("first"), "not_yet").when(F.col("rank") < F.col("last"), "deleted")
-        .when(F.col("changed"), "changed_here").otherwise("default")
+        .when(F.array_contains("changed", F.col("rank")), "changed_here").otherwise("default")
     )
-    return joined.select(*KEY, "name", marker.alias("marker"))
+    return grid.select(*KEY, "name", marker.alias("marker"))
 
 
 def catchup_ops(history: DataFrame, base: Column, head: Column | None = None) -> DataFrame:

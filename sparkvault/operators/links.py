@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvault.functions.exprs import case_fold, page_url
-from sparkvault.functions.predicates import basename
+from sparkvault.functions.exprs import case_fold
+from sparkvault.functions.predicates import basename, valid_tag
 
 
 def _stem(path: Column) -> Column:
@@ -59,58 +59,135 @@ def resolve_cross_vault(links: DataFrame, mounts: DataFrame) -> DataFrame:
     return joined.withColumn("state", state).withColumn("href", href).select(*links.columns, "state", "href")
 
 
+def _numbered(rows: DataFrame, *more: Column) -> DataFrame:
+    """(r, n, ...): each row as a struct with a number of its own, and ``more`` of it."""
+    return rows.select(F.struct(*rows.columns).alias("r"), F.monotonically_increasing_id().alias("n"), *more)
+
+
 def route_longest_prefix(urls: DataFrame, mounts: DataFrame) -> DataFrame:
-    """``urls`` (url) with the id and prefix of the longest mount that ends at a slash of the URL.
+    """``urls`` (url) with the id and prefix of the longest mount that ends at a slash of the URL; null where there is none.
 
-    The URL's own prefixes are listed, so that the join is on equality.
+    The URL's own prefixes are listed, so that the join is on equality. Rows
+    keep a number of their own on the way, so that nulls in other columns and
+    repeated rows stay.
     """
     parts = F.filter(F.split("url", "/"), lambda p: p != "")
     own = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
-    each = urls.select(*urls.columns, F.explode(own).alias("prefix"))
-    hit = each.join(mounts.select("id", F.when(F.col("prefix") == "/", F.col("prefix")).otherwise(F.regexp_replace("prefix", "/+$", "")).alias("prefix")), "prefix")
-    best = hit.groupBy(*urls.columns).agg(F.max_by(F.struct("id", "prefix"), F.length("prefix")).alias("m"))
-    return urls.join(best, urls.columns, "left").select(*urls.columns, "m.id", "m.prefix")
+    each = _numbered(urls, own.alias("own")).select("r", "n", F.explode_outer("own").alias("own"))
+    known = mounts.select("id", F.when(F.col("prefix") == "/", F.col("prefix")).otherwise(F.regexp_replace("prefix", "/+$", "")).alias("prefix"))
+    hit = each.join(known, F.col("own") == F.col("prefix"), "left")
+    best = hit.groupBy("n").agg(F.any_value("r").alias("r"), F.max_by(F.struct("id", "prefix"), F.when(F.col("prefix").isNotNull(), F.struct(F.length("prefix"), "id"))).alias("m"))
+    return best.select(*(F.col(f"r.`{c}`").alias(c) for c in urls.columns), "m.id", "m.prefix")
 
 
-def resolve_urls(urls: DataFrame, files: DataFrame) -> DataFrame:
-    """``urls`` (vault_id, url) with outcome serve, redirect or not_found, and the path.
+def resolve_urls(urls: DataFrame, files: DataFrame, tags: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """``urls`` (vault_id, url) with tag, outcome serve, redirect or not_found, and the path.
 
     A page is its path without .md; a directory serves its index or README; a
-    directory without the last slash is redirected.
+    directory without the last slash is redirected. A first segment ``@tag``
+    asks for the tree at that tag, ``@head`` for ``files``: ``tags`` has
+    (vault_id, name, ordinal), and ``spans`` (vault_id, path, start, until),
+    the ordinals from which and before which a path is there (see
+    ``history.path_spans``); an unknown or invalid tag is not found. Candidates
+    meet spans on vault and path, so that no tree of a tag is made.
     """
-    bare = F.regexp_replace(F.regexp_replace("url", "^/+", ""), "/+$", "")
-    slash = F.col("url").endswith("/") | (bare == "")
+    asked = F.regexp_extract("url", "^/*@([^/]*)", 1)
+    versioned = F.col("url").rlike("^/*@")
+    tag = F.when(versioned & valid_tag(asked), asked)
+    rest = F.when(versioned, F.regexp_replace("url", "^/*@[^/]*/?", "")).otherwise(F.regexp_replace("url", "^/+", ""))
+    bare = F.regexp_replace(rest, "/+$", "")
+    slash = rest.endswith("/") | (bare == "")
     inside = lambda name: F.when(bare == "", F.lit(name)).otherwise(F.concat(bare, F.lit(f"/{name}")))
-    cand = F.array(
-        F.struct(F.lit(0).alias("o"), bare.alias("p"), F.lit("serve").alias("w")), F.struct(F.lit(1).alias("o"), F.concat(bare, F.lit(".md")).alias("p"), F.lit("serve").alias("w")),
-        F.struct(F.lit(2).alias("o"), inside("index.md").alias("p"), F.when(slash, "serve").otherwise("redirect").alias("w")),
-        F.struct(F.lit(3).alias("o"), inside("README.md").alias("p"), F.when(slash, "serve").otherwise("redirect").alias("w")),
-    )
-    each = urls.select(*urls.columns, F.explode(cand).alias("c"))
-    hits = each.join(files.select("vault_id", F.col("path").alias("__p")), (each["vault_id"] == files["vault_id"]) & (F.col("c.p") == F.col("__p"))).select(*(each[c] for c in urls.columns), "c")
-    best = hits.groupBy(*urls.columns).agg(F.min_by("c", F.col("c.o")).alias("c"))
-    return urls.join(best, urls.columns, "left").select(*urls.columns, F.coalesce("c.w", F.lit("not_found")).alias("outcome"), F.col("c.p").alias("path"))
-
-
-def nav_tree(files: DataFrame) -> DataFrame:
-    """(vault_id, dir, parent, leaves, landing): each directory with a page under it, and its landing page.
-
-    The landing page is index.md, else README.md.
+    to_dir = F.when(slash, "serve").otherwise("redirect")
+    cand = F.array(*(F.struct(F.lit(o).alias("o"), p.alias("p"), F.lit(w).alias("w") if isinstance(w, str) else w.alias("w")) for o, (p, w) in enumerate(
+        [(bare, "serve"), (F.concat(bare, F.lit(".md")), "serve"), (inside("index.md"), to_dir), (inside("README.md"), to_dir)]
+    )))
+    live = ~versioned | F.coalesce(tag == "head", F.lit(False))
+    each = _numbered(urls, F.col("vault_id").alias("v"), tag.alias("tag"), live.alias("live"), cand.alias("c")).select("r", "n", "v", "tag", "live", F.explode_outer("c").alias("c"))
+    there = files.select(F.col("vault_id").alias("v"), F.col("path").alias("p"), F.lit(True).alias("there")).distinct()
+    met = each.withColumn("p", F.when(F.col("live"), F.col("c.p"))).join(there, ["v", "p"], "left").drop("p")
+    if tags is not None and spans is not None:
+        named = tags.select(F.col("vault_id").alias("v"), F.col("name").alias("tag"), F.col("ordinal").alias("at"))
+        of = spans.select(F.col("vault_id").alias("sv"), F.col("path").alias("sp"), "start", "until")
+        met = met.join(named, ["v", "tag"], "left")
+        during = (F.col("start") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+        met = met.join(of, ~F.col("live") & (F.col("v") == F.col("sv")) & (F.col("c.p") == F.col("sp")) & during, "left").withColumn("there", F.col("there") | F.col("sp").isNotNull())
+    best = met.groupBy("n").agg(F.any_value("r").alias("r"), F.any_value("tag").alias("tag"), F.min_by("c", F.when(F.col("there"), F.col("c.o"))).alias("c"))
+    return best.select(*(F.col(f"r.`{c}`").alias(c) for c in urls.columns), "tag", F.coalesce("c.w", F.lit("not_found")).alias("outcome"), F.col("c.p").alias("path"))
+
+
+def nav_tree(files: DataFrame, prefix: Column | str = "") -> DataFrame:
+    """(vault_id, key, depth, is_dir, path, parent, title, url, src_path, children, leaves): the navigation of each vault.
+
+    ``files`` has (vault_id, path, title), the title of a page's frontmatter or
+    null. Hidden names are left out. A directory's landing page, index.md or
+    else README.md in any case, gives it its URL and, if it has a title of its
+    own, that title, and is no node itself; the loser neither. Directories come
+    first, each kind by its lower-case title. ``key`` has an entry for each
+    level; sorted by vault and key, the rows are the tree in pre-order, by a
+    distributed sort. ``leaves`` counts the nodes without children below.
     """
+    name, low = basename(F.col("path")), F.lower(basename(F.col("path")))
+    page = low.endswith(".md")
     parts = F.split("path", "/")
-    dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    each = files.filter(F.col("path").endswith(".md")).select("vault_id", "path", F.explode(dirs).alias("dir"))
-    own = F.regexp_replace("path", "/?[^/]*$", "") == F.col("dir")
-    rank = F.when(own & (basename(F.col("path")) == "index.md"), 1).when(own & (basename(F.col("path")) == "README.md"), 2)
-    return each.groupBy("vault_id", "dir").agg(F.count("*").alias("leaves"), F.min_by(F.when(rank.isNotNull(), F.col("path")), rank).alias("landing")).select(
-        "vault_id", "dir", F.when(F.col("dir") != "", F.regexp_replace("dir", "/?[^/]*$", "")).alias("parent"), "leaves", "landing"
+    up_to = lambda a, n: F.array_join(F.slice(a, F.lit(1), n), "/")
+    title = F.when(page, F.coalesce(F.nullif("title", F.lit("")), F.regexp_replace(name, r"\.[^.]*$", ""))).otherwise(name)
+    visible = files.filter(~F.exists(parts, lambda x: x.startswith("."))).select(
+        "vault_id", "path", up_to(parts, F.size(parts) - 1).alias("parent"), name.alias("name"), low.alias("low"), title.alias("title"), (F.size(parts) - 1).alias("above")
+    )
+    is_landing = F.col("low").isin("index.md", "readme.md")
+    landing = visible.filter(is_landing).groupBy("vault_id", F.col("parent").alias("path")).agg(F.min_by(F.struct("path", "title", "low"), F.struct("low", "path")).alias("l"))
+    pages = visible.filter(~is_landing)
+    folders = lambda of, depth: F.transform(F.sequence(F.lit(1), depth), lambda n: up_to(F.split(of, "/"), n))
+    dirs = visible.filter("above > 0").select("vault_id", F.explode(folders("path", F.col("above"))).alias("path")).distinct().join(landing, ["vault_id", "path"], "left")
+    own = (F.col("l.title") != "") & (F.lower("l.title") != F.regexp_replace("l.low", r"\.[^.]*$", ""))
+    dirs = dirs.withColumn("title", F.when(own, F.col("l.title")).otherwise(basename(F.col("path")))).withColumn("depth", F.size(F.split("path", "/")))
+    entry = lambda kind: F.concat(F.lit(kind), F.lower("title"), F.lit("\x00"), basename(F.col("path")))
+    dirs = dirs.withColumn("entry", entry("0"))
+
+    start = prefix if isinstance(prefix, Column) else F.lit(prefix)
+    url = lambda stem: F.concat(F.regexp_replace(start, "/+$", ""), F.lit("/"), stem)
+    nodes = dirs.select(
+        "vault_id", "path", "depth", F.lit(True).alias("is_dir"), "title", F.when(F.col("l").isNotNull(), url(F.col("path"))).alias("url"), F.col("l.path").alias("src_path"), F.lit(None).cast("string").alias("last")
+    ).unionByName(
+        pages.select(
+            "vault_id", "path", (F.col("above") + 1).alias("depth"), F.lit(False).alias("is_dir"), "title",
+            url(F.when(F.col("low").endswith(".md"), F.regexp_replace("path", r"\.[^./]*$", "")).otherwise(F.col("path"))).alias("url"), F.col("path").alias("src_path"), entry("1").alias("last"),
+        )
+    )
+    nodes = nodes.withColumn("parent", F.when(F.col("depth") > 1, up_to(F.split("path", "/"), F.col("depth") - 1)).otherwise(F.lit("")))
+    # Each node with all directories it lies in, itself among them if it is one.
+    within = F.col("depth") - F.when(F.col("is_dir"), 0).otherwise(1)
+    chain = nodes.filter(within > 0).select("vault_id", "path", "is_dir", F.explode(folders("path", within)).alias("dir"))
+    named = chain.join(dirs.select("vault_id", F.col("path").alias("dir"), "depth", "entry"), ["vault_id", "dir"])
+    keys = named.groupBy("vault_id", "path", "is_dir").agg(F.array_sort(F.collect_list(F.struct("depth", "entry"))).alias("k"))
+    children = nodes.groupBy("vault_id", F.col("parent").alias("path")).agg(F.count("*").alias("children")).withColumn("is_dir", F.lit(True))
+    full = nodes.join(keys, ["vault_id", "path", "is_dir"], "left").join(children, ["vault_id", "path", "is_dir"], "left")
+    full = full.withColumn("children", F.coalesce("children", F.lit(0)))
+    leaves = full.filter("children = 0").select("vault_id", F.explode(F.filter(folders("path", F.col("depth")), lambda x: x != F.col("path"))).alias("path"))
+    leaves = leaves.groupBy("vault_id", "path").agg(F.count("*").alias("leaves")).withColumn("is_dir", F.lit(True))
+    key = F.concat(F.coalesce(F.transform("k", lambda x: x["entry"]), F.array().cast("array<string>")), F.array_compact(F.array("last")))
+    return full.join(leaves, ["vault_id", "path", "is_dir"], "left").select(
+        "vault_id", key.alias("key"), "depth", "is_dir", "path", "parent", "title", "url", "src_path", "children", F.coalesce("leaves", F.lit(0)).alias("leaves")
     )
 
 
 def sitemap_rows(files: DataFrame, vaults: DataFrame) -> DataFrame:
-    """(loc, lastmod) of the Markdown pages of public vaults; ``vaults`` has (vault_id, prefix, public)."""
-    pages = files.filter(F.col("path").endswith(".md")).join(vaults.filter("public").select("vault_id", "prefix"), "vault_id")
-    return pages.select(page_url(F.col("prefix"), F.col("path")).alias("loc"), F.date_format("mtime", "yyyy-MM-dd").alias("lastmod"))
+    """(loc, lastmod): the Markdown pages of public vaults at their URLs in the navigation, and each vault's landing page.
+
+    ``files`` has (vault_id, path, mtime), ``vaults`` (vault_id, prefix,
+    public). The landing page is index.md at the root, else README.md, at the
+    vault's prefix; those of directories stand for these.
+    """
+    public = vaults.filter("public").select("vault_id", "prefix")
+    title = F.col("title") if "title" in files.columns else F.lit(None).cast("string")
+    own = files.select("vault_id", "path", "mtime", title.alias("title")).join(public, "vault_id")
+    nodes = nav_tree(own).filter(F.col("src_path").endswith(".md")).select("vault_id", "src_path", "url")
+    pages = nodes.join(own.select("vault_id", F.col("path").alias("src_path"), "mtime", "prefix"), ["vault_id", "src_path"])
+    root = own.filter(F.col("path").isin("index.md", "README.md")).groupBy("vault_id", "prefix").agg(F.min_by("mtime", F.col("path") != "index.md").alias("mtime"))
+    loc = F.concat(F.regexp_replace("prefix", "/+$", ""), "url")
+    day = F.date_format("mtime", "yyyy-MM-dd").alias("lastmod")
+    return pages.select(loc.alias("loc"), day).unionByName(root.select(F.col("prefix").alias("loc"), day))
 
 
 def sidecar_presence(files: DataFrame) -> DataFrame:

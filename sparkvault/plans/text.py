@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkvault.operators import access as A
+from sparkvault.operators import history as H
 from sparkvault.operators import links as L
 from sparkvault.operators import search as S
 from sparkvault.operators import text as T
@@ -143,21 +144,71 @@ register("j13_resolve_cross_vault",
          SELECT vault_id, doc_id, target, CASE WHEN doc_id % 5 = 0 THEN 'plain' WHEN id = vault_id THEN 'same' WHEN id = 'v8' THEN 'unknown' ELSE 'other' END AS state,
          CASE WHEN doc_id % 5 = 0 THEN target WHEN id = vault_id THEN path || '#s' WHEN id <> 'v8' THEN '/m/' || id || '/' || path || '#s' END AS href FROM t""", "manifest")
 register("j14_route_longest_prefix",
-         lambda s, d: L.route_longest_prefix(V.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]+|[?#].*$", "").alias("url")), V.table(s, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[a-z]+)", 1).alias("prefix")).distinct().select(F.col("prefix").alias("id"), "prefix").union(s.createDataFrame([("root", "/")], "id string, prefix string"))),
+         lambda s, d: L.route_longest_prefix(V.table(s, d, "pages").select("page_id", F.expr("CASE WHEN page_id % 2 = 0 THEN page_id END").alias("note"), F.regexp_replace("url", "^[a-z]+://[^/]+|[?#].*$", "").alias("url")), V.table(s, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[a-z]+)", 1).alias("prefix")).distinct().select(F.col("prefix").alias("id"), "prefix").union(s.createDataFrame([("root", "/")], "id string, prefix string"))),
          r"""WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+|[?#].*$', '', 'g') AS url FROM pages), m AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]+)', 1) AS prefix FROM pages)
-         SELECT page_id, u.url, coalesce(m.prefix, 'root') AS id, coalesce(m.prefix, '/') AS prefix FROM u LEFT JOIN m ON u.url = m.prefix OR starts_with(u.url, m.prefix || '/')""")
+         SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id END AS note, u.url, coalesce(m.prefix, 'root') AS id, coalesce(m.prefix, '/') AS prefix FROM u LEFT JOIN m ON u.url = m.prefix OR starts_with(u.url, m.prefix || '/')""")
 register("j18_resolve_urls",
-         lambda s, d: L.resolve_urls(V.manifest(s, d).select("vault_id", "doc_id", F.expr("concat('/', CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN replace(path, '.md', '') ELSE 'none/x' END)").alias("url")), V.manifest(s, d)),
-         """SELECT vault_id, doc_id, '/' || CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN replace(path, '.md', '') ELSE 'none/x' END AS url, CASE WHEN doc_id % 3 < 2 THEN 'serve' ELSE 'not_found' END AS outcome, CASE WHEN doc_id % 3 < 2 THEN path END AS path FROM manifest""", "manifest")
+         lambda s, d: L.resolve_urls(V.manifest(s, d).select("vault_id", "doc_id", F.expr("concat('/', CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN replace(path, '.md', '') ELSE 'none/x' END)").alias("url"), F.expr("CASE WHEN doc_id % 2 = 0 THEN doc_id END").alias("note")), V.manifest(s, d)).drop("tag"),
+         """SELECT vault_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS note, '/' || CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN replace(path, '.md', '') ELSE 'none/x' END AS url, CASE WHEN doc_id % 3 < 2 THEN 'serve' ELSE 'not_found' END AS outcome, CASE WHEN doc_id % 3 < 2 THEN path END AS path FROM manifest""", "manifest")
+
+
+def versioned_urls(s, d):
+    """Every changed path of a vault asked for at each of its tags, at the head, and at a tag that is none."""
+    names = V.tags(s, d).select("vault_id", "name").unionByName(V.tags(s, d).select("vault_id", F.explode(F.array(F.lit("head"), F.lit("none"), F.lit("-bad"))).alias("name")).distinct())
+    paths = V.changes(s, d).select("vault_id", F.regexp_replace("path", "[.]md$", "").alias("p")).distinct()
+    return paths.join(names, "vault_id").select("vault_id", F.concat(F.lit("/@"), "name", F.lit("/"), "p").alias("url"))
+
+
+def urls_at_tags(s, d):
+    history = H.dated(V.commits(s, d), V.changes(s, d))
+    return L.resolve_urls(versioned_urls(s, d), H.snapshot_at(history), V.tags(s, d), H.path_spans(history))
+
+
+register("j18_resolve_urls_at_tags", urls_at_tags,
+         """WITH n AS (SELECT vault_id, name FROM tags UNION SELECT vault_id, unnest(['head', 'none', '-bad']) FROM tags), p AS (SELECT DISTINCT vault_id, path FROM changes),
+         u AS (SELECT vault_id, '/@' || name || '/' || left(path, length(path) - 3) AS url, CASE WHEN name <> '-bad' THEN name END AS tag, path AS wanted FROM p JOIN n USING (vault_id)),
+         f AS (SELECT u.*, t.path IS NOT NULL OR h.path IS NOT NULL AS there FROM u LEFT JOIN trees t ON t.vault_id = u.vault_id AND t.name = u.tag AND t.path = u.wanted LEFT JOIN head h ON u.tag = 'head' AND h.vault_id = u.vault_id AND h.path = u.wanted)
+         SELECT vault_id, url, tag, CASE WHEN there THEN 'serve' ELSE 'not_found' END AS outcome, CASE WHEN there THEN wanted END AS path FROM f""", "tags", "trees", "head", "changes")
 register("a9_ambiguous_basenames",
          lambda s, d: L.ambiguous_basenames(V.manifest(s, d).select("vault_id", F.expr("concat(path, '/n', doc_id % 50, '.md')").alias("path"))).select("vault_id", "name", "folded", F.size("candidates").cast("long").alias("n")),
          "SELECT vault_id, 'n' || doc_id % 50 AS name, f.folded, count(*) AS n FROM manifest, (VALUES (true), (false)) f(folded) GROUP BY ALL HAVING count(*) > 1", "manifest")
-register("a10_nav_tree", lambda s, d: L.nav_tree(V.manifest(s, d)).select("vault_id", "dir", "parent", "leaves"),
-         """WITH e AS (SELECT vault_id, unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir, unnest([NULL, '', split_part(path, '/', 1)]) AS parent FROM manifest)
-         SELECT vault_id, dir, parent, count(*) AS leaves FROM e GROUP BY ALL""", "manifest")
+
+
+def nav_files(s, d):
+    """The documents' paths, some as landing pages, attachments or hidden; every third has a title of its own."""
+    path = F.expr("""CASE doc_id % 40 WHEN 0 THEN concat(split_part(path, '/', 1), '/index.md') WHEN 1 THEN concat(split_part(path, '/', 1), '/', split_part(path, '/', 2), '/README.md') WHEN 2 THEN 'README.md'
+        WHEN 3 THEN concat('.hidden/', path) WHEN 4 THEN replace(path, '.md', '.png') WHEN 5 THEN concat(split_part(path, '/', 1), '/readme.md') ELSE path END""")
+    title = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('Title ', doc_id % 100) WHEN doc_id % 3 = 1 THEN '' END")
+    mtime = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 100 as int))")
+    each = V.manifest(s, d).select("vault_id", path.alias("path"), F.struct("doc_id", title.alias("title"), mtime.alias("mtime")).alias("x"))
+    return each.groupBy("vault_id", "path").agg(F.min("x").alias("x")).select("vault_id", "path", "x.title", "x.mtime")
+
+
+# The same files, their landing pages, and the nodes with a key of each level, in SQL.
+NAV = """nav AS (SELECT vault_id, p AS path, arg_min(CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id % 100 ELSE '' END, doc_id) AS t, min(doc_id) AS doc_id FROM (SELECT *, CASE doc_id % 40
+        WHEN 0 THEN split_part(path, '/', 1) || '/index.md' WHEN 1 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/README.md' WHEN 2 THEN 'README.md' WHEN 3 THEN '.hidden/' || path
+        WHEN 4 THEN replace(path, '.md', '.png') WHEN 5 THEN split_part(path, '/', 1) || '/readme.md' ELSE path END AS p FROM manifest) GROUP BY vault_id, p),
+    seen AS (SELECT *, string_split(path, '/') AS c FROM nav WHERE path NOT LIKE '.hidden/%'),
+    each_ AS (SELECT *, array_to_string(c[1:-2], '/') AS parent, c[-1] AS name, lower(c[-1]) AS low, CASE WHEN lower(c[-1]) NOT LIKE '%.md' THEN c[-1] WHEN t <> '' THEN t ELSE regexp_replace(c[-1], '[.][^.]*$', '') END AS title FROM seen),
+    land AS (SELECT vault_id, parent AS path, arg_min({'p': path, 't': title, 'l': low}, (low, path)) AS l FROM each_ WHERE low IN ('index.md', 'readme.md') GROUP BY ALL),
+    folder AS (SELECT DISTINCT vault_id, unnest(list_transform(range(1, len(c)), lambda i: array_to_string(c[1:i], '/'))) AS path FROM seen),
+    dirs AS (SELECT f.vault_id, f.path, l, CASE WHEN l.t <> '' AND lower(l.t) <> split_part(l.l, '.', 1) THEN l.t ELSE regexp_extract(f.path, '[^/]*$') END AS title FROM folder f LEFT JOIN land USING (vault_id, path)),
+    nodes AS (SELECT vault_id, path, true AS is_dir, title, CASE WHEN l IS NOT NULL THEN '/' || path END AS url, l.p AS src_path FROM dirs UNION ALL
+        SELECT vault_id, path, false, title, '/' || CASE WHEN low LIKE '%.md' THEN regexp_replace(path, '[.][^./]*$', '') ELSE path END, path FROM each_ WHERE low NOT IN ('index.md', 'readme.md')),
+    nodes2 AS (SELECT *, string_split(path, '/') AS c, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM nodes),
+    kids AS (SELECT vault_id, parent AS path, count(*) AS n FROM nodes2 GROUP BY ALL)"""
+register("a10_nav_tree", lambda s, d: L.nav_tree(nav_files(s, d)).withColumn("key", F.array_join("key", "|")),
+         f"""WITH {NAV}, up AS (SELECT vault_id, path, is_dir, unnest(range(1, len(c) + 1)) AS i, c FROM nodes2),
+         k AS (SELECT u.vault_id, u.path, u.is_dir, string_agg(CASE WHEN o.is_dir THEN '0' ELSE '1' END || lower(o.title) || chr(0) || c[i], '|' ORDER BY i) AS key FROM up u JOIN nodes o ON o.vault_id = u.vault_id AND o.path = array_to_string(c[1:i], '/') AND (o.is_dir OR NOT u.is_dir AND i = len(c)) GROUP BY ALL),
+         leaf AS (SELECT n.*, o.n FROM nodes2 n LEFT JOIN kids o ON n.is_dir AND o.vault_id = n.vault_id AND o.path = n.path WHERE o.n IS NULL),
+         below AS (SELECT vault_id, path, count(*) AS n FROM (SELECT vault_id, unnest(list_transform(range(1, len(c)), lambda i: array_to_string(c[1:i], '/'))) AS path FROM leaf) GROUP BY ALL)
+         SELECT n.vault_id, k.key, CAST(len(n.c) AS INTEGER) AS depth, n.is_dir, n.path, n.parent, n.title, n.url, n.src_path, coalesce(CASE WHEN n.is_dir THEN o.n END, 0) AS children, coalesce(CASE WHEN n.is_dir THEN b.n END, 0) AS leaves
+         FROM nodes2 n JOIN k USING (vault_id, path, is_dir) LEFT JOIN kids o ON o.vault_id = n.vault_id AND o.path = n.path LEFT JOIN below b ON b.vault_id = n.vault_id AND b.path = n.path""", "manifest")
 register("s13_sitemap_rows",
-         lambda s, d: L.sitemap_rows(V.manifest(s, d).withColumn("mtime", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 100 as int))")), V.manifest(s, d).select("vault_id").distinct().select("vault_id", F.concat(F.lit("/"), "vault_id").alias("prefix"), (F.col("vault_id") != "v3").alias("public"))),
-         "SELECT '/' || vault_id || '/' || left(path, length(path) - 3) AS loc, strftime(DATE '2024-01-01' + CAST(doc_id % 100 AS INTEGER), '%Y-%m-%d') AS lastmod FROM manifest WHERE vault_id <> 'v3'", "manifest")
+         lambda s, d: L.sitemap_rows(nav_files(s, d), V.manifest(s, d).select("vault_id").distinct().select("vault_id", F.concat(F.lit("/"), "vault_id").alias("prefix"), (F.col("vault_id") != "v3").alias("public"))),
+         f"""WITH {NAV}, day AS (SELECT vault_id, path, strftime(DATE '2024-01-01' + CAST(doc_id % 100 AS INTEGER), '%Y-%m-%d') AS lastmod FROM nav)
+         SELECT '/' || n.vault_id || n.url AS loc, lastmod FROM nodes n JOIN day ON day.vault_id = n.vault_id AND day.path = n.src_path WHERE n.vault_id <> 'v3' AND n.src_path LIKE '%.md'
+         UNION ALL SELECT '/' || vault_id, lastmod FROM day WHERE vault_id <> 'v3' AND path = 'README.md'""", "manifest")
 register("j21_sidecar_presence",
          lambda s, d: L.sidecar_presence(V.manifest(s, d).select("vault_id", "path").union(V.manifest(s, d).select("vault_id", F.expr("CASE WHEN doc_id % 6 = 0 THEN replace(path, '.md', '.conflict.20260515T142311Z.md') ELSE concat(path, '.txt') END")))),
          "SELECT vault_id, path FROM manifest WHERE doc_id % 6 = 0", "manifest")
@@ -187,14 +238,12 @@ register("u3_effective_rules",
          SELECT section, pattern, ['config', 'system', 'runtime'][o + 1] AS source, CAST(row_number() OVER (PARTITION BY section ORDER BY o, ordinal, pattern) AS INTEGER) AS place FROM k""")
 register("u5_overlay_maps", lambda s, d: V.table(s, d, "part").select("p_partkey", F.array_join(F.array_sort(F.transform(F.map_entries(A.overlay_maps(F.create_map(F.lit("a"), "p_name", F.lit("b"), "p_brand"), F.create_map(F.lit("b"), "p_type", F.lit("c"), "p_name"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("m")),
          "SELECT p_partkey, 'a=' || p_name || ',b=' || p_type || ',c=' || p_name AS m FROM part")
-LOG = [F.col]
 
 
 def log(s, d):
     return V.table(s, d, "events").select(F.col("event_type").alias("route"), F.when(F.col("event_id") % 10 == 0, 500).otherwise(200).alias("status"), F.col("value").alias("dur_ms"), F.length("props").cast("long").alias("bytes"))
 
 
-del LOG
 register("a11_access_log_summary", lambda s, d: A.access_log_summary(log(s, d)),
          "SELECT event_type AS route, count(*) AS requests, CAST(sum(length(props)) AS BIGINT) AS bytes, count_if(event_id % 10 = 0) AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 register("a8_metric_counters", lambda s, d: A.metric_counters(log(s, d), ["route", "status"]),
