@@ -367,13 +367,12 @@ def in_batches(s, frame, name, put):
 
 
 def indexed_live(s, d):
+    """Four batches of the documents, then every seventh again with another text and every eleventh removed; merged by threes."""
     root = scratch(s, "live")
-    m = V.manifest(s, d)
-    rows = m.select("vault_id", "path", "hash", F.lit("").alias("title"), F.array().cast("array<string>").alias("tags"), F.col("text").alias("body"), "doc_id")
-    in_batches(s, rows.drop("doc_id"), "docs", T.live_index(root, tokenize_ascii))
-    # Every seventh path comes again with another text.
-    again = rows.filter("doc_id % 7 = 0").withColumns({"hash": F.lit("changed"), "body": F.lit("changed text")})
-    in_batches(s, again.drop("doc_id"), "docs", T.live_index(root, tokenize_ascii, 1000))
+    rows = V.manifest(s, d).select("vault_id", "path", "hash", F.lit("").alias("title"), F.array().cast("array<string>").alias("tags"), F.col("text").alias("body"), F.lit(False).alias("removed"), "doc_id")
+    in_batches(s, rows.drop("doc_id"), "docs", T.live_index(root, tokenize_ascii, fan=3))
+    again = rows.filter("doc_id % 7 = 0 or doc_id % 11 = 0").withColumns({"hash": F.lit("changed"), "body": F.lit("changed text"), "removed": F.col("doc_id") % 11 == 0})
+    in_batches(s, again.drop("doc_id"), "docs", T.live_index(root, tokenize_ascii, 4, fan=3))
     return T.read_live_index(s, root).groupBy("vault_id", "path").agg(F.count("*").alias("grams"), F.max("gram").alias("last"))
 
 
@@ -386,7 +385,7 @@ def manifest_live(s, d):
 
 register(
     "t5_live_index", indexed_live,
-    f"""WITH t AS (SELECT vault_id, path, CASE WHEN doc_id % 7 = 0 THEN 'changed text' ELSE text END AS text FROM manifest),
+    f"""WITH t AS (SELECT vault_id, path, CASE WHEN doc_id % 7 = 0 THEN 'changed text' ELSE text END AS text FROM manifest WHERE doc_id % 11 <> 0),
     g AS (SELECT vault_id, path, unnest({GRAMS.format('text')}) AS gram FROM t) SELECT vault_id, path, count(*) AS grams, max(gram) AS last FROM g GROUP BY vault_id, path""", "manifest",
 )
 register(

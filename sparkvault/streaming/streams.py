@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvault.functions import predicates
 from sparkvault.operators.changes import fold_latest
 from sparkvault.operators.fold import PairRenames, RateLimit, StagedCommits, StuckWrites
 from sparkvault.operators.oplog import fanout_ops
-from sparkvault.operators.search import build_index
-from sparkvault.operators.text import tokenize
+from sparkvault.streaming.live import compact, live_index, read_live_index
 from sparkvault.streaming.ordered import ordered_stream
 
+__all__ = ["compact", "live_index", "read_live_index"]
+
 
 def ingest_ops(ops: DataFrame, prune: str = "1 hour") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): ops that keep their type's rules and are new by (client_id, seq); the others with their reason."""
@@ -111,22 +112,3 @@ def upsert_manifest(path: str) -> Callable[[DataFrame, int], None]:
 def read_manifest(spark: SparkSession, path: str, keep_deleted: bool = False) -> DataFrame:
     """The manifest that ``upsert_manifest`` has at ``path``."""
     return fold_latest(spark.read.parquet(path).drop("batch"), keep_deleted=keep_deleted)
-
-
-def live_index(path: str, analyzer: Callable[[Column], Column] = tokenize, first: int = 0) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps postings up to date with batches of whole documents.
-
-    A batch writes the postings of its documents and the list of these, in
-    folders of its number counted from ``first``; nothing that is there is
-    written again. ``read_live_index`` takes a document's latest postings.
-    """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        build_index(batch, analyzer).write.mode("overwrite").parquet(f"{path}/postings/batch={first + batch_id}")
-        batch.select("vault_id", "path", "hash").write.mode("overwrite").parquet(f"{path}/documents/batch={first + batch_id}")
-    return run
-
-
-def read_live_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings (vault_id, path, field, gram) of the latest state of every document."""
-    latest = spark.read.parquet(f"{path}/documents").groupBy("vault_id", "path").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/postings").join(latest, ["vault_id", "path", "batch"], "left_semi").drop("batch")

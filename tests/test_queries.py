@@ -232,13 +232,41 @@ def test_stream_upserts(spark, tmp_path):
     assert [(r.path, r.hash) for r in live] == [("b", "2")]
 
 
-def test_stream_live_index(spark, tmp_path):
-    schema = "vault_id string, path string, hash string, title string, tags array<string>, body string"
-    put = streams.live_index(str(tmp_path / "p"))
-    put(spark.createDataFrame([("v", "a", "1", "", [], "alpha"), ("v", "b", "1", "", [], "beta")], schema), 0)
-    put(spark.createDataFrame([("v", "a", "2", "", [], "gamma")], schema), 3)
-    grams = {(r.path, r.gram) for r in streams.read_live_index(spark, str(tmp_path / "p")).collect()}
-    assert ("a", "gam") in grams and ("b", "bet") in grams and ("a", "alp") not in grams
+LIVE = "vault_id string, path string, hash string, title string, tags array<string>, body string, removed boolean"
+
+
+def test_live_index_replaces_removes_and_returns(spark, tmp_path):
+    root = str(tmp_path / "p")
+    put = streams.live_index(root)
+    assert streams.read_live_index(spark, root).count() == 0
+    put(spark.createDataFrame([("v", "a", "1", "", [], "alpha"), ("v", "b", "1", "", [], "beta"), ("w", "a", "1", "", [], "other")], LIVE.replace(", removed boolean", "")), 0)
+    put(spark.createDataFrame([("v", "a", "2", "", [], "gamma", None), ("v", "b", "1", None, None, None, True)], LIVE), 3)
+    live = lambda: {(r.vault_id, r.path, r.gram) for r in streams.read_live_index(spark, root).collect()}
+    assert ("v", "a", "gam") in live() and ("v", "a", "alp") not in live() and ("w", "a", "oth") in live() and not any(p == "b" for _, p, _ in live())
+    put(spark.createDataFrame([("v", "b", "3", "", [], "delta", False)], LIVE), 4)
+    assert ("v", "b", "del") in live() and ("v", "b", "bet") not in live()
+
+
+def test_live_index_is_merged_by_levels(spark, tmp_path):
+    from sparkvault.streaming import live
+
+    root, state = str(tmp_path / "p"), {}
+    put = streams.live_index(root, fan=3)
+    for n in range(14):
+        batch = [("v", f"p{(n * 5 + i) % 17}", str(n), "", [], f"word{n}x{i}", (n + i) % 4 == 0) for i in range(4)]
+        state.update({r[1]: None if r[6] else r[5] for r in batch})
+        for _ in range(2 if n in (5, 8) else 1):  # a batch that runs again, before and after it was merged
+            put(spark.createDataFrame(batch, LIVE), n)
+    found = live.segments(spark, root)
+    assert found == [(0, 8), (9, 11), (12, 12), (13, 13)]
+    assert sum(1 for _ in (tmp_path / "p" / "postings").glob("low=*/high=*")) == len(found)  # merged ones are gone
+    grams = {}
+    for r in streams.read_live_index(spark, root).collect():
+        grams.setdefault(r.path, set()).add(r.gram)
+    windows = lambda w: {f" {w} "[i : i + 3] for i in range(len(w))}
+    assert grams == {p: windows(w) for p, w in state.items() if w}
+    oldest = spark.read.parquet(f"{root}/documents/low=0/high=8")
+    assert oldest.filter("removed").count() == 0  # nothing older is left to hide
 
 
 def test_collision_names_have_no_cap(spark):
