@@ -141,33 +141,100 @@ def control_reason(path: Column, size: Column, globs: list[str], limit: int, con
     return F.when(is_control(path, control), F.when(size > limit, "size")).otherwise(allowlist_reason(path, size, globs, limit))
 
 
-def ignore_regex(pattern: str) -> tuple[str, bool]:
-    """(expression, negated) of one ignore pattern: ``!`` negates, a slash anchors, ``**`` spans components."""
+def _component(glob: str) -> str | None:
+    """The expression of a pattern for one component: ``*``, ``?``, ``[a-z]``, ``[^a]`` and ``\\`` before what is meant as such; None if malformed."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        i += 1
+        if c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "\\":
+            if i == len(glob):
+                return None
+            out, i = out + re.escape(glob[i]), i + 1
+        elif c == "[":
+            opened = i
+            i += glob.startswith("^", i)
+            chosen, first = "", i
+            while True:
+                ends = []
+                if i < len(glob) and glob[i] == "]" and i > first:
+                    break
+                for _ in range(2):  # a character, or the two ends of a range
+                    if i < len(glob) and glob[i] == "\\":
+                        i += 1
+                    if i >= len(glob) or glob[i] in "-]" and glob[i - 1] != "\\":
+                        return None
+                    ends.append(glob[i])
+                    i += 1
+                    if not glob.startswith("-", i):
+                        break
+                    if len(ends) == 1:
+                        i += 1
+                if ends[0] > ends[-1]:
+                    return None
+                chosen += "-".join(re.escape(e) if e in "\\]^-[&" else e for e in ends)
+            out, i = out + "[" + ("^" if glob[opened] == "^" else "") + chosen + ("/" if glob[opened] == "^" else "") + "]", i + 1
+        else:
+            out += re.escape(c)
+    return out
+
+
+def ignore_regex(pattern: str) -> tuple[str | None, bool]:
+    """(expression, negated) of one ignore pattern; no expression if it can match nothing.
+
+    ``!`` negates, a last slash asks for something below. Without another slash
+    a pattern is for a component at any depth, else for the components from
+    the top, with all that lies below; ``**`` stands for any number of
+    components, up to the first that fits what follows it.
+    """
     negated = pattern.startswith("!")
     body = pattern[1:] if negated else pattern
+    body = body if body.endswith("\\ ") else body.rstrip(" ")
     tree = body.endswith("/")
-    body = body.rstrip("/")
-    anchored = "/" in body
-    body = body.lstrip("/")
-    out, i = "", 0
-    while i < len(body):
-        if body.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif body.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif body[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif body[i] == "?":
-            out, i = out + "[^/]", i + 1
+    body = body[:-1] if tree else body
+    end = "/.+$" if tree else "(?:/.*)?$"
+    if "/" not in body:
+        own = _component(body)
+        return (None if own is None else f"^(?:.*/)?{own}{end}"), negated
+    out, skips, begun = "^", False, False
+    parts = body.split("/")
+    for i, part in enumerate(parts):
+        if part == "":
+            skips = False
+        elif part == "**":
+            if i == len(parts) - 1:
+                break
+            skips = True
         else:
-            out, i = out + re.escape(body[i]), i + 1
-    return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if tree else '(?:/.*)?'}$", negated
+            own = None if "**" in part else _component(part)
+            if own is None:
+                return None, negated
+            out += "/" if begun else ""
+            out += f"(?:(?!{own}(?:/|$))[^/]+/)*+" if skips else ""
+            out, skips, begun = out + own, False, True
+    return (out + end if begun else None), negated
+
+
+def ignore_key(pattern: str) -> str:
+    """What a path must have for the pattern to match: ``=name`` for a component, ``*.ext`` for an extension, else nothing."""
+    parts = [p for p in pattern.removeprefix("!").rstrip(" /").split("/") if p not in ("", "**")]
+    plain = [p for p in parts if not set(p) & set("*?[\\")]
+    if plain:
+        return "=" + max(plain, key=len)
+    last = next((m[1] for p in parts if (m := re.fullmatch(r"[^\[\\]*\*\.([^*?\[\\.]+)", p))), None)
+    return f"*.{last}" if last else ""
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether the last pattern that matches ``path`` is not a negation."""
     out = F.lit(False)
     for expression, negated in map(ignore_regex, patterns):
+        if expression is None:
+            continue
         out = F.when(path.rlike(expression), F.lit(not negated)).otherwise(out)
     return out
 

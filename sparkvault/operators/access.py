@@ -77,8 +77,36 @@ def metric_counters(events: DataFrame, labels: list[str]) -> DataFrame:
     return events.rollup(*labels).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-def metrics_text(counters: DataFrame, name: str, labels: list[str]) -> DataFrame:
-    """(line): the exposition lines of a counter, labels escaped."""
-    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    pairs = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels))
-    return counters.select(F.concat(F.lit(f"{name}{{"), pairs, F.lit("} "), F.col("n").cast("string")).alias("line"))
+def gauges(samples: DataFrame, labels: list[str], at: str = "ts") -> DataFrame:
+    """(labels, value): the latest value of every gauge of ``samples`` (labels, value, ts)."""
+    return samples.groupBy(*labels).agg(F.max_by("value", F.struct(at, "value")).alias("value"))
+
+
+def metrics_text(families: list[tuple[str, str, str, DataFrame, list[str]]]) -> DataFrame:
+    """(metric, place, labels, line): the exposition text of (name, help, kind, rows with ``n``, labels), a counter or a gauge each.
+
+    A family has a HELP and a TYPE line and then its samples; sorted by metric,
+    place and labels, the lines are the text, in the order that comparisons of
+    two scrapes want. Without labels a family is one sample; a family without
+    samples still has its two lines.
+    """
+    def escaped(c: Column) -> Column:
+        return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+    out = None
+    for name, text, kind, rows, labels in families:
+        pairs = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"')) for c in labels))
+        shown = F.concat(F.lit("{"), pairs, F.lit("}")) if labels else F.lit("")
+        plain = text.replace("\\", "\\\\").replace("\n", "\\n")
+        spark = rows.sparkSession
+        heads = spark.range(2).select(F.when(F.col("id") == 0, f"# HELP {name} {plain}").otherwise(f"# TYPE {name} {kind}").alias("line"), F.col("id").cast("int").alias("place"))
+        own = heads.select(F.lit(name).alias("metric"), "place", F.lit("").alias("labels"), "line").unionByName(
+            rows.select(F.lit(name).alias("metric"), F.lit(2).alias("place"), shown.alias("labels"), F.concat(F.lit(name), shown, F.lit(" "), F.col("n").cast("string")).alias("line"))
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def write_metrics(lines: DataFrame, path: str) -> None:
+    """The text as one file in order: the samples are as many as label tuples, not as events."""
+    lines.orderBy("metric", "place", "labels").select("line").coalesce(1).write.mode("overwrite").text(path)

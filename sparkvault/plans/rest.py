@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from sparkvault.operators.text import table_cells, tokenize_ascii
 from sparkvault.plans import views as V
 from sparkvault.plans.changes import created_and_deleted, renames_sql
 from sparkvault.plans.text import GRAMS
-from sparkvault.plans.views import with_views
+from sparkvault.plans.views import scratch, with_views
 from sparkvault.sources import files as S
 from sparkvault.streaming import streams as T
 
@@ -26,14 +24,6 @@ def register(name: str, query, sql: str | None = None, *views: str) -> None:
         ORACLE[name] = with_views(sql, *views) if views else sql
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data as a stream of its files."""
     schema = V.table(spark, sf_dir, name).schema

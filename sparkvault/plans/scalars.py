@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkvault.functions import exprs as E
 from sparkvault.functions import predicates as P
+from sparkvault.operators import rules as R
 from sparkvault.plans import views as V
 from sparkvault.plans.views import with_views
 
@@ -117,6 +118,21 @@ _IGN = "CASE WHEN regexp_matches(path, '^(.*/)?src2[^/]*(/.*)?$') THEN true WHEN
 register("p8_ignore_filter", lambda s, d: paths(s, d).select("doc_id", P.excluded(F.col("path"), IGNORE).alias("x")),
          f"WITH {PATHS} SELECT doc_id, CASE WHEN path = '.vault/README.md' THEN false WHEN path LIKE '.vault/%' OR path IN ('a/.git/x', 'a/../b.md') THEN true ELSE {_IGN} END AS x FROM p", "manifest")
 register("p9_match_ignore_patterns", lambda s, d: paths(s, d).select("doc_id", P.ignored(F.col("path"), IGNORE).alias("x")), f"WITH {PATHS} SELECT doc_id, {_IGN} AS x FROM p", "manifest")
+
+
+def vault_rules(s, d):
+    """Rules of each vault from its documents, numbered by these: a class under a folder, a negated name, a folder at any depth, an extension."""
+    m = V.manifest(s, d).filter("doc_id % 5 = 0")
+    pattern = F.expr(r"""CASE doc_id % 4 WHEN 0 THEN concat('/', split_part(path, '/', 1), '/**/[0-4', '\\', '5]*.md') WHEN 1 THEN concat('!', doc_id - 5, '.m?')
+        WHEN 2 THEN concat(split_part(path, '/', 2), '/') ELSE '*[13579].md' END""")
+    return m.select("vault_id", F.when(F.col("doc_id") % 3 == 0, "edit-ignore").otherwise("view").alias("section"), F.col("doc_id").alias("ordinal"), pattern.alias("pattern"))
+
+
+register("p9_rule_table", lambda s, d: R.match_rules(V.manifest(s, d), vault_rules(s, d)),
+         """WITH r AS (SELECT vault_id, CASE WHEN doc_id % 3 = 0 THEN 'edit-ignore' ELSE 'view' END AS section, doc_id AS n, split_part(path, '/', 1) AS a, split_part(path, '/', 2) AS b FROM manifest WHERE doc_id % 5 = 0),
+         h AS (SELECT m.vault_id, path, section, arg_max(n % 4 <> 1, n) AS ignored FROM manifest m JOIN r ON m.vault_id = r.vault_id AND CASE n % 4 WHEN 0 THEN split_part(path, '/', 1) = a AND regexp_matches(path, '/[0-5][^/]*[.]md$')
+             WHEN 1 THEN split_part(path, '/', -1) = (n - 5) || '.md' WHEN 2 THEN split_part(path, '/', 2) = b OR split_part(path, '/', 1) = b ELSE regexp_matches(path, '[13579][.]md$') END GROUP BY ALL)
+         SELECT * FROM h""", "manifest")
 _EXT = "['md','CSV','html','png','zip','log','typ'][1 + doc_id % 7]"
 register("p10_dispatch_mode", lambda s, d: V.table(s, d, "documents").select("doc_id", P.dispatch_mode(F.expr("concat('a.b/x.', element_at(array('md','CSV','html','png','zip','log','typ'), cast(1 + doc_id % 7 as int)))"), ["zip"]).alias("m")),
          f"SELECT doc_id, CASE {_EXT} WHEN 'md' THEN 'markdown' WHEN 'CSV' THEN 'tabular' WHEN 'html' THEN 'html' WHEN 'png' THEN 'asset' WHEN 'zip' THEN 'text' WHEN 'log' THEN 'text' ELSE 'typst' END AS m FROM documents")

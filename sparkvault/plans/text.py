@@ -10,7 +10,7 @@ from sparkvault.operators import links as L
 from sparkvault.operators import search as S
 from sparkvault.operators import text as T
 from sparkvault.plans import views as V
-from sparkvault.plans.views import with_views
+from sparkvault.plans.views import scratch, with_views
 
 QUERIES, ORACLE = {}, {}
 
@@ -248,5 +248,31 @@ register("a11_access_log_summary", lambda s, d: A.access_log_summary(log(s, d)),
          "SELECT event_type AS route, count(*) AS requests, CAST(sum(length(props)) AS BIGINT) AS bytes, count_if(event_id % 10 = 0) AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 register("a8_metric_counters", lambda s, d: A.metric_counters(log(s, d), ["route", "status"]),
          "WITH l AS (SELECT event_type AS route, CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status FROM events) SELECT route, status, count(*) AS n, CAST(grouping(route) * 2 + grouping(status) AS BIGINT) AS level FROM l GROUP BY ROLLUP (route, status)")
-register("s12_export_metrics_text", lambda s, d: A.metrics_text(log(s, d).groupBy("route", "status").agg(F.count("*").alias("n")), "requests_total", ["route", "status"]),
-         """WITH l AS (SELECT event_type AS route, CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status FROM events) SELECT 'requests_total{route="' || route || '",status="' || status || '"} ' || count(*) AS line FROM l GROUP BY route, status""")
+register("a8_gauges", lambda s, d: A.gauges(V.table(s, d, "events").select(F.col("event_type").alias("route"), "value", "ts"), ["route"]),
+         "SELECT event_type AS route, arg_max(value, {'t': ts, 'v': value}) AS value FROM events GROUP BY event_type")
+
+
+def metric_families(s, d):
+    e = V.table(s, d, "events")
+    sizes = V.manifest(s, d).groupBy("vault_id").agg(F.count("*").alias("n"))
+    return [("requests_total", "Requests by route.", "counter", log(s, d).groupBy("route", "status").agg(F.count("*").alias("n")), ["route", "status"]),
+            ("vault_files", 'Files of a vault\nwith "all".', "gauge", sizes, ["vault_id"]), ("events_total", "All events.", "counter", e.agg(F.count("*").alias("n")), [])]
+
+
+register("s12_export_metrics_text", lambda s, d: A.metrics_text(metric_families(s, d)),
+         """WITH l AS (SELECT event_type AS route, CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status FROM events),
+         c AS (SELECT 'requests_total' AS metric, '{route="' || route || '",status="' || status || '"}' AS labels, count(*) AS n FROM l GROUP BY route, status UNION ALL
+             SELECT 'vault_files', '{vault_id="' || vault_id || '"}', count(*) FROM manifest GROUP BY vault_id UNION ALL SELECT 'events_total', '', count(*) FROM events)
+         SELECT metric, 2 AS place, labels, metric || labels || ' ' || n AS line FROM c UNION ALL SELECT split_part(x, ' ', 3), CASE WHEN x LIKE '# HELP%' THEN 0 ELSE 1 END, '', x
+         FROM (VALUES ('# HELP requests_total Requests by route.'), ('# TYPE requests_total counter'), ('# HELP vault_files Files of a vault\\nwith "all".'), ('# TYPE vault_files gauge'), ('# HELP events_total All events.'), ('# TYPE events_total counter')) t(x)""", "manifest")
+
+
+def metrics_file(s, d):
+    """The exposition file of the same metrics, read back."""
+    path = scratch(s, "metrics")
+    A.write_metrics(A.metrics_text(metric_families(s, d)), path)
+    return s.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("place"))
+
+
+register("s12_metrics_file", metrics_file,
+         f"""WITH t AS ({ORACLE["s12_export_metrics_text"]}) SELECT line, row_number() OVER (ORDER BY metric, place, labels) - 1 AS place FROM t""")
