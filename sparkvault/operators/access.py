@@ -72,6 +72,28 @@ def access_log_summary(log: DataFrame, by: str = "route") -> DataFrame:
     )
 
 
+def latency_sketches(log: DataFrame, by: list[str], k: int = 400) -> DataFrame:
+    """(by, requests, bytes, errors, sketch): a quantile sketch of ``dur_ms`` for each group, for storing.
+
+    A sketch of size ``k`` takes some kilobytes for any number of requests, and
+    a quantile read from it is off by about 1 % of the ranks at most (k = 400).
+    """
+    return log.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.count_if(F.col("status") >= 400).alias("errors"), F.kll_sketch_agg_double("dur_ms", F.lit(k)).alias("sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Stored sketches of days, routes or jobs as those of larger groups; the log itself is not read again."""
+    return sketches.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("requests", "bytes", "errors")), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_summary(sketches: DataFrame) -> DataFrame:
+    """As :func:`access_log_summary`, from sketches."""
+    q = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return sketches.select("*", q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99")).drop("sketch")
+
+
 def metric_counters(events: DataFrame, labels: list[str]) -> DataFrame:
     """Counts by label tuple and, with null labels, their subtotals."""
     return events.rollup(*labels).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))

@@ -142,6 +142,57 @@ def manifest_digest(entries: DataFrame) -> DataFrame:
     return ordered_fold(lines, ["vault_id"], ["line"], Digest())
 
 
+def digest_tree(entries: DataFrame) -> DataFrame:
+    """(vault_id, dir, parent, depth, digest, files): a hash tree over the directories of each vault; the root is ``''`` at depth 0.
+
+    A directory's children, lines ``name TAB hash NL`` and ``name/ TAB digest
+    NL``, fall into 256 groups by the hash of their name. A group's digest is
+    of its sorted lines, a directory's of its sorted ``group TAB digest NL``
+    lines. So no task has more than a share of one directory, and the levels,
+    from the deepest up, are an aggregation each.
+    """
+    names = F.split("path", "/")
+    item = lambda dir_, depth, name, line, files: (dir_.alias("dir"), depth.alias("depth"), name.alias("name"), line.alias("line"), files.alias("files"))
+    name = F.element_at(names, -1)
+    leaves = entries.select("vault_id", *item(F.array_join(F.slice(names, F.lit(1), F.size(names) - 1), "/"), F.size(names) - 1, name, F.concat(name, F.lit("\t"), "hash", F.lit("\n")), F.lit(1).cast("long")))
+    leaves = leaves.checkpoint()
+    deepest, above, out = leaves.agg(F.max("depth")).first()[0], None, None
+    for depth in range(deepest or 0, -1, -1):
+        here = leaves.filter(F.col("depth") == depth)
+        here = here if above is None else here.unionByName(above)
+        group = F.substring(F.sha2(F.col("name").cast("binary"), 256), 1, 2).alias("g")
+        groups = here.groupBy("vault_id", "dir", group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "").cast("binary"), 256).alias("d"), F.sum("files").alias("files"))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: F.concat(x["g"], F.lit("\t"), x["d"], F.lit("\n"))), "")
+        dirs = groups.groupBy("vault_id", "dir").agg(F.sha2(lines.cast("binary"), 256).alias("digest"), F.sum("files").alias("files")).checkpoint()
+        own = F.element_at(F.split("dir", "/"), -1)
+        parent = F.regexp_replace("dir", "/?[^/]*$", "")
+        level = dirs.select("vault_id", "dir", F.when(F.col("dir") != "", parent).alias("parent"), F.lit(depth).alias("depth"), "digest", "files")
+        out = level if out is None else out.unionByName(level)
+        above = dirs.select("vault_id", *item(parent, F.lit(depth - 1), own, F.concat(own, F.lit("/\t"), "digest", F.lit("\n")), F.col("files")))
+    return out
+
+
+def changed_dirs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(vault_id, dir, state): the directories of two hash trees whose digests differ: changed, added (on the right only) or removed.
+
+    From the roots down: a level's directories are compared only where the
+    one above them differs, so that equal subtrees are left at their top.
+    """
+    side = lambda tree, depth, name: tree.filter(F.col("depth") == depth).select("vault_id", "dir", "parent", F.col("digest").alias(name))
+    out, above, depth = None, None, 0
+    while True:
+        a, b = side(left, depth, "l"), side(right, depth, "r")
+        if above is not None:
+            a, b = (x.join(above, ["vault_id", "parent"], "left_semi") for x in (a, b))
+        both = a.drop("parent").join(b.drop("parent"), ["vault_id", "dir"], "full_outer").filter(~F.col("l").eqNullSafe(F.col("r")))
+        state = F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").otherwise("changed")
+        differing = both.select("vault_id", "dir", state.alias("state")).checkpoint()
+        out = differing if out is None else out.unionByName(differing)
+        if not differing.limit(1).count():
+            return out
+        above, depth = differing.select("vault_id", F.col("dir").alias("parent")), depth + 1
+
+
 def check_pre_hash(ops: DataFrame, state: DataFrame) -> DataFrame:
     """``ops`` with verdict ok or stale: the expected hash (null: absent) is that of the state."""
     now = state.select("vault_id", F.col("path").alias("__p"), F.col("hash").alias("__now"))

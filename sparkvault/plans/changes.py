@@ -147,6 +147,28 @@ register(
     "a4_manifest_digest", lambda s, d: C.manifest_digest(V.manifest(s, d)),
     "SELECT vault_id, sha256(string_agg(path || chr(9) || hash || chr(10), '' ORDER BY path || chr(9) || hash || chr(10))) AS digest FROM manifest GROUP BY vault_id", "manifest",
 )
+
+
+def tree_sql(files: str, of: str) -> str:
+    """The hash tree of ``of`` in SQL, for paths of three or four components: a level after the other."""
+    parts, above = [f"{files}0 AS (SELECT vault_id, path, hash, string_split(path, '/') AS c FROM {of})"], None
+    for depth in (3, 2, 1, 0):
+        up = f" UNION ALL SELECT vault_id, regexp_replace(dir, '/?[^/]*$', ''), regexp_extract(dir, '[^/]*$'), regexp_extract(dir, '[^/]*$') || '/' || chr(9) || digest || chr(10), files FROM {above}" if above else ""
+        parts.append(f"{files}i{depth} AS (SELECT vault_id, array_to_string(c[1:-2], '/') AS dir, c[-1] AS name, c[-1] || chr(9) || hash || chr(10) AS line, 1 AS files FROM {files}0 WHERE len(c) = {depth + 1}{up})")
+        parts.append(f"""{files}d{depth} AS (SELECT vault_id, dir, sha256(string_agg(g || chr(9) || d || chr(10), '' ORDER BY g)) AS digest, CAST(sum(files) AS BIGINT) AS files FROM (
+            SELECT vault_id, dir, left(sha256(name), 2) AS g, sha256(string_agg(line, '' ORDER BY line)) AS d, sum(files) AS files FROM {files}i{depth} GROUP BY ALL) GROUP BY vault_id, dir)""")
+        above = f"{files}d{depth}"
+    every = " UNION ALL ".join(f"SELECT vault_id, dir, CASE WHEN dir <> '' THEN regexp_replace(dir, '/?[^/]*$', '') END AS parent, {n} AS depth, digest, files FROM {files}d{n}" for n in range(4))
+    return ", ".join(parts) + f", {files} AS ({every})"
+
+
+register("a4_digest_tree", lambda s, d: C.digest_tree(V.disk(s, d)), f"WITH {tree_sql('t', 'disk')} SELECT * FROM t", "disk")
+register(
+    "j23_changed_dirs", lambda s, d: C.changed_dirs(C.digest_tree(V.manifest(s, d)), C.digest_tree(V.disk(s, d).filter("path not like 'src1/%'"))),
+    f"""WITH kept AS (SELECT * FROM disk WHERE path NOT LIKE 'src1/%'), {tree_sql('a', 'manifest')}, {tree_sql('b', 'kept')}
+    SELECT coalesce(a.vault_id, b.vault_id) AS vault_id, coalesce(a.dir, b.dir) AS dir, CASE WHEN a.dir IS NULL THEN 'added' WHEN b.dir IS NULL THEN 'removed' ELSE 'changed' END AS state
+    FROM a FULL JOIN b ON a.vault_id = b.vault_id AND a.dir = b.dir WHERE a.digest IS DISTINCT FROM b.digest""", "manifest", "disk",
+)
 register(
     "a5_bulk_delete_guard",
     lambda s, d: C.bulk_delete_guard(C.reconcile_counts(C.reconcile(V.disk(s, d), V.manifest(s, d))), V.manifest(s, d).groupBy("vault_id").agg(F.count("*").alias("files")), 10, 0.08),

@@ -241,11 +241,25 @@ register("u5_overlay_maps", lambda s, d: V.table(s, d, "part").select("p_partkey
 
 
 def log(s, d):
-    return V.table(s, d, "events").select(F.col("event_type").alias("route"), F.when(F.col("event_id") % 10 == 0, 500).otherwise(200).alias("status"), F.col("value").alias("dur_ms"), F.length("props").cast("long").alias("bytes"))
+    return V.table(s, d, "events").select(F.col("event_type").alias("route"), F.when(F.col("event_id") % 10 == 0, 500).otherwise(200).alias("status"), F.col("value").alias("dur_ms"), F.length("props").cast("long").alias("bytes"), "ts")
 
 
 register("a11_access_log_summary", lambda s, d: A.access_log_summary(log(s, d)),
          "SELECT event_type AS route, count(*) AS requests, CAST(sum(length(props)) AS BIGINT) AS bytes, count_if(event_id % 10 = 0) AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def sketched(s, d):
+    """Sketches of each day, route and status, stored, merged by route and read; and how far their quantiles are off in ranks."""
+    path = scratch(s, "sketches")
+    daily = log(s, d).withColumn("day", F.to_date("ts"))
+    A.latency_sketches(daily, ["day", "route", "status"]).write.parquet(path)
+    found = A.sketch_summary(A.merged_sketches(s.read.parquet(path), ["route"]))
+    each = found.select("*", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(c).alias("q")) for p, c in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))))).alias("e"))
+    ranks = log(s, d).select("route", "dur_ms").join(each.select("route", "requests", "bytes", "errors", "e.p", "e.q"), "route").groupBy("route", "requests", "bytes", "errors", "p", "q")
+    off = ranks.agg((F.count_if(F.col("dur_ms") < F.col("q")) / F.count("*")).alias("low"), (F.count_if(F.col("dur_ms") <= F.col("q")) / F.count("*")).alias("high"))
+    return off.select("route", "requests", "bytes", "errors", "p", ((F.col("low") <= F.col("p") + 0.015) & (F.col("high") >= F.col("p") - 0.015)).alias("close"))
+
+
+register("a11_quantile_sketches", sketched,
+         "SELECT event_type AS route, count(*) AS requests, CAST(sum(length(props)) AS BIGINT) AS bytes, count_if(event_id % 10 = 0) AS errors, CAST(p AS DOUBLE) AS p, true AS close FROM events, (VALUES (0.5), (0.95), (0.99)) t(p) GROUP BY event_type, p")
 register("a8_metric_counters", lambda s, d: A.metric_counters(log(s, d), ["route", "status"]),
          "WITH l AS (SELECT event_type AS route, CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status FROM events) SELECT route, status, count(*) AS n, CAST(grouping(route) * 2 + grouping(status) AS BIGINT) AS level FROM l GROUP BY ROLLUP (route, status)")
 register("a8_gauges", lambda s, d: A.gauges(V.table(s, d, "events").select(F.col("event_type").alias("route"), "value", "ts"), ["route"]),
