@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 State, Row = Any, dict[str, Any]
 
@@ -65,9 +65,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str | Column], fo
 
     Null keys are one key. Rows that are equal in ``order`` come in any order.
     """
-    kind = _parse_datatype_string(fold.schema)
-    assert isinstance(kind, StructType)
-    arrow = to_arrow_schema(kind)
+    arrow = to_arrow_schema(StructType.fromDDL(fold.schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, held = None, None, []

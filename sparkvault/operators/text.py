@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkvault.functions.frontmatter import frontmatter_paths
 from sparkvault.functions.predicates import dispatch_mode
 
 
@@ -32,61 +33,24 @@ def trigrams(words: Column) -> Column:
 
 
 def split_frontmatter(text: Column) -> Column:
-    """struct(head, body): the block between two dash fences at the start; an unclosed fence is none."""
-    pattern = r"(?s)^(-+)[ \t]*\r?\n(.*?)(?:^|\n)\1[ \t]*(?:\r?\n|$)(.*)$"
+    """struct(head, body): the block between a line of dashes at the start and the next line of dashes; an unclosed fence is none."""
+    pattern = r"(?s)^-+\r?\n(.*?)(?<=\n)-+\r?\n(.*)$"
     found = text.rlike(pattern)
-    return F.struct(F.when(found, F.regexp_extract(text, pattern, 2)).alias("head"), F.when(found, F.regexp_extract(text, pattern, 3)).otherwise(text).alias("body"))
-
-
-def frontmatter_paths(head: Column) -> Column:
-    """map of dotted path to text: ``key: value`` lines nested by their indent, list items by number; of equal paths the last.
-
-    An ordered fold over the block's few lines with the open keys as a stack.
-    A list item belongs to the key above it, whether it is indented or not.
-    """
-    key = r"^([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*))?$"
-    lines = F.filter(F.split(head, "\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")))
-    start = F.struct(
-        F.array().cast("array<struct<indent:int,path:string>>").alias("open"), F.array().cast("array<struct<path:string,value:string,under:string>>").alias("out")
-    )
-
-    def step(acc: Column, line: Column) -> Column:
-        body = F.rtrim(F.ltrim(line))
-        indent = F.length(line) - F.length(F.ltrim(line))
-        item = body.startswith("- ")
-        above = F.filter(acc["open"], lambda o: (o["indent"] < indent) | (item & (o["indent"] == indent)))
-        parent = F.coalesce(F.try_element_at(above, F.lit(-1))["path"], F.lit(""))
-        under = F.when(parent == "", "").otherwise(F.concat(parent, F.lit(".")))
-        path = F.concat(under, F.regexp_extract(body, key, 1))
-        value = F.when(item, F.trim(F.substring(body, 3, 1 << 30))).otherwise(F.trim(F.regexp_extract(body, key, 2)))
-        place = F.size(F.filter(acc["out"], lambda o: o["under"] == parent)).cast("string")
-        entry = lambda p, u: F.array(F.struct(p.alias("path"), value.alias("value"), u.alias("under")))
-        opened = F.struct(F.concat(above, F.array(F.struct(indent.alias("indent"), path.alias("path")))).alias("open"), acc["out"].alias("out"))
-        told = F.struct(above.alias("open"), F.concat(acc["out"], entry(path, F.lit(None).cast("string"))).alias("out"))
-        listed = F.struct(above.alias("open"), F.concat(acc["out"], entry(F.concat(under, place), parent)).alias("out"))
-        return F.when(item, listed).when(~body.rlike(key), acc).when(value == "", opened).otherwise(told)
-
-    entries = F.aggregate(lines, start, step, lambda acc: acc["out"])
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["path"] == e["path"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["path"], e["value"])))
+    head = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\r?\n$", "")
+    return F.struct(F.when(found, head).alias("head"), F.when(found, F.regexp_extract(text, pattern, 2)).otherwise(text).alias("body"))
 
 
 def extract_frontmatter(text: Column) -> Column:
-    """struct(title, aliases, tags, raw): lists inline in brackets, by commas, or as dash items; raw has all by dotted path."""
+    """struct(title, aliases, tags, raw): raw has all texts by dotted path; aliases and tags are lists, in whichever form these are written."""
     head = split_frontmatter(text)["head"]
-    unquote = lambda c: F.regexp_replace(F.trim(c), "^[\"']|[\"']$", "")
-    value = lambda key: F.nullif(F.regexp_extract(head, rf"(?m)^{key}:[ \t]*([^\n]*)$", 1), F.lit(""))
-    items = lambda key: F.regexp_extract(head, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|$))+)", 1)
+    raw = frontmatter_paths(head)
 
     def listed(key: str) -> Column:
-        inline = F.split(F.regexp_replace(value(key), r"^\[|\]$", ""), ",")
-        dashed = F.transform(F.split(F.trim(items(key)), "\n"), lambda x: F.regexp_replace(x, r"^[ \t]*-[ \t]+", ""))
-        raw = F.when(items(key) != "", dashed).when(value(key).isNotNull(), inline).otherwise(F.array().cast("array<string>"))
-        return F.filter(F.transform(raw, unquote), lambda x: x != "")
+        items = F.filter(F.map_entries(raw), lambda e: e["key"].rlike(rf"^{key}\.[0-9]+$") & (F.coalesce(e["value"], F.lit("")) != ""))
+        placed = F.array_sort(F.transform(items, lambda e: F.struct(F.substring_index(e["key"], ".", -1).cast("int").alias("n"), e["value"].alias("v"))))
+        return F.coalesce(F.transform(placed, lambda x: x["v"]), F.array().cast("array<string>"))
 
-    return F.struct(
-        unquote(value("title")).alias("title"), listed("aliases").alias("aliases"), listed("tags").alias("tags"), F.when(head.isNotNull(), frontmatter_paths(head)).alias("raw")
-    )
+    return F.struct(F.try_element_at(raw, F.lit("title")).alias("title"), listed("aliases").alias("aliases"), listed("tags").alias("tags"), raw.alias("raw"))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -131,6 +131,20 @@ register("x3_frontmatter_paths",
          lambda s, d: V.table(s, d, "documents").select("doc_id", F.explode(T.extract_frontmatter(F.expr(f"concat({NESTED})"))["raw"]).alias("path", "value")),
          """SELECT doc_id, unnest(['meta.author.name', 'meta.author.speaks.0', 'meta.author.speaks.1', 'meta.count', 'list.0', 'list.1', 'top']) AS path,
          unnest(['A' || doc_id, lang, 'xx', CAST(doc_id % 7 AS VARCHAR), 'one', 'two words', 'again']) AS value FROM documents""")
+def rich_frontmatter(s, d):
+    """Maps in list items, block and folded texts, brackets over lines, anchors, aliases, merged maps, quotes and comments before each text."""
+    doc, lang, source = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    lines = [
+        "---\npeople:\n  - &p\n    name: A", doc, "\n    from: {lang: ", lang, ", tags: [x, \"", source, ", y\"]}\n  - name: 'it''s'\n    <<: *p\nnote: |\n  one\n    two ", doc,
+        "\n\n  three\nfold: >-\n  a\n  ", lang, "\n\n  c\nlong: [a,\n  b] # end\nplain: some # not this\n  more\n---\n", F.col("text"),
+    ]
+    head = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    return V.table(s, d, "documents").select("doc_id", F.explode(T.extract_frontmatter(head)["raw"]).alias("path", "value"))
+
+
+register("x3_frontmatter_rich", rich_frontmatter,
+         """SELECT doc_id, unnest(['people.0.name', 'people.0.from.lang', 'people.0.from.tags.0', 'people.0.from.tags.1', 'people.1.name', 'people.1.from.lang', 'people.1.from.tags.0', 'people.1.from.tags.1', 'note', 'fold', 'long.0', 'long.1', 'plain']) AS path,
+         unnest(['A' || doc_id, lang, 'x', source || ', y', 'it''s', lang, 'x', source || ', y', 'one' || chr(10) || '  two ' || doc_id || chr(10) || chr(10) || 'three' || chr(10), 'a ' || lang || chr(10) || 'c', 'a', 'b', 'some more']) AS value FROM documents""")
 register("x14_extract_tables", lambda s, d: T.table_cells(V.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line")).withColumn("cells", F.split("line", r" \| ")), "doc_id", "cells")
          .groupBy("doc_id").agg(F.count("*").alias("cells"), F.max("col").alias("widest")),
          """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) SELECT doc_id, CAST(sum(len(string_split(l, ' | '))) AS BIGINT) AS cells, CAST(max(len(string_split(l, ' | '))) - 1 AS INTEGER) AS widest FROM l GROUP BY doc_id""")
