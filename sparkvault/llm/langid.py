@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import mix64, slices
+from sparkvault.llm._common import mix64, slices, trimmed
 
 ORDER = 3
 #: Most documents of a language that the trees learn from, those of the smallest hashes of id and text,
 #: so that the model stays bounded. Every language with a text has a document among them.
 SAMPLE_DOCS = 1_500
+#: Most bytes of them; a first document alone may have more.
+SAMPLE_BYTES = 64 << 20
 #: Bytes of text scored at once.
 CHUNK = 1 << 20
 
@@ -76,7 +78,7 @@ def counted(docs: DataFrame, text: str, label: str, order: int = ORDER) -> DataF
                     yield pa.record_batch({"lang": pa.array([lang] * len(grams)), "gram": pa.array(grams.astype(np.int64)), "n": pa.array(n)})
 
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Trees:
@@ -145,7 +147,7 @@ class Trees:
 
 
 def sampled(docs: DataFrame, text: str, label: str, key: str | None, sample_docs: int) -> DataFrame:
-    """(label, text) of at most ``sample_docs`` documents of each label, one at least; repeated rows count once.
+    """(label, text) of at most ``sample_docs`` documents and ``SAMPLE_BYTES`` of each label, one document at least; repeated rows count once.
 
     The documents of the smallest hashes. A rough cut by the labels' sizes
     comes first, so that few hashes are sorted.
@@ -159,8 +161,10 @@ def sampled(docs: DataFrame, text: str, label: str, key: str | None, sample_docs
         if n > 4 * sample_docs:
             rough = F.when(F.col("lang") == lang, F.lit(2 * sample_docs / n)).otherwise(rough)
     near = rows.filter(share <= rough)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = near.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= sample_docs).groupBy("lang").agg(F.max("h").alias("h"))
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    each = near.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    each = each.withColumn("place", F.row_number().over(by_hash)).withColumn("bytes", F.sum("size").over(by_hash))
+    cuts = each.filter((F.col("place") <= sample_docs) & ((F.col("bytes") <= SAMPLE_BYTES) | (F.col("place") == 1))).groupBy("lang").agg(F.max("h").alias("h"))
     cut = F.lit(None).cast("long")
     for r in cuts.collect():  # a row for each language
         cut = F.when(F.col("lang") == r["lang"], F.lit(r["h"])).otherwise(cut)
@@ -216,7 +220,7 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text", prefix: st
             yield pa.RecordBatch.from_arrays(arrays, [*columns, *names])
 
     extra = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"
-    return kept.mapInArrow(run, f"{kinds}, {extra}")
+    return kept.mapInArrow(trimmed(run), f"{kinds}, {extra}")
 
 
 def identify(docs: DataFrame, learn_from: Column, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import BLANKS, materialize, mix64, text_bytes
+from sparkvault.llm._common import BLANKS, materialize, mix64, text_bytes, trimmed
 
 #: Words of a shingle.
 WIDTH = 5
@@ -194,7 +194,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int = WIDTH, bins: i
             )
 
     rows_in = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(run, f"id {kind}, n_shingles long, set_id binary, keys array<long>")
+    return rows_in.mapInArrow(trimmed(run), f"id {kind}, n_shingles long, set_id binary, keys array<long>")
 
 
 def shingled(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -214,7 +214,7 @@ def shingled(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             sizes = {"n": pa.array(map(len, found), pa.int64()), "hashes": pa.array(found, pa.list_(pa.int64()))}
             yield pa.record_batch(those | sizes)
 
-    return rows.select("sid", "rep", "set_id", "text").mapInArrow(run, f"sid long, rep {kind}, n long, hashes array<long>")
+    return rows.select("sid", "rep", "set_id", "text").mapInArrow(trimmed(run), f"sid long, rep {kind}, n long, hashes array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

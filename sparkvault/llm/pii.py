@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import materialize, unused
+from sparkvault.llm._common import materialize, trimmed, unused
 
 # Titles by gender, and given and family names by gender and script.
 TITLES = {
@@ -319,7 +319,7 @@ def entities(docs: DataFrame, text: str, name: str) -> DataFrame:
             found = pa.array([find(t) for t in batch.column(at).to_pylist()], spans)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*columns, name])
 
-    return docs.mapInArrow(run, f"{kinds}, `{name}` {ENTITY}")
+    return docs.mapInArrow(trimmed(run), f"{kinds}, `{name}` {ENTITY}")
 
 
 def surrogates(distinct: DataFrame, key: bytes) -> DataFrame:
@@ -339,7 +339,7 @@ def surrogates(distinct: DataFrame, key: bytes) -> DataFrame:
     real = distinct.select(space, F.col("norm").alias("surrogate"))
     todo, done = distinct.select("kind", "norm", F.lit(0).alias("attempt")), None
     while True:
-        drawn = materialize(todo.mapInArrow(run, "kind string, norm string, attempt int, surrogate string").withColumn("space", space), "drawn")
+        drawn = materialize(todo.mapInArrow(trimmed(run), "kind string, norm string, attempt int, surrogate string").withColumn("space", space), "drawn")
         taken = real if done is None else real.union(done.select(space, "surrogate"))
         clash = drawn.join(taken.withColumn("taken", F.lit(True)).dropDuplicates(["space", "surrogate"]), ["space", "surrogate"], "left")
         first = F.row_number().over(Window.partitionBy("space", "surrogate").orderBy("norm", "kind")) == 1
@@ -387,6 +387,6 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32())], [*columns, "n_entities"])
 
-    replaced = joined.select(*order).mapInArrow(run, f"{kinds}, n_entities int")
+    replaced = joined.select(*order).mapInArrow(trimmed(run), f"{kinds}, n_entities int")
     none = F.lit(0).alias("n_entities")
     return docs.filter(~may).select(*columns, none).unionByName(seen.filter(F.size(found_) == 0).select(*columns, none)).unionByName(replaced)

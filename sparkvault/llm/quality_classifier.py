@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkvault.llm._common import materialize, slices, text_bytes
+from sparkvault.llm._common import materialize, slices, text_bytes, trimmed
 
 FEATURES = (
     "log_words", "word_length", "upper", "digits", "symbols", "marks", "bars", "stops", "non_ascii",
@@ -79,7 +79,7 @@ def with_features(docs: DataFrame, key: str, text: str) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.record_batch({"key": batch.column("key"), "x": values})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, x array<double>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), f"key {kind}, x array<double>")
 
 
 @dataclass
@@ -116,7 +116,9 @@ class Discriminant:
         """Probability of class 1, from 0 to 1."""
         d = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
+            z = (x - self.means[c]).T.copy()
+            for i, row in enumerate(self.factors[c]):  # forward substitution, as the factor is triangular
+                z[i] = (z[i] - row[:i] @ z[:i]) / row[i]
             d.append((z * z).sum(axis=0) + self.log_dets[c])
         logit = np.clip((d[0] - d[1]) / 2 + self.log_prior_ratio, -self.cap, self.cap)
         return 1 / (1 + np.exp(-logit))
@@ -141,7 +143,7 @@ def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_diagonal: float = TO_D
         for c, s in sums.items():
             yield pa.record_batch({"label": pa.array([c] * len(s), pa.int32()), "at": pa.array(range(len(s)), pa.int32()), "v": pa.array(s)})
 
-    parts = rows.select("x", "label").mapInArrow(run, "label int, at int, v double")
+    parts = rows.select("x", "label").mapInArrow(trimmed(run), "label int, at int, v double")
     collected = parts.groupBy("label", "at").agg(F.sum("v").alias("v")).orderBy("label", "at").toPandas()
     moments = {}
     for c, own in collected.groupby("label"):
@@ -163,7 +165,7 @@ def score(rows: DataFrame, model: Discriminant | None, threshold: float = 0.3) -
             s = shared.value.scores(x) if shared.value and len(x) else np.full(len(x), 0.5)
             yield pa.record_batch({c: batch.column(c) for c in columns} | {"score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), f"{kinds}, score double, predicted int")
 
 
 def classify(
