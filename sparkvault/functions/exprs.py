@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 REVIEW_PREFIX = "reviewed-"
 
 
+# What conflict blocks and callouts begin and end with; other programs look for them.
+OURS, BETWEEN, THEIRS = "<<<<<<< ", "=======\n", ">>>>>>> "
+QUOTE, CALLOUT, CONFLICT_HEAD = "> ", "> [!", "> [!conflict] "
+
+
 def content_hash(content: Column) -> Column:
     """Hex SHA-256."""
     return F.sha2(content, 256)
@@ -160,7 +165,7 @@ def case_collision_path(path: Column, ts: Column) -> Column:
 def git_marker_text(ours: Column, theirs: Column, our_name: Column, their_name: Column) -> Column:
     """Both sides between conflict markers, each ended by a line end."""
     ended = lambda c: F.when((c == "") | c.endswith("\n"), c).otherwise(F.concat(c, F.lit("\n")))
-    return F.concat(F.lit("<<<<<<< "), our_name, F.lit("\n"), ended(ours), F.lit("=======\n"), ended(theirs), F.lit(">>>>>>> "), their_name, F.lit("\n"))
+    return F.concat(F.lit(OURS), our_name, F.lit("\n"), ended(ours), F.lit(BETWEEN), ended(theirs), F.lit(THEIRS), their_name, F.lit("\n"))
 
 
 def comment_block_text(header: Column, text: Column, opening: Column, closing: Column) -> Column:
@@ -182,16 +187,16 @@ def callout_text(kind: Column, title: Column, text: Column) -> Column:
     """A quoted callout that holds the text in a fence."""
     fence = backtick_fence(text)
     lines = F.concat(F.array(fence), F.split(F.regexp_replace(text, "\n$", ""), "\n"), F.array(fence))
-    quoted = F.transform(lines, lambda x: F.when(x == "", F.lit(">")).otherwise(F.concat(F.lit("> "), x)))
-    return F.concat(F.lit("> [!"), kind, F.lit("] "), title, F.lit("\n"), F.array_join(quoted, "\n"), F.lit("\n"))
+    quoted = F.transform(lines, lambda x: F.when(x == "", F.lit(">")).otherwise(F.concat(F.lit(QUOTE), x)))
+    return F.concat(F.lit(CALLOUT), kind, F.lit("] "), title, F.lit("\n"), F.array_join(quoted, "\n"), F.lit("\n"))
 
 
 def delete_vs_edit_text(fmt: Column, header: Column, text: Column) -> Column:
     """A header above the surviving text, by format: callout, comment, or marker."""
     head = (
-        F.when(fmt == "callout", F.concat(F.lit("> [!conflict] "), header, F.lit("\n\n")))
+        F.when(fmt == "callout", F.concat(F.lit(CONFLICT_HEAD), header, F.lit("\n\n")))
         .when(fmt == "comment", F.concat(F.lit("# "), header, F.lit("\n")))
-        .otherwise(F.concat(F.lit("<<<<<<< "), header, F.lit("\n")))
+        .otherwise(F.concat(F.lit(OURS), header, F.lit("\n")))
     )
     return F.concat(head, text)
 

@@ -76,26 +76,26 @@ def _is_nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def invalid_path(path: Column, control: str = CONTROL, check_nfc: bool = True) -> Column:
-    """Why a path is refused, or null. Only paths outside ASCII are asked for their normal form."""
+    """The code of the first rule that a path breaks, or null. Only paths outside ASCII are asked for their normal form."""
     parts = F.split(path, "/")
     some = lambda test: F.exists(parts, test)
     hidden = F.exists(F.transform(parts, lambda p, i: p.startswith(".") & ~((i == 0) & (p == control))), lambda x: x)
     stem = lambda p: F.upper(F.substring_index(p, ".", 1))
     nfc = F.when(path.rlike(r"[^\x00-\x7F]"), _is_nfc(path)).otherwise(True) if check_nfc else F.lit(True)
     return (
-        F.when(F.coalesce(path, F.lit("")) == "", "empty path")
-        .when(~nfc, "not NFC")
-        .when(F.instr(path, "\0") > 0, "null byte")
+        F.when(F.coalesce(path, F.lit("")) == "", "empty")
+        .when(~nfc, "not_normal")
+        .when(F.instr(path, "\0") > 0, "nul")
         .when(F.contains(path, F.lit("\\")), "backslash")
-        .when(path.startswith("/"), "not relative")
-        .when(F.octet_length(path) > 4096, "too long")
-        .when(some(lambda p: (p == "") | (p == ".")) | (some(lambda p: p == "..") & ~path.rlike(r"^(?:\.\./)*\.\.(?:/|$)")), "not clean")
-        .when(some(lambda p: p == ".."), "'..' component")
-        .when(some(lambda p: F.octet_length(p) > 255), "component too long")
-        .when(some(lambda p: p.endswith(".")), "trailing dot")
-        .when(some(lambda p: p.endswith(" ")), "trailing space")
-        .when(hidden, "hidden component")
-        .when(some(lambda p: stem(p).isin(RESERVED)), "reserved name")
+        .when(path.startswith("/"), "absolute")
+        .when(F.octet_length(path) > 4096, "length")
+        .when(some(lambda p: (p == "") | (p == ".")) | (some(lambda p: p == "..") & ~path.rlike(r"^(?:\.\./)*\.\.(?:/|$)")), "unclean")
+        .when(some(lambda p: p == ".."), "parent")
+        .when(some(lambda p: F.octet_length(p) > 255), "component_length")
+        .when(some(lambda p: p.endswith(".")), "ends_in_dot")
+        .when(some(lambda p: p.endswith(" ")), "ends_in_space")
+        .when(hidden, "hidden")
+        .when(some(lambda p: stem(p).isin(RESERVED)), "reserved")
     )
 
 

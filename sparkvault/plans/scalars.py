@@ -102,8 +102,8 @@ register("h23_op_paths", lambda s, d: V.ops(s, d).select("event_id", E.primary_p
 register("p1_validate_ops", lambda s, d: V.ops(s, d).select("event_id", P.invalid_op(F.col("type"), F.col("seq") - 1, F.lit(1), F.col("path"), F.col("from"), F.col("to"), F.col("data"), F.col("binary"), F.when(F.col("event_id") % 7 > 0, F.col("pre_hash"))).alias("r")),
          """SELECT event_id, CASE WHEN seq = 1 THEN 'bad_seq' WHEN type = 'write' THEN NULL WHEN event_id % 7 = 0 THEN 'no_pre_hash' WHEN "binary" THEN 'has_data' END AS r FROM ops""", "ops")
 register("p2_validate_path", lambda s, d: paths(s, d).select("doc_id", P.invalid_path(F.col("path")).alias("r")),
-         f"""WITH {PATHS} SELECT doc_id, CASE WHEN path = '' THEN 'empty path' WHEN contains(path, '\\') THEN 'backslash' WHEN path LIKE '/%' THEN 'not relative' WHEN contains(path, '//') OR contains(path, '/../') THEN 'not clean'
-         WHEN path LIKE '%.' THEN 'trailing dot' WHEN contains(path, ' /') THEN 'trailing space' WHEN contains(path, '/.') THEN 'hidden component' WHEN path IN ('con.txt', 'dir/LPT1') THEN 'reserved name' END AS r FROM p""", "manifest")
+         f"""WITH {PATHS} SELECT doc_id, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '\\') THEN 'backslash' WHEN path LIKE '/%' THEN 'absolute' WHEN contains(path, '//') OR contains(path, '/../') THEN 'unclean'
+         WHEN path LIKE '%.' THEN 'ends_in_dot' WHEN contains(path, ' /') THEN 'ends_in_space' WHEN contains(path, '/.') THEN 'hidden' WHEN path IN ('con.txt', 'dir/LPT1') THEN 'reserved' END AS r FROM p""", "manifest")
 register("p3_validate_vault_id", lambda s, d: V.table(s, d, "customer").select("c_custkey", P.valid_vault_id(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))))).alias("v")),
          "SELECT c_custkey, c_custkey % 2 = 1 AS v FROM customer")
 register("p4_path_class", lambda s, d: paths(s, d).select("doc_id", P.path_class(F.col("path")).alias("c")),
