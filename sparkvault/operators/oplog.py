@@ -253,11 +253,14 @@ def pack_batches(ops: DataFrame, size: Column, target: int, by: str = "client_id
 
 
 def fanout_ops(batches: DataFrame, clients: DataFrame) -> DataFrame:
-    """Every batch for each other client of its vault, without config ops for those that are no admin."""
+    """Every op for each other client of its vault; those that touch a config or control path, at either end, for admins alone."""
     to = clients.select("vault_id", F.col("client_id").alias("recipient"), "admin")
     pairs = batches.join(to, "vault_id").filter(F.col("recipient") != F.col("client_id"))
-    hidden = predicates.path_class(F.col("path")).isin("config", "control")
-    return pairs.filter(F.col("admin") | ~hidden)
+    ends = [c for c in ("path", "from", "to") if c in batches.columns]
+    shown = F.lit(True)
+    for c in ends:
+        shown = shown & ~F.coalesce(predicates.path_class(F.col(c)).isin("config", "control"), F.lit(False))
+    return pairs.filter(F.col("admin") | shown)
 
 
 def visible_ops(ops: DataFrame, admin: Column) -> DataFrame:

@@ -416,9 +416,9 @@ register(
 )
 register(
     "j22_fanout_ops",
-    lambda s, d: O.fanout_ops(V.ops(s, d).filter("type = 'delete'"), V.keys(s, d).select("vault_id", F.col("name").alias("client_id"), (F.col("role") == "admin").alias("admin")))
+    lambda s, d: O.fanout_ops(V.ops(s, d), V.keys(s, d).select("vault_id", F.col("name").alias("client_id"), (F.col("role") == "admin").alias("admin")))
     .groupBy("recipient").agg(F.count("*").alias("ops")),
-    """SELECT name AS recipient, count(*) AS ops FROM ops JOIN keys USING (vault_id) WHERE type = 'delete' GROUP BY name""", "ops", "keys",
+    """SELECT name AS recipient, count(*) AS ops FROM ops JOIN keys USING (vault_id) GROUP BY name""", "ops", "keys",
 )
 register(
     "p13_visible_ops", lambda s, d: O.visible_ops(V.ops(s, d).withColumn("path", F.when(F.col("binary"), F.lit(".vault/access")).otherwise(F.col("path"))), F.lit(False)).select("event_id"),
