@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkvault.functions.predicates import is_hidden
 from sparkvault.operators.changes import fold_latest
 from sparkvault.operators.search import gram_part
-from sparkvault.sources.delimited import read_delimited, sniff_delimiter
+from sparkvault.sources.delimited import read_delimited, sniff_delimiter  # noqa: F401
 
 OP_SCHEMA = "vault_id string, client_id string, seq long, type string, path string, `from` string, `to` string, data string, binary boolean, pre_hash string, ts timestamp, author string"
 MANIFEST_SCHEMA = "vault_id string, row_no long, path string, hash string, binary boolean, deleted boolean"

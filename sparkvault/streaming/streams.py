@@ -11,11 +11,9 @@ from sparkvault.functions import predicates
 from sparkvault.operators.changes import fold_latest
 from sparkvault.operators.fold import PairRenames, RateLimit, StagedCommits, StuckWrites
 from sparkvault.operators.oplog import fanout_ops
-from sparkvault.streaming.live import compact, live_index, read_live_index
+from sparkvault.streaming.live import compact, live_index, read_live_index  # noqa: F401
 from sparkvault.streaming.ordered import ordered_stream
 
-__all__ = ["compact", "live_index", "read_live_index"]
-
 
 def ingest_ops(ops: DataFrame, prune: str = "1 hour") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): ops that keep their type's rules and are new by (client_id, seq); the others with their reason."""
