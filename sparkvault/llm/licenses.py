@@ -249,8 +249,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
             words = F.when(F.length(state["words"]) <= longest, F.concat_ws(" ", F.nullif(state["words"], F.lit("")), marked(piece)))
             parts = F.split(words, r"\|")
             before = lambda n: keyed(without_bars(F.array_join(F.slice(parts, F.lit(1), n), " ")))
-            cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.try_element_at(of, before(n)))
-            aside = F.when(F.contains(words, F.lit("|")) & keyed(words).startswith("under "), F.try_element_at(F.array_compact(cut), F.lit(-1)))
+            # The aside begins in this piece: one that began before does not take in what follows.
+            cut = F.transform(F.sequence(F.size(F.split(state["words"], r"\|")), F.size(parts)), lambda n: F.try_element_at(of, before(n)))
+            aside = F.when(words.isNotNull() & F.contains(words, F.lit("|")) & keyed(words).startswith("under "), F.try_element_at(F.array_compact(cut), F.lit(-1)))
             found, at = F.coalesce(F.try_element_at(of, keyed(without_bars(words))), aside), state["at"] + 1
             stop = F.when(found.isNotNull(), at).otherwise(state["stop"])
             return F.struct(words.alias("words"), at.alias("at"), stop.alias("stop"), F.coalesce(found, state["id"]).alias("id"))

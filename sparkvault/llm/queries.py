@@ -165,7 +165,8 @@ def _license_sql() -> str:
         begins AS (SELECT * FROM (SELECT doc_id, n, p, unnest(range(1, len(p) + 1)) AS i FROM pieces) WHERE regexp_matches(lower(p[i]), '^[^a-z0-9]*(?:{first})(?:[^a-z0-9]|$)')),
         spans AS (SELECT doc_id, n, i, j, array_to_string(p[i:j], chr(10)) AS w FROM (SELECT *, unnest(range(i, least(len(p), i + {most} - 1) + 1)) AS j FROM begins)),
         marks AS (SELECT doc_id, n, i, j, {marked} AS w FROM spans),
-        cuts AS (SELECT *, unnest(range(1, len(x) + 1)) AS c FROM (SELECT *, string_split(w, '|') AS x FROM marks)),
+        parted AS (SELECT *, coalesce(lag(len(x)) OVER (PARTITION BY doc_id, n, i ORDER BY j), 1) AS least FROM (SELECT *, string_split(w, '|') AS x FROM marks)),
+        cuts AS (SELECT *, unnest(range(least, len(x) + 1)) AS c FROM parted),
         keyed AS (SELECT doc_id, n, i, j, c, c = len(x) AS whole, regexp_replace(trim(regexp_replace(array_to_string(x[1:c], ' '), '[ ]+', ' ', 'g')), '{licenses.REFERENCE}', 'under ') AS k FROM cuts),
         hits AS (SELECT doc_id, n, i, max(j) + 1 AS stop, arg_max(sentence_id, (j, c)) AS id FROM keyed JOIN known ON k = sentence AND (whole OR starts_with(k, 'under ')) GROUP BY doc_id, n, i),
         nexts AS (SELECT h.doc_id, h.n, h.i, any_value(h.id) AS id, min(o.i) AS next FROM hits h LEFT JOIN hits o ON o.doc_id = h.doc_id AND o.n = h.n AND o.i >= h.stop GROUP BY h.doc_id, h.n, h.i),
