@@ -94,7 +94,8 @@ def code_blocks(docs: DataFrame, learn: Column, key: str, text: str) -> DataFram
             lengths = pc.binary_length(batch.column("text")).to_pylist()
             for first, last in slices([n + BLOCK_BYTES // BLOCK_ROWS for n in lengths], BLOCK_BYTES):
                 part = batch.slice(first, last - first)
-                split = pc.ascii_split_whitespace(pc.ascii_lower(part.column("text").cast(pa.large_string())))
+                # Lowered before the cast: of a slice that was cast, pyarrow 23 lowers other bytes.
+                split = pc.ascii_split_whitespace(pc.ascii_lower(part.column("text")).cast(pa.large_string()))
                 tokens = split.flatten()
                 there = pc.not_equal(tokens, "")
                 owner = np.repeat(np.arange(last - first), pc.list_value_length(split).to_numpy())[there.to_numpy(zero_copy_only=False)]

@@ -209,6 +209,19 @@ def test_lm_scores_equal_brute_force_without_false_positives(odd):
     assert Counter(sharded) == Counter(whole)
 
 
+def test_lm_reads_every_block_of_a_batch(odd, monkeypatch):
+    monkeypatch.setattr(bloomlm, "BLOCK_BYTES", 4096)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    assert bloomlm.code_blocks(odd.coalesce(1), learn, "doc_id", "text").count() > 2
+    want = brute_lm(rows, [fold(k, 7) not in (2, None) for k, _ in rows])
+    got = bloomlm.language_model_scores(odd.coalesce(1), learn).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
+    got, want = sorted((tuple(r) for r in got), key=order), sorted(want, key=order)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], rel=1e-9, abs=1e-9)
+
+
 def test_lm_tables_without_rows_or_learning_rows(odd):
     assert bloomlm.language_model_scores(odd.limit(0), F.lit(True)).collect() == []
     rows = odd.filter("doc_id < 8")
