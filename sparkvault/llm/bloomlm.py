@@ -11,9 +11,11 @@ level with a probability of the filter's error rate.
 The filter is a row of shards, each with about the same number of training
 tokens, so that it grows with the corpus and no shard does. Up to
 ``BROADCAST_BYTES`` it is broadcast and every task probes all of it; a larger
-one stays a table, the blocks send their distinct n-grams to the shards as
-sorted fingerprints, and the levels come back. Either way the scores are the
-same.
+one stays in shards, the blocks send their distinct n-grams to them as
+sorted fingerprints, and the levels come back. Where the blocks that are scored
+are those that are learned from, each n-gram is sent once: with its count, and
+a shard answers from the filter that it makes of these. All ways give the same
+scores.
 
 The probability of a token is interpolated from the exact add-one unigram over
 two and three tokens: p = (count + mass * lower) / (context + mass), where a
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -240,16 +242,22 @@ def _of_row(batch: pa.RecordBatch, row: int) -> tuple[Tokens, np.ndarray]:
     return _tokens(words, n_words, codes), np.array(batch.column("learn")[row].as_py(), bool)
 
 
+def _merged_bits(table: pa.Table, hashes: int) -> np.ndarray:
+    """The filter of a shard from what the blocks send; n-grams that no learning text has are left out."""
+    prints = np.concatenate([_sorted_unsqueezed(x.as_py()) for x in table.column("prints")])
+    counts = np.concatenate([_unsqueezed(x.as_py()) for x in table.column("counts")]).astype(np.int64)
+    prints, counts = prints[counts > 0], counts[counts > 0]
+    order = np.argsort(prints, kind="stable")
+    prints, counts = prints[order], counts[order]
+    firsts = np.flatnonzero(np.diff(prints, prepend=prints[:1] ^ np.uint64(1)))
+    return filter_bits(prints[firsts], np.add.reduceat(counts, firsts) if len(firsts) else counts, hashes)
+
+
 def _filter_shard(hashes: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        prints = np.concatenate([_sorted_unsqueezed(x.as_py()) for x in table.column("prints")])
-        counts = np.concatenate([_unsqueezed(x.as_py()) for x in table.column("counts")]).astype(np.int64)
-        order = np.argsort(prints, kind="stable")
-        prints, counts = prints[order], counts[order]
-        firsts = np.flatnonzero(np.diff(prints, prepend=prints[:1] ^ np.uint64(1)))
-        bits = filter_bits(prints[firsts], np.add.reduceat(counts, firsts), hashes)
+        bits = _merged_bits(table, hashes)
         out = pa.table({"shard": table.column("shard").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-        del prints, counts, order, bits
+        del bits
         give_back()
         return out
 
@@ -261,27 +269,38 @@ class Model:
     """What a corpus leaves: word counts and the filter as tables, and five numbers."""
 
     counts: DataFrame  # (word binary, c long), words that the corpus has
-    shards: DataFrame  # (shard long, bits binary)
+    shards: DataFrame | None  # (shard long, bits binary); none where the filter is made as the blocks ask it
     n_shards: int
-    filter_bytes: int
+    filter_bytes: int  # without a filter, the most that it can have
     n_tokens: int
     n_types: int
     n_texts: int
     hashes: int
 
 
-def fit_blocks(blocks: DataFrame, hashes: int = HASHES, shard_tokens: int = SHARD_TOKENS) -> Model:
-    """The model of the learning rows of coded blocks; its tables are in the shared folder."""
+def count_blocks(blocks: DataFrame, hashes: int = HASHES, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """The model of the learning rows of coded blocks, without its filter; the table of words is in the shared folder."""
     words = blocks.select(F.explode(F.arrays_zip("words", "seen")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.seen").alias("seen"))
     counts = materialize(words.filter(F.col("seen") > 0).groupBy("word").agg(F.sum("seen").alias("c")), "lm_counts")
     n_words, n_types = counts.agg(F.sum("c"), F.count("*")).first()
     n_texts = blocks.select(F.sum(F.size(F.filter("learn", lambda x: x)).cast("long"))).first()[0] or 0
     n_tokens = (n_words or 0) + n_texts
     n_shards = max(1, math.ceil(n_tokens / shard_tokens))
-    sent = blocks.select("learn", "n_words", "codes", "words").mapInArrow(_count_messages(n_shards), "shard long, prints binary, counts binary")
-    shards = materialize(sent.groupBy("shard").applyInArrow(_filter_shard(hashes), "shard long, bits binary"), "lm_filter")
-    size = shards.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    return Model(counts, shards, n_shards, size, n_tokens, n_types + (n_texts > 0), n_texts, hashes)
+    # An n-gram has no more levels than occurrences, and a text no more pairs or triples than tokens.
+    most = math.ceil(2 * n_tokens * hashes / math.log(2) / 8) + 8 * n_shards
+    return Model(counts, None, n_shards, most, n_tokens, n_types + (n_texts > 0), n_texts, hashes)
+
+
+def fit_blocks(blocks: DataFrame, hashes: int = HASHES, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """The model of the learning rows of coded blocks; its tables are in the shared folder."""
+    return _filtered(blocks, count_blocks(blocks, hashes, shard_tokens))
+
+
+def _filtered(blocks: DataFrame, model: Model) -> Model:
+    """``model`` with the table of its filter."""
+    sent = blocks.select("learn", "n_words", "codes", "words").mapInArrow(_count_messages(model.n_shards), "shard long, prints binary, counts binary")
+    shards = materialize(sent.groupBy("shard").applyInArrow(_filter_shard(model.hashes), "shard long, bits binary"), "lm_filter")
+    return replace(model, shards=shards, filter_bytes=shards.agg(F.sum(F.octet_length("bits"))).first()[0] or 0)
 
 
 def _expected(levels: np.ndarray) -> np.ndarray:
@@ -346,6 +365,41 @@ def _answer(hashes: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _ask_counted(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A block's distinct n-grams with their counts in its learning texts, for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tokens, learn = _of_row(batch, row)
+                learns = np.repeat(learn, np.diff(tokens.first, append=len(tokens.code)))
+                found, place = np.unique(tokens.fingerprints(), return_inverse=True)
+                counts = np.bincount(place[np.concatenate([learns, learns[tokens.deep]])], minlength=len(found))
+                sent = [(s, _sorted_squeezed(found[run_]), _squeezed(counts[run_])) for s, run_ in _parts(found, shards)]
+                shard, prints, numbers = zip(*sent, strict=True)
+                block = pa.array([batch.column("block")[row].as_py()] * len(sent), pa.int64())
+                yield pa.record_batch({"block": block, "shard": pa.array(shard, pa.int64()), "prints": pa.array(prints, pa.binary()), "counts": pa.array(numbers, pa.binary())})
+                del tokens, found, place, counts, sent
+            give_back()
+
+    return run
+
+
+def _answer_counted(hashes: int) -> Callable[[pa.Table], pa.Table]:
+    """The levels of what the blocks ask one shard, whose filter is of the counts that they send."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        bits = _merged_bits(asked, hashes)
+        held = Filter(bits, np.zeros(1, np.int64), np.array([len(bits) * 8], np.uint64), hashes)
+        levels = [_squeezed(held.levels(_sorted_unsqueezed(x.as_py()))) for x in asked.column("prints")]
+        out = pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "levels": pa.array(levels, pa.binary())})
+        del bits, held, levels
+        give_back()
+        return out
+
+    return run
+
+
 def _score_block(model: tuple[int, int, int], n_shards: int, held, mass: float, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Scores a block from its words' counts, and the broadcast filter or the shards' answers."""
 
@@ -373,12 +427,15 @@ def _score_block(model: tuple[int, int, int], n_shards: int, held, mass: float,
 
 
 def score_blocks(blocks: DataFrame, model: Model, mass: float = MASS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) of every text of coded blocks."""
+    """(key, n_tokens, n_known, base_score, score) of every text of coded blocks.
+
+    A model without a filter must be of the same blocks.
+    """
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("code", "word"))
     none = {c: F.lit(None).cast(t) for c, t in (("code", "int"), ("c", "long"), ("shard", "long"), ("levels", "binary"))}
     known = asked.join(model.counts, "word").select("of", "code", "c", none["shard"].alias("shard"), none["levels"].alias("levels"))
     held = None
-    if model.filter_bytes <= broadcast_bytes:
+    if model.shards is not None and model.filter_bytes <= broadcast_bytes:
         rows = {r["shard"]: np.frombuffer(r["bits"], np.uint8) for r in model.shards.collect()}  # filter_bytes at most
         sizes = np.array([len(rows.get(s, b"")) for s in range(model.n_shards)], np.int64)
         # A shard without n-grams has one byte of zeros.
@@ -387,8 +444,13 @@ def score_blocks(blocks: DataFrame, model: Model, mass: float = MASS, broadcast_
         whole = Filter(np.concatenate(parts), starts, (np.maximum(sizes, 1) * 8).astype(np.uint64), model.hashes)
         held = blocks.sparkSession.sparkContext.broadcast(whole)
     else:
-        sent = blocks.select("block", "n_words", "codes", "words", "learn").mapInArrow(_ask(model.n_shards), "block long, shard long, prints binary")
-        answers = sent.groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(_answer(model.hashes), "block long, shard long, levels binary")
+        own = blocks.select("block", "n_words", "codes", "words", "learn")
+        if model.shards is None:
+            sent = own.mapInArrow(_ask_counted(model.n_shards), "block long, shard long, prints binary, counts binary")
+            answers = sent.groupBy("shard").applyInArrow(_answer_counted(model.hashes), "block long, shard long, levels binary")
+        else:
+            sent = own.mapInArrow(_ask(model.n_shards), "block long, shard long, prints binary")
+            answers = sent.groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(_answer(model.hashes), "block long, shard long, levels binary")
         known = known.unionByName(answers.select(F.col("block").alias("of"), none["code"].alias("code"), none["c"].alias("c"), "shard", "levels"))
     of_key = blocks.schema["keys"].dataType.elementType
     run = _score_block((model.n_tokens, model.n_types, model.n_texts), model.n_shards, held, mass, to_arrow_type(of_key))
@@ -405,6 +467,8 @@ def language_model_scores(docs: DataFrame, learn: Column, key: str = "doc_id", t
     score. Other columns play no part, and an empty table gives an empty one.
     """
     blocks = code_blocks(docs, learn, key, text)
-    model = fit_blocks(blocks)
+    model = count_blocks(blocks)
+    if model.filter_bytes <= options.get("broadcast_bytes", BROADCAST_BYTES):
+        model = _filtered(blocks, model)
     scored = score_blocks(blocks, model, **options).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
     return scored.select(F.col("key").alias(key), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -207,6 +207,9 @@ def test_lm_scores_equal_brute_force_without_false_positives(odd):
     close(whole, want)
     sharded = [(r.key, r.n_tokens, r.n_known, model.n_tokens, r.base_score, r.score) for r in bloomlm.score_blocks(blocks, model, broadcast_bytes=0).collect()]
     assert Counter(sharded) == Counter(whole)
+    at_once = bloomlm.count_blocks(blocks, hashes=50, shard_tokens=3000)
+    once = [(r.key, r.n_tokens, r.n_known, at_once.n_tokens, r.base_score, r.score) for r in bloomlm.score_blocks(blocks, at_once).collect()]
+    assert at_once.filter_bytes >= model.filter_bytes and Counter(once) == Counter(whole)
 
 
 def test_lm_reads_every_block_of_a_batch(odd, monkeypatch):
