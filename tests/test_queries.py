@@ -52,6 +52,16 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_fanout_counts_equal_the_pairs(spark):
+    ops = spark.createDataFrame([("v1", "a", "x.md"), ("v1", "a", ".vault/config.toml"), ("v1", "b", ".vault/access"), ("v1", None, "y"), ("v2", "c", None), (None, "d", "z"), ("v3", "e", "z")], "vault_id string, client_id string, path string")
+    clients = spark.createDataFrame([("v1", "a", True), ("v1", "b", False), ("v1", "f", None), ("v1", "b", False), ("v1", None, True), ("v2", "c", True), ("v2", "g", False), (None, "h", True)], "vault_id string, client_id string, admin boolean")
+    want = oplog.fanout_ops(ops, clients).groupBy("vault_id", "recipient").count().toPandas()
+    got = oplog.fanout_counts(oplog.sent_ops(ops), clients).groupBy("vault_id", "recipient").agg(F.sum("ops").alias("count")).toPandas()
+    assert rows(got) == rows(want) and len(want) > 3
+    plan = plans.QUERIES["j22_fanout_ops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan[plan.index("Join"):]  # ops are counted below the joins
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
