@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkvault import plans
 from sparkvault.functions import exprs, predicates
-from sparkvault.operators import changes, merge, oplog, search
+from sparkvault.operators import changes, history, merge, oplog, search
 from sparkvault.operators import text as texts
 from sparkvault.plans import views
 from sparkvault.sources import files
@@ -62,6 +62,16 @@ def test_fanout_counts_equal_the_pairs(spark):
     assert "count(1)" in plan[plan.index("Join"):]  # ops are counted below the joins
 
 
+def test_histories_join_once_and_sort_no_structs(spark, sf):
+    plan = views.history(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    odd = spark.createDataFrame([("v", "p", 1, "M", "a", "x", 1), ("v", "p", 2, "M", "b", "y", 2), ("v", "p", 2, "M", "c", "y", 2), ("v", "q", 1, "M", "d", "x", 1), ("v", "q", 3, "D", "e", "x", 3), (None, "r", None, "M", "f", None, None), ("v", None, 1, "M", "g", "x", 1)], "vault_id string, path string, ordinal long, action string, hash string, author string, author_ts long")
+    got = {(r.vault_id, r.path, r.hash) for r in history.snapshot_at(odd).collect()}
+    assert got == {("v", "p", "c"), (None, "r", "f"), ("v", None, "g")}
+    newest = history.at_newest(odd)
+    assert newest.count() == 5 and "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
