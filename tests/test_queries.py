@@ -72,6 +72,18 @@ def test_histories_join_once_and_sort_no_structs(spark, sf):
     assert newest.count() == 5 and "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
 
 
+def test_search_in_blocks_makes_no_row_for_each_pair(spark, sf, duck, monkeypatch):
+    for name, value in (("QUERY_ROWS", 3), ("BLOCK_QUERIES", 2), ("BLOCK_DOCS", 7)):
+        monkeypatch.setattr(search, name, value)
+    assert rows(plans.QUERIES["x7_search"](spark, sf).toPandas()) == rows(duck.sql(plans.ORACLE["x7_search"]).df())
+    docs = spark.createDataFrame([("v", f"{i:03}.md", ["t"], f"the title {i}", "the and of") for i in range(300)], "vault_id string, path string, tags array<string>, title string, body string")
+    asked = spark.createDataFrame([(i, "the and") for i in range(6)], "qid long, q string")
+    found = search.search(search.build_index(docs), asked, docs, 2)
+    assert [(r.qid, r.rank, r.path, r.truncated) for r in found.orderBy("qid", "rank").collect()] == [(i, n, f"{n - 1:03}.md", True) for i in range(6) for n in (1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # of three queries each, and nothing else makes rows
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
