@@ -28,6 +28,12 @@ def parsed_rules(rules: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, PARSED).filter("regex is not null")
 
 
+def last_rules(rules: DataFrame) -> DataFrame:
+    """:func:`parsed_rules`, of those with one regex in a section only the last: it has the last word wherever the others match."""
+    last = parsed_rules(rules).groupBy("vault_id", "section", "regex", "key").agg(F.max("ordinal").alias("ordinal"), F.max_by("negated", "ordinal").alias("negated"))
+    return last.select("vault_id", "section", "ordinal", "regex", "negated", "key")
+
+
 def path_keys(path: Column) -> Column:
     """The keys under which a path can meet a rule: its components, their extensions, and the key of rules without either."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
@@ -40,10 +46,11 @@ def match_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
     A rule is joined on the vault and on a component that it names in full, or
     an extension, so that a path meets the rules that can match it; those that
-    name neither meet all paths of their vault. Of a path that no rule of a
-    section matches there is no row. Repeated paths are one.
+    name neither meet all paths of their vault. Rules of a section that match
+    the same paths count as the last of them, and meet no path before. Of a path
+    that no rule of a section matches there is no row. Repeated paths are one.
     """
     each = paths.select("vault_id", "path").distinct().select("vault_id", "path", F.explode(path_keys(F.col("path"))).alias("key"))
-    hits = each.join(parsed_rules(rules), ["vault_id", "key"]).filter(F.expr("path rlike regex"))
+    hits = each.join(last_rules(rules), ["vault_id", "key"]).filter(F.expr("path rlike regex"))
     last = hits.groupBy("vault_id", "path", "section").agg(F.max_by("negated", "ordinal").alias("negated"))
     return last.select("vault_id", "path", "section", (~F.col("negated")).alias("ignored"))

@@ -95,3 +95,11 @@ def test_rule_table_takes_the_last_match_of_each_vault_and_section(spark):
     out = rules.match_rules(spark.createDataFrame(paths + paths[:5], "vault_id string, path string"), spark.createDataFrame(table, "vault_id string, section string, ordinal int, pattern string"))
     got = [tuple(x) for x in out.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_rules_of_one_regex_meet_paths_once(spark):
+    table = spark.createDataFrame([("v", "view", i, "!*.md" if i % 3 == 0 else "*.md") for i in range(100)] + [("v", "edit", 1, "*.md"), ("w", "view", None, "*.md")], "vault_id string, section string, ordinal int, pattern string")
+    kept = {(r.vault_id, r.section, r.ordinal, r.negated) for r in rules.last_rules(table).collect()}
+    assert kept == {("v", "view", 99, True), ("v", "edit", 1, False), ("w", "view", None, None)}
+    out = rules.match_rules(spark.createDataFrame([("v", "a.md"), ("v", "b/c.md")], "vault_id string, path string"), table)
+    assert {tuple(r) for r in out.collect()} == {("v", p, s, s == "edit") for p in ("a.md", "b/c.md") for s in ("view", "edit")}
