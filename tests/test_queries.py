@@ -84,6 +84,11 @@ def test_search_in_blocks_makes_no_row_for_each_pair(spark, sf, duck, monkeypatc
     assert plan.count("MapInArrow") == 2  # of three queries each, and nothing else makes rows
 
 
+def test_base_by_hash_takes_dated_changes_as_they_are(spark, sf):
+    plan = plans.QUERIES["j20_find_base_by_hash"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3  # of the wanted, of the history, and of both
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
