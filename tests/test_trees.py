@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvault.operators import access, changes, history, links
+from sparkvault.sources import files
 
 FILES = "vault_id string, path string, hash string"
 
@@ -91,3 +92,12 @@ def test_quantiles_of_merged_sketches(spark):
         for p, q in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
             assert abs(own.filter(F.col("dur_ms") <= q).count() / r.requests - p) < 0.012
     assert max(len(r.sketch) for r in daily.collect()) < 20_000
+
+
+def test_a_tree_is_written_by_tasks_of_some_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TASK_FILES", 5)
+    rows = spark.range(40).coalesce(1).select((F.col("id") % 3).alias("of"), F.concat(F.lit("text "), "id").alias("value"))
+    files.write_tree(rows, "of", str(tmp_path / "tree"))
+    found = files.scan_tree(spark, str(tmp_path / "tree")).select("path", F.decode("content", "UTF-8").alias("text")).collect()
+    assert sorted((r.path.split("/")[0], r.text) for r in found) == sorted((f"of={i % 3}", f"text {i}\n") for i in range(40))
+    assert len({r.path.split("/")[1].split("-")[1] for r in found}) > 3  # tasks
