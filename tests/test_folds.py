@@ -1,12 +1,15 @@
 """Folds in order, over tables and streams, and the line diff and merge, against plain loops and golden rows."""
 
 import random
+import types
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkvault.operators import changes, fold, merge, oplog
-from sparkvault.streaming import streams
+from sparkvault.streaming import ordered, streams
 
 EVENTS = "vault_id string, hash string, action string, path string, ts timestamp"
 
@@ -201,3 +204,44 @@ def test_overlaps_at_edges(spark, ours, theirs, overlap):
 def test_merges_at_edges(spark, base, ours, theirs, want, conflicts):
     rows = spark.createDataFrame([("v", "p", base, ours, theirs)], "vault_id string, path string, base_text string, our_text string, their_text string")
     assert [(r.merged, r.conflicts) for r in merge.merge_texts(rows).collect()] == [(want, conflicts)]
+
+
+class Handle:
+    """A group's state in plain lists, for a processor outside a stream."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers = [], None, []
+
+    def getListState(self, *_):  # noqa: N802
+        return types.SimpleNamespace(appendList=self.rows.extend, get=lambda: iter(list(self.rows)), clear=self.rows.clear, put=self.rows.extend)
+
+    def getValueState(self, *_):  # noqa: N802
+        return types.SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+def test_keys_of_a_stream_share_groups_and_rows_are_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(ordered, "OUT_ROWS", 100)
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), i, r.randrange(3_000_000)) for i in range(1_000)]
+    kinds = pa.schema([("client_id", pa.string()), ("seq", pa.int64()), ("us", pa.int64())])
+    rule, handle = fold.RateLimit(2, 1), Handle()
+    run = ordered.Ordered(rule, kinds.names, kinds, ["client_id"], [("us", True), ("seq", True)])
+    run.init(handle)
+    for part in (rows[:600], rows[600:]):
+        assert not list(run.handleInputRows((7,), iter([pd.DataFrame(part, columns=kinds.names)]), None))
+    assert len(handle.rows) == 2  # batches, not rows
+    got = []
+    for mark in (1_500, 10_000):
+        frames = list(run.handleExpiredTimer((7,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark), None))
+        assert max(map(len, frames)) <= 200
+        got += [tuple(x) for f in frames for x in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+    assert handle.value is None and not handle.rows
+    want = []
+    for key in ("a", "b", None):
+        state = rule.start()
+        for us, seq in sorted((us, seq) for k, seq, us in rows if k == key):
+            want += rule.step(state, {"client_id": key, "seq": seq, "us": us})
+    assert sorted(got, key=lambda x: x[1]) == sorted(want, key=lambda x: x[1])
