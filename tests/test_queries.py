@@ -7,6 +7,7 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,3 +330,22 @@ def test_refused_files_are_told(spark, tmp_path):
     assert sorted((r.path[-5:], r.row) for r in out) == [("a.csv", None), ("b.csv", 0)]
     assert files.read_delimited(spark, [str(tmp_path)]).count() == 11
     assert files.load_index(spark, str(tmp_path / "none")) is None
+
+
+def test_grams_are_handed_on_as_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(search, "GRAM_ROWS", 3)
+    batch = pa.record_batch({"vault_id": ["v"] * 10, "path": [f"p{i}" for i in range(10)], "field": ["body"] * 10, "words": ["alpha beta alphabet"] * 9 + [""]})
+    out = list(search._grams(iter([batch])))
+    assert [b.num_rows for b in out] == [3, 3, 3, 1]
+    want = {g for w in ("alpha", "beta", "alphabet") for g in search.word_grams(w)}
+    lists = [x for b in out for x in b.column("grams").to_pylist()]
+    assert all(sorted(x) == sorted(want) for x in lists[:9]) and lists[9] == []
+
+
+def test_an_index_is_updated_without_a_sort_of_its_postings(spark):
+    docs = spark.createDataFrame([("v", f"p{i}", f"h{i}", "t", ["g"], "alpha beta") for i in range(20)], "vault_id string, path string, hash string, title string, tags array<string>, body string")
+    new = docs.withColumn("hash", F.when(F.col("path") == "p3", "new").otherwise(F.col("hash"))).withColumn("body", F.when(F.col("path") == "p3", "gamma").otherwise(F.col("body")))
+    updated = search.update_index(search.build_index(docs), docs, new)
+    assert sorted(map(tuple, updated.collect())) == sorted(map(tuple, search.build_index(new).collect()))
+    plan = updated._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2
