@@ -349,3 +349,10 @@ def test_an_index_is_updated_without_a_sort_of_its_postings(spark):
     assert sorted(map(tuple, updated.collect())) == sorted(map(tuple, search.build_index(new).collect()))
     plan = updated._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ShuffledHashJoin") == 2
+
+
+def test_live_postings_are_one_row_for_a_field(spark, tmp_path):
+    docs = spark.createDataFrame([("v", "a", "h", "t", ["g"], "alpha beta")], "vault_id string, path string, hash string, title string, tags array<string>, body string")
+    streams.live_index(str(tmp_path / "live"))(docs, 0)
+    assert spark.read.parquet(str(tmp_path / "live" / "postings")).count() == 3
+    assert sorted(map(tuple, streams.read_live_index(spark, str(tmp_path / "live")).collect())) == sorted(map(tuple, search.build_index(docs).collect()))
