@@ -1,7 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 13).
 
 Texts are coded in blocks: the distinct words, and a code for every token.
-Unigram counts are exact and come from a table of words. The counts of longer
+Unigram counts are exact and come from a table of words in parts of bounded
+size; blocks send a part their words as one message, and get their counts. The counts of longer
 n-grams are quantised to powers of two and live in a Bloom filter alone: an
 n-gram of level j (2^(j-1) to 2^j - 1 occurrences) is inserted as the items
 (n-gram, 1) ... (n-gram, j), and read back by asking for level after level
@@ -47,6 +48,8 @@ from sparkvault.llm._common import give_back, materialize, mix64, slices
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 100_000
 #: Training tokens for each shard of the filter.
 SHARD_TOKENS = 1_500_000
+#: Distinct words of all blocks for each part of the table of words.
+PART_WORDS = 1_000_000
 #: Size up to which the filter is broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Hash functions of the filter: an item that is not there is found with a probability of 2^-HASHES.
@@ -81,12 +84,30 @@ def _sorted_unsqueezed(data: bytes) -> np.ndarray:
     return np.cumsum(_unsqueezed(data), dtype=np.uint64)
 
 
+def _joined(words: list[bytes]) -> bytes:
+    """Words, which have no line ends, as one compressed message."""
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+
+
+def _split(data: bytes) -> list[bytes]:
+    """The words of a message; none is empty."""
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    return whole.split(b"\n") if whole else []
+
+
+def _word_parts(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes by part, the parts there are, where each begins among the codes)."""
+    part = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return order, *np.unique(part[order], return_index=True)
+
+
 def code_blocks(docs: DataFrame, learn: Column, key: str, text: str) -> DataFrame:
     """The coded blocks, written to the shared folder; null texts are empty.
 
-    (block, keys array, learn array<boolean>, n_words, codes, words
-    array<binary>, seen array<long>): a block's words by code, and how often
-    each occurs in the block's learning rows.
+    (block, keys array, learn array<boolean>, n_words, codes, n_distinct, words,
+    seen): a block's words by code, as a message, and how often each occurs in
+    the block's learning rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
@@ -111,8 +132,9 @@ def code_blocks(docs: DataFrame, learn: Column, key: str, text: str) -> DataFram
                     "learn": pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), part.column("learn")),
                     "n_words": pa.array([_squeezed(np.bincount(owner, minlength=last - first))], pa.binary()),
                     "codes": pa.array([_squeezed(codes)], pa.binary()),
-                    "words": pa.array([coded.dictionary.cast(pa.large_binary()).to_pylist()], pa.list_(pa.binary())),
-                    "seen": pa.array([seen], pa.list_(pa.int64())),
+                    "n_distinct": pa.array([len(seen)], pa.int64()),
+                    "words": pa.array([_joined(coded.dictionary.cast(pa.large_binary()).to_pylist())], pa.binary()),
+                    "seen": pa.array([_squeezed(seen)], pa.binary()),
                 }
                 yield pa.record_batch(columns)
                 block += 1
@@ -120,7 +142,7 @@ def code_blocks(docs: DataFrame, learn: Column, key: str, text: str) -> DataFram
             give_back()
 
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"block long, keys array<{kind}>, learn array<boolean>, n_words binary, codes binary, words array<binary>, seen array<long>"
+    schema = f"block long, keys array<{kind}>, learn array<boolean>, n_words binary, codes binary, n_distinct long, words binary, seen binary"
     return materialize(rows.mapInArrow(run, schema), "lm_blocks")
 
 
@@ -237,11 +259,71 @@ def _count_messages(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def _of_row(batch: pa.RecordBatch, row: int) -> tuple[Tokens, np.ndarray]:
-    words = batch.column("words")[row].as_py()
+    words = _split(batch.column("words")[row].as_py())
     n_words, codes = (_unsqueezed(batch.column(c)[row].as_py()).astype(np.int64) for c in ("n_words", "codes"))
     return _tokens(words, n_words, codes), np.array(batch.column("learn")[row].as_py(), bool)
 
 
+def _word_messages(parts: int, asked: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A block's distinct words for each part of the table of words: those learned from with their counts, or all, to be ``asked``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, seen = _split(batch.column("words")[row].as_py()), None
+                if not asked:
+                    seen = _unsqueezed(batch.column("seen")[row].as_py())
+                    words, seen = [w for w, n in zip(words, seen.tolist(), strict=True) if n], seen[seen > 0]
+                order, found, firsts = _word_parts(words, parts)
+                if not len(order):
+                    continue
+                runs = np.split(order, firsts[1:])
+                out = {"part": pa.array(found.astype(np.int64)), "words": pa.array([_joined([words[i] for i in r.tolist()]) for r in runs], pa.binary())}
+                if asked:
+                    out["block"] = pa.array([batch.column("block")[row].as_py()] * len(runs), pa.int64())
+                else:
+                    out["seen"] = pa.array([_squeezed(seen[r]) for r in runs], pa.binary())
+                yield pa.record_batch(out)
+                del words, seen, order, runs, out
+            give_back()
+
+    return run
+
+
+def _words_of(messages: pa.ChunkedArray) -> tuple[pa.ChunkedArray, list[int]]:
+    """The words of some messages, one after the other, and where each message's end."""
+    arrays = [pa.array(_split(x.as_py()), pa.large_binary()) for x in messages]
+    return pa.chunked_array(arrays, pa.large_binary()), np.cumsum([len(a) for a in arrays]).tolist()
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    """A part of the table of words: each word once, with its count."""
+    words, _ = _words_of(table.column("words"))
+    coded = words.combine_chunks().dictionary_encode()
+    counts = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(counts, coded.indices.to_numpy(), np.concatenate([_unsqueezed(x.as_py()) for x in table.column("seen")]).astype(np.int64))
+    out = {"words": _joined(coded.dictionary.to_pylist()), "counts": _squeezed(counts)}
+    sums = {"n_words": int(counts.sum()), "n_types": len(counts)}
+    del words, coded, counts
+    give_back()
+    return pa.table({"part": table.column("part").slice(0, 1)} | {k: pa.array([v], pa.binary()) for k, v in out.items()} | {k: pa.array([v], pa.int64()) for k, v in sums.items()})
+
+
+def _answer_words(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """The counts of the words that the blocks ask one part."""
+    words, ends = _words_of(asked.column("words"))
+    counts = np.zeros(len(words), np.int64)
+    if held.num_rows:
+        known = pa.array(_split(held.column("words")[0].as_py()), pa.large_binary())
+        at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+        counts[at >= 0] = _unsqueezed(held.column("counts")[0].as_py()).astype(np.int64)[at[at >= 0]]
+        del known, at
+    out = pa.array([_squeezed(c) for c in np.split(counts, ends[:-1])] if ends else [], pa.binary())
+    del words, counts
+    give_back()
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "counts": out})
+
+
 def _merged_bits(table: pa.Table, hashes: int) -> np.ndarray:
     """The filter of a shard from what the blocks send; n-grams that no learning text has are left out."""
     prints = np.concatenate([_sorted_unsqueezed(x.as_py()) for x in table.column("prints")])
@@ -268,7 +350,8 @@ def _filter_shard(hashes: int) -> Callable[[pa.Table], pa.Table]:
 class Model:
     """What a corpus leaves: word counts and the filter as tables, and five numbers."""
 
-    counts: DataFrame  # (word binary, c long), words that the corpus has
+    counts: DataFrame  # (part long, words binary, counts binary), words that the corpus has
+    n_parts: int
     shards: DataFrame | None  # (shard long, bits binary); none where the filter is made as the blocks ask it
     n_shards: int
     filter_bytes: int  # without a filter, the most that it can have
@@ -280,15 +363,17 @@ class Model:
 
 def count_blocks(blocks: DataFrame, hashes: int = HASHES, shard_tokens: int = SHARD_TOKENS) -> Model:
     """The model of the learning rows of coded blocks, without its filter; the table of words is in the shared folder."""
-    words = blocks.select(F.explode(F.arrays_zip("words", "seen")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.seen").alias("seen"))
-    counts = materialize(words.filter(F.col("seen") > 0).groupBy("word").agg(F.sum("seen").alias("c")), "lm_counts")
-    n_words, n_types = counts.agg(F.sum("c"), F.count("*")).first()
+    n_parts = max(1, math.ceil((blocks.agg(F.sum("n_distinct")).first()[0] or 0) / PART_WORDS))
+    sent = blocks.select("words", "seen").mapInArrow(_word_messages(n_parts, False), "part long, words binary, seen binary")
+    schema = "part long, words binary, counts binary, n_words long, n_types long"
+    counts = materialize(sent.groupBy("part").applyInArrow(_count_words, schema), "lm_counts")
+    n_words, n_types = counts.agg(F.sum("n_words"), F.coalesce(F.sum("n_types"), F.lit(0))).first()
     n_texts = blocks.select(F.sum(F.size(F.filter("learn", lambda x: x)).cast("long"))).first()[0] or 0
     n_tokens = (n_words or 0) + n_texts
     n_shards = max(1, math.ceil(n_tokens / shard_tokens))
     # An n-gram has no more levels than occurrences, and a text no more pairs or triples than tokens.
     most = math.ceil(2 * n_tokens * hashes / math.log(2) / 8) + 8 * n_shards
-    return Model(counts, None, n_shards, most, n_tokens, n_types + (n_texts > 0), n_texts, hashes)
+    return Model(counts.drop("n_words", "n_types"), n_parts, None, n_shards, most, n_tokens, n_types + (n_texts > 0), n_texts, hashes)
 
 
 def fit_blocks(blocks: DataFrame, hashes: int = HASHES, shard_tokens: int = SHARD_TOKENS) -> Model:
@@ -400,7 +485,7 @@ def _answer_counted(hashes: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _score_block(model: tuple[int, int, int], n_shards: int, held, mass: float, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score_block(model: tuple[int, int, int], n_parts: int, n_shards: int, held, mass: float, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Scores a block from its words' counts, and the broadcast filter or the shards' answers."""
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
@@ -410,8 +495,10 @@ def _score_block(model: tuple[int, int, int], n_shards: int, held, mass: float,
             batch = block.combine_chunks().to_batches()[0]
             tokens, _ = _of_row(batch, 0)
             c = np.zeros(len(tokens.hashes) - 2, np.int64)
-            of_words = known.filter(pc.is_valid(known.column("code")))
-            c[of_words.column("code").to_numpy()] = of_words.column("c").to_numpy()
+            of_words = known.filter(pc.is_valid(known.column("part"))).sort_by("part").column("counts")
+            if len(of_words):
+                order, _, _ = _word_parts(_split(batch.column("words")[0].as_py()), n_parts)
+                c[order] = np.concatenate([_unsqueezed(x.as_py()) for x in of_words]).astype(np.int64)
             found, place = np.unique(tokens.fingerprints(), return_inverse=True)
             if held is not None:
                 levels = held.value.levels(found, _shard(found, n_shards).astype(np.int64))
@@ -431,9 +518,10 @@ def score_blocks(blocks: DataFrame, model: Model, mass: float = MASS, broadcast_
 
     A model without a filter must be of the same blocks.
     """
-    asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("code", "word"))
-    none = {c: F.lit(None).cast(t) for c, t in (("code", "int"), ("c", "long"), ("shard", "long"), ("levels", "binary"))}
-    known = asked.join(model.counts, "word").select("of", "code", "c", none["shard"].alias("shard"), none["levels"].alias("levels"))
+    asked = blocks.select("block", "words").mapInArrow(_word_messages(model.n_parts, True), "part long, words binary, block long")
+    known = asked.groupBy("part").cogroup(model.counts.groupBy("part")).applyInArrow(_answer_words, "block long, part long, counts binary")
+    none = {c: F.lit(None).cast(k) for c, k in (("part", "long"), ("counts", "binary"), ("shard", "long"), ("levels", "binary"))}
+    known = known.select(F.col("block").alias("of"), "part", "counts", none["shard"].alias("shard"), none["levels"].alias("levels"))
     held = None
     if model.shards is not None and model.filter_bytes <= broadcast_bytes:
         rows = {r["shard"]: np.frombuffer(r["bits"], np.uint8) for r in model.shards.collect()}  # filter_bytes at most
@@ -451,11 +539,11 @@ def score_blocks(blocks: DataFrame, model: Model, mass: float = MASS, broadcast_
         else:
             sent = own.mapInArrow(_ask(model.n_shards), "block long, shard long, prints binary")
             answers = sent.groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(_answer(model.hashes), "block long, shard long, levels binary")
-        known = known.unionByName(answers.select(F.col("block").alias("of"), none["code"].alias("code"), none["c"].alias("c"), "shard", "levels"))
+        known = known.unionByName(answers.select(F.col("block").alias("of"), none["part"].alias("part"), none["counts"].alias("counts"), "shard", "levels"))
     of_key = blocks.schema["keys"].dataType.elementType
-    run = _score_block((model.n_tokens, model.n_types, model.n_texts), model.n_shards, held, mass, to_arrow_type(of_key))
+    run = _score_block((model.n_tokens, model.n_types, model.n_texts), model.n_parts, model.n_shards, held, mass, to_arrow_type(of_key))
     schema = f"key {of_key.simpleString()}, n_tokens long, n_known long, base_score double, score double"
-    return blocks.drop("seen").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, schema)
+    return blocks.drop("seen", "n_distinct").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, schema)
 
 
 def language_model_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -225,6 +225,19 @@ def test_lm_reads_every_block_of_a_batch(odd, monkeypatch):
     assert [r[4] for r in got] == pytest.approx([r[4] for r in want], rel=1e-9, abs=1e-9)
 
 
+def test_lm_words_are_sent_and_kept_as_messages(odd, monkeypatch):
+    monkeypatch.setattr(bloomlm, "PART_WORDS", 50)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    blocks = bloomlm.code_blocks(odd, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, "doc_id", "text")
+    model = bloomlm.fit_blocks(blocks, hashes=50, shard_tokens=3000)
+    assert model.n_parts > 5 and model.counts.count() <= model.n_parts < model.n_types
+    got = [(r.key, r.n_tokens, r.n_known, model.n_tokens, r.base_score, r.score) for r in bloomlm.score_blocks(blocks, model).collect()]
+    close(got, brute_lm(rows, [fold(k, 7) not in (2, None) for k, _ in rows]))
+    first, rest = odd.filter("doc_id < 40"), odd.filter("doc_id >= 40 or doc_id is null")
+    of_first = bloomlm.fit_blocks(bloomlm.code_blocks(first, F.lit(True), "doc_id", "text"))
+    assert bloomlm.score_blocks(bloomlm.code_blocks(rest, F.lit(False), "doc_id", "text"), of_first).count() == rest.count()
+
+
 def test_lm_tables_without_rows_or_learning_rows(odd):
     assert bloomlm.language_model_scores(odd.limit(0), F.lit(True)).collect() == []
     rows = odd.filter("doc_id < 8")
