@@ -178,11 +178,19 @@ def _asked(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
     return distinct, [np.fromiter(map(place.__getitem__, m), np.int64, len(m)) for m in messages]
 
 
-def _ids(distinct: list[bytes], tokenizer_path: str) -> pa.ListArray:
+def _asked_once(table: pa.Table) -> tuple[list[str], list[np.ndarray]]:
+    """As :func:`_asked`, with the distinct words in the order in which they come, which is another one each time."""
+    lists = [pc.split_pattern(pa.array([unzstd(x)], pa.large_binary()).cast(pa.large_string()), "\n").flatten() for x in table.column("words").to_pylist()]
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    ends = np.cumsum([len(x) for x in lists])
+    return coded.dictionary.to_pylist(), np.split(coded.indices.to_numpy().astype(np.int64), ends[:-1])
+
+
+def _ids(distinct: list[str], tokenizer_path: str) -> pa.ListArray:
     """The ids of the words."""
     tokenizer, ids, ends = load_tokenizer(tokenizer_path), [], [0]
     for first in range(0, len(distinct), 20_000):
-        for code in tokenizer.encode_batch_fast([w.decode() for w in distinct[first : first + 20_000]], add_special_tokens=False):
+        for code in tokenizer.encode_batch_fast(distinct[first : first + 20_000], add_special_tokens=False):
             ids += code.ids
             ends.append(len(ids))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
@@ -345,13 +353,13 @@ def encoded_blocks(
     messages = rows.mapInArrow(_words(-(-blocks // SUPER_BLOCKS)), "group long, block long, part int, sum long, words binary").groupBy("group")
 
     def answer(table: pa.Table) -> pa.Table:
-        distinct, places = _asked(table)
+        distinct, places = _asked_once(table)
         return _replies(table, places, _ids(distinct, tokenizer_path), None)
 
     def code(table: pa.Table) -> pa.Table:
         distinct, _ = _asked(table)
         group = pa.array([table.column("group")[0].as_py()] * len(distinct), pa.int64())
-        return pa.table({"group": group, "at": pa.array(np.arange(len(distinct), dtype=np.int32)), "ids": _ids(distinct, tokenizer_path)})
+        return pa.table({"group": group, "at": pa.array(np.arange(len(distinct), dtype=np.int32)), "ids": _ids([w.decode() for w in distinct], tokenizer_path)})
 
     def answer_joined(table: pa.Table, coded: pa.Table) -> pa.Table:
         distinct, places = _asked(table)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -693,3 +694,11 @@ FOR A PARTICULAR PURPOSE. See"""
 
 def test_registered_names():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLE) <= set(QUERIES)
+
+
+def test_asked_words_come_once_and_in_their_places():
+    messages = [b"a\nbb\n\nc", b"", "é\nbb\na".encode()]
+    table = pa.table({"words": pa.array([bpe.zstd(m) for m in messages], pa.binary())})
+    distinct, places = bpe._asked_once(table)
+    assert len(distinct) == len(set(distinct)) == 5
+    assert [[distinct[i] for i in p] for p in places] == [m.decode().split("\n") for m in messages]
