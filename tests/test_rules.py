@@ -103,3 +103,23 @@ def test_rules_of_one_regex_meet_paths_once(spark):
     assert kept == {("v", "view", 99, True), ("v", "edit", 1, False), ("w", "view", None, None)}
     out = rules.match_rules(spark.createDataFrame([("v", "a.md"), ("v", "b/c.md")], "vault_id string, path string"), table)
     assert {tuple(r) for r in out.collect()} == {("v", p, s, s == "edit") for p in ("a.md", "b/c.md") for s in ("view", "edit")}
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_rules_of_names_with_wildcards_meet_only_the_paths_that_have_their_rarest_key(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_RULES", broadcast)
+    paths = spark.createDataFrame([("v", f"src/en/{i}.md") for i in range(400)], "vault_id string, path string")
+    patterns = [(f"{i}.m?", f"src/{i}.m?", f"src/**/?{i}.md", "*[13579].md")[i % 4] for i in range(400)]
+    table = spark.createDataFrame([("v", "view", i, p) for i, p in enumerate(patterns)], "vault_id string, section string, ordinal int, pattern string")
+    assert rules.candidates(paths, table).count() < 2 * 400 + 400
+    got = {(r.path, r.ignored) for r in rules.match_rules(paths, table).collect()}
+    assert got == {(f"src/en/{i}.md", True) for i in range(400) if any(matches(p, f"src/en/{i}.md") for p in set(patterns))}
+
+
+def test_keys_are_what_a_matching_path_has(spark):
+    assert predicates.ignore_keys("!15.m?") == ["^15.m"]
+    assert predicates.ignore_keys(r"/src/**/[0-4\5]*.md/  ") == ["=src", "$.md"]
+    assert predicates.ignore_keys("a /") == ["=a "]
+    table = spark.createDataFrame([("v", "view", 1, "a /")], "vault_id string, section string, ordinal int, pattern string")
+    out = rules.match_rules(spark.createDataFrame([("v", "a /x"), ("v", "a/x")], "vault_id string, path string"), table)
+    assert [tuple(r) for r in out.collect()] == [("v", "a /x", "view", True)]
